@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("expressions", "groups", "lists")
+MODULES = ("expressions", "groups", "lists", "statistics", "learning", "storage")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
