@@ -113,14 +113,27 @@ def stored_runs(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("SELECT CAST(2 AS INTEGER) AS max_run, CAST(1 AS INTEGER) AS best_run, CAST(3 AS BIGINT) AS runs FROM (SELECT count(*) FROM lineitem)")
+RUNS = """
+WITH t AS (SELECT *, l_linestatus = 'F' AS tr FROM lineitem),
+     f AS (SELECT regr_r2(l_extendedprice, l_tax) FILTER (tr) AS a, regr_r2(l_extendedprice, l_quantity) FILTER (tr) AS b,
+                  (regr_r2(l_extendedprice, l_discount) FILTER (tr) + regr_r2(l_tax, l_discount) FILTER (tr)) / 2 AS c FROM t),
+     r AS (SELECT 0 AS run, a AS s, ['l_extendedprice'] AS targets FROM f UNION ALL SELECT 1, b, ['l_extendedprice'] FROM f
+           UNION ALL SELECT 2, c, ['l_extendedprice', 'l_tax'] FROM f)
+"""
+
+
+@query(RUNS + """
+SELECT CAST(max(run) AS INTEGER) AS max_run, CAST(arg_max(run, s) AS INTEGER) AS best_run, CAST(arg_min(run, s) AS INTEGER) AS worst_run,
+       CAST(count(*) AS BIGINT) AS runs, round(max(s), 6) AS best_score FROM r""")
 def run_registry(spark, sf):
     runs = stored_runs(spark, sf)
-    best = best_run(runs, "valid_score").select(F.col("run").alias("best_run"))
-    return artifacts.max_run(runs).join(best).join(runs.agg(F.count(F.lit(1)).alias("runs")))
+    best = best_run(runs, "train_score").select(F.col("run").alias("best_run"), rounded("train_score").alias("best_score"))
+    worst = best_run(runs, "train_score", maximize=False).select(F.col("run").alias("worst_run"))
+    counts = runs.agg(F.count(F.lit(1)).alias("runs"))
+    return artifacts.max_run(runs).join(best).join(worst).join(counts)
 
 
-@query("SELECT CAST(run AS INTEGER) AS run, targets FROM (VALUES (0, 'l_extendedprice'), (1, 'l_extendedprice'), (2, 'l_extendedprice|l_tax')) t(run, targets)")
+@query(RUNS + "SELECT CAST(run AS INTEGER) AS run, array_to_string(list_sort(targets), '|') AS targets FROM r")
 def targets_of_runs(spark, sf):
     return artifacts.run_targets(stored_runs(spark, sf)).select("run", F.array_join("targets", "|").alias("targets"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import mathops
-from loomwright.operators.models import Regressor, SparkRegressor, prediction_name, solve
+from loomwright.operators.models import Regressor, SparkRegressor, solve
 from loomwright.plans.columns import filled, with_all
-from loomwright.plans.moments import MAX_WIDTH, Moments, moments
+from loomwright.plans.moments import Moments, moments, packed, partial_sums
 
 # Where the curve parameters are searched, and the grid step.
 GAMMA_RANGE, RHO_RANGE = (0.1, 3.0), (0.1, 2.0)
@@ -79,24 +79,55 @@ class CurveRegressor(Regressor):
 
     def search_one(self, df: DataFrame, feature: str) -> tuple[CurveRegressor, float]:
         """Best candidate of one feature; the mean R2 over the targets decides, first wins on a tie."""
-        others = [c for c in self.features if c != feature]
-        fixed = [f"_c_{c}" for c in others]
+        found = self.candidate_moments(df, feature)
         best: tuple[float, tuple[float, float]] | None = None
-        room = MAX_WIDTH // 8 - len(fixed) - len(self.targets)
-        for at in range(0, len(self.candidates), room):
-            some = self.candidates[at:at + room]
-            tried = {f"_t{i}": self.curve(filled(df, feature), feature, pair) for i, pair in enumerate(some)}
-            frame = self.curves(df).select(
-                *[F.col(f) for f in fixed], *[filled(df, t).alias(t) for t in self.targets],
-                *[e.alias(n) for n, e in tried.items()],
-            )
-            found = candidate_moments(frame, list(tried), [*fixed, *self.targets])
-            for i, pair in enumerate(some):
-                score = float(np.mean([solve(found[i], [f"_t{i}", *fixed], t)[2] for t in self.targets]))
-                if best is None or score > best[0] + 1e-12:
-                    best = (score, pair)
+        for pair, one in zip(self.candidates, found):
+            score = float(np.mean([solve(one, one.names[:len(self.features)], t)[2] for t in self.targets]))
+            if best is None or score > best[0] + 1e-12:
+                best = (score, pair)
         return replace(self, chosen={**self.chosen, feature: best[1]}), best[0]
 
+    def candidate_moments(self, df: DataFrame, feature: str) -> list[Moments]:
+        """Moments of (candidate curve, curves of the other features, targets) for every candidate.
+
+        One pass: each task turns its batches into a matrix with a column per candidate and hands back
+        sums only. Targets are shifted by their mean first.
+        """
+        others = [c for c in self.features if c != feature]
+        shift = df.agg(*[F.avg(filled(df, t)).alias(f"m{i}") for i, t in enumerate(self.targets)]).first()
+        shift = [float(v or 0.0) for v in shift]
+        inputs = [feature, *others, *self.targets]
+        rows = df.select(packed(df, inputs, [0.0] * (1 + len(others)) + shift).alias("_x"))
+        pairs, chosen, count = list(self.candidates), self.chosen, len(self.candidates)
+        width, shared = len(inputs), len(inputs) - 1
+        curve_matrix = self.matrix_function()
+
+        def sums(x: np.ndarray) -> np.ndarray:
+            tried = curve_matrix(x[:, 0], feature, pairs)
+            fixed = [curve_matrix(x[:, 1 + i], c, [chosen[c]])[:, 0] for i, c in enumerate(others)]
+            rest = np.column_stack([*fixed, x[:, 1 + len(others):]])
+            return np.concatenate([
+                [len(x)], tried.sum(0), (tried**2).sum(0), rest.sum(0), (tried.T @ rest).ravel(), (rest.T @ rest).ravel(),
+            ])
+
+        size = 1 + 2 * count + shared + count * shared + shared * shared
+        acc = partial_sums(rows, "_x", width, sums, size)
+        n = acc[0]
+        one, two, three, four, _ = np.split(acc[1:] / n, np.cumsum([count, count, shared, count * shared]))
+        between = four.reshape(count, shared) - np.outer(one, three)
+        among = (acc[-shared * shared:] / n).reshape(shared, shared) - np.outer(three, three)
+        names = ("_candidate", *[f"_c_{c}" for c in others], *self.targets)
+        centre = three + np.array([0.0] * len(others) + shift)
+        return [
+            Moments(names, int(n), np.concatenate([[one[i]], centre]),
+                    np.block([[np.array([[two[i] - one[i] ** 2]]), between[i][None]], [between[i][:, None], among]]))
+            for i in range(count)
+        ]
+
+    def matrix_function(self):
+        """``(values, feature, pairs) -> matrix`` with one curve per column, for use inside tasks."""
+        raise NotImplementedError
+
     def predictions(self, df: DataFrame) -> dict[str, Column]:
         return {
             t: reduce(operator.add, [
@@ -113,31 +144,6 @@ class CurveRegressor(Regressor):
         return done.drop(*[f"_c_{c}" for c in self.features])
 
 
-def candidate_moments(df: DataFrame, tried: Sequence[str], shared: Sequence[str]) -> list[Moments]:
-    """Moments of (candidate, shared columns) for every candidate, from one aggregate pass."""
-    shared = list(shared)
-    exprs = [F.count(F.lit(1)).alias("n")]
-    exprs += [F.avg(c).alias(f"m_{c}") for c in [*tried, *shared]]
-    exprs += [F.var_pop(c).alias(f"v_{c}") for c in tried]
-    exprs += [F.covar_pop(c, s).alias(f"c_{c}_{j}") for c in tried for j, s in enumerate(shared)]
-    exprs += [
-        F.covar_pop(a, b).alias(f"s_{i}_{j}") for i, a in enumerate(shared) for j, b in enumerate(shared) if i <= j
-    ]
-    row = df.agg(*exprs).first()
-    width = len(shared)
-    result = []
-    for c in tried:
-        cov = np.zeros((width + 1, width + 1))
-        cov[0, 0] = row[f"v_{c}"]
-        for j in range(width):
-            cov[0, j + 1] = cov[j + 1, 0] = row[f"c_{c}_{j}"]
-            for i in range(j + 1):
-                cov[i + 1, j + 1] = cov[j + 1, i + 1] = row[f"s_{i}_{j}"]
-        mean = np.array([row[f"m_{c}"], *[row[f"m_{s}"] for s in shared]])
-        result.append(Moments((c, *shared), row["n"], mean, cov))
-    return result
-
-
 @dataclass(frozen=True)
 class AdbudgRegressor(CurveRegressor):
     candidates: tuple[tuple[float, float], ...] = tuple(product(grid(*GAMMA_RANGE), grid(*RHO_RANGE)))
@@ -146,6 +152,19 @@ class AdbudgRegressor(CurveRegressor):
     def curve(self, x: Column, feature: str, pair: tuple[float, float]) -> Column:
         return mathops.adbudg(x, pair[0], pair[1], self.magnitude)
 
+    def matrix_function(self):
+        magnitude = self.magnitude
+
+        def curves(x: np.ndarray, feature: str, pairs) -> np.ndarray:
+            gamma, rho = np.array(pairs).T
+            size, sign = np.abs(x)[:, None] ** gamma, np.sign(x)[:, None]
+            top = size if magnitude else sign * size
+            base = top + rho
+            out = np.divide(top, base, out=np.full(base.shape, mathops.CURVE_GAP), where=base != 0)
+            return sign * out if magnitude else out
+
+        return curves
+
 
 @dataclass(frozen=True)
 class LogNormalRegressor(CurveRegressor):
@@ -158,5 +177,16 @@ class LogNormalRegressor(CurveRegressor):
     def curve(self, x: Column, feature: str, pair: tuple[float, float]) -> Column:
         return mathops.lognormal(x, pair[0], pair[1], self.lowest[feature])
 
+    def matrix_function(self):
+        lowest = dict(self.lowest)
+
+        def curves(x: np.ndarray, feature: str, pairs) -> np.ndarray:
+            sigma, mu = np.array(pairs).T
+            moved = (x + lowest[feature] + mathops.CURVE_GAP)[:, None]
+            logs = np.log(moved, out=np.zeros_like(moved), where=moved > 0)
+            density = np.exp(-((logs - mu) ** 2) / (2 * sigma**2)) / (
+                np.where(moved > 0, moved, 1.0) * np.sqrt(2 * np.pi) * sigma)
+            return np.where(moved > 0, density, mathops.CURVE_GAP)
+
+        return curves
 
-__all__ = ["AdbudgRegressor", "CurveRegressor", "LogNormalRegressor", "grid", "prediction_name"]
