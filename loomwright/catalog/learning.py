@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwright.catalog.registry import query, rounded, table
+from loomwright.catalog.registry import dealt_out, query, rounded, table
 from loomwright.operators import curves, models, scoring, search
 from loomwright.operators.aggregate import GroupRows
 from loomwright.operators.features import Factors
@@ -297,7 +297,7 @@ def lognormal_curve_fit(spark, sf):
        " SELECT round(max(s), 6) AS score FROM s")
 def full_curve_search(spark, sf):
     """All 600 settings of the curve in one pass over the rows."""
-    rows = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    rows = dealt_out(table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice"))
     model = curves.AdbudgRegressor(("l_quantity",), PRICE).fit(rows)
     return model.scores(rows).select(rounded("l_extendedprice").alias("score"))
 

@@ -10,6 +10,8 @@ from itertools import takewhile
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomwright.plans.columns import let
+
 
 def root_name(names: Sequence[str]) -> str | None:
     """What all names start with, without closing underscores."""
@@ -27,8 +29,7 @@ def norm(vector: Column, order: int = 2) -> Column:
 
 def unit(vector: Column, order: int = 2) -> Column:
     """The vector divided by its norm; NULL when the norm is 0."""
-    length = norm(vector, order)
-    return F.when(length > 0, F.transform(vector, lambda x: x / length))
+    return let(vector, lambda v: let(norm(v, order), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n))))
 
 
 def mean_of(vectors: Sequence[Column], width: int) -> Column:

@@ -9,6 +9,8 @@ from itertools import combinations, combinations_with_replacement
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomwright.plans.columns import let
+
 # Log predictions.
 LOG_STEP = 0.1
 LOG_TRIES = 19
@@ -77,8 +79,12 @@ def bump(points: Column, mu: Column | float = 0.0, sigma: float = 1.1) -> Column
         points,
         lambda x: F.exp(F.lit(-math.pi * sigma**2) - F.lit(0.5) * F.pow((x - mu) / F.lit(sigma), F.lit(2.0))),
     )
-    low, high = F.array_min(heights), F.array_max(heights)
-    return F.transform(heights, lambda h: (h - low) / (high - low))
+
+    def stretched(h: Column) -> Column:
+        ends = F.struct(F.array_min(h).alias("low"), F.array_max(h).alias("high"))
+        return let(ends, lambda e: F.transform(h, lambda x: (x - e["low"]) / (e["high"] - e["low"])))
+
+    return let(heights, stretched)
 
 
 def adbudg(x: Column, gamma: float | Column, rho: float | Column, magnitude: bool = False) -> Column:

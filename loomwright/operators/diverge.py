@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomwright.operators.aggregate import histogram
 from loomwright.plans.columns import number
 from loomwright.plans.ordered import running_totals
+from loomwright.session import stored
 
 
 def kl(p: Column, q: Column) -> Column:
@@ -60,7 +61,7 @@ def wasserstein(first: DataFrame, second: DataFrame, column: str = "value", bins
     both = first.select(F.col(column).alias("value"), one.alias("a"), zero.alias("b")).unionByName(
         second.select(F.col(column).alias("value"), zero.alias("a"), one.alias("b"))
     )
-    per_value = both.groupBy("value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    per_value = stored(both.groupBy("value").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "value-counts")
     sizes = per_value.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     ran = running_totals(per_value, "value", ["a", "b"], bins)
     gap = F.abs(F.col("running_a") / F.col("na") - F.col("running_b") / F.col("nb"))

@@ -187,11 +187,11 @@ class BumpedOneHot(Operator):
         rows = [mathops.bump_values(points, hot - size // 2, sigma) for hot in range(size)]
         flags = [F.coalesce(q(c).cast("boolean"), F.lit(False)) for c in self.columns]
         active = reduce(lambda a, b: a + b, [f.cast("int") for f in flags])
-        hot = F.coalesce(*[F.when(f, F.lit(k)) for k, f in enumerate(flags)])
-        return with_all(df, {
-            f"{c}_gau": F.when(active == 1, F.get(lit_array([row[k] for row in rows]), hot))
-            for k, c in enumerate(self.columns)
-        })
+        hot = F.when(active == 1, F.coalesce(*[F.when(f, F.lit(k)) for k, f in enumerate(flags)]))
+        marked = df.withColumn("_hot", hot)
+        return with_all(marked, {
+            f"{c}_gau": F.get(lit_array([row[k] for row in rows]), F.col("_hot")) for k, c in enumerate(self.columns)
+        }).drop("_hot")
 
 
 @dataclass(frozen=True)

@@ -105,23 +105,16 @@ class QuantileUniform(Operator):
         probs = [k / (count - 1) for k in range(count)]
         return replace(self, table=exact_quantiles(df, self.columns, probs))
 
-    def place(self, value: Column, marks: list[float]) -> Column:
+    def place(self, value: Column, at: Column, marks: list[float]) -> Column:
+        """Place of a value, given how many landmarks are at or below it."""
         last = len(marks) - 1
-        table = lit_array(marks)
-        at_or_below = range_bin(value, marks)
-        below = F.lit(len(marks)) - range_bin(-value, [-m for m in reversed(marks)])
-
-        def between(low: Column) -> Column:
-            a, b = F.get(table, low), F.get(table, low + 1)
-            return (low + F.when(b > a, (value - a) / (b - a)).otherwise(F.lit(0.0))) / F.lit(float(last))
-
-        upper = between(F.least(at_or_below - 1, F.lit(last)))
-        # mirrored search: the first landmark that is not smaller
-        low = below - 1
-        a, b = F.get(table, low), F.get(table, below)
-        lower = (below - F.when(b > a, (b - value) / (b - a)).otherwise(F.lit(0.0))) / F.lit(float(last))
+        table, tied = lit_array(marks), lit_array([(marks.index(m) + i) / 2 / last for i, m in enumerate(marks)])
+        low = F.get(table, at - 1)
+        part = (value - low) / (F.get(table, at) - low)
         return (
-            F.when(value <= marks[0], 0.0).when(value >= marks[-1], 1.0).when(value.isNotNull(), (upper + lower) / 2)
+            F.when(value <= marks[0], 0.0).when(value >= marks[-1], 1.0)
+            .when(value == low, F.get(tied, at - 1))
+            .when(value.isNotNull(), (at - 1 + part) / F.lit(float(last)))
         )
 
     def output(self, place: Column) -> Column:
@@ -130,8 +123,9 @@ class QuantileUniform(Operator):
     def transform(self, df: DataFrame) -> DataFrame:
         if self.table is None:
             raise ValueError("fit first")
-        placed = with_all(df, {c: self.place(number(df, c), self.table[c]) for c in self.columns})
-        return with_all(placed, {c: self.output(q(c)) for c in self.columns})
+        found = with_all(df, {f"_at_{c}": range_bin(number(df, c), self.table[c]) for c in self.columns})
+        placed = with_all(found, {c: self.place(number(df, c), q(f"_at_{c}"), self.table[c]) for c in self.columns})
+        return with_all(placed, {c: self.output(q(c)) for c in self.columns}).drop(*[f"_at_{c}" for c in self.columns])
 
 
 @dataclass(frozen=True)

@@ -23,7 +23,7 @@ from loomwright.operators import metrics
 from loomwright.operators.aggregate import search_range
 from loomwright.operators.models import LinearRegressor, Regressor, prediction_name
 from loomwright.plans.columns import containing, filled, q, with_all
-from loomwright.session import cut_lineage
+from loomwright.session import stored
 
 # How many rounds and draws a recommendation uses, and where values are looked for.
 ROUNDS, DRAWS = 80, 25
@@ -131,9 +131,9 @@ def _general_responses(df, model, target, candidates, logged) -> DataFrame:
     every candidate is averaged over those combinations, a few candidates per job."""
     ready = model.ready(df)
     others = [c for c in model.features if c not in candidates.columns]
-    combos = cut_lineage(ready.select(*[filled(ready, c).alias(c) for c in others]).groupBy(*others).agg(
+    combos = stored(ready.select(*[filled(ready, c).alias(c) for c in others]).groupBy(*others).agg(
         F.count(F.lit(1)).alias("_n")
-    ))
+    ), "combinations")
     rows: list = []
     settings = list(enumerate(candidates.settings()))
     for at in range(0, len(settings), PER_JOB):

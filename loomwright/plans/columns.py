@@ -52,8 +52,9 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return with_all(df, floats) if floats else df
 
 
-def as_list(value: str | Iterable[str]) -> list[str]:
-    return [value] if isinstance(value, str) else list(value)
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def lit_array(values: Iterable[float]) -> Column:

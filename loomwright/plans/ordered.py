@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -11,99 +13,142 @@ from pyspark.sql import functions as F
 
 from loomwright.plans.columns import lit_array, number
 
-SMALL_ROWS = 2_000_000
-SMALL_VALUES = 200_000
-FANOUT = 2_048
+LISTED_VALUES = 200_000
+SKETCH = 10_000
+CELLS = 2_048
 
 
-def _interpolate(sorted_at, n: int, p: float) -> float:
-    """Linear interpolation between the two ranks around ``p * (n - 1)``."""
-    position = p * (n - 1)
-    low = math.floor(position)
-    high = min(low + 1, n - 1)
-    a, b = sorted_at(low), sorted_at(high)
-    return a + (b - a) * (position - low)
+@dataclass(frozen=True)
+class Bracket:
+    """A closed range of values and the ranks wanted from it."""
+
+    low: float
+    high: float
+    ranks: tuple[int, ...]
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], small_rows: int = SMALL_ROWS,
-    small_values: int = SMALL_VALUES, fanout: int = FANOUT,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], listed: int = LISTED_VALUES, cells: int = CELLS,
 ) -> dict[str, list[float]]:
-    """Exact interpolated quantiles of every column, missing values skipped.
+    """Exact quantiles, interpolated between neighbouring ranks; missing values are skipped.
 
-    Up to ``small_rows`` rows the built-in ``percentile`` is used: its state is then bounded. Beyond
-    that the needed ranks are bracketed by counting rows in ``fanout`` equal bins and the bracket is
-    narrowed until it holds few distinct values. Each pass is one scan that shuffles only bin counts.
+    A sketch with a known error says between which two values each wanted rank must lie. Rows outside
+    those brackets are only counted. Brackets are narrowed by counting cells until at most ``listed``
+    rows are left in them; their values are then listed with counts. Every step is one scan that
+    shuffles counts, and what reaches the driver has a fixed bound.
     """
     columns = list(columns)
     numbers = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    names = numbers.columns
-    facts = numbers.agg(
-        *[F.count(n).alias(f"n_{n}") for n in names],
-        *[F.min(n).alias(f"lo_{n}") for n in names],
-        *[F.max(n).alias(f"hi_{n}") for n in names],
-    ).first()
-    result: dict[str, list[float]] = {}
-    small = [n for n in names if facts[f"n_{n}"] <= small_rows]
-    if small:
-        row = numbers.agg(*[F.percentile(n, [float(p) for p in probs]).alias(n) for n in small]).first()
-        for n in small:
-            result[columns[names.index(n)]] = list(row[n]) if row[n] is not None else [None] * len(probs)
-    for n in names:
-        if n in small:
+    slack = 2.0 / SKETCH
+    around = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)})
+    facts = numbers.agg(*[
+        F.struct(
+            F.count(n).alias("n"), F.min(n).alias("low"), F.max(n).alias("high"),
+            F.percentile_approx(n, around, SKETCH).alias("marks"),
+        ).alias(n) for n in numbers.columns
+    ]).first()
+    result = {}
+    for c, n in zip(columns, numbers.columns):
+        fact = facts[n]
+        if not fact["n"]:
+            result[c] = [None] * len(probs)
             continue
-        total = facts[f"n_{n}"]
-        ranks = sorted({r for p in probs for r in (math.floor(p * (total - 1)), min(math.floor(p * (total - 1)) + 1, total - 1))})
-        found = _values_at(numbers.select(F.col(n).alias("v")), ranks, facts[f"lo_{n}"], facts[f"hi_{n}"], total,
-                           small_values, fanout)
-        result[columns[names.index(n)]] = [_interpolate(found.__getitem__, total, p) for p in probs]
-    return {c: result[c] for c in columns}
-
-
-def _values_at(values: DataFrame, ranks, low, high, total, small_values, fanout) -> dict[int, float]:
-    """Value at each zero-based rank, by narrowing [low, high] brackets together, one pass per round."""
+        places = [p * (fact["n"] - 1) for p in probs]
+        ranks = sorted({r for x in places for r in (math.floor(x), math.ceil(x))})
+        whole = Bracket(float(fact["low"]), float(fact["high"]), tuple(ranks))
+        if fact["n"] <= listed:
+            brackets = [whole]
+        else:
+            mark = dict(zip(around, fact["marks"]))
+            brackets = _merged([
+                Bracket(
+                    whole.low if p - slack <= 0 else mark[min(1.0, max(0.0, p - slack))],
+                    whole.high if p + slack >= 1 else mark[min(1.0, max(0.0, p + slack))],
+                    (math.floor(x), math.ceil(x)),
+                ) for p, x in zip(probs, places)
+            ])
+        expected = fact["n"] if len(brackets) == 1 else int(2 * slack * len(probs) * fact["n"])
+        found = _values_at(numbers.select(F.col(n).alias("v")), brackets, whole, expected, listed, cells)
+        result[c] = [
+            found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in places
+        ]
+    return result
+
+
+def _merged(brackets: list[Bracket]) -> list[Bracket]:
+    """Overlapping brackets as one, sorted."""
+    joined: list[Bracket] = []
+    for b in sorted(brackets, key=lambda b: (b.low, b.high)):
+        if joined and b.low <= joined[-1].high:
+            last = joined.pop()
+            b = Bracket(last.low, max(last.high, b.high), (*last.ranks, *b.ranks))
+        joined.append(Bracket(b.low, b.high, tuple(sorted(set(b.ranks)))))
+    return joined
+
+
+def _values_at(
+    values: DataFrame, brackets: list[Bracket], whole: Bracket, expected: int, listed: int, cells: int
+) -> dict[int, float]:
+    """The value at each wanted rank."""
+    while expected > listed and any(b.low < b.high for b in brackets):
+        brackets, expected = _narrowed(values, brackets, whole, cells)
+    counted = _located(values, brackets).groupBy(
+        "at", F.when(F.col("inside"), F.col("v")).alias("value")
+    ).agg(F.count(F.lit(1)).alias("n")).toPandas()
     found: dict[int, float] = {}
-    # bracket = (low, high, rows before it, rows in it, wanted ranks)
-    open_brackets = [(float(low), float(high), 0, int(total), list(ranks))]
-    while open_brackets:
-        ready = [b for b in open_brackets if b[3] <= small_values or b[0] == b[1]]
-        wide = [b for b in open_brackets if not (b[3] <= small_values or b[0] == b[1])]
-        for lo, hi, before, rows, wanted in ready:
-            if lo == hi:
-                found.update({r: lo for r in wanted})
-        listed = [b for b in ready if b[0] < b[1]]
-        # each listed bracket holds at most small_values rows; read them a few at a time
-        for lo, hi, before, _, wanted in listed:
-            rows = values.where((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy("v").count().collect()
-            pairs = sorted((r["v"], r["count"]) for r in rows)
-            ends = before + np.cumsum([c for _, c in pairs])
-            for rank in wanted:
-                found[rank] = pairs[int(np.searchsorted(ends, rank, side="right"))][0]
-        open_brackets = _narrow(values, wide, fanout) if wide else []
+    before = 0
+    for at, here in counted.groupby("at"):
+        if at > 0:
+            own = here[here["value"].notna()].sort_values("value")
+            ends, inside = before + own["n"].cumsum().to_numpy(), own["value"].to_numpy()
+            for rank in brackets[at - 1].ranks:
+                spot = int(np.searchsorted(ends, rank, side="right"))
+                if before <= rank and spot < len(ends):
+                    found[rank] = float(inside[spot])
+        before += int(here["n"].sum())
+    lost = tuple(r for r in whole.ranks if r not in found)
+    if lost:
+        # a rank outside its bracket means the sketch was worse than promised: search the whole range
+        found.update(_values_at(values, [Bracket(whole.low, whole.high, lost)],
+                                Bracket(whole.low, whole.high, lost), before, listed, cells))
     return found
 
 
-def _narrow(values: DataFrame, brackets, fanout):
-    cells = max(2, fanout // len(brackets))
-    marks = []
-    for index, (lo, hi, *_rest) in enumerate(brackets):
-        place = F.least(F.floor((F.col("v") - lo) / F.lit(hi / cells - lo / cells)), F.lit(cells - 1)).cast("int")
-        marks.append(F.when((F.col("v") >= lo) & (F.col("v") <= hi), F.struct(F.lit(index).alias("b"), place.alias("c"))))
-    counted = (
-        values.select(F.explode(F.array_compact(F.array(*marks))).alias("m"), "v")
-        .groupBy("m.b", "m.c")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .collect()
-    )
-    narrowed = []
-    for index, (_lo, _hi, before, _rows, wanted) in enumerate(brackets):
-        start = before
-        for row in sorted((r for r in counted if r["b"] == index), key=lambda r: r["c"]):
-            inside = [r for r in wanted if start <= r < start + row["n"]]
-            if inside:
-                narrowed.append((row["lo"], row["hi"], start, row["n"], inside))
-            start += row["n"]
-    return narrowed
+def _located(values: DataFrame, brackets: list[Bracket]) -> DataFrame:
+    """Each value with the number of brackets that start at or below it, and whether it is in the last one."""
+    at = range_bin(F.col("v"), [b.low for b in brackets])
+    placed = values.where(F.col("v").isNotNull()).select("v", at.alias("at"))
+    high = F.get(lit_array([b.high for b in brackets]), F.col("at") - 1)
+    return placed.select("v", "at", F.coalesce(F.col("v") <= high, F.lit(False)).alias("inside"))
+
+
+def _narrowed(
+    values: DataFrame, brackets: list[Bracket], whole: Bracket, cells: int
+) -> tuple[list[Bracket], int]:
+    """Brackets cut into equal cells; of each only the cells that hold a wanted rank remain."""
+    per_bracket = max(64, cells // len(brackets))
+    low = F.get(lit_array([b.low for b in brackets]), F.col("at") - 1)
+    width = F.get(lit_array([max(b.high / per_bracket - b.low / per_bracket, 5e-324) for b in brackets]), F.col("at") - 1)
+    cell = F.when(F.col("inside"), F.least(F.floor((F.col("v") - low) / width), F.lit(per_bracket - 1)))
+    rows = _located(values, brackets).groupBy("at", cell.alias("cell")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+    ).collect()
+    kept: list[Bracket] = []
+    before, inside = 0, 0
+    # cells in ascending order of their values; rows between two brackets come after the lower one
+    for at, cell_at, n, low_value, high_value in sorted(
+        (r["at"], math.inf if r["cell"] is None else r["cell"], r["n"], r["low"], r["high"]) for r in rows
+    ):
+        if at > 0 and cell_at < math.inf:
+            ranks = brackets[at - 1].ranks
+            wanted = ranks[bisect_left(ranks, before):bisect_left(ranks, before + n)]
+            if wanted:
+                kept.append(Bracket(float(low_value), float(high_value), wanted))
+                inside += n if low_value < high_value else 1
+        before += n
+    if not kept:
+        return [whole], before
+    return kept, inside
 
 
 def range_bin(value: Column, edges: Sequence[float]) -> Column:
