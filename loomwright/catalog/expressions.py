@@ -384,6 +384,11 @@ def rows_by_id_list(spark, sf):
         F.count(F.lit(1)).alias("n"), rounded(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query()
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS keys, TRUE AS near_four_fifths FROM orders")
 def stable_split(spark, sf):
-    return select.mark_split(table(spark, sf, "orders"), ["o_orderkey"]).select("o_orderkey", "split")
+    """Each row is on one side, and about four fifths are training rows."""
+    marked = select.mark_split(table(spark, sf, "orders"), ["o_orderkey"])
+    sides = marked.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("keys"))
+    share = F.max(F.when(F.col("split") == "train", F.col("n"))) / F.sum("n")
+    return sides.agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"), F.abs(share - 0.8).try_cast("double").alias("off")).select(
+        "n", "keys", (F.col("off") < 0.05).alias("near_four_fifths"))

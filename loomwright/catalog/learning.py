@@ -97,12 +97,14 @@ def stacked_predictions(spark, sf):
     return done.select(*LINE_KEYS, rounded("pred_l_extendedprice", 2).alias("pred_l_extendedprice"))
 
 
-@query()
+@query(f"""
+WITH m AS (SELECT l_linenumber, avg(l_extendedprice) AS p FROM lineitem GROUP BY 1)
+SELECT {LINE}, round(p, 2) AS pred_l_extendedprice FROM lineitem JOIN m USING (l_linenumber)""")
 def tree_predictions(spark, sf):
+    """A tree deep enough to give every line number its own leaf."""
     from pyspark.ml.regression import DecisionTreeRegressor
 
-    model = models.SparkRegressor(
-        ("l_quantity", "l_discount", "l_tax"), PRICE, build=lambda: DecisionTreeRegressor(maxDepth=4, seed=42))
+    model = models.SparkRegressor(("l_linenumber",), PRICE, build=lambda: DecisionTreeRegressor(maxDepth=7, seed=42))
     done = model.fit_transform(table(spark, sf, "lineitem"))
     return done.select(*LINE_KEYS, rounded("pred_l_extendedprice", 2).alias("pred_l_extendedprice"))
 
@@ -166,12 +168,31 @@ def routed_prediction(spark, sf):
                        rounded("l_extendedprice", 3).alias("l_extendedprice"), rounded("clicks").alias("clicks"))
 
 
-@query()
+@query("""
+WITH t AS (SELECT *, CASE WHEN l_linestatus = 'F' THEN 'train' ELSE 'valid' END AS split, CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END AS flag FROM lineitem),
+     f AS (SELECT regr_slope(l_extendedprice, flag) AS a, regr_intercept(l_extendedprice, flag) AS b FROM t WHERE split = 'train')
+SELECT split, round(1 - sum(pow(l_extendedprice - a * flag - b, 2)) / (var_pop(l_extendedprice) * count(*)), 6) + 0.0 AS r2_l_extendedprice,
+       round(avg(pow(l_extendedprice - a * flag - b, 2)), 1) AS mse_l_extendedprice FROM t, f GROUP BY split""")
 def training_job(spark, sf):
+    """Rows with neither flag get both, so one feature is left that varies."""
     rows = table(spark, sf, "lineitem").withColumns({
         "ad_types_a": (F.col("l_returnflag") == "R").cast("int"), "ad_types_b": (F.col("l_returnflag") == "A").cast("int")})
-    model = models.LinearRegressor(("l_quantity", "l_discount", "ad_types_a", "ad_types_b"), PRICE)
-    return scoring.train(rows, model, ["l_orderkey", "l_linenumber"]).scores
+    model = models.LinearRegressor(("ad_types_a",), PRICE)
+    trained = scoring.train(
+        rows.where("l_linestatus = 'F'"), model, ["l_orderkey", "l_linenumber"], valid=rows.where("l_linestatus <> 'F'"))
+    return trained.scores.select("split", rounded("r2_l_extendedprice").alias("r2_l_extendedprice"),
+                                 rounded("mse_l_extendedprice", 1).alias("mse_l_extendedprice"))
+
+
+@query("""
+SELECT CAST(count(*) AS BIGINT) AS n, 2 AS splits FROM lineitem""")
+def training_job_with_own_split(spark, sf):
+    """The job splits by key itself; every row is used on one side."""
+    rows = table(spark, sf, "lineitem")
+    model = models.LinearRegressor(("l_quantity", "l_discount"), PRICE)
+    trained = scoring.train(rows, model, ["l_orderkey", "l_linenumber"])
+    return trained.flow(rows).agg(F.count("l_extendedprice").alias("n")).join(
+        trained.scores.agg(F.count(F.lit(1)).cast("int").alias("splits")))
 
 
 def response_model():
@@ -207,10 +228,21 @@ def recommended_values(spark, sf):
     return done.select(rounded("l_discount").alias("l_discount"), rounded("l_tax").alias("l_tax"))
 
 
-@query()
+SPACES = {"l_discount": (0.0, 0.3), "l_tax": (0.0, 0.2)}
+DRAWN_SQL = ", ".join(f"({i}, {d!r}::DOUBLE, {t!r}::DOUBLE)" for i, (d, t) in enumerate(search.random_candidates(SPACES).rows))
+
+
+@query("WITH c(candidate, cd, ct) AS (VALUES " + DRAWN_SQL + """),
+f0 AS (SELECT avg(l_quantity) AS q FROM lineitem),
+s AS (SELECT candidate // 25 AS round, candidate, cd, ct, 1 / (900 + 1500 * q - 2000 * cd + 700 * ct) AS metric FROM c, f0),
+w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY round ORDER BY metric, candidate) = 1),
+f AS (SELECT min(metric) AS best, avg(cd) AS md, avg(ct) AS mt, (SELECT var_pop(v) FROM (SELECT cd AS v FROM w UNION ALL SELECT ct FROM w)) AS var FROM w),
+x AS (SELECT cd, ct, exp(-pow(best - metric, 2) / 0.05 - pow(md - cd, 2) / var) AS wd, exp(-pow(best - metric, 2) / 0.05 - pow(mt - ct, 2) / var) AS wt FROM w, f)
+SELECT round(sum(wd * cd) / sum(wd), 6) + 0.0 AS l_discount, round(sum(wt * ct) / sum(wt), 6) + 0.0 AS l_tax FROM x""")
 def recommended_from_random_draws(spark, sf):
-    return search.recommend(
-        table(spark, sf, "lineitem"), response_model(), "l_extendedprice", {"l_discount": (0.0, 0.3), "l_tax": (0.0, 0.2)})
+    """80 rounds of 25 draws; the SQL twin holds the same draws as literals."""
+    done = search.recommend(table(spark, sf, "lineitem"), response_model(), "l_extendedprice", SPACES)
+    return done.select(rounded("l_discount").alias("l_discount"), rounded("l_tax").alias("l_tax"))
 
 
 @query("WITH " + CANDIDATE_SQL + """
@@ -302,11 +334,15 @@ def full_curve_search(spark, sf):
     return model.scores(rows).select(rounded("l_extendedprice").alias("score"))
 
 
-@query()
+@query("""
+SELECT CAST(l_linestatus = 'F' AS INTEGER) AS flag, CAST(count(*) AS BIGINT) AS n, round(avg(l_quantity), 4) AS clicks FROM lineitem GROUP BY 1""")
 def poisson_on_curve(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_quantity", (F.col("l_linenumber") + F.col("l_quantity")).alias("clicks"))
-    model = curves.AdbudgRegressor(("l_quantity",), ("clicks",), candidates=CURVE_GRID[:3], poisson=True).fit(rows)
-    return model.scores(rows).select(rounded("clicks", 4).alias("clicks"))
+    """Poisson model on a curve of one flag: predictions are the means of both sides."""
+    rows = table(spark, sf, "lineitem").select(
+        (F.col("l_linestatus") == "F").cast("int").alias("flag"), F.col("l_quantity").alias("clicks"))
+    model = curves.AdbudgRegressor(("flag",), ("clicks",), candidates=CURVE_GRID[:3], poisson=True)
+    done = model.fit_transform(rows)
+    return done.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("pred_clicks"), 4).alias("clicks"))
 
 
 @query("""

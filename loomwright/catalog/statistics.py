@@ -138,6 +138,43 @@ def principal_components_of_two(spark, sf):
     return done.select(*LINE_KEYS, *[rounded(c, 5).alias(c) for c in ("x_pc_0", "x_pc_1")])
 
 
+def squared_length(done, name):
+    return done.select("vec_id", rounded(F.aggregate(name, F.lit(0.0), lambda a, x: a + x * x), 5).alias("length"))
+
+
+@query("""
+WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+     m AS (SELECT i, avg(v) AS m FROM u GROUP BY i)
+SELECT vec_id, round(sum((v - m) * (v - m)), 5) AS length FROM u JOIN m USING (i) GROUP BY vec_id""")
+def principal_components_keep_lengths(spark, sf):
+    """All components together are a rotation: distances from the mean stay as they are."""
+    done = decompose.Pca(("embedding",), as_array=True).fit_transform(table(spark, sf, "embeddings"))
+    return squared_length(done, "embedding_pc")
+
+
+@query("""
+WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+     m AS (SELECT i, avg(v) AS m, stddev_samp(v) AS s FROM u GROUP BY i)
+SELECT vec_id, round(sum(pow((v - m) / s, 2)), 5) AS length FROM u JOIN m USING (i) GROUP BY vec_id""")
+def low_rank_keeps_lengths(spark, sf):
+    """With every component kept, the length of the standardised vector stays."""
+    step = decompose.LowRank(("embedding",), n_min=64, n_max=65, as_array=True)
+    return squared_length(step.fit_transform(table(spark, sf, "embeddings")), "embedding_pc")
+
+
+@query("""
+WITH m AS (SELECT avg(l_quantity) AS ma, avg(l_extendedprice / 2000) AS mb, var_pop(l_quantity) AS va, var_pop(l_extendedprice / 2000) AS vb,
+                  covar_pop(l_quantity, l_extendedprice / 2000) AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, round((vb * pow(l_quantity - ma, 2) + va * pow(l_extendedprice / 2000 - mb, 2)
+   - 2 * c * (l_quantity - ma) * (l_extendedprice / 2000 - mb)) / (va * vb - c * c), 5) + 0.0 AS length FROM lineitem, m""")
+def independent_components_are_white(spark, sf):
+    """Two independent components: the squared length is the distance in units of the covariance."""
+    rows = table(spark, sf, "lineitem").withColumns({"x_0": F.col("l_quantity"), "x_1": F.col("l_extendedprice") / 2000})
+    done = decompose.Ica(("x_0", "x_1"), rounds=5).fit_transform(rows)
+    length = F.pow("x_ic_0", F.lit(2.0)) + F.pow("x_ic_1", F.lit(2.0))
+    return done.select(*LINE_KEYS, rounded(length, 5).alias("length"))
+
+
 @query()
 def low_rank_components(spark, sf):
     return component_rows(spark, sf, decompose.LowRank(("embedding",), n_min=6, n_max=20, as_array=True), "embedding_pc")

@@ -22,7 +22,7 @@ SIMPLE: dict[str, Callable[[Column], Column]] = {
 
 
 def order_key(order_by: Sequence[str]) -> Column:
-    return F.struct(*[q(c) for c in order_by])
+    return q(order_by[0]) if len(order_by) == 1 else F.struct(*[q(c) for c in order_by])
 
 
 @dataclass(frozen=True)
@@ -142,9 +142,28 @@ class OncePerGroup(Operator):
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """Values of the first row of each group, NULLs included."""
-    first = F.min_by(F.struct(*[q(c) for c in columns]), order_key(order_by)).alias("_first")
-    return df.where(_all_known(keys)).groupBy(*keys).agg(first).select(*keys, "_first.*")
+    """Values of the first row of each group, NULLs included; ``order_by`` must tell rows apart.
+
+    Long values (text, lists) are not carried through the aggregation: the first place of each group is
+    found from keys and order alone and its row is then picked by a join.
+    """
+    rows = df.where(_all_known(keys))
+    order = order_key(order_by)
+    if len(columns) == 1 and is_short(df, columns[0]):
+        return rows.groupBy(*keys).agg(F.min_by(q(columns[0]), order).alias(columns[0]))
+    if any(not is_short(df, c) for c in columns):
+        places = rows.groupBy(*keys).agg(F.min(order).alias("_place")).select(
+            *[q(k).alias(f"_key_{i}") for i, k in enumerate(keys)], "_place")
+        same = order.eqNullSafe(F.col("_place"))
+        for i, k in enumerate(keys):
+            same = same & (q(k) == F.col(f"_key_{i}"))
+        rows = rows.join(places, same, "left_semi")
+    first = F.min_by(F.struct(*[q(c) for c in columns]), order).alias("_first")
+    return rows.groupBy(*keys).agg(first).select(*keys, "_first.*")
+
+
+def is_short(df: DataFrame, column: str) -> bool:
+    return not isinstance(type_of(df, column), (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
 
 
 def group_counts(df: DataFrame, keys: Sequence[str], column: str, name: str = "n") -> DataFrame:

@@ -21,6 +21,11 @@ UNITS = {
 }
 
 
+MICROS = {
+    "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000,
+}
+
+
 def step_of(freq: str) -> tuple[int, str]:
     count, letters = re.fullmatch(r"(\d*)\s*([A-Za-z]+)", freq.strip()).groups()
     return int(count or 1), UNITS[letters]
@@ -68,12 +73,23 @@ class TimeGrid(Operator):
         ends = [F.lit(m).cast("timestamp_ntz") for m in (self.start, self.end)]
         return F.sequence(*ends, interval(count, unit))
 
+    def on_grid(self) -> Column:
+        """Whether a time stamp is one of the steps."""
+        count, unit = step_of(self.freq)
+        moment = q(self.column)
+        start, end = (F.lit(m).cast("timestamp_ntz") for m in (self.start, self.end))
+        within = (moment >= start) & (moment <= end)
+        if unit in MICROS:
+            since = F.timestamp_diff("MICROSECOND", start, moment)
+            return within & (since % F.lit(count * MICROS[unit]) == 0)
+        # a calendar has few months: at most 12 literal steps a year
+        return within & F.array_contains(self.steps(), moment)
+
     def transform(self, df: DataFrame) -> DataFrame:
         if self.start is None or self.end is None:
             raise ValueError("fit first: the grid has no ends")
         rows = df.withColumn(self.column, self.moment(df)).where(_all_known(self.keys))
-        grid = rows.sparkSession.range(1).select(F.explode(self.steps()).alias(self.column))
-        present = rows.join(F.broadcast(grid), self.column, "left_semi")
+        present = rows.where(self.on_grid())
         seen = present.select(*self.keys, self.column).distinct()
         groups = rows.select(*self.keys).distinct()
         wanted = groups.withColumn(self.column, F.explode(self.steps()))

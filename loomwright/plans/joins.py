@@ -25,10 +25,21 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataF
     return (F.broadcast(df) if small else df), small
 
 
-def spread(df: DataFrame) -> Column:
-    """A number that differs between rows and is the same again when a task is retried."""
-    usable = [q(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return F.xxhash64(F.spark_partition_id(), *usable)
+# what tells rows apart best, first; two such columns are enough and keep the scan narrow
+TELLING = (T.LongType, T.TimestampNTZType, T.TimestampType, T.DoubleType, T.IntegerType, T.NumericType, T.DateType)
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> Column:
+    """A number that differs between rows of one key and is the same again when a task is retried.
+
+    Two short columns are hashed, long ones only when there is nothing else. Exact copies differ by the
+    input split they come from.
+    """
+    fields = [f for f in df.schema.fields if f.name not in keys]
+    short = [f for kind in TELLING for f in fields if isinstance(f.dataType, kind)]
+    usable = list(dict.fromkeys(f.name for f in short))[:2] or [
+        f.name for f in fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(F.spark_partition_id(), *[q(c) for c in usable])
 
 
 def salted_join(
@@ -66,12 +77,9 @@ def salted_join(
     for extra in same[1:]:
         condition = condition & extra
     slices = F.coalesce(F.col("_slices"), F.lit(1))
-    left = (
-        rows.withColumn("_spread", spread(rows))
-        .join(F.broadcast(hot), condition, "left")
-        .withColumn("_slice", F.pmod(F.col("_spread"), slices).cast("int"))
-        .drop("_spread", "_slices", *hot_names)
-    )
+    marked = rows.join(F.broadcast(hot), condition, "left")
+    own_slice = F.when(slices > 1, F.pmod(spread(rows, keys), slices).cast("int")).otherwise(0)
+    left = marked.withColumn("_slice", own_slice).drop("_slices", *hot_names)
     right = (
         lookup.join(F.broadcast(hot), condition, "left")
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))

@@ -1,12 +1,14 @@
 """Command line: python tests/check.py [sf_dir] [query ...]"""
 
+import os
 import sys
 import tempfile
 import time
 import traceback
 
-sys.path.insert(0, "/root/repo")
-sys.path.insert(0, "/root/repo/tests")
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(HERE))
+sys.path.insert(0, HERE)
 
 from compare import compare, connect  # noqa: E402
 
