@@ -105,7 +105,7 @@ def tree_predictions(spark, sf):
     from pyspark.ml.regression import DecisionTreeRegressor
 
     model = models.SparkRegressor(("l_linenumber",), PRICE, build=lambda: DecisionTreeRegressor(maxDepth=7, seed=42))
-    done = model.fit_transform(table(spark, sf, "lineitem"))
+    done = model.fit_transform(dealt_out(table(spark, sf, "lineitem")))
     return done.select(*LINE_KEYS, rounded("pred_l_extendedprice", 2).alias("pred_l_extendedprice"))
 
 
@@ -118,7 +118,7 @@ def tree_importances(spark, sf):
     features = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
     model = models.SparkRegressor(
         features, PRICE, build=lambda: RandomForestRegressor(numTrees=5, maxDepth=4, seed=42))
-    found = model.fit(table(spark, sf, "lineitem")).importances(spark, "l_extendedprice")
+    found = model.fit(dealt_out(table(spark, sf, "lineitem"))).importances(spark, "l_extendedprice")
     return grouped_importance(found, {"terms": ["l_discount", "l_tax"]})
 
 
@@ -338,8 +338,8 @@ def full_curve_search(spark, sf):
 SELECT CAST(l_linestatus = 'F' AS INTEGER) AS flag, CAST(count(*) AS BIGINT) AS n, round(avg(l_quantity), 4) AS clicks FROM lineitem GROUP BY 1""")
 def poisson_on_curve(spark, sf):
     """Poisson model on a curve of one flag: predictions are the means of both sides."""
-    rows = table(spark, sf, "lineitem").select(
-        (F.col("l_linestatus") == "F").cast("int").alias("flag"), F.col("l_quantity").alias("clicks"))
+    rows = dealt_out(table(spark, sf, "lineitem").select(
+        (F.col("l_linestatus") == "F").cast("int").alias("flag"), F.col("l_quantity").alias("clicks")))
     model = curves.AdbudgRegressor(("flag",), ("clicks",), candidates=CURVE_GRID[:3], poisson=True)
     done = model.fit_transform(rows)
     return done.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("pred_clicks"), 4).alias("clicks"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwright.catalog.registry import query, rounded, table
+from loomwright.catalog.registry import dealt_out, query, rounded, table
 from loomwright.operators import decompose, diverge, metrics, scale
 from loomwright.operators.models import LinearRegressor
 
@@ -169,7 +169,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, round((vb * p
    - 2 * c * (l_quantity - ma) * (l_extendedprice / 2000 - mb)) / (va * vb - c * c), 5) + 0.0 AS length FROM lineitem, m""")
 def independent_components_are_white(spark, sf):
     """Two independent components: the squared length is the distance in units of the covariance."""
-    rows = table(spark, sf, "lineitem").withColumns({"x_0": F.col("l_quantity"), "x_1": F.col("l_extendedprice") / 2000})
+    rows = dealt_out(table(spark, sf, "lineitem")).withColumns({"x_0": F.col("l_quantity"), "x_1": F.col("l_extendedprice") / 2000})
     done = decompose.Ica(("x_0", "x_1"), rounds=5).fit_transform(rows)
     length = F.pow("x_ic_0", F.lit(2.0)) + F.pow("x_ic_1", F.lit(2.0))
     return done.select(*LINE_KEYS, rounded(length, 5).alias("length"))

@@ -41,13 +41,21 @@ def object_ids(text: Column, field: str = "id") -> Column:
 
 
 def string_list(text: Column) -> Column:
-    """A list from JSON, from a quoted literal, or from comma-separated words; never evaluated."""
-    as_json = F.from_json(text, "array<string>")
-    as_literal = F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<string>")
-    words = F.split(F.regexp_replace(text, F.lit(r"[\[\] ]"), F.lit("")), ",")
-    return F.when(F.try_parse_json(text).isNotNull(), as_json).when(
-        F.try_parse_json(F.replace(text, F.lit("'"), F.lit('"'))).isNotNull(), as_literal
-    ).when(F.contains(text, F.lit(",")), words)
+    """A list from JSON, from a quoted literal, or from comma-separated words; never evaluated.
+
+    Only text in brackets is handed to the parser, and text in braces is no list.
+    """
+    quoted = F.replace(text, F.lit("'"), F.lit('"'))
+    bracketed = text.rlike(r"^\s*\[[\s\S]*\]\s*$")
+    words = F.when(
+        F.contains(text, F.lit(",")) & ~text.rlike(r"^\s*\{"),
+        F.split(F.regexp_replace(text, F.lit(r"[\[\] ]"), F.lit("")), ","),
+    )
+    return (
+        F.when(bracketed & F.try_parse_json(text).isNotNull(), F.from_json(text, "array<string>"))
+        .when(bracketed & F.try_parse_json(quoted).isNotNull(), F.from_json(quoted, "array<string>"))
+        .otherwise(words)
+    )
 
 
 def json_list(text: Column, element: str = "string") -> Column:

@@ -135,7 +135,12 @@ def polynomial(x: Column, coefficients: Sequence[float], cut: float | None = Non
     return total
 
 
-def probit(p: Column) -> Column:
+def probit_tail(p: Column) -> Column:
+    """What ``probit`` needs near 0 and 1; worth a column of its own because it is used many times."""
+    return F.sqrt(F.lit(-2.0) * F.log(F.least(p, F.lit(1.0) - p)))
+
+
+def probit(p: Column, tail: Column | None = None) -> Column:
     """Inverse normal distribution function: published rational approximation by P. J. Acklam."""
     # Published coefficients of the approximation.
     a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02,
@@ -150,7 +155,7 @@ def probit(p: Column) -> Column:
     def rising(x: Column, coefs: Sequence[float]) -> Column:
         return polynomial(x, list(reversed(coefs)))
 
-    tail = F.sqrt(F.lit(-2.0) * F.log(F.least(p, F.lit(1.0) - p)))
+    tail = probit_tail(p) if tail is None else tail
     outer = rising(tail, c) / (rising(tail, d) * tail + F.lit(1.0))
     centre = p - F.lit(0.5)
     r = centre * centre

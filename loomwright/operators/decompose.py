@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions.arrays import root_name
-from loomwright.plans.columns import q
-from loomwright.plans.moments import Moments, array_moments, packed, partial_sums
+from loomwright.plans.columns import filled, q
+from loomwright.plans.moments import Moments, array_moments, matrix_of, moments, packed, partial_sums
 from loomwright.plans.operator import Operator
 
+# Fixed value: default kernel width is this share divided by the number of columns.
 KERNEL_SHARE = 7 / 8
+# more products than this go through matrix batches instead of generated code
+MAX_TERMS = 200
 
 
 def same_sign(loadings: np.ndarray) -> np.ndarray:
@@ -47,6 +53,7 @@ class Components(Operator):
     seed: int = 42
 
     suffix = "pc"
+    linear = True
 
     def single(self, df: DataFrame) -> bool:
         return len(self.columns) == 1 and df.schema[self.columns[0]].dataType.typeName() == "array"
@@ -66,6 +73,8 @@ class Components(Operator):
         return df.select(self.vector(df).alias("_x")).where(F.col("_x").isNotNull())
 
     def found(self, df: DataFrame) -> Moments:
+        if not self.single(df):
+            return moments(df, self.columns)
         return array_moments(self.packed_frame(df), "_x", self.size(df))
 
     def stem(self) -> str:
@@ -84,10 +93,20 @@ class Components(Operator):
         offset, loadings = np.array(self.offset), np.array(self.loadings).T
         return lambda x: (x - offset) @ loadings
 
+    def weighted_sums(self, df: DataFrame) -> list[Column]:
+        """Scores as plain arithmetic, for a handful of number columns."""
+        x = [filled(df, c) - F.lit(m) for c, m in zip(self.columns, self.offset)]
+        return [reduce(operator.add, [v * F.lit(w) for v, w in zip(x, row)]) for row in self.loadings]
+
     def transform(self, df: DataFrame) -> DataFrame:
         if self.loadings is None:
             raise ValueError("fit first")
         count, name = len(self.loadings), f"{self.stem()}_{self.suffix}"
+        if self.linear and not self.single(df) and count * self.width <= MAX_TERMS:
+            scores = self.weighted_sums(df)
+            if self.as_array:
+                return df.withColumn(name, F.array(*scores))
+            return df.select(*[q(c) for c in df.columns], *[s.alias(f"{name}_{k}") for k, s in enumerate(scores)])
         scored = df.withColumn(name, project(self.vector(df), self.width, self.function()))
         if self.as_array:
             return scored
@@ -98,18 +117,12 @@ class Components(Operator):
 def project(vector: Column, width: int, function) -> Column:
     """A batch-wise matrix function on an array column; NULL vectors stay NULL."""
 
-    @F.pandas_udf("array<double>")
-    def scores(column):
-        import pandas as pd
-
-        present = column.notna().to_numpy()
-        out = np.empty(len(column), dtype=object)
-        out[:] = None
-        if present.any():
-            result = function(np.stack(column[present].to_numpy()).astype(float))
-            for at, row in zip(np.flatnonzero(present), result):
-                out[at] = row
-        return pd.Series(out)
+    @F.arrow_udf("array<double>")
+    def scores(column: pa.Array) -> pa.Array:
+        result = function(matrix_of(column.drop_null(), width))
+        ends = np.concatenate([[0], np.cumsum(np.where(column.is_valid(), result.shape[1], 0))]).astype(np.int32)
+        offsets = pa.array(ends, mask=np.concatenate([np.asarray(column.is_null()), [False]]))
+        return pa.ListArray.from_arrays(offsets, pa.array(result.ravel()))
 
     return scores(vector)
 
@@ -241,6 +254,7 @@ class KernelPca(Components):
     points: list[list[float]] | None = None
     root: list[list[float]] | None = None
 
+    linear = False
     NAMES = {"rbf": "rbfpc", "sigmoid": "sigpc", "poly": "polypc"}
 
     @property
@@ -309,6 +323,7 @@ class Nmf(Components):
     l1_ratio: float = 0.3
 
     suffix = "nfm"
+    linear = False
 
     def mixer(self, profiles: np.ndarray):
         lasso, ridge, inner = self.alpha * self.l1_ratio, self.alpha * (1 - self.l1_ratio), self.inner

@@ -231,10 +231,15 @@ class SparkRegressor(Regressor):
     def fit(self, df: DataFrame) -> SparkRegressor:
         ready = self.ready(df)
         rows = self.assembled(with_all(ready, {t: filled(ready, t) for t in self.targets}))
-        done = {
-            t: self.build().setFeaturesCol("_features").setLabelCol(t).setPredictionCol(prediction_name(t)).fit(rows)
-            for t in self.targets
-        }
+        # solvers read the rows many times; what does not fit in memory goes to disk
+        rows = rows.select("_features", *[q(t) for t in self.targets]).persist()
+        try:
+            done = {
+                t: self.build().setFeaturesCol("_features").setLabelCol(t).setPredictionCol(prediction_name(t)).fit(rows)
+                for t in self.targets
+            }
+        finally:
+            rows.unpersist()
         return replace(self, fitted=done)
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -117,27 +117,30 @@ class QuantileUniform(Operator):
             .when(value.isNotNull(), (at - 1 + part) / F.lit(float(last)))
         )
 
-    def output(self, place: Column) -> Column:
-        return place
-
-    def transform(self, df: DataFrame) -> DataFrame:
+    def places(self, df: DataFrame) -> DataFrame:
         if self.table is None:
             raise ValueError("fit first")
         found = with_all(df, {f"_at_{c}": range_bin(number(df, c), self.table[c]) for c in self.columns})
         placed = with_all(found, {c: self.place(number(df, c), q(f"_at_{c}"), self.table[c]) for c in self.columns})
-        return with_all(placed, {c: self.output(q(c)) for c in self.columns}).drop(*[f"_at_{c}" for c in self.columns])
+        return placed.drop(*[f"_at_{c}" for c in self.columns])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.places(df)
 
 
 @dataclass(frozen=True)
 class QuantileNormal(QuantileUniform):
     """The same place, read off a standard normal distribution; the ends are cut off."""
 
-    def output(self, place: Column) -> Column:
-        inside = F.least(F.greatest(place, F.lit(TAIL)), F.lit(1 - TAIL))
-        return (
-            F.when(place <= TAIL, F.lit(-NORMAL_LIMIT)).when(place >= 1 - TAIL, F.lit(NORMAL_LIMIT))
-            .when(place.isNotNull(), mathops.probit(inside))
-        )
+    def transform(self, df: DataFrame) -> DataFrame:
+        inside = {c: F.least(F.greatest(q(c), F.lit(TAIL)), F.lit(1 - TAIL)) for c in self.columns}
+        placed = self.places(df)
+        ready = with_all(placed, {f"_tail_{c}": mathops.probit_tail(p) for c, p in inside.items()})
+        return with_all(ready, {
+            c: F.when(q(c) <= TAIL, F.lit(-NORMAL_LIMIT)).when(q(c) >= 1 - TAIL, F.lit(NORMAL_LIMIT))
+            .when(q(c).isNotNull(), mathops.probit(q(c), q(f"_tail_{c}")))
+            for c in self.columns
+        }).drop(*[f"_tail_{c}" for c in self.columns])
 
 
 def scaler(kind: str | None, columns: tuple[str, ...], **settings) -> Operator:
