@@ -40,10 +40,6 @@ def mean_of(vectors: Sequence[Column], width: int) -> Column:
     return F.transform(total, lambda x: x / F.lit(float(len(vectors))))
 
 
-def spread_names(prefix: str, width: int) -> list[str]:
-    return [f"{prefix}_{j}" for j in range(width)]
-
-
 def windows(vector: Column, width: int, size: int, stride: int, padding: int = 0) -> Column:
     """Slices of ``size`` elements every ``stride`` elements, zeros added on both ends."""
     if padding:

@@ -51,10 +51,6 @@ def canonical_names(names: Column, cuts: Sequence[str], known: Sequence[str]) ->
     return F.array_compact(F.transform(names, first_known))
 
 
-def browsers(names: Column, known: Sequence[str] = BROWSERS) -> Column:
-    return canonical_names(names, BROWSER_CUTS, known)
-
-
 def playable_videos(files: Column) -> Column:
     return F.filter(files, lambda f: ~F.coalesce(f.rlike(ENCODED_VIDEO), F.lit(False)))
 

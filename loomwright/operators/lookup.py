@@ -271,7 +271,8 @@ class MapValues(Operator):
             value = F.try_element_at(table, q(c))
             if self.strict:
                 unknown = F.raise_error(F.concat(F.lit(f"no mapping in {c} for "), q(c).cast("string")))
-                value = F.when(q(c).isNotNull() & value.isNull(), unknown.cast("string").cast(_value_type(self.maps[c]))).otherwise(value)
+                unmapped = unknown.cast("string").cast(_value_type(self.maps[c]))
+                value = F.when(q(c).isNotNull() & value.isNull(), unmapped).otherwise(value)
             new[c] = value
         return with_all(df, new)
 

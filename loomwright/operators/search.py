@@ -23,6 +23,7 @@ from loomwright.operators import metrics
 from loomwright.operators.aggregate import search_range
 from loomwright.operators.models import LinearRegressor, Regressor, prediction_name
 from loomwright.plans.columns import containing, filled, q, with_all
+from loomwright.plans.operator import Chain
 from loomwright.session import stored
 
 # How many rounds and draws a recommendation uses, and where values are looked for.
@@ -87,13 +88,21 @@ def option_candidates(columns: Sequence[str], options: Sequence[float], normaliz
 
 
 def mean_responses(
-    df: DataFrame, model: Regressor, target: str, candidates: Candidates, logged: bool = False
+    df: DataFrame, model: Regressor, target: str, candidates: Candidates, logged: bool = False,
+    prepare: Chain | None = None,
 ) -> DataFrame:
     """Per candidate: mean and mean square of the predictions over all rows.
 
-    ``logged`` means the model predicts ``log(1 + y)`` and responses are wanted for ``y``.
-    Columns: candidate, mean, square, rows.
+    ``logged`` means the model predicts ``log(1 + y)`` and responses are wanted for ``y``. ``prepare`` is
+    a fitted chain that runs on the rows first; its steps up to the first one that reads a replaced column
+    run once, the others for every candidate. Columns: candidate, mean, square, rows.
     """
+    if prepare is not None:
+        before, after = prepare.split_at(candidates.columns)
+        df = before(df)
+        if after.steps:
+            return _averaged_responses(stored(df, "prepared"), model, target, candidates, logged, after)
+        df = after(df)
     if isinstance(model, LinearRegressor):
         return _linear_responses(df, model, target, candidates, logged)
     return _general_responses(df, model, target, candidates, logged)
@@ -131,23 +140,30 @@ def _general_responses(df, model, target, candidates, logged) -> DataFrame:
     every candidate is averaged over those combinations, a few candidates per job."""
     ready = model.ready(df)
     others = [c for c in model.features if c not in candidates.columns]
-    combos = stored(ready.select(*[filled(ready, c).alias(c) for c in others]).groupBy(*others).agg(
+    combos = ready.select(*[filled(ready, c).alias(c) for c in others]).groupBy(*others).agg(
         F.count(F.lit(1)).alias("_n")
-    ), "combinations")
+    )
+    return _averaged_responses(stored(combos, "combinations"), model, target, candidates, logged)
+
+
+def _averaged_responses(table, model, target, candidates, logged, after=None) -> DataFrame:
+    """Weighted averages over a stored table (weight ``_n`` when it has one), some candidates per job."""
+    weight = F.col("_n") if "_n" in table.columns else F.lit(1)
     rows: list = []
     settings = list(enumerate(candidates.settings()))
     for at in range(0, len(settings), PER_JOB):
         parts = []
         for i, setting in settings[at:at + PER_JOB]:
-            done = model.transform(with_all(combos, {c: F.lit(float(v)) for c, v in setting.items()}))
+            replaced = with_all(table, {c: F.lit(float(v)) for c, v in setting.items()})
+            done = model.transform(after(replaced) if after is not None else replaced)
             p = q(prediction_name(target))
             p = F.expm1(p) if logged else p
             parts.append(done.agg(
-                F.lit(i).alias("candidate"), (F.sum(p * F.col("_n")) / F.sum("_n")).alias("mean"),
-                (F.sum(p * p * F.col("_n")) / F.sum("_n")).alias("square"), F.sum("_n").alias("rows"),
+                F.lit(i).alias("candidate"), (F.sum(p * weight) / F.sum(weight)).alias("mean"),
+                (F.sum(p * p * weight) / F.sum(weight)).alias("square"), F.sum(weight).cast("bigint").alias("rows"),
             ))
         rows += [tuple(r) for r in reduce(DataFrame.unionByName, parts).collect()]
-    return df.sparkSession.createDataFrame(rows, "candidate int, mean double, square double, rows bigint")
+    return table.sparkSession.createDataFrame(rows, "candidate int, mean double, square double, rows bigint")
 
 
 def objective(mean: Column, maximize: bool) -> Column:
@@ -167,7 +183,7 @@ def best_of_rounds(responses: DataFrame, draws: int = DRAWS, maximize: bool = Tr
 def recommend(
     df: DataFrame, model: Regressor, target: str, spaces: Mapping[str, tuple[float, float]] | Sequence[str],
     maximize: bool = True, logged: bool = False, rounds: int = ROUNDS, draws: int = DRAWS, seed: int = 42,
-    candidates: Candidates | None = None,
+    candidates: Candidates | None = None, prepare: Chain | None = None,
 ) -> DataFrame:
     """Recommended values, one row: weighted mean of the round winners.
 
@@ -177,7 +193,7 @@ def recommend(
     if not isinstance(spaces, Mapping):
         spaces = {c: DEFAULT_SPACE for c in spaces}
     candidates = candidates or random_candidates(spaces, rounds * draws, seed)
-    responses = mean_responses(df, model, target, candidates, logged)
+    responses = mean_responses(df, model, target, candidates, logged, prepare)
     winners = best_of_rounds(responses, draws, maximize).join(candidates.table(df.sparkSession), "candidate")
     return weighted_winners(winners, candidates.columns)
 
@@ -200,7 +216,7 @@ def weighted_winners(winners: DataFrame, columns: Sequence[str]) -> DataFrame:
 def recommend_by_objective(
     df: DataFrame, model: Regressor, target: str, columns: Sequence[str],
     spaces: Mapping[str, tuple[float, float]] | None = None, maximize: bool = True, logged: bool = False,
-    count: int = EVALUATIONS, candidates: Candidates | None = None,
+    count: int = EVALUATIONS, candidates: Candidates | None = None, prepare: Chain | None = None,
 ) -> DataFrame:
     """Best of evenly spread candidates under an objective that also rewards uneven settings, one row.
 
@@ -214,7 +230,7 @@ def recommend_by_objective(
             raise ValueError(f"{target} has no values; give search ranges")
         spaces.update({c: (row["low"], row["high"]) for c in missing})
     candidates = candidates or even_candidates({c: spaces[c] for c in columns}, count)
-    responses = mean_responses(df, model, target, candidates, logged)
+    responses = mean_responses(df, model, target, candidates, logged, prepare)
     return objective_table(responses, candidates, df.sparkSession, maximize).orderBy("objective", "candidate").limit(1)
 
 
@@ -236,7 +252,7 @@ def objective_table(responses: DataFrame, candidates: Candidates, spark, maximiz
 
 def analyze_options(
     df: DataFrame, model: Regressor, fields: Mapping[str, Sequence[float]], normalized: Sequence[str] = (),
-    logged: bool = False,
+    logged: bool = False, prepare: Chain | None = None,
 ) -> DataFrame:
     """Spread of predictions when a group of columns takes every combination of options on every row.
 
@@ -250,7 +266,7 @@ def analyze_options(
             continue
         candidates = option_candidates(columns, options, part in normalized)
         for t in model.targets:
-            responses = mean_responses(df, model, t, candidates, logged)
+            responses = mean_responses(df, model, t, candidates, logged, prepare)
             mean = F.avg("mean")
             var = F.avg("square") - mean * mean
             parts.append(responses.agg(

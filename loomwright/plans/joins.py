@@ -20,11 +20,6 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    small = fits(df, rows)
-    return (F.broadcast(df) if small else df), small
-
-
 # what tells rows apart best, first; two such columns are enough and keep the scan narrow
 TELLING = (T.LongType, T.TimestampNTZType, T.TimestampType, T.DoubleType, T.IntegerType, T.NumericType, T.DateType)
 
@@ -87,13 +82,3 @@ def salted_join(
     )
     return left.join(right, [*keys, "_slice"], how).drop("_slice")
 
-
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Join a stored reference table: broadcast when proven small, sliced by hot keys otherwise."""
-    if fits(lookup, max_rows):
-        return rows.join(F.broadcast(lookup), list(keys), how)
-    if rows.isStreaming:
-        return rows.join(lookup, list(keys), how)
-    return salted_join(rows, lookup, keys, how)

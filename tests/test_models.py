@@ -104,6 +104,22 @@ def test_responses_in_closed_form_and_general(spark, campaign):
         assert a["rows"] == b["rows"] == 800
 
 
+def test_preparation_around_a_search(spark, campaign):
+    """Steps before the replaced column run once, steps that read it run per candidate; same result."""
+    from loomwright.operators.features import ScaledColumn, SignedLog
+
+    chain = Chain((SignedLog(("f_0",)), ScaledColumn("f_1", "f_2", 2.0)), FEATURES, True)
+    model = models.LinearRegressor(FEATURES, ("t",)).fit(chain(campaign))
+    candidates = search.random_candidates({"f_1": (-1, 1)}, 3)
+    got = search.mean_responses(campaign, model, "t", candidates, prepare=chain).orderBy("candidate").collect()
+    for r, setting in zip(got, candidates.settings()):
+        done = model(chain(campaign.withColumn("f_1", F.lit(setting["f_1"]))))
+        assert r["mean"] == pytest.approx(done.agg(F.avg("pred_t")).first()[0])
+    early = Chain((SignedLog(("f_0",)),), FEATURES, True)
+    closed = search.mean_responses(campaign, model, "t", candidates, prepare=early)
+    assert closed.count() == 3
+
+
 def test_recommendation_finds_the_optimum(spark, campaign):
     model = models.LinearRegressor(FEATURES, ("t",)).fit(campaign)
     low = search.recommend(campaign, model, "t", {"f_1": (0.0, 1.0)}, maximize=False).first()["f_1"]
