@@ -177,6 +177,8 @@ class GroupedRegressor(Regressor):
         rows = self.ready(df)
         if self.small:
             return rows.join(F.broadcast(model), self.key, "inner")
+        if rows.isStreaming:
+            return rows.join(model, self.key, "inner")
         return salted_join(rows, model, [self.key], "inner")
 
     def transform(self, df: DataFrame) -> DataFrame:
