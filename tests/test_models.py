@@ -211,6 +211,26 @@ def test_factor_analysis_and_kernels(mixed):
         assert np.abs(np.corrcoef(got.T) - np.eye(3)).max() < 1e-6
 
 
+def test_one_factor_is_found(spark):
+    draw = np.random.default_rng(11)
+    hidden = draw.normal(size=900)
+    x = hidden[:, None] * [1.0, 2.0, -1.5, 0.5] + draw.normal(size=(900, 4)) * [0.2, 0.6, 0.4, 0.3]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "d_0 double, d_1 double, d_2 double, d_3 double")
+    model = decompose.FactorAnalysis(("d_0", "d_1", "d_2", "d_3"), 1).fit(df)
+    got = np.array(df.transform(model).select("d_ca_0").collect())[:, 0]
+    assert abs(np.corrcoef(got, hidden)[0, 1]) > 0.97
+
+
+def test_token_counts_of_whole_texts(spark):
+    from loomwright.operators.embed import EncodeOnce, token_counts
+
+    rows = spark.createDataFrame(
+        [(1, "g", "Red red  blue"), (2, "g", "other"), (3, "h", "blue RED red"), (4, "k", None)], "i int, g string, t string")
+    done = EncodeOnce(("t",), "g", ("i",), token_counts(64), normalize=False)(rows).orderBy("i").collect()
+    assert done[0]["t_clip"] == done[1]["t_clip"] == done[2]["t_clip"] and sum(done[0]["t_clip"]) == 3
+    assert sorted(v for v in done[0]["t_clip"] if v) == [1.0, 2.0] and done[3]["t_clip"] is None
+
+
 def test_nmf_rebuilds_non_negative_data(spark):
     draw = np.random.default_rng(5)
     x = draw.random((300, 2)) @ draw.random((2, 6))
