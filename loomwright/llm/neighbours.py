@@ -67,14 +67,14 @@ class NeighbourGraph:
     """
 
     most: int = 20
-    degree: int = 20
+    degree: int = 32
     starts: int = 4
-    rounds: int = 3
+    rounds: int = 4
     cell: int = 400
-    proposals: int = 8
-    pool: int = 80
-    wide: int = 16
-    steps: int = 3
+    proposals: int = 16
+    pool: int = 300
+    wide: int = 48
+    steps: int = 4
     key: str = "vec_id"
     vector: str = "embedding"
     seed: int = 5
@@ -128,20 +128,23 @@ class NeighbourGraph:
         return self._best(found)
 
     def _best(self, proposals: DataFrame) -> DataFrame:
-        return stored(top(proposals.groupBy("u", "v").agg(F.max("s").alias("s")), "u", "v", self.degree), "graph")
+        """The nearest proposals of every node; ``fresh`` marks those that are not of the graph before."""
+        fresh = F.min("fresh") if "fresh" in proposals.columns else F.lit(True)
+        return stored(top(proposals.groupBy("u", "v").agg(F.max("s").alias("s"), fresh.alias("fresh")), "u", "v", self.degree), "graph")
 
     def both_ways(self, graph: DataFrame) -> DataFrame:
-        """(u, v): the nearest of each node's neighbours and of those whose neighbour it is."""
-        turned = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")
-        return top(graph.unionByName(turned).distinct(), "u", "v", 2 * self.degree)
+        """(u, v, s, fresh): the nearest of each node's neighbours and of those whose neighbour it is."""
+        turned = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s", "fresh")
+        both = graph.unionByName(turned).groupBy("u", "v").agg(F.max("s").alias("s"), F.max("fresh").alias("fresh"))
+        return top(both, "u", "v", 2 * self.degree)
 
     def descend(self, graph: DataFrame, points: DataFrame, count: int) -> DataFrame:
-        """One round: neighbours of a node meet there and propose each other."""
+        """One round: neighbours of a node meet there and propose each other, but for pairs that have met before."""
         worst = graph.groupBy("u").agg(F.min("s").alias("worst"), F.count("*").alias("held"))
         # a node with fewer neighbours takes any
         state = points.select("node", "x").join(
             worst.select(F.col("u").alias("node"), F.when(F.col("held") >= self.degree, F.col("worst")).otherwise(F.lit(-1e300)).alias("worst")), "node", "left")
-        rows = (self.both_ways(graph).select(F.col("u").alias("at"), F.col("v").alias("node")).join(state, "node")
+        rows = (self.both_ways(graph).select(F.col("u").alias("at"), F.col("v").alias("node"), "fresh").join(state, "node")
                 .withColumn("part", F.pmod(F.xxhash64("at"), F.lit(max(1, count // 128)))))
         most = self.proposals
 
@@ -150,20 +153,25 @@ class NeighbourGraph:
             order = np.argsort(at, kind="stable")
             ids, worst = table.column("node").to_numpy()[order], table.column("worst").to_numpy(zero_copy_only=False)[order]
             worst = np.where(np.isnan(worst), -1e300, worst)
-            x = doubles(table.column("x"))[order]
+            x, fresh = doubles(table.column("x"))[order], table.column("fresh").to_numpy(zero_copy_only=False)[order]
             cuts = np.flatnonzero(np.diff(at[order], prepend=at[order][0] - 1, append=at[order][-1] + 1))
             out = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if not fresh[a:b].any():
+                    continue
                 scores = x[a:b] @ x[a:b].T
                 np.fill_diagonal(scores, -np.inf)
+                scores[~(fresh[a:b, None] | fresh[a:b])] = -np.inf
                 place = best_of(scores, most)
                 s = np.take_along_axis(scores, place, 1)
                 own, col = np.nonzero(s > worst[a:b, None])
                 out.append((ids[a:b][own], ids[a:b][place[own, col]], s[own, col]))
+            if not out:
+                return edges(ids[:0], ids[:0], worst[:0])
             return edges(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
         found = rows.groupBy("part").applyInArrow(meet, EDGE)
-        return self._best(graph.unionByName(found))
+        return self._best(graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))))
 
     def graph(self, nodes: DataFrame) -> DataFrame:
         """(u, v, s): up to ``degree`` neighbours of every node."""
