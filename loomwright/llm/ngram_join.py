@@ -16,7 +16,7 @@ from loomwright.llm.links import components
 from loomwright.session import stored
 
 CELL_BITS = 18
-SIGNATURE_LONGS = 8
+SIGNATURE_LONGS = 32
 BROADCAST_ROWS = 1 << 20
 FACTORS = tuple(np.uint64(f) for f in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
