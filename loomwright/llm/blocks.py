@@ -108,6 +108,20 @@ def owners(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
+#: bounds of an Arrow batch, so that whole texts and whole sets take little memory beside the heap
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Set the bounds of Arrow batches for the session; smaller ones that it already has stay."""
+    conf = df.sparkSession.conf
+    for name, most in BATCH_SETTINGS.items():
+        now = str(conf.get(name, most))
+        if not now.isdigit() or int(now) <= 0 or int(now) > int(most):
+            conf.set(name, most)
+    return df
+
+
 def batch_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | dict]) -> DataFrame:
     """``mapInArrow`` by a function of one batch that returns columns in the order of ``schema``."""
 
@@ -117,7 +131,7 @@ def batch_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Ta
                 made = work(batch)
                 yield made if isinstance(made, pa.RecordBatch) else pa.RecordBatch.from_pydict(made)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def lists(flat: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -158,7 +172,7 @@ def summed(df: DataFrame, size: int, add: Callable[[pa.RecordBatch, np.ndarray],
             yield sent([w for w, _ in held], [p for _, p in held], [*held.values()])
 
     kind = "way int, slice int, sums binary"
-    once = df.mapInArrow(own, kind).repartition("way", "slice").mapInArrow(added, kind)
+    once = small_batches(df).mapInArrow(own, kind).repartition("way", "slice").mapInArrow(added, kind)
     out = np.zeros((SUM_SLICES, padded // SUM_SLICES))
     for row in once.select(F.lit(0).alias("way"), "slice", "sums").repartition("slice").mapInArrow(added, kind).collect():
         out[row["slice"]] += np.frombuffer(zlib.decompress(row["sums"]))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.blocks import batch_map, text_slices
+from loomwright.llm.blocks import batch_map, small_batches, text_slices
 from loomwright.llm.learning import bounded_sample, fold, held_out
 
 ORDER = 3  # bytes of context
@@ -171,7 +171,7 @@ class Languages:
                     "lang": pa.array(out[0], pa.string()), "code": pa.array(np.concatenate([*out[1], np.zeros(0, np.int64)])),
                     "times": pa.array(np.concatenate([*out[2], np.zeros(0, np.int64)]))})
 
-        sums = (chosen.mapInArrow(counted, "lang string, code long, times long")
+        sums = (small_batches(chosen).mapInArrow(counted, "lang string, code long, times long")
                 .groupBy("lang", "code").agg(F.sum("times").alias("times"))).toArrow()
         names, codes, times = np.array(sums.column(0).to_pylist(), object), sums.column(1).to_numpy(), sums.column(2).to_numpy()
         return ContextTrees({n: (codes[names == n].astype(np.uint32), times[names == n]) for n in sorted(set(names))})

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.blocks import SPACED, batch_map, mixed, summed, text_slices, words
+from loomwright.llm.blocks import SPACED, batch_map, mixed, small_batches, summed, text_slices, words
 from loomwright.llm.links import components
 from loomwright.session import stored
 
@@ -341,7 +341,7 @@ class NgramJoin:
         def sent(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"a": pa.array([min(p) for p in pairs], pa.binary()), "b": pa.array([max(p) for p in pairs], pa.binary())})
 
-        return cells.mapInArrow(joined_cells, "a binary, b binary").distinct()
+        return small_batches(cells).mapInArrow(joined_cells, "a binary, b binary").distinct()
 
     def _verified(self, docs: DataFrame, ranks, limit: Threshold, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough."""
