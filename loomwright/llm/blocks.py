@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SEED = 20260
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -48,7 +48,7 @@ def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
         for step in steps:
             step[0] = 1
         made = tuple(np.multiply.accumulate(step) for step in steps)
-        if top > 4 * SLICE_BYTES:
+        if top > 1 << 21:
             return made
         _powers[top] = made
     return _powers[top]
@@ -109,7 +109,7 @@ def owners(bounds: np.ndarray) -> np.ndarray:
 
 
 #: bounds of an Arrow batch, so that whole texts and whole sets take little memory beside the heap
-BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -130,6 +130,7 @@ def batch_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Ta
             if batch.num_rows:
                 made = work(batch)
                 yield made if isinstance(made, pa.RecordBatch) else pa.RecordBatch.from_pydict(made)
+        pa.default_memory_pool().release_unused()  # the worker stays for the next task
 
     return small_batches(df).mapInArrow(run, schema)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.blocks import ALNUM, batch_map, mixed, text_slices, words
 
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 BLOCK_WORDS = 1 << 21
 GATE_BITS = 20
 MARKS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
