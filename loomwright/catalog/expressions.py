@@ -254,7 +254,7 @@ FROM documents""")
 def integer_text(spark, sf):
     rows = table(spark, sf, "documents")
     return rows.select(
-        "doc_id", text.is_integer(F.substring("source", 4, 100)).alias("source_is_number"),
+        "doc_id", text.is_integer(F.substr("source", F.lit(4))).alias("source_is_number"),
         text.is_integer(F.col("lang")).alias("lang_is_number"),
     )
 
@@ -270,7 +270,7 @@ SELECT p_partkey, TRY_CAST(substr(p_brand, 7) AS INTEGER) AS brand, TRY_CAST(p_n
        CAST(p_size AS DOUBLE) AS p_size
 FROM part""")
 def best_effort_cast(spark, sf):
-    rows = table(spark, sf, "part").withColumn("brand", F.substring("p_brand", 7, 10))
+    rows = table(spark, sf, "part").withColumn("brand", F.substr("p_brand", F.lit(7)))
     done = select.Cast({"brand": "int", "p_name": "int", "p_size": "double", "not_there": "int"})(rows)
     return done.select("p_partkey", "brand", "p_name", "p_size")
 
@@ -279,7 +279,7 @@ def best_effort_cast(spark, sf):
 SELECT 'brand' AS "column", CAST(count(*) FILTER (TRY_CAST(substr(p_brand, 7) AS INTEGER) IS NULL) AS BIGINT) AS lost FROM part
 UNION ALL SELECT 'p_name', CAST(count(*) FILTER (TRY_CAST(p_name AS INTEGER) IS NULL) AS BIGINT) FROM part""")
 def cells_lost_by_cast(spark, sf):
-    rows = table(spark, sf, "part").withColumn("brand", F.substring("p_brand", 7, 10))
+    rows = table(spark, sf, "part").withColumn("brand", F.substr("p_brand", F.lit(7)))
     return select.Cast({"brand": "int", "p_name": "int"}).lost(rows)
 
 

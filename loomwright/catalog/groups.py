@@ -254,7 +254,7 @@ def decoded_ids_large_table(spark, sf):
         *[k.cast("string") for k in (key, key + 1, key * 7)]).alias("ids"))
     reference = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     # not fitted: the table counts as too long for a literal map and is joined
-    done = lookup.DecodeIds("ids", reference, row_keys=("o_orderkey",))(rows)
+    done = lookup.DecodeIds("ids", reference)(rows)
     return done.select("o_orderkey", text_list("ids_name").alias("ids_name"))
 
 

@@ -39,15 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt_out(df: DataFrame) -> DataFrame:
-    """A plain scan with fewer splits than cores (one large row group) dealt out to all of them.
-
-    For work that is heavy per row. A table with enough splits is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def rounded(column: Column | str, digits: int = 6) -> Column:
     """Double rounded half away from zero, as SQL engines do; minus zero becomes zero.
 

@@ -20,7 +20,7 @@ ORDER_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orde
 
 def orders_as_csv(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
-    return sqlsource.to_csv(rows.repartition(4, "o_orderkey"), scratch_path(spark, "orders-csv"))
+    return sqlsource.to_csv(rows, scratch_path(spark, "orders-csv"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")

@@ -70,7 +70,9 @@ class GroupRows(Operator):
                 continue
             source = base if is_log else c
             numeric = isinstance(type_of(df, source), (*NUMBERS, T.BooleanType))
-            value = number(df, source) if numeric else q(source)
+            # sums and extremes of whole numbers stay whole numbers
+            whole = how in ("sum", "min", "max") and isinstance(type_of(df, source), (T.IntegralType, T.DecimalType))
+            value = number(df, source) if numeric and not whole else q(source)
             result = (SIMPLE[how] if isinstance(how, str) else how)(value)
             exprs.append((F.log1p(result) if is_log else result).alias(c))
         if firsts:

@@ -18,7 +18,6 @@ from loomwright.plans.operator import Operator
 
 # Decoding a list inside its row walks a literal map, which pays off for short tables only.
 MAP_ROWS = 500
-EMBEDDING_ROWS = 5_000
 
 
 def add_columns(
@@ -46,25 +45,23 @@ def literal_map(pairs: Mapping) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
-def decode_by_join(
-    df: DataFrame, column: str, table: DataFrame, row_keys: Sequence[str], out: str, code=None, otherwise=None
-) -> DataFrame:
+def decode_by_join(df: DataFrame, column: str, table: DataFrame, out: str, code=None, otherwise=None) -> DataFrame:
     """Replace list elements through a join with a large table (columns ``k``, ``v``).
 
-    Only row keys and elements are shuffled. Every list is put together again in its old order; such a
-    group is one row's own list. ``row_keys`` must identify a row.
+    The list itself is the key: different lists are taken apart, looked up, put together again in their old order
+    and joined back, so rows need no key and rows that repeat do no harm.
     """
-    keys = list(row_keys)
     element = F.col("_element") if code is None else code(F.col("_element"))
-    items = df.select(*[q(k) for k in keys], F.posexplode(q(column)).alias("_pos", "_element")).withColumn("k", element)
+    lists = df.where(q(column).isNotNull()).select(q(column).alias("_list")).distinct()
+    items = lists.select("_list", F.posexplode("_list").alias("_pos", "_element")).withColumn("k", element)
     found = salted_join(items, table, ["k"], "left")
     value = F.col("v") if otherwise is None else otherwise(F.col("_element"), F.col("v"))
-    lists = found.groupBy(*keys).agg(
+    decoded = found.groupBy(F.col("_list").alias(column)).agg(
         F.array_sort(F.collect_list(F.struct("_pos", value.alias("v")))).alias("_pairs")
-    ).withColumn(out, F.transform("_pairs", lambda p: p["v"])).drop("_pairs")
-    joined = df.join(lists, keys, "left")
+    ).withColumn("_decoded", F.transform("_pairs", lambda p: p["v"])).drop("_pairs")
+    joined = salted_join(df, decoded, [column], "left")
     nothing = F.when(q(column).isNotNull(), F.array().cast("array<string>"))
-    return joined.select(*[q(c) for c in df.columns if c != out], F.coalesce(q(out), nothing).alias(out))
+    return joined.select(*[q(c) for c in df.columns if c != out], F.coalesce(q("_decoded"), nothing).alias(out))
 
 
 @dataclass(frozen=True)
@@ -78,7 +75,6 @@ class DecodeRegions(Operator):
     column: str | tuple[str, ...]
     table: DataFrame | None = None
     value_columns: tuple[str, ...] = ("name", "country_code")
-    row_keys: tuple[str, ...] = ()
     pairs: Mapping[str, str] | None = None
 
     # Fixed value: what a coded id looks like.
@@ -96,7 +92,7 @@ class DecodeRegions(Operator):
 
     @staticmethod
     def code(element: Column) -> Column:
-        return F.concat(F.substring(element, 1, 2), F.substring(element, 3, 30).try_cast("bigint").cast("string"))
+        return F.concat(F.substring(element, 1, 2), F.substr(element, F.lit(3)).try_cast("bigint").cast("string"))
 
     def named(self, element: Column, value: Column) -> Column:
         return F.when(element.rlike(self.SHAPE), value).otherwise(element)
@@ -115,7 +111,7 @@ class DecodeRegions(Operator):
                 )
             else:
                 prepared = df.withColumn("_list", clean)
-                df = decode_by_join(prepared, "_list", self.lookup(), self.row_keys, out, self.code, self.named).drop("_list")
+                df = decode_by_join(prepared, "_list", self.lookup(), out, self.code, self.named).drop("_list")
         return df
 
 
@@ -127,7 +123,6 @@ class DecodeIds(Operator):
     table: DataFrame | None = None
     value_column: str = "name"
     strip: str | None = None
-    row_keys: tuple[str, ...] = ()
     order_by: tuple[str, ...] = ()
     pairs: Mapping[str, str] | None = None
 
@@ -151,7 +146,7 @@ class DecodeIds(Operator):
                 table = literal_map(self.pairs)
                 df = df.withColumn(out, F.transform(q(c), lambda x: F.try_element_at(table, self.code(x))))
             else:
-                df = decode_by_join(df, c, self.lookup(), self.row_keys, out, self.code)
+                df = decode_by_join(df, c, self.lookup(), out, self.code)
             df = df.withColumn(out, F.array_distinct(F.array_compact(q(out))))
         return df
 
@@ -189,7 +184,7 @@ class CountriesFromRegions(Operator):
                 "region_country", F.transform(q(self.region_column), lambda x: F.try_element_at(table, x))
             )
         else:
-            named = decode_by_join(firsts, self.region_column, self.lookup(), [self.key], "region_country")
+            named = decode_by_join(firsts, self.region_column, self.lookup(), "region_country")
         profiles = named.select(
             q(self.key), F.array_sort(F.array_distinct(F.array_compact("region_country"))).alias("region_country")
         )

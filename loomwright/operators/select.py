@@ -156,17 +156,11 @@ class OutlierRule(Operator):
         if not spread:
             return OutlierRule(self.column, self.threshold, self.flag, math.inf)
         # with n rows, at most n/2 exceed the limit exactly when the row of rank ceil(n/2)-1 does not
-        median_row = exact_quantiles(df, [self.column], [0.5])[self.column][0]
+        rows = df.agg(F.count(known(q(self.column), type_of(df, self.column)))).first()[0]
+        rank = -(-rows // 2) - 1
+        median_row = exact_quantiles(df, [self.column], [rank / (rows - 1)])[self.column][0]
         steps = max(0, math.ceil((median_row / spread - self.threshold) / 0.1 - 1e-9))
-        multiple = self.threshold + 0.1 * max(0, steps - 2)
-        for _ in range(6):
-            flagged = df.agg(
-                F.avg((known(q(self.column), type_of(df, self.column)) > multiple * spread).cast("double"))
-            ).first()[0]
-            if flagged is None or flagged <= 0.5:
-                break
-            multiple += 0.1
-        return OutlierRule(self.column, self.threshold, self.flag, multiple * spread)
+        return OutlierRule(self.column, self.threshold, self.flag, (self.threshold + 0.1 * steps) * spread)
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn(self.flag, F.coalesce(q(self.column) > F.lit(self.limit), F.lit(False)))

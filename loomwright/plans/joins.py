@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from loomwright.plans.columns import q
 
 ROWS_PER_TASK = 2_000_000
-MAX_HOT_KEYS = 1_000
 BROADCAST_ROWS = 50_000
 
 
@@ -51,9 +50,8 @@ def salted_join(
     """Equi-join of a row table with a table that is keyed by ``keys``.
 
     Keys with more than ``rows_per_task`` rows are cut into as many slices as needed and the
-    lookup rows of those keys are repeated once per slice. There are at most rows/rows_per_task
-    such keys; the ``MAX_HOT_KEYS`` hottest are sliced, so the broadcast list has a fixed bound, and
-    any later key holds less than 1/``MAX_HOT_KEYS`` of the rows and stays an ordinary key.
+    lookup rows of those keys are repeated once per slice. Every such key is sliced; there are at most
+    rows / rows_per_task of them, which bounds the broadcast list.
     """
     keys = list(keys)
     if how not in ("inner", "left"):
@@ -63,8 +61,6 @@ def salted_join(
     hot_names = [f"_hot_{i}" for i in range(len(keys))]
     hot = (
         counts.where(F.col("_n") > rows_per_task)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
         .select(
             *[q(k).alias(h) for k, h in zip(keys, hot_names)],
             F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_slices"),

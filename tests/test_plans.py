@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.operators.aggregate import GroupRows
+from loomwright.operators.select import OutlierRule
 from loomwright.operators import diverge
 from loomwright.operators.aggregate import GroupValue, OncePerGroup
 from loomwright.operators.features import SignedLog
@@ -126,17 +128,40 @@ def test_decoding_by_map_and_by_join_agree(spark):
     table = spark.createDataFrame([(1, "one"), (2, "two"), (3, "one")], "id bigint, name string")
     rows = spark.createDataFrame(
         [(1, ["3", "x", "2", "1", None]), (2, []), (3, None), (4, ["9"])], "row int, ids array<string>")
-    step = DecodeIds("ids", table, row_keys=("row",))
+    step = DecodeIds("ids", table)
     fast = step.fit(rows)(rows).orderBy("row").collect()
     slow = step(rows).orderBy("row").collect()
     assert fast == slow and fast[0]["ids_name"] == ["one", "two"]
     places = spark.createDataFrame([(1, "DE", "Here")], "id bigint, country_code string, name string")
     coded = spark.createDataFrame([(1, ["DE1", "FR1", "null", "free text"])], "row int, a_region array<string>")
-    step = DecodeRegions("_region", places, row_keys=("row",))
+    step = DecodeRegions("_region", places)
     assert step.fit(coded)(coded).first()["a_region_name"] == ["Here, DE", None, "free text"]
     assert step(coded).first()["a_region_name"] == ["Here, DE", None, "free text"]
 
 
+def test_long_tables_decode_rows_that_repeat(spark):
+    table = spark.range(700).selectExpr("id", "concat('n', id) AS name")
+    rows = spark.createDataFrame([(1, ["1", "2"]), (1, ["3"]), (1, ["1", "2"])], "row int, ids array<string>")
+    got = DecodeIds("ids", table).fit_transform(rows).collect()
+    assert sorted(r["ids_name"] for r in got) == [["n1", "n2"], ["n1", "n2"], ["n3"]]
+    places = spark.range(700).selectExpr("id", "'DE' AS country_code", "concat('p', id) AS name")
+    coded = spark.createDataFrame([(["DE1", "x"],), (["DE2"],), (["DE1", "x"],)], "a_region array<string>")
+    got = DecodeRegions("_region", places).fit_transform(coded).collect()
+    assert sorted(r["a_region_name"] for r in got) == [["p1, DE", "x"], ["p1, DE", "x"], ["p2, DE"]]
+
+
+def test_whole_numbers_stay_whole(spark):
+    rows = spark.createDataFrame([(1, 9007199254740993, 2), (1, 5, 3)], "k int, x bigint, y int")
+    out = GroupRows(("k",), by_column={"x": "max", "y": "sum"}).transform(rows)
+    assert out.first()["x"] == 9007199254740993 and dict(out.dtypes)["y"] == "bigint"
+
+
+def test_outlier_limit_follows_the_lower_median(spark):
+    rows = spark.createDataFrame([(v,) for v in [1.0] * 5 + [100.0] * 5], "x double")
+    spread = np.std([1.0] * 5 + [100.0] * 5, ddof=1)
+    assert OutlierRule("x", 0.1).fit(rows).limit == pytest.approx(0.1 * spread)
+
+
 def test_grid_with_gaps(spark):
     rows = spark.createDataFrame(
         [("a", "2024-01-01", 5.0, "x"), ("a", "2024-01-03", 7.0, None), ("b", "2024-01-04", 1.0, "y"), (None, "2024-01-02", 9.0, "z")],
