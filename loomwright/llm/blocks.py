@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -122,6 +124,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return free memory to the system: Python workers stay for later tasks, and their memory counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batch_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | dict]) -> DataFrame:
     """``mapInArrow`` by a function of one batch that returns columns in the order of ``schema``."""
 
@@ -130,7 +139,7 @@ def batch_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Ta
             if batch.num_rows:
                 made = work(batch)
                 yield made if isinstance(made, pa.RecordBatch) else pa.RecordBatch.from_pydict(made)
-        pa.default_memory_pool().release_unused()  # the worker stays for the next task
+        give_back()
 
     return small_batches(df).mapInArrow(run, schema)
 
@@ -160,6 +169,7 @@ def summed(df: DataFrame, size: int, add: Callable[[pa.RecordBatch, np.ndarray],
         for batch in batches:
             add(batch, sums)
             rows += batch.num_rows
+        give_back()
         if rows:
             yield sent([zlib.crc32(sums.tobytes()) % SUM_FAN_IN] * SUM_SLICES, [*range(SUM_SLICES)], [*sums.reshape(SUM_SLICES, -1)])
 
