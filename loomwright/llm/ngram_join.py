@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.blocks import SPACED, batch_map, mixed, small_batches, summed, text_slices, words
+from loomwright.llm.blocks import SPACED, batch_map, give_back, mixed, small_batches, summed, text_slices, words
 from loomwright.llm.links import components
 from loomwright.session import stored
 
 CELL_BITS = 18
 SIGNATURE_LONGS = 32
+CENTRES = 8
 BROADCAST_ROWS = 1 << 20
 FACTORS = tuple(np.uint64(f) for f in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -70,6 +71,12 @@ class Threshold:
     def linked(self, common: int, one: int, other: int) -> bool:
         return 100 * common >= self.percent * (one + other - common)
 
+    def roomy(self, one: Column, one_place: Column, other: Column, other_place: Column) -> Column:
+        """Sizes, and the places of a common gram in both ordered sets, leave room for a link."""
+        least = F.ceil(self.percent * (one + other) / F.lit(float(100 + self.percent)) - 1e-9)
+        most = F.least(one_place, other_place) + F.least(one - one_place, other - other_place)
+        return (100 * F.least(one, other) >= self.percent * F.greatest(one, other)) & (most >= least)
+
     def possible(self, one: Column, other: Column, bits: Column) -> Column:
         """Sizes and signatures leave room for a link."""
         total = one + other
@@ -192,8 +199,8 @@ class NgramJoin:
     2. Sets are ordered rarest gram first, by word counts over all texts in a fixed number of cells. Linked sets share
        a gram among their first ones; only those of at least two classes are kept, and of grams with the same
        classes only the first.
-    3. Each gram names one of its classes as its centre; pairs with the centre are verified. A large group of near
-       copies becomes one component here, without its pairs.
+    3. Each gram names one of its classes as its centre, by one of ``CENTRES`` random orders of all classes; pairs with
+       the centre are verified. A large group of near copies becomes one component here, without its pairs.
     4. Grams whose classes are in more than one component build prefix trees, in blocks of ``block`` sets, so a common
        gram is spread over many tasks. The candidates that trees, sizes and signatures leave are verified.
 
@@ -286,13 +293,17 @@ class NgramJoin:
         return stored(held.join(classes.select("node", "size", "bits"), "node"), "gram-records")
 
     def _members(self, records: DataFrame) -> DataFrame:
-        return records.select("node", F.explode(F.filter("shared", lambda s: s["joins"])).alias("s")).select(
-            "node", F.col("s.gram").alias("gram"), F.col("s.members").alias("members"))
+        return records.select("node", "size", F.explode(F.filter("shared", lambda s: s["joins"])).alias("s")).select(
+            "node", "size", F.col("s.gram").alias("gram"), F.col("s.place").alias("place"), F.col("s.members").alias("members"))
 
     def _star_pairs(self, records: DataFrame, limit: Threshold) -> DataFrame:
-        members = self._members(records).select("node", "gram")
-        centres = members.groupBy("gram").agg(F.min(F.struct(F.xxhash64("gram", "node").alias("h"), "node")).alias("centre"))
-        pairs = (members.join(centres.select("gram", F.col("centre.node").alias("centre")), "gram").where("node != centre")
+        members = self._members(records).select("node", "size", "place", "gram")
+        # grams with almost the same classes mostly agree on a centre, but not all on one, so that pairs are few and spread
+        order = F.xxhash64(F.pmod("gram", F.lit(CENTRES)), F.col("node"))
+        centres = members.groupBy("gram").agg(F.min(F.struct(order.alias("h"), "node", "size", "place")).alias("c")).select(
+            "gram", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.place").alias("centre_place"))
+        pairs = (members.join(centres, "gram").where("node != centre")
+                 .where(limit.roomy(F.col("size"), F.col("place"), F.col("centre_size"), F.col("centre_place")))
                  .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
         one = records.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("bits").alias("a_bits"))
         two = records.select(F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("bits").alias("b_bits"))
@@ -303,13 +314,12 @@ class NgramJoin:
         """Candidate pairs across components, from the prefix trees of grams whose classes are not all joined."""
         block = self.block
         labelled = records.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spread = labelled.select("component", F.explode(F.filter("shared", lambda s: s["joins"] & (s["members"] > 2))).alias("s")).groupBy(
-            F.col("s.gram").alias("gram")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-        rows = labelled.select(
-            "node", "component", "size", "bits", F.col("shared.gram").alias("grams"), F.col("shared.place").alias("places"),
-            F.explode(F.filter("shared", lambda s: s["joins"] & (s["members"] > 2))).alias("s"))
-        rows = rows.select("*", F.col("s.gram").alias("gram"), F.ceil(F.col("s.members") / F.lit(block)).cast("int").alias("blocks")).drop("s")
-        rows = rows.join(spread.select("gram"), "gram", "left_semi")
+        members = labelled.select("node", "component", F.explode(F.filter("shared", lambda s: s["joins"] & (s["members"] > 2))).alias("s")).select(
+            "node", "component", F.col("s.gram").alias("gram"), F.ceil(F.col("s.members") / F.lit(block)).cast("int").alias("blocks"))
+        spread = members.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+        # whole records follow only for the grams that are left
+        rows = members.join(spread.select("gram"), "gram", "left_semi").select("node", "gram", "blocks").join(
+            labelled.select("node", "component", "size", "bits", F.col("shared.gram").alias("grams"), F.col("shared.place").alias("places")), "node")
         rows = rows.withColumn("side", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         rows = rows.select("gram", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side",
@@ -328,6 +338,7 @@ class NgramJoin:
                     held.append((side, rest))
                 yield sent(out)
             yield sent(pairs_of(cell, held))
+            give_back()
 
         def pairs_of(cell: tuple | None, held: list) -> list[tuple[bytes, bytes]]:
             if cell is None or len({r[1] for _, r in held}) < 2:
