@@ -85,13 +85,14 @@ class Threshold:
 
 
 class Node:
-    """A token of the tree; what its subtree can still offer."""
+    """A token of the tree; what its subtree can still offer. A subtree of one set is not unfolded."""
 
-    __slots__ = ("children", "group", "records", "room", "smallest")
+    __slots__ = ("children", "group", "lone", "records", "room", "smallest")
 
     def __init__(self):
-        self.children: dict[int, Node] = {}
-        self.records: list[int] = []
+        self.children: dict[int, Node] | None = None
+        self.records: list[int] | None = None  # sets that end here
+        self.lone: int | None = None  # the only set that goes on below, not unfolded
         self.group = None  # the only component below, or MIXED
         self.room = 0  # most grams that a set below has left
         self.smallest = 1 << 62  # least size of a set below
@@ -115,19 +116,37 @@ class PrefixTree:
 
     def __init__(self, records: list[Record], limit: Threshold):
         self.records, self.limit, self.root = records, limit, Node()
-        for number, record in enumerate(records):
-            node, left = self.root, record.size
-            for token, place in zip([None, *record.tokens], [-1, *record.places], strict=True):
-                if token is not None:
-                    node = node.children.setdefault(token, Node())
-                left = record.size - place - 1
-                node.room = max(node.room, left)
-                node.smallest = min(node.smallest, record.size)
-                node.group = record.component if node.group is None or node.group == record.component else MIXED
-            node.records.append(number)
+        for number in range(len(records)):
+            self._add(self.root, number, 0)
+
+    def _add(self, node: Node, number: int, depth: int) -> None:
+        record = self.records[number]
+        while True:
+            empty = node.group is None
+            node.room = max(node.room, record.size - record.places[depth - 1] - 1 if depth else record.size)
+            node.smallest = min(node.smallest, record.size)
+            node.group = record.component if empty or node.group == record.component else MIXED
+            if depth == len(record.tokens):
+                if node.records is None:
+                    node.records = []
+                node.records.append(number)
+                return
+            if empty:
+                node.lone = number
+                return
+            if node.children is None:
+                node.children = {}
+            if node.lone is not None:  # a second set: the first one moves a token further
+                first, node.lone = node.lone, None
+                self._add(node.children.setdefault(self.records[first].tokens[depth], Node()), first, depth + 1)
+            token = record.tokens[depth]
+            if token not in node.children:
+                node.children[token] = Node()
+            node, depth = node.children[token], depth + 1
 
     def partners(self, number: int, gram: int) -> list[int]:
-        """Sets of other components whose first shared gram with this set is ``gram`` and that may be linked with it.
+        """Sets of other components that may be linked with this set: those whose first shared gram is ``gram``, and
+        those alone in a subtree, which share ``gram`` at least.
 
         Walks the tree once: what two sets share on a common path is counted once for all sets below. A subtree is left
         when all its sets are of the same component as this set, when an earlier gram is shared (another tree has that
@@ -138,9 +157,11 @@ class PrefixTree:
         out, stack = [], [(self.root, 0, 0, size)]
         while stack:
             node, at, shared, left = stack.pop()
-            if shared:
+            if node.lone is not None and self.records[node.lone].component != own.component:
+                out.append(node.lone)
+            if shared and node.records:
                 out += [k for k in node.records if self.records[k].component != own.component]
-            for token, child in node.children.items():
+            for token, child in (node.children or {}).items():
                 if child.group == own.component:
                     continue
                 place, rest = at, left
@@ -327,27 +348,29 @@ class NgramJoin:
         cells = rows.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high")
 
         def joined_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cell, held = None, []
+            cell, held, sides = None, [], []
             for batch in batches:
-                columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+                *columns, bits, grams, places = (batch.column(k) for k in range(batch.num_columns))
+                signatures = bits.flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE_LONGS)
+                ends = grams.value_lengths().to_numpy().cumsum()
+                tokens, at = grams.flatten().to_numpy().view(np.uint64), places.flatten().to_numpy()
                 out: list[tuple[bytes, bytes]] = []
-                for gram, low, high, side, *rest in zip(*columns, strict=True):
+                for row, (gram, low, high, side, node, component, size) in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
                     if (gram, low, high) != cell:
-                        out += pairs_of(cell, held)
-                        cell, held = (gram, low, high), []
-                    held.append((side, rest))
+                        out += pairs_of(cell, held, sides)
+                        cell, held, sides = (gram, low, high), [], []
+                    own = slice(ends[row - 1] if row else 0, ends[row])
+                    held.append(Record(node, component, size, tokens[own].tolist(), at[own].tolist(), signatures[row]))
+                    sides.append(side)
                 yield sent(out)
-            yield sent(pairs_of(cell, held))
+            yield sent(pairs_of(cell, held, sides))
             give_back()
 
-        def pairs_of(cell: tuple | None, held: list) -> list[tuple[bytes, bytes]]:
-            if cell is None or len({r[1] for _, r in held}) < 2:
+        def pairs_of(cell: tuple | None, held: list[Record], sides: list[int]) -> list[tuple[bytes, bytes]]:
+            if cell is None or len({r.component for r in held}) < 2:
                 return []
-            unsigned = 1 << 64
-            made = [Record(node, component, size, [g % unsigned for g in grams], places, np.array(bits, np.int64).view(np.uint64))
-                    for _, (node, component, size, bits, grams, places) in held]
-            sides = [s for s, _ in held] if cell[1] != cell[2] else None
-            return [(made[k].node, made[j].node) for k, j in tree_pairs(made, cell[0] % unsigned, limit, sides)]
+            found = tree_pairs(held, cell[0] % (1 << 64), limit, sides if cell[1] != cell[2] else None)
+            return [(held[k].node, held[j].node) for k, j in found]
 
         def sent(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"a": pa.array([min(p) for p in pairs], pa.binary()), "b": pa.array([max(p) for p in pairs], pa.binary())})
