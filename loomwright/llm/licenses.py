@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import cache
 
@@ -13,7 +14,6 @@ from loomwright.session import stored
 
 #: digits, letters, and all beyond ASCII (said positively, which Java's expressions match many times faster)
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
-WORD_ANY_CASE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 CAPITALS, SMALLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: fixed values: the phrases that every scan reports, word by word, with their labels
@@ -121,9 +121,6 @@ BODIES = (
 #: notices in front of a name; their first words are the keywords of these rules
 NOTICE_VERBS = ("licensed", "released", "distributed", "available", "published", "covered")
 NOTICE = r"(?:licensed|released|distributed|available|published|covered) (?:under|by)(?: the)?(?: terms of)?(?: the)?"
-#: a text is looked at if it has one of these
-PREFILTER = ("licen", "gpl", "spdx", "creative commons", "public domain", "permission", "redistribut", "free software",
-             "rights reserved", "proprietary", "wtfpl", "cc0", "cc by", "cc-by")
 WINDOW_WORDS = 24
 
 
@@ -172,6 +169,46 @@ def _expanded(word: str) -> tuple[str, ...]:
     return (word.split("(")[0],)
 
 
+def _strings(pattern: str, at: int = 0) -> tuple[list[str], int]:
+    """All texts that a pattern of letters, groups, classes and question marks stands for, from ``at`` to the end of the
+    group; what must not follow is left out."""
+    done, texts = [], [""]
+    while at < len(pattern) and pattern[at] != ")":
+        if pattern[at] == "|":
+            done, texts, at = done + texts, [""], at + 1
+            continue
+        if pattern[at] == "(":
+            unwanted = pattern.startswith("(?!", at)
+            choices, at = _strings(pattern, at + 3)
+            choices = [""] if unwanted else choices
+        elif pattern[at] == "[":
+            end = pattern.index("]", at)
+            choices = [chr(c) for c in range(48, 123) if re.match(pattern[at: end + 1], chr(c))]
+            at = end
+        else:
+            choices = [pattern[at]]
+        at += 1
+        if pattern.startswith("?", at):
+            choices, at = ["", *choices], at + 1
+        texts = [a + b for a in texts for b in choices]
+    return done + texts, at
+
+
+@cache
+def required() -> dict[str, tuple[str, ...]]:
+    """For each keyword, words of which a text has at least one if a rule of the keyword applies: of everything that a
+    rule can match, the longest word beside the keyword, or the keyword if it is all."""
+    out: dict[str, set[str]] = {}
+    for rule in rules():
+        for text in _strings(rule.pattern.removeprefix(f"{NOTICE} "))[0]:
+            words = text.split(" ")
+            if rule.pattern.startswith(NOTICE):
+                words = [rule.keyword, *words]
+            if words[0] == rule.keyword:
+                out.setdefault(rule.keyword, set()).add(max(words[1:] or words, key=len))
+    return {keyword: tuple(sorted(words)) for keyword, words in sorted(out.items())}
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules in order of priority: identifiers, notices, body sentences, names, base phrases."""
@@ -203,8 +240,9 @@ def rule_table(spark: SparkSession, chosen: tuple[Rule, ...]) -> DataFrame:
 class LicenseScan:
     """Find licence notices in whole texts.
 
-    A text is its words (ASCII lower-cased). A cheap substring prefilter keeps the texts in which a rule can apply; in
-    those, every rule is tried where its keyword stands. A detection inside another one of stronger or equal
+    A text is its words (ASCII lower-cased). A gate made from the rules keeps the texts in which a rule can apply: those
+    with a keyword and another word that one of its rules requires (``required``). In those, every rule is tried where
+    its keyword stands. A detection inside another one of stronger or equal
     priority is suppressed (of two with the same rank and place, the first rule stays). Base phrases are counted and
     labelled whatever suppresses them. Equal texts are scanned once, whatever their number.
 
@@ -213,14 +251,18 @@ class LicenseScan:
     """
 
     text: str = "text"
-    prefilter: tuple[str, ...] = PREFILTER
 
-    def gated(self) -> Column:
-        low = F.lower(F.col(self.text))
-        found = F.lit(False)
-        for part in self.prefilter:
-            found = found | low.contains(part)
-        return F.coalesce(found, F.lit(False))
+    def _words(self, text: str) -> Column:
+        return F.regexp_extract_all(F.translate(F.col(text), CAPITALS, SMALLS), F.lit(WORD), 0)
+
+    def gated(self, words: Column | None = None) -> Column:
+        """Whether a rule can apply, by the words of the text."""
+        pairs = required()
+        listed = F.array(*(F.lit(w) for w in sorted({*pairs, *(w for others in pairs.values() for w in others)})))
+        others = F.create_map(*(c for k, w in pairs.items() for c in (F.lit(k), F.array(*map(F.lit, w)))))
+        # the few words of rules that the text has, each once, are bound to a name by the array around them
+        known = F.array(F.array_intersect(self._words(self.text) if words is None else words, listed))
+        return F.coalesce(F.exists(known, lambda has: F.exists(has, lambda w: F.arrays_overlap(has, F.element_at(others, w)))), F.lit(False))
 
     def detections(self, docs: DataFrame) -> DataFrame:
         """Per different text (``_key``: its SHA-256): rule, label, first and end word, and whether it is suppressed."""
@@ -232,7 +274,7 @@ class LicenseScan:
     def _detections(self, texts: DataFrame) -> DataFrame:
         spark, chosen = texts.sparkSession, rules()
         keywords = sorted({r.keyword for r in chosen})
-        texts = texts.withColumn("_words", F.regexp_extract_all(F.translate("_text", CAPITALS, SMALLS), F.lit(WORD), 0))
+        texts = texts.withColumn("_words", self._words("_text"))
         placed = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(keywords))
         # a copy of a text makes the same rows: they go where rows are made distinct below
         spots = texts.select("_key", "_words", F.explode(placed).alias("_spot")).select(
@@ -254,12 +296,13 @@ class LicenseScan:
         added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
         names = [c for c in (docs.columns if keep is None else keep) if c not in added]
         shown = (F.col("_base") | ~F.col("_suppressed"))
-        gated = self.gated()
+        gated = F.col("_gated")
         # texts that no rule looks at get keys of their own, so that they do not meet in one task
         key = F.when(gated, self._digest()).otherwise(F.concat(F.lit("-"), F.xxhash64(*names).cast("string")))
-        rows = stored(docs.select(
-            *names, F.coalesce(F.regexp_count(F.col(self.text), F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"),
-            key.alias("_key"), F.when(gated, F.col(self.text)).alias("_text")), "license-texts")
+        counted = docs.select("*", self._words(self.text).alias("_words")).select(
+            "*", F.coalesce(F.size(F.col("_words")), F.lit(0)).cast("long").alias("_n_words"), self.gated(F.col("_words")).alias("_gated"))
+        rows = stored(counted.select(
+            *names, F.col("_n_words").alias("n_words"), key.alias("_key"), F.when(gated, F.col(self.text)).alias("_text")), "license-texts")
         found = self._detections(rows.where("_text is not null").select("_key", "_text")).groupBy("_key").agg(
             F.count(F.when(F.col("_base"), 1)).alias("_n_base"),
             F.min(F.when(F.col("_base"), F.col("_first"))).cast("long").alias("_first_word"),

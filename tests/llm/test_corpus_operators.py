@@ -15,7 +15,7 @@ import corpus_pipeline
 from loomwright.llm import queries as Q
 from loomwright.llm.decontaminate import Decontaminate
 from loomwright.llm.language import Languages
-from loomwright.llm.licenses import BASE_PHRASES, LicenseScan
+from loomwright.llm.licenses import BASE_PHRASES, NOTICE, LicenseScan, _strings, rules
 from loomwright.llm.links import components
 from loomwright.llm.neighbours import NeighbourGraph
 from loomwright.llm.ngram_join import NgramJoin
@@ -375,6 +375,30 @@ def test_license_rules_suppress(spark):
     assert got[3] == ("", "", 0) and got[4] == ("mit", "mit", 2)
 
 
+def test_license_gate_lets_pass_what_rules_match(spark):
+    samples = []
+    for k, rule in enumerate(rules()):
+        core = rule.pattern.removeprefix(f"{NOTICE} ")
+        front = f"{rule.keyword} under the terms of " if core != rule.pattern else ""
+        matched = [front + t for t in _strings(core)[0] if re.fullmatch(rule.pattern, front + t) and (front + t).split(" ")[0] == rule.keyword]
+        assert matched, rule
+        samples += [(k, gap.join(t.split(" ")).upper()) for t in matched for gap in (" ", "\n", ",\t\n ")]
+    df = spark.createDataFrame(samples, "rule int, text string")
+    assert df.where(~LicenseScan().gated()).collect() == []
+    assert df.select("rule").distinct().count() == len(rules())
+    plain = ["", None, "words of no licence, mit Freude", "this is available and free", "general remarks"]
+    assert spark.createDataFrame([(t,) for t in plain], "text string").where(LicenseScan().gated()).count() == 0
+
+
+def test_license_notices_without_the_word_license(spark):
+    texts = {"Released under the MIT.": "mit", "distributed under MPL 2.0": "mpl-2.0", "available\nunder BSD": "bsd", "the SQLite Blessing": "blessing",
+             "MIT No Attribution": "mit-0", "with Commons Clause": "commons-clause", "Creative\nCommons\nAttribution 4.0": "cc-by",
+             "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY": "gpl",
+             "This software is provided 'as is', without any express or implied\nwarranty. In no event": "zlib"}
+    df = spark.createDataFrame(list(texts.items()), "text string, want string")
+    assert {r.want: r.labels for r in LicenseScan()(df).collect()} == {v: v for v in texts.values()}
+
+
 def test_secrets(spark, docs, texts, odd, empty):
     out = Q.secret_digest(SecretScan()(docs, ("doc_id",))).collect()
     for r in out:
