@@ -54,12 +54,15 @@ class NeighbourGraph:
     so that near means a large inner product.
 
     1. Start: ``starts`` times nodes meet in cells by the signs of random projections, split to at most about
-       ``cell`` nodes, and keep the nearest of their cell.
+       ``cell`` nodes, and keep the nearest of their cell. Nodes left with fewer than ``degree`` neighbours (far from the
+       others, or in small groups) meet among themselves in cells of fewer projections, and each meets one of the cells
+       into which a hash deals all nodes, so that every node gets neighbours.
     2. ``rounds`` of NN-descent: every node joins its neighbours, forwards and backwards (at most 2 ``degree``, the
        nearest), and proposes them to each other; a node takes proposals nearer than its worst neighbour and keeps
        ``degree``.
-    3. Search: a query starts at its own neighbours; in ``steps`` joins the ``wide`` nearest nodes not yet expanded hand
-       over their neighbours; the ``pool`` nearest are kept.
+    3. Search: a query starts at its own neighbours and at ``entries`` nodes chosen by a hash; in ``steps`` joins the
+       ``wide`` nearest nodes not yet expanded hand over their neighbours; the ``pool`` nearest are kept. A query left with
+       fewer than ``most`` rows, though the table has more, is compared with all nodes, block by block.
 
     Every vector is in the graph; degree, pool and steps are the parameters of its accuracy. Scores are inner products
     of the original vectors in double precision. Ids that repeat are one row each (NULL ids take no part). An empty
@@ -75,6 +78,8 @@ class NeighbourGraph:
     pool: int = 300
     wide: int = 48
     steps: int = 4
+    entries: int = 64
+    block: int = 1000
     key: str = "vec_id"
     vector: str = "embedding"
     seed: int = 5
@@ -99,7 +104,25 @@ class NeighbourGraph:
         return stored(batch_map(grouped.select("x", "node", "members"), "node long, members array<long>, x binary, length double", packed), "nodes")
 
     def start(self, points: DataFrame, count: int, width: int) -> DataFrame:
-        """Edges within cells of random projections."""
+        """Edges within cells of random projections, and of hash-dealt cells for nodes that get too few there."""
+        found = self._meet_in_cells(self._projected(points, count, width))
+        graph = self._best(found)
+        held = graph.groupBy("u").agg(F.count("*").alias("held"))
+        thin = stored(points.join(held.withColumnRenamed("u", "node"), "node", "left")
+                      .where(F.coalesce("held", F.lit(0)) < min(self.degree, count - 1)).select("node", "x"), "thin")
+        few = thin.count()
+        if not few:
+            return graph
+        among = self._meet_in_cells(self._projected(thin, few, width))
+        # cells of a few times the degree are large enough for every node, whatever the hash does
+        dealt = F.pmod(F.xxhash64(F.lit("dealt"), "node"), F.lit(max(1, count // (8 * self.degree))))
+        wanted = thin.select(F.col("node").alias("u"))
+        cells = points.withColumn("code", dealt).join(thin.select(dealt.alias("code")).distinct(), "code", "left_semi").withColumn("way", F.lit(0))
+        across = self._meet_in_cells(cells.withColumn("part", F.lit(0))).join(wanted, "u", "left_semi")
+        return self._best(graph.drop("fresh").unionByName(among).unionByName(across))
+
+    def _projected(self, points: DataFrame, count: int, width: int) -> DataFrame:
+        """(node, x, way, code, part): the cells of every node, by the signs of random projections."""
         bits = max(0, int(np.ceil(np.log2(max(1, count / (self.cell / 2))))))
         planes = np.random.default_rng(self.seed).normal(size=(self.starts, bits, width))
 
@@ -111,8 +134,11 @@ class NeighbourGraph:
         coded = batch_map(points.select("node", "x"), "node long, x binary, code array<long>", codes)
         placed = stored(coded.select("node", "x", F.posexplode("code").alias("way", "code")), "projections")
         sizes = placed.groupBy("way", "code").count()
-        cells = placed.join(sizes, ["way", "code"]).withColumn(
+        return placed.join(sizes, ["way", "code"]).withColumn(
             "part", F.pmod(F.xxhash64("node", "way"), F.ceil(F.col("count") / F.lit(self.cell)).cast("long")))
+
+    def _meet_in_cells(self, cells: DataFrame) -> DataFrame:
+        """The ``degree`` nearest of every node in its cells."""
         degree = self.degree
 
         def near(table: pa.Table) -> pa.Table:
@@ -124,8 +150,7 @@ class NeighbourGraph:
             real = np.isfinite(s)
             return edges(u[real], v[real], s[real])
 
-        found = cells.select("node", "x", "way", "code", "part").groupBy("way", "code", "part").applyInArrow(near, EDGE)
-        return self._best(found)
+        return cells.select("node", "x", "way", "code", "part").groupBy("way", "code", "part").applyInArrow(near, EDGE)
 
     def _best(self, proposals: DataFrame) -> DataFrame:
         """The nearest proposals of every node; ``fresh`` marks those that are not of the graph before."""
@@ -206,13 +231,58 @@ class NeighbourGraph:
             return batch_map(rows.select("u", "v", "q", "x"), EDGE, product)
 
         first = own.select("u").join(near.withColumnRenamed("v", "u").withColumnRenamed("w", "v"), "u").select("u", "v")
-        held = stored(scored(first.unionByName(own.select("u", F.col("u").alias("v"))).distinct()).withColumn("open", F.col("u") != F.col("v")), "found")
+        begun = scored(first.unionByName(own.select("u", F.col("u").alias("v"))).distinct()).unionByName(self._entered(own, vectors))
+        held = stored(begun.groupBy("u", "v").agg(F.max("s").alias("s")).withColumn("open", F.col("u") != F.col("v")), "found")
         for _ in range(self.steps):
             fresh = top(held.where("open"), "u", "v", self.wide).select("u", "v")
             reached = fresh.join(near, "v").select("u", F.col("w").alias("v")).distinct().join(held.select("u", "v"), ["u", "v"], "left_anti")
             opened = held.join(fresh.withColumn("now", F.lit(True)), ["u", "v"], "left").select("u", "v", "s", (F.col("open") & F.col("now").isNull()).alias("open"))
             held = stored(top(opened.unionByName(scored(reached).withColumn("open", F.lit(True))), "u", "v", self.pool), "found")
-        return held.select("u", "v", "s")
+        return self._completed(held.select("u", "v", "s"), own, nodes)
+
+    def _entered(self, own: DataFrame, vectors: DataFrame) -> DataFrame:
+        """(u, v, s) of every query with the entry nodes; these are few, and go to the tasks."""
+        chosen = vectors.orderBy(F.xxhash64(F.lit("entry"), "node"), "node").limit(self.entries).collect()
+        ids = np.array([r.node for r in chosen], np.int64)
+        x = np.array([np.frombuffer(r.x, np.float64) for r in chosen])
+
+        def products(batch: pa.RecordBatch) -> dict:
+            s = doubles(batch.column(1)) @ x.T if batch.num_rows else np.zeros((0, len(ids)))
+            return {"u": pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(ids)), pa.int64()),
+                    "v": pa.array(np.tile(ids, batch.num_rows), pa.int64()), "s": pa.array(s.ravel(), pa.float64())}
+
+        return batch_map(own.select("u", "q"), EDGE, products)
+
+    def _completed(self, found: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The nodes found; queries whose nodes do not have enough ids get the nearest of all nodes instead."""
+        sizes = nodes.select(F.col("node").alias("v"), F.size("members").alias("ids"))
+        count, total = sizes.agg(F.count("*"), F.sum("ids")).first()
+        enough = found.join(sizes, "v").groupBy("u").agg(F.sum("ids").alias("ids")).where(F.col("ids") >= min(self.most + 1, total or 0)).select("u")
+        short = stored(own.join(enough, "u", "left_anti"), "short")
+        few = short.count()
+        if not few:
+            return found
+        most = self.most + 1
+
+        def blocks(rows: DataFrame, name: str, vector: str, size: int) -> DataFrame:
+            part = F.pmod(F.xxhash64(name), F.lit(max(1, -(-size // self.block))))
+            listed = F.collect_list(F.struct(F.col(name).alias("id"), F.col(vector).alias("x")))
+            return rows.groupBy(part.alias("part")).agg(listed.alias(vector)).select(vector)
+
+        def nearest(batch: pa.RecordBatch) -> dict:
+            u, v, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for q, x in zip(batch.column(0), batch.column(1), strict=True):
+                (a, left), (b, right) = ((c.field("id").to_numpy(), doubles(c.field("x"))) for c in (q.values, x.values))
+                scores = left @ right.T
+                place = best_of(scores, most)
+                u.append(np.repeat(a, place.shape[1]))
+                v.append(b[place].ravel())
+                s.append(np.take_along_axis(scores, place, 1).ravel())
+            return {"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v)), "s": pa.array(np.concatenate(s))}
+
+        pairs = blocks(short, "u", "q", few).crossJoin(blocks(nodes.select("node", "x"), "node", "x", count))
+        whole = top(batch_map(pairs, EDGE, nearest), "u", "v", most)
+        return found.join(short.select("u"), "u", "left_anti").unionByName(whole)
 
     def __call__(self, table: DataFrame, every: int) -> DataFrame:
         """query_id, rank, id and score of the nearest rows of every row whose id is divisible by ``every``."""

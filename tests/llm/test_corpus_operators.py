@@ -459,6 +459,42 @@ def test_neighbours_on_odd_rows(spark):
     assert NeighbourGraph()(df.where("vec_id in (0, 1)"), 20).count() == 1
 
 
+def test_neighbours_of_vectors_far_from_a_hot_group(spark):
+    """A hot group off centre, one vector opposite to it and a pair beside that: alone in their cells in all starts."""
+    rng = np.random.default_rng(3)
+    middle = np.full(16, 1.0)
+    x = middle + 0.15 * rng.normal(size=(3000, 16))
+    x[20], x[41], x[43] = -middle, -middle + 0.3 * np.eye(16)[0], -middle + 0.3 * np.eye(16)[1]
+    x = x / np.sqrt((x * x).sum(1))[:, None]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    graph_of = NeighbourGraph()
+    nodes = graph_of.nodes(df)
+    held = {r.u: r["count"] for r in graph_of.graph(nodes).groupBy("u").count().collect()}
+    assert len(held) == 3000 and set(held.values()) == {graph_of.degree}
+    got = collections.defaultdict(list)
+    for r in graph_of(df, 20).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    want = brute_neighbours(list(enumerate(x.tolist())), 20, 20)
+    assert set(got) == set(want) and {len(f) for f in got.values()} == {20}
+    assert [v for _, v in sorted(got[20])][:2] == [j for _, j in want[20]][:2] and {j for _, j in want[20][:2]} == {41, 43}
+    assert sum(len({v for _, v in got[i]} & {j for _, j in want[i]}) for i in want) >= 0.9 * 20 * len(want)
+
+
+def test_neighbours_of_queries_without_enough_are_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, r.tolist()) for i, r in enumerate(rng.normal(size=(400, 8)))]
+    graph_of = NeighbourGraph(block=70)
+    nodes = graph_of.nodes(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    own = nodes.where("node % 20 = 0").select(F.col("node").alias("u"), F.col("x").alias("q"))
+    cut = own.select("u", F.col("u").alias("v"), F.lit(0.0).alias("s"))
+    got = collections.defaultdict(list)
+    for r in graph_of._completed(cut, own, nodes).collect():
+        got[r.u].append((-r.s, r.v))
+    want = brute_neighbours(rows, 20, 21)
+    assert set(got) == set(want)
+    assert all([j for _, j in sorted(got[i]) if j != i][:20] == [j for _, j in want[i]][:20] for i in want)
+
+
 def test_pipeline(spark, sf, docs, texts):
     """Stage by stage against brute force."""
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
