@@ -199,3 +199,19 @@ def test_chain_splits_before_changed_columns():
     chain = Chain((SignedLog(("a",)), SignedLog(("b",)), SignedLog(("c",))))
     first, rest = chain.split_at(["b"])
     assert len(first.steps) == 1 and len(rest.steps) == 2
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_places_in_groups_of_any_size(spark, keys):
+    from loomwright.plans.ranks import ranked
+
+    rows = [(None if k % 50 == 0 else 1 if k % 3 else k % 7, k * 7919 % 1000 // 2, k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g int, v int, k int")
+    got = ranked(df, keys, [F.col("v"), F.col("k")]).collect()
+    groups = {}
+    for g, v, k in rows:
+        groups.setdefault(g if keys else 0, []).append((v, k, g))
+    want = {(g, v, k): place for own in groups.values() for place, (v, k, g) in enumerate(sorted(own, key=lambda x: x[:2]))}
+    assert {(r.g, r.v, r.k): r["rank"] for r in got} == want
+    tied = ranked(df, keys, [F.col("v")], tie="number").collect()
+    assert sorted((r.g or 0, r["rank"]) if keys else r["rank"] for r in tied) == sorted((r.g or 0, r["rank"]) if keys else r["rank"] for r in got)
