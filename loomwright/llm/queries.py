@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.llm.conversation_repair import ConversationRepair, dealt_damage
+from loomwright.llm.conversation_sql import REPAIR, TRIE
+from loomwright.llm.conversation_trie import ConversationTrie
 from loomwright.llm.decontaminate import Decontaminate
 from loomwright.llm.language import Languages
 from loomwright.llm.learning import held_out
@@ -16,6 +19,7 @@ from loomwright.llm.ngram_join import NgramJoin
 from loomwright.llm.packing import BestFitPacking
 from loomwright.llm.quality import Quality
 from loomwright.llm.secret_scan import PATTERNS, SecretScan
+from loomwright.llm.simhash import SimHash
 from loomwright.llm.token_counts import TokenCounts
 from loomwright.llm.toxicity import Toxicity
 
@@ -105,6 +109,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TokenCounts(vocabulary("byte_bpe_50k.json"), limit=512)(table(spark, sf_dir, "documents"), keep=("doc_id",))
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ConversationRepair()(table(spark, sf_dir, "conversations"), dealt_damage)
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ConversationTrie()(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SimHash(width=3, most=2)(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_conversation_repair"] = REPAIR
+ORACLES["op12_conversation_trie"] = TRIE
+
 #: words, windows and hits of every document in SQL; windows are compared as lists of words
 ORACLES["op9_benchmark_decontamination"] = r"""
 WITH d AS (
