@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomwright.catalog.registry import query, rounded, table, text_list
 from loomwright.operators import aggregate as agg
 from loomwright.operators import features, lookup
+from loomwright.operators.encode import Codes, OneHot
 from loomwright.operators.spine import TimeGrid
 from loomwright.plans.joins import salted_join
 from loomwright.sources import files
@@ -258,14 +259,106 @@ def decoded_ids_large_table(spark, sf):
     return done.select("o_orderkey", text_list("ids_name").alias("ids_name"))
 
 
+LARGE_CODED = """
+WITH ref AS (SELECT left(r_name, 2) || c_custkey AS x, c_name || ', ' || left(r_name, 2) AS v, c_custkey AS id
+             FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+     l AS (SELECT o_orderkey, [x, 'null', 'ZZ1', 'plain', x] AS ids FROM orders JOIN ref ON id = o_custkey),
+     u AS (SELECT o_orderkey, unnest(ids) AS x, generate_subscripts(ids, 1) AS i FROM l)
+SELECT o_orderkey, string_agg(CASE WHEN x = 'plain' THEN x ELSE coalesce(v, '~') END, '|' ORDER BY i) AS x_region_name
+FROM u LEFT JOIN ref USING (x) WHERE x <> 'null' GROUP BY o_orderkey"""
+
+
+def large_coded(spark, sf):
+    """Orders with lists of coded customers, and the table of all customers as the reference."""
+    areas = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    reference = table(spark, sf, "customer").join(areas, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("id"), F.substring("r_name", 1, 2).alias("country_code"), F.col("c_name").alias("name"))
+    code = F.concat("country_code", F.col("id").cast("string"))
+    rows = table(spark, sf, "orders").join(reference, F.col("o_custkey") == F.col("id")).select(
+        "o_orderkey", F.array(code, F.lit("null"), F.lit("ZZ1"), F.lit("plain"), code).alias("x_region"))
+    return rows, reference
+
+
+@query(LARGE_CODED)
+def decoded_regions_large_table(spark, sf):
+    rows, reference = large_coded(spark, sf)
+    # not fitted: the table counts as too long for a literal map and is joined
+    done = lookup.DecodeRegions("_region", reference)(rows)
+    return done.select("o_orderkey", text_list("x_region_name").alias("x_region_name"))
+
+
 @query("""
+WITH r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 11 > 0 THEN 'C' || o_custkey END AS name FROM orders)
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS BIGINT) AS o_custkey_index,
+       CASE WHEN name IS NOT NULL THEN CAST(dense_rank() OVER (ORDER BY name NULLS LAST) - 1 AS BIGINT) END AS name_index FROM r""")
+def dictionary_codes(spark, sf):
+    """Codes of columns with thousands of values, by joins."""
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", F.when(F.col("o_custkey") % 11 > 0, F.concat(F.lit("C"), F.col("o_custkey").cast("string"))).alias("name"))
+    return Codes(("o_custkey", "name")).fit_transform(rows).select("o_orderkey", "o_custkey_index", "name_index")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 9 = 1 THEN []
+                  ELSE [o_custkey, (o_custkey * 7) % 5003, NULL, o_custkey, o_orderkey % 3001] END AS l FROM orders),
+     u AS (SELECT DISTINCT o_orderkey, x FROM (SELECT o_orderkey, unnest(l) AS x FROM r) WHERE x IS NOT NULL),
+     d AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT DISTINCT x FROM u)),
+     g AS (SELECT o_orderkey, string_agg(i, '|' ORDER BY i) AS l FROM u JOIN d USING (x) GROUP BY 1)
+SELECT o_orderkey, CASE WHEN r.l IS NOT NULL THEN coalesce(g.l, '') END AS l_indices FROM r LEFT JOIN g USING (o_orderkey)""")
+def sparse_multi_hot(spark, sf):
+    """List elements as sorted places in a dictionary of thousands."""
+    key, other = F.col("o_custkey"), F.col("o_orderkey")
+    full = F.array(key, (key * 7) % 5003, F.lit(None).cast("bigint"), key, other % 3001)
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(other % 9 > 1, full).when(other % 9 == 1, F.array().cast("array<bigint>")).alias("l"))
+    return Codes(("l",)).fit_transform(rows).select("o_orderkey", text_list("l_indices").alias("l_indices"))
+
+
+@query("""
+SELECT p_partkey, 1 AS flags, CAST(dense_rank() OVER (ORDER BY p_partkey % 1301) - 1 AS BIGINT) AS place FROM part""")
+def one_hot_of_many_values(spark, sf):
+    """More than a thousand flags: one is set, in the value's place."""
+    rows = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 1301).alias("k"))
+    done = OneHot(("k",)).fit_transform(rows)
+    flags = F.array(*[F.col(c) for c in done.columns if c.startswith("k_")])
+    return done.select("p_partkey", flags.alias("f")).select(
+        "p_partkey", F.size(F.filter("f", lambda x: x)).alias("flags"), (F.array_position("f", True) - 1).alias("place"))
+
+
+@query("""
+WITH n AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS i FROM (SELECT DISTINCT o_custkey FROM orders))
+SELECT o_orderkey, CAST(n.i AS INTEGER) AS customer, CASE WHEN o_orderkey % 1000 < 900 THEN 'v' || (o_orderkey % 1000) * 7 % 1000 END AS lot,
+       n.i || '|' || n.i AS pair
+FROM orders JOIN n USING (o_custkey)""")
+def value_map_of_many(spark, sf):
+    """Maps of hundreds and thousands of values are joined: made from the data, given, and for list elements."""
+    given = {k: f"v{k * 7 % 1000}" for k in range(900)}
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_custkey").alias("customer"), (F.col("o_orderkey") % 1000).alias("lot"), F.array("o_custkey", "o_custkey").alias("pair"))
+    done = lookup.MapValues(("customer", "lot", "pair"), {"lot": given}).fit_transform(rows)
+    return done.select("o_orderkey", "customer", "lot", text_list("pair").alias("pair"))
+
+
+COUNTRIES = """
 WITH first AS (SELECT c_mktsegment AS profile_id, arg_min(c_nationkey, c_custkey) AS k FROM customer GROUP BY 1),
      named AS (SELECT DISTINCT profile_id, r_name FROM first JOIN nation ON n_nationkey IN (k, (k + 1) % 25, (k + 7) % 25)
                JOIN region ON r_regionkey = n_regionkey),
      countries AS (SELECT profile_id, string_agg(r_name, '|' ORDER BY r_name) AS region_country FROM named GROUP BY 1)
 SELECT c_custkey, region_country, CASE WHEN c_custkey % 3 = 2 THEN 'GIVEN' ELSE region_country END AS country_targets
-FROM customer JOIN countries ON profile_id = c_mktsegment""")
+FROM customer JOIN countries ON profile_id = c_mktsegment"""
+
+
+@query(COUNTRIES)
+def countries_from_regions_by_join(spark, sf):
+    return named_countries(spark, sf, fitted=False)
+
+
+@query(COUNTRIES)
 def countries_from_regions(spark, sf):
+    return named_countries(spark, sf, fitted=True)
+
+
+def named_countries(spark, sf, fitted):
     key = F.col("c_nationkey")
     name = lambda k: F.concat(F.lit("NATION_"), k.cast("string"))
     rows = table(spark, sf, "customer").select(
@@ -280,14 +373,14 @@ def countries_from_regions(spark, sf):
         F.col("r_regionkey").cast("string").alias("code"), F.col("r_name").alias("country"))
     step = lookup.CountriesFromRegions(
         "country_targets", "region_targets", "profile_id", ("c_custkey",), regions, countries)
-    done = step.fit_transform(rows)
+    done = step.fit_transform(rows) if fitted else step(rows)
     return done.select("c_custkey", text_list("region_country").alias("region_country"),
                        text_list("country_targets").alias("country_targets"))
 
 
 @query("""
 WITH first AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1),
-     codes AS (SELECT o_custkey, unnest([k % 700, (k * 3) % 700, 100000]) AS code FROM first),
+     codes AS (SELECT o_custkey, unnest([k % n, (k * 3) % n, -1]) AS code FROM first, (SELECT count(*) AS n FROM embeddings)),
      long AS (SELECT o_custkey, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i
               FROM codes JOIN embeddings ON vec_id = code),
      means AS (SELECT o_custkey, i, avg(v) AS v FROM long GROUP BY 1, 2),
@@ -298,8 +391,9 @@ def embedding_average_by_group(spark, sf):
     from loomwright.functions.arrays import norm
 
     key = F.col("o_orderkey")
+    vectors = table(spark, sf, "embeddings").count()
     rows = table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", F.array(key % 700, (key * 3) % 700, F.lit(100000).cast("bigint")).alias("targets"))
+        "o_orderkey", "o_custkey", F.array(key % vectors, (key * 3) % vectors, F.lit(-1).cast("bigint")).alias("targets"))
     step = lookup.AverageEmbeddings(("targets",), "o_custkey", table(spark, sf, "embeddings"), "vec_id", ("o_orderkey",))
     done = step(rows)
     vector = F.col("targets_clip")
@@ -324,18 +418,42 @@ def daily_spine(spark, sf):
 
 
 @query("""
-WITH ends AS (SELECT date_trunc('hour', min(ts))::TIMESTAMP AS a, date_trunc('hour', max(ts))::TIMESTAMP AS b FROM events),
+WITH ends AS (SELECT date_trunc('hour', min(ts))::TIMESTAMP AS a, max(ts)::TIMESTAMP AS b FROM events),
      spine AS (SELECT unnest(generate_series(a, b, INTERVAL 6 HOUR)) AS ts FROM ends),
      g AS (SELECT DISTINCT event_type FROM events),
-     d AS (SELECT event_type, date_trunc('hour', ts)::TIMESTAMP AS ts, value FROM events)
+     d AS (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts::TIMESTAMP, a) AS ts, value FROM events, ends)
 SELECT g.event_type, s.ts, coalesce(value, 0) AS value FROM g CROSS JOIN spine s
 LEFT JOIN d ON d.event_type = g.event_type AND d.ts = s.ts""")
 def hourly_grid_of_rows(spark, sf):
-    """Several rows may share a step, rows off the grid are lost."""
+    """Several rows may share a step; every row is moved back to its step."""
     rows = table(spark, sf, "events").select("event_type", "ts", "value")
     return TimeGrid("ts", ("event_type",), freq="6H", truncate=True).fit_transform(rows)
 
 
+@query("""
+WITH ends AS (SELECT date_trunc('minute', min(ts))::TIMESTAMP AS a, max(ts)::TIMESTAMP AS b FROM events),
+     spine AS (SELECT unnest(generate_series(a, b, INTERVAL 5 MINUTE)) AS ts FROM ends),
+     d AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts::TIMESTAMP, a) AS ts, sum(value) AS value, count(*) AS n FROM events, ends GROUP BY 1)
+SELECT 1 AS site, s.ts, round(coalesce(value, 0), 2) AS value, CAST(coalesce(n, 0) AS BIGINT) AS n FROM spine s LEFT JOIN d USING (ts)""")
+def fine_grid_of_one_group(spark, sf):
+    """One group with very many steps, which are made by many tasks."""
+    rows = table(spark, sf, "events").select(F.lit(1).alias("site"), "ts", "value", F.lit(1).alias("n"))
+    done = TimeGrid("ts", ("site",), freq="5T", truncate=True).fit_transform(rows)
+    return done.groupBy("site", "ts").agg(rounded(F.sum("value"), 2).alias("value"), F.sum("n").alias("n"))
+
+
+@query("""
+WITH ends AS (SELECT date_trunc('quarter', min(o_orderdate))::TIMESTAMP AS a, max(o_orderdate)::TIMESTAMP AS b FROM orders),
+     spine AS (SELECT unnest(generate_series(a, b, INTERVAL 3 MONTH)) AS day FROM ends),
+     g AS (SELECT DISTINCT o_custkey FROM orders),
+     d AS (SELECT o_custkey, date_trunc('quarter', o_orderdate)::TIMESTAMP AS day, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT o_custkey, day, CAST(coalesce(n, 0) AS BIGINT) AS n FROM g CROSS JOIN spine LEFT JOIN d USING (o_custkey, day)""")
+def quarterly_grid(spark, sf):
+    rows = table(spark, sf, "orders").select("o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("day"), F.lit(1).alias("n"))
+    done = TimeGrid("day", ("o_custkey",), freq="QS", truncate=True).fit_transform(rows)
+    return done.groupBy("o_custkey", "day").agg(F.sum("n").alias("n"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
 def validation_head(spark, sf):
     valid, _ = files.head_and_rest(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 100, ["o_orderkey"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomwright.catalog.registry import query, rounded, table
 from loomwright.operators import curves, models, scoring, search
 from loomwright.operators.aggregate import GroupRows
-from loomwright.operators.features import Factors
+from loomwright.operators.features import Factors, SignedLog
 from loomwright.plans.operator import Chain
 
 LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount"
@@ -257,6 +257,104 @@ def recommended_by_objective(spark, sf):
                        rounded("mean", 3).alias("mean"), rounded("objective", 12).alias("objective"))
 
 
+TREE_ROWS = """
+t AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS flag FROM lineitem),
+leaf AS (SELECT l_linenumber AS k, flag, avg(l_extendedprice) AS v FROM t GROUP BY 1, 2),
+side AS (SELECT flag, count(*) AS n FROM t GROUP BY 1)"""
+
+
+def tree_model(spark, sf):
+    """A tree deep enough to give every pair of line number and flag its own leaf, and its rows."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    rows = table(spark, sf, "lineitem").withColumn("flag", (F.col("l_returnflag") == "A").cast("int"))
+    model = models.SparkRegressor(("l_linenumber", "flag"), PRICE, build=lambda: DecisionTreeRegressor(maxDepth=14, seed=42))
+    return model.fit(rows), rows
+
+
+@query("WITH " + TREE_ROWS + """,
+c AS (SELECT i AS candidate, 0.6 + 7.0 * ((i * 37) % 1999) / 1999.0::DOUBLE AS x FROM range(0, 2000) r(i))
+SELECT CAST(candidate AS INTEGER) AS candidate, round(sum(v * n) / sum(n), 3) AS mean, round(sum(v * v * n) / sum(n), 0) AS square, CAST(sum(n) AS BIGINT) AS rows
+FROM c JOIN leaf ON k = least(7, greatest(1, ceil(x - 0.5))) JOIN side USING (flag) GROUP BY candidate""")
+def mean_response_of_tree(spark, sf):
+    """2,000 candidates for a tree in one pass over the rows."""
+    model, rows = tree_model(spark, sf)
+    tried = tuple((0.6 + 7.0 * ((i * 37) % 1999) / 1999.0,) for i in range(2000))
+    done = search.mean_responses(rows, model, "l_extendedprice", search.Candidates(("l_linenumber",), tried))
+    return done.select("candidate", rounded("mean", 3).alias("mean"), rounded("square", 0).alias("square"), "rows")
+
+
+@query("WITH " + TREE_ROWS + """,
+o AS (SELECT unnest([0, 1]) AS flag),
+p AS (SELECT v, count(*) AS n FROM t JOIN leaf ON k = l_linenumber JOIN o ON o.flag = leaf.flag GROUP BY v)
+SELECT 'flag' AS field, 'l_extendedprice' AS target, CAST(2 AS BIGINT) AS combinations, round(sum(v * n) / sum(n), 3) AS mean,
+       round(sqrt(sum(v * v * n) / sum(n) - pow(sum(v * n) / sum(n), 2)), 3) AS std FROM p""")
+def response_of_tree_by_option(spark, sf):
+    model, rows = tree_model(spark, sf)
+    done = search.analyze_options(rows.select("l_linenumber", "flag"), model, {"flag": [0, 1]})
+    return done.select("field", "target", "combinations", rounded("mean", 3).alias("mean"), rounded("std", 3).alias("std"))
+
+
+TREE_SPACE = {"l_linenumber": (0.6, 7.4)}
+TREE_DRAWS = ", ".join(f"({i}, {x!r}::DOUBLE)" for i, (x,) in enumerate(search.random_candidates(TREE_SPACE).rows))
+
+
+@query("WITH " + TREE_ROWS + ", c(candidate, x) AS (VALUES " + TREE_DRAWS + """),
+m AS (SELECT candidate, x, sum(v * n) / sum(n) AS mean FROM c JOIN leaf ON k = least(7, greatest(1, ceil(x - 0.5))) JOIN side USING (flag) GROUP BY 1, 2),
+s AS (SELECT candidate // 25 AS round, candidate, x, 1 / round(mean, 6) AS metric FROM m),
+w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY round ORDER BY metric, candidate) = 1),
+f AS (SELECT min(metric) AS best, avg(x) AS mx, var_pop(x) AS var FROM w),
+g AS (SELECT x, exp(-pow(best - metric, 2) / 0.05 - pow(mx - x, 2) / var) AS wx FROM w, f)
+SELECT round(sum(wx * x) / sum(wx), 4) + 0.0 AS l_linenumber FROM g""")
+def recommended_values_of_tree(spark, sf):
+    """Means are compared after rounding, since a leaf's draws tie."""
+    model, rows = tree_model(spark, sf)
+    draws = search.random_candidates(TREE_SPACE)
+    responses = search.mean_responses(rows, model, "l_extendedprice", draws).withColumn("mean", rounded("mean"))
+    winners = search.best_of_rounds(responses).join(draws.table(spark), "candidate")
+    return search.weighted_winners(winners, draws.columns).select(rounded("l_linenumber", 4).alias("l_linenumber"))
+
+
+EVEN_SQL = ", ".join(f"({i}, {d!r}::DOUBLE, {t!r}::DOUBLE)" for i, (d, t) in enumerate(search.even_candidates(SPACES).rows))
+
+
+@query("WITH c(candidate, cd, ct) AS (VALUES " + EVEN_SQL + """),
+m AS (SELECT candidate, cd, ct, avg(exp(0.02 * l_quantity + 1.5 * cd - 0.7 * ct + 0.5) - 1) AS mean FROM c, lineitem GROUP BY ALL)
+SELECT CAST(candidate AS INTEGER) AS candidate, round(cd, 6) AS l_discount, round(ct, 6) AS l_tax, round(mean, 6) AS mean FROM m
+ORDER BY (0.7 + 0.3 * (cd + ct) * (1 / cd + 1 / ct) / 4) / mean, candidate LIMIT 1""")
+def recommended_by_even_candidates(spark, sf):
+    """Evenly filling settings for a model on a log scale."""
+    model = fixed(("l_quantity", "l_discount", "l_tax"), PRICE, {"l_extendedprice": [0.02, 1.5, -0.7]}, {"l_extendedprice": 0.5})
+    done = search.recommend_by_objective(
+        table(spark, sf, "lineitem"), model, "l_extendedprice", ["l_discount", "l_tax"], SPACES, logged=True)
+    return done.select("candidate", rounded("l_discount").alias("l_discount"), rounded("l_tax").alias("l_tax"), rounded("mean").alias("mean"))
+
+
+@query("WITH " + CANDIDATE_SQL.split("m AS")[0].rstrip().rstrip(",") + """
+SELECT CAST(candidate AS INTEGER) AS candidate, round(avg(900 + 1500 * sign(l_quantity) * ln(1 + abs(l_quantity)) - 2000 * sign(cd) * ln(1 + abs(cd)) + 700 * ct), 3) AS mean,
+       CAST(count(*) AS BIGINT) AS rows FROM c, lineitem GROUP BY candidate""")
+def mean_response_through_steps(spark, sf):
+    """A step that reads a replaced column runs for every candidate, in the same pass."""
+    chain = Chain((SignedLog(("l_quantity",)), SignedLog(("l_discount",))))
+    done = search.mean_responses(table(spark, sf, "lineitem"), response_model(), "l_extendedprice", fixed_candidates(), prepare=chain)
+    return done.select("candidate", rounded("mean", 3).alias("mean"), "rows")
+
+
+@query("""
+WITH c AS (SELECT i AS candidate, i / 10.0::DOUBLE AS x FROM range(0, 5) r(i)),
+     g AS (SELECT l_orderkey, avg(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT CAST(candidate AS INTEGER) AS candidate, round(avg(900 + 1500 * q - 2000 * x * n), 3) AS mean, CAST(count(*) AS BIGINT) AS rows
+FROM c, g GROUP BY candidate""")
+def mean_response_behind_grouping(spark, sf):
+    """The grouping sums the replaced column, so it has to see every candidate's value."""
+    grouping = GroupRows(("l_orderkey",), ("l_quantity", "l_discount"), by_column={"l_discount": "sum"})
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_discount")
+    tried = search.Candidates(("l_discount",), tuple((i / 10.0,) for i in range(5)))
+    model = fixed(("l_quantity", "l_discount"), PRICE, {"l_extendedprice": [1500.0, -2000.0]}, {"l_extendedprice": 900.0})
+    done = search.mean_responses(rows, model, "l_extendedprice", tried, prepare=Chain((grouping,)))
+    return done.select("candidate", rounded("mean", 3).alias("mean"), "rows")
+
+
 def flag_model(targets=("clicks",), logged=False):
     features = ("l_quantity", "os_a", "os_b", "weekday_0", "weekday_1", "weekday_2")
     weights = [0.02, 0.3, -0.2, 0.5, 0.1, 0.4] if logged else [20.0, 300.0, -200.0, 500.0, 100.0, 400.0]
@@ -299,31 +397,59 @@ def response_samples_on_log_model(spark, sf):
     return done.select("candidate", "os_a", "os_b", rounded("mean").alias("mean"))
 
 
-CURVE_GRID = tuple((g, r) for g in (0.3, 0.8, 1.4, 2.2) for r in (0.1, 0.9, 1.7))
+SETTINGS = "WITH c AS (SELECT i / 10.0::DOUBLE AS g FROM range(1, 31) t(i)), r AS (SELECT i / 10.0::DOUBLE AS r FROM range(1, {top}) t(i)),"
 
 
-@query("WITH c AS (SELECT unnest([0.3, 0.8, 1.4, 2.2])::DOUBLE AS g), r AS (SELECT unnest([0.1, 0.9, 1.7])::DOUBLE AS r),"
-       " s AS (SELECT g, r, regr_r2(l_extendedprice, pow(l_quantity, g) / (pow(l_quantity, g) + r)) AS s FROM lineitem, c, r GROUP BY g, r)"
-       " SELECT g AS gamma, r AS rho, round(s, 6) AS score FROM s ORDER BY s DESC, g, r LIMIT 1")
+@query(SETTINGS.format(top=21) + """
+ s AS (SELECT g, r, regr_r2(l_extendedprice, pow(l_quantity, g) / (pow(l_quantity, g) + r)) AS s FROM lineitem, c, r GROUP BY g, r)
+ SELECT g AS gamma, r AS rho, round(s, 6) AS score FROM s ORDER BY s DESC, g, r LIMIT 1""")
 def saturating_curve_fit(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
-    model = curves.AdbudgRegressor(("l_quantity",), PRICE, candidates=CURVE_GRID).fit(rows)
+    model = curves.AdbudgRegressor(("l_quantity",), PRICE).fit(rows)
     gamma, rho = model.chosen["l_quantity"]
     fit = model.scores(rows)
     return fit.select(F.lit(gamma).alias("gamma"), F.lit(rho).alias("rho"), rounded("l_extendedprice").alias("score"))
 
 
-@query("WITH c AS (SELECT unnest([0.3, 0.8, 1.4, 2.2])::DOUBLE AS g), r AS (SELECT unnest([0.1, 0.9, 1.7])::DOUBLE AS r),"
-       " x AS (SELECT l_extendedprice AS y, l_quantity + (SELECT min(l_quantity) FROM lineitem) + 1e-8 AS x FROM lineitem),"
-       " s AS (SELECT g, r, regr_r2(y, exp(-pow(ln(x) - r, 2) / (2 * g * g)) / (x * g * sqrt(2 * pi()))) AS s FROM x, c, r GROUP BY g, r)"
-       " SELECT g AS sigma, r AS mu, round(s, 6) AS score FROM s ORDER BY s DESC, g, r LIMIT 1")
+@query(SETTINGS.format(top=21) + """
+ x AS (SELECT l_extendedprice AS y, l_quantity + (SELECT min(l_quantity) FROM lineitem) + 1e-8 AS x FROM lineitem),
+ s AS (SELECT g, r, regr_r2(y, exp(-pow(ln(x) - r, 2) / (2 * g * g)) / (x * g * sqrt(2 * pi()))) AS s FROM x, c, r GROUP BY g, r)
+ SELECT g AS sigma, r AS mu, round(s, 6) AS score FROM s ORDER BY s DESC, g, r LIMIT 1""")
 def lognormal_curve_fit(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
-    model = curves.LogNormalRegressor(("l_quantity",), PRICE, candidates=CURVE_GRID).fit(rows)
+    model = curves.LogNormalRegressor(("l_quantity",), PRICE).fit(rows)
     sigma, mu = model.chosen["l_quantity"]
     return model.scores(rows).select(F.lit(sigma).alias("sigma"), F.lit(mu).alias("mu"), rounded("l_extendedprice").alias("score"))
 
 
+def newton_sql(steps):
+    """Newton steps of a Poisson model on every curve, one after the other, over values counted once."""
+    sql = [SETTINGS.format(top=21) + """
+v AS (SELECT l_quantity AS q, count(*)::DOUBLE AS n, sum(floor(l_extendedprice / 5000)) AS y FROM lineitem GROUP BY 1),
+w AS MATERIALIZED (SELECT g, r, pow(q, g) / (pow(q, g) + r) AS x, n, y FROM v, c, r),
+a0 AS MATERIALIZED (SELECT g, r, ln(sum(y) / sum(n)) AS b, 0::DOUBLE AS k FROM w GROUP BY g, r)"""]
+    for i in range(steps):
+        sql.append(f"""
+s{i} AS (SELECT g, r, any_value(b) AS b, any_value(k) AS k, sum(y - n * m) AS gb, sum((y - n * m) * x) AS gk, sum(n * m) AS h0, sum(n * m * x) AS h1,
+  sum(n * m * x * x) AS h2 FROM (SELECT *, exp(b + k * x) AS m FROM w JOIN a{i} USING (g, r)) GROUP BY g, r),
+a{i + 1} AS MATERIALIZED (SELECT g, r, b + (h2 * gb - h1 * gk) / (h0 * h2 - h1 * h1) AS b, k + (h0 * gk - h1 * gb) / (h0 * h2 - h1 * h1) AS k FROM s{i})""")
+    return ",".join(sql)
+
+
+@query(newton_sql(25) + """,
+l AS (SELECT g, r, sum(y * (b + k * x) - n * exp(b + k * x)) AS l FROM w JOIN a25 USING (g, r) GROUP BY g, r),
+e AS (SELECT avg(f) AS m, avg(CASE WHEN f > 0 THEN f * ln(f) ELSE 0 END) AS e, count(*) AS n FROM (SELECT floor(l_extendedprice / 5000) AS f FROM lineitem))
+SELECT g AS gamma, r AS rho, round((l / n - (m * ln(m) - m)) / (e - m - (m * ln(m) - m)), 6) AS score FROM l, e
+WHERE isfinite(l) ORDER BY l DESC, g, r LIMIT 1""")
+def poisson_curve_fit(spark, sf):
+    """The setting whose own Poisson model explains most of the deviance, out of 600."""
+    rows = table(spark, sf, "lineitem").select("l_quantity", F.floor(F.col("l_extendedprice") / 5000).alias("steps"))
+    model = curves.AdbudgRegressor(("l_quantity",), ("steps",), poisson=True).fit(rows)
+    gamma, rho = model.chosen["l_quantity"]
+    score = model.search_scores["l_quantity"]
+    return spark.range(1).select(F.lit(gamma).alias("gamma"), F.lit(rho).alias("rho"), rounded(F.lit(score)).alias("score"))
+
+
 @query("WITH c AS (SELECT i / 10.0::DOUBLE AS g FROM range(1, 31) t(i)), r AS (SELECT i / 10.0::DOUBLE AS r FROM range(1, 21) t(i)),"
        " s AS (SELECT g, r, regr_r2(l_extendedprice, pow(l_quantity, g) / (pow(l_quantity, g) + r)) AS s FROM lineitem, c, r GROUP BY g, r)"
        " SELECT round(max(s), 6) AS score FROM s")
@@ -340,7 +466,7 @@ def poisson_on_curve(spark, sf):
     """Poisson model on a curve of one flag: predictions are the means of both sides."""
     rows = table(spark, sf, "lineitem").select(
         (F.col("l_linestatus") == "F").cast("int").alias("flag"), F.col("l_quantity").alias("clicks"))
-    model = curves.AdbudgRegressor(("flag",), ("clicks",), candidates=CURVE_GRID[:3], poisson=True)
+    model = curves.AdbudgRegressor(("flag",), ("clicks",), poisson=True)
     done = model.fit_transform(rows)
     return done.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("pred_clicks"), 4).alias("clicks"))
 

@@ -306,6 +306,23 @@ def metric_rows(spark, sf):
     return done.select("split", *[rounded(c).alias(c) for c in done.columns if c != "split"])
 
 
+@query("""
+WITH t AS (SELECT coalesce(nullif(l_partkey, 7), -1) AS split, l_discount AS y, l_tax * 0.5 + 0.03 AS p FROM lineitem),
+  z AS (SELECT * FROM t WHERE y <> 0),
+  e AS (SELECT split, min(least(y, p)) AS lo, max(greatest(y, p)) AS hi, count(*) AS n FROM z GROUP BY 1),
+  hp AS (SELECT split, least(floor((p - lo) / (hi - lo) * 8), 7) AS bin, count(*) / any_value(n) AS p FROM z JOIN e USING (split) GROUP BY 1, 2),
+  hq AS (SELECT split, least(floor((y - lo) / (hi - lo) * 8), 7) AS bin, count(*) / any_value(n) AS q FROM z JOIN e USING (split) GROUP BY 1, 2),
+  js AS (SELECT split, sum(p * ln(2 * p / (p + q)) + q * ln(2 * q / (p + q))) / 2 AS js FROM hp JOIN hq USING (split, bin) GROUP BY 1),
+  m AS (SELECT split, 1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)) AS score, avg(abs(y - p)) AS mae FROM t GROUP BY 1)
+SELECT nullif(split, -1) AS split, round(score, 6) + 0.0 AS score, round(mae, 6) AS mae, round(js, 6) AS non_zero_js_div FROM m LEFT JOIN js USING (split)""")
+def metric_rows_of_many_splits(spark, sf):
+    """Thousands of splits, one of them without a name."""
+    rows = table(spark, sf, "lineitem").select(
+        F.nullif(F.col("l_partkey"), F.lit(7)).alias("split"), "l_discount", (F.col("l_tax") * 0.5 + 0.03).alias("pred"))
+    done = metrics.metric_rows(rows, "l_discount", "pred", "split", bins=8)
+    return done.select("split", *[rounded(c).alias(c) for c in ("score", "mae", "non_zero_js_div")])
+
+
 SPREADS = SCORED + """
 , s AS (SELECT var_pop(l_extendedprice) / pow(max(l_extendedprice) - min(l_extendedprice), 2) AS vy, var_pop(pred) / pow(max(pred) - min(pred), 2) AS vp,
         var_pop(l_discount) / pow(max(l_discount) - min(l_discount), 2) AS wy, var_pop(pred_discount) / pow(max(pred_discount) - min(pred_discount), 2) AS wp,

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwright.catalog.registry import query, rounded, table
+from loomwright.catalog.groups import LARGE_CODED, large_coded
+from loomwright.catalog.registry import query, rounded, table, text_list
 from loomwright.operators import features
-from loomwright.operators.encode import OneHot
+from loomwright.operators.encode import Codes, OneHot
+from loomwright.operators.lookup import DecodeIds, DecodeRegions
 from loomwright.operators.models import GroupedRegressor, LinearRegressor
 from loomwright.operators.search import best_run, leaderboard
 from loomwright.plans.operator import Chain
@@ -166,3 +168,42 @@ def scored_stream(spark, sf):
     done = streamed(spark, stream, chain)
     return done.select("event_id", "weekday", rounded("pred_value").alias("pred_value"))
 
+
+def streamed_batches(spark, stream, operator):
+    path, marks = scratch_path(spark, "streamed"), scratch_path(spark, "stream-marks")
+    score.write_batches(stream, operator, path, marks).awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query(LARGE_CODED)
+def streamed_region_names(spark, sf):
+    """Lists on a stream, decoded by a reference table that is joined batch by batch."""
+    rows, reference = large_coded(spark, sf)
+    path = scratch_path(spark, "coded")
+    rows.repartition(3).write.parquet(path)
+    stream = score.table_stream(spark, path, rows.schema, files_per_batch=2)
+    done = streamed_batches(spark, stream, DecodeRegions("_region", reference))
+    return done.select("o_orderkey", text_list("x_region_name").alias("x_region_name"))
+
+
+@query("""
+WITH u AS (SELECT DISTINCT o_orderkey, unnest([o_custkey, o_custkey * 7]) AS id FROM orders)
+SELECT o_orderkey, string_agg(c_name, '|' ORDER BY id) AS ids_name FROM u JOIN customer ON c_custkey = id GROUP BY 1""")
+def streamed_id_names(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.array("o_custkey", F.col("o_custkey") * 7).alias("ids"))
+    path = scratch_path(spark, "coded")
+    rows.repartition(3).write.parquet(path)
+    reference = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    done = streamed_batches(spark, score.table_stream(spark, path, rows.schema, files_per_batch=2), DecodeIds("ids", reference))
+    return done.select("o_orderkey", text_list("ids_name").alias("ids_name"))
+
+
+@query("SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS BIGINT) AS o_custkey_index FROM orders")
+def streamed_codes(spark, sf):
+    """A dictionary made from the stored table codes the stream, in the stream's own plan."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    codes = Codes(("o_custkey",)).fit(rows)
+    path = scratch_path(spark, "orders")
+    rows.write.parquet(path)
+    done = streamed(spark, score.table_stream(spark, path, rows.schema), codes)
+    return done.select("o_orderkey", "o_custkey_index")

@@ -183,13 +183,6 @@ def distinct_items(df: DataFrame, column: str, name: str = "value") -> DataFrame
     return items.distinct().orderBy(name)
 
 
-def collect_bounded(values: DataFrame, limit: int, what: str) -> list:
-    rows = values.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} has more than {limit} distinct values")
-    return [r[0] for r in rows]
-
-
 def feature_moments(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Mean and population variance of every feature, missing values skipped."""
     exprs = [e for c in features for e in (

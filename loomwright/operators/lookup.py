@@ -9,10 +9,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwright.functions import calendar
 from loomwright.operators.aggregate import _all_known, first_rows, order_key
-from loomwright.plans.columns import containing, q, with_all
+from loomwright.operators.encode import dictionary, is_list, joined_codes, joined_lists
+from loomwright.plans.columns import containing, q, type_of, with_all
 from loomwright.plans.joins import salted_join
 from loomwright.plans.operator import Operator
 
@@ -45,25 +47,6 @@ def literal_map(pairs: Mapping) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
-def decode_by_join(df: DataFrame, column: str, table: DataFrame, out: str, code=None, otherwise=None) -> DataFrame:
-    """Replace list elements through a join with a large table (columns ``k``, ``v``).
-
-    The list itself is the key: different lists are taken apart, looked up, put together again in their old order
-    and joined back, so rows need no key and rows that repeat do no harm.
-    """
-    element = F.col("_element") if code is None else code(F.col("_element"))
-    lists = df.where(q(column).isNotNull()).select(q(column).alias("_list")).distinct()
-    items = lists.select("_list", F.posexplode("_list").alias("_pos", "_element")).withColumn("k", element)
-    found = salted_join(items, table, ["k"], "left")
-    value = F.col("v") if otherwise is None else otherwise(F.col("_element"), F.col("v"))
-    decoded = found.groupBy(F.col("_list").alias(column)).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", value.alias("v")))).alias("_pairs")
-    ).withColumn("_decoded", F.transform("_pairs", lambda p: p["v"])).drop("_pairs")
-    joined = salted_join(df, decoded, [column], "left")
-    nothing = F.when(q(column).isNotNull(), F.array().cast("array<string>"))
-    return joined.select(*[q(c) for c in df.columns if c != out], F.coalesce(q("_decoded"), nothing).alias(out))
-
-
 @dataclass(frozen=True)
 class DecodeRegions(Operator):
     """Lists of country-coded ids (``DE123``) as lists of names; unknown ids become NULL.
@@ -111,7 +94,7 @@ class DecodeRegions(Operator):
                 )
             else:
                 prepared = df.withColumn("_list", clean)
-                df = decode_by_join(prepared, "_list", self.lookup(), out, self.code, self.named).drop("_list")
+                df = joined_lists(prepared, "_list", self.lookup(), out, None, self.code, self.named).drop("_list")
         return df
 
 
@@ -146,7 +129,7 @@ class DecodeIds(Operator):
                 table = literal_map(self.pairs)
                 df = df.withColumn(out, F.transform(q(c), lambda x: F.try_element_at(table, self.code(x))))
             else:
-                df = decode_by_join(df, c, self.lookup(), out, self.code)
+                df = joined_lists(df, c, self.lookup(), out, None, self.code)
             df = df.withColumn(out, F.array_distinct(F.array_compact(q(out))))
         return df
 
@@ -184,7 +167,7 @@ class CountriesFromRegions(Operator):
                 "region_country", F.transform(q(self.region_column), lambda x: F.try_element_at(table, x))
             )
         else:
-            named = decode_by_join(firsts, self.region_column, self.lookup(), "region_country")
+            named = joined_lists(firsts, self.region_column, self.lookup(), "region_country")
         profiles = named.select(
             q(self.key), F.array_sort(F.array_distinct(F.array_compact("region_country"))).alias("region_country")
         )
@@ -238,44 +221,55 @@ class AverageEmbeddings(Operator):
 class MapValues(Operator):
     """Replace values, or list elements, through a map.
 
-    Values that the map lacks become NULL, or raise on use when ``strict``. Without a map, codes from 0
-    are given by sorted value.
+    A map is a dict or a table (k, v) of any size; long dicts become tables, which are joined. Values that the map lacks
+    become NULL, or raise on use when ``strict``. Without a map, codes from 0 are given by sorted value.
     """
 
     columns: tuple[str, ...]
-    maps: Mapping[str, Mapping] | None = None
+    maps: Mapping[str, Mapping | DataFrame] | None = None
     strict: bool = False
-    max_items: int = 1_000
 
     def fit(self, df: DataFrame) -> MapValues:
-        from loomwright.operators.encode import MultiHot
-
         known = dict(self.maps or {})
-        todo = [c for c in self.columns if c not in known]
-        items = MultiHot(tuple(todo), {}, self.max_items).fit(df).items if todo else {}
-        known.update({c: {v: i for i, v in enumerate(items[c])} for c in todo})
+        for c in self.columns:
+            if c not in known:
+                table = dictionary(df, c).select(F.col("value").alias("k"), F.col("index").cast("int").alias("v"))
+                short = short_map(table)
+                known[c] = table if short is None else short
         return replace(self, maps=known)
 
+    def unmapped(self, column: str, key: Column, value: Column, kind: T.DataType) -> Column:
+        if not self.strict:
+            return value
+        error = F.raise_error(F.concat(F.lit(f"no mapping in {column} for "), key.cast("string")))
+        return F.when(key.isNotNull() & value.isNull(), error.cast("string").cast(kind)).otherwise(value)
+
     def transform(self, df: DataFrame) -> DataFrame:
-        new = {}
         for c in self.columns:
-            table = literal_map(self.maps[c])
-            if df.schema[c].dataType.typeName() == "array":
-                new[c] = replace_elements(q(c), table)
+            table = self.maps[c]
+            if isinstance(table, Mapping) and len(table) > MAP_ROWS:
+                table = df.sparkSession.createDataFrame([*table.items()], ["k", "v"])
+            listed = is_list(df, c)
+            if isinstance(table, DataFrame):
+                kind = type_of(df, c).elementType if listed else type_of(df, c)
+                table = table.select(F.col("k").cast(kind).alias("k"), "v")
+                names = df.columns
+                if listed:
+                    df = joined_lists(df, c, table, "_mapped")
+                else:
+                    df = joined_codes(df, c, table, "_mapped")
+                    df = df.withColumn("_mapped", self.unmapped(c, q(c), F.col("_mapped"), type_of(df, "_mapped")))
+                df = df.select(*[F.col("_mapped").alias(n) if n == c else q(n) for n in names])
                 continue
-            value = F.try_element_at(table, q(c))
-            if self.strict:
-                unknown = F.raise_error(F.concat(F.lit(f"no mapping in {c} for "), q(c).cast("string")))
-                unmapped = unknown.cast("string").cast(_value_type(self.maps[c]))
-                value = F.when(q(c).isNotNull() & value.isNull(), unmapped).otherwise(value)
-            new[c] = value
-        return with_all(df, new)
+            pairs = literal_map(table)
+            if listed:
+                value = replace_elements(q(c), pairs)
+            else:
+                value = F.try_element_at(pairs, q(c))
+                value = self.unmapped(c, q(c), value, type_of(df.select(value.alias("v")), "v"))
+            df = with_all(df, {c: value})
+        return df
 
 
 def replace_elements(items: Column, table: Column) -> Column:
     return F.transform(items, lambda x: F.try_element_at(table, x))
-
-
-def _value_type(pairs: Mapping) -> str:
-    kinds = {bool: "boolean", int: "int", float: "double", str: "string"}
-    return kinds[type(next(iter(pairs.values())))]

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import mathops
 from loomwright.plans.columns import filled, number, q
-
-MAX_SPLITS = 1_000
+from loomwright.plans.joins import salted_join
+from loomwright.session import stored
 
 Score = Callable[[Column, Column], Column]
 
@@ -55,32 +55,25 @@ def metric_rows(df: DataFrame, target: str, prediction: str, split: str, bins: i
     """
     y, p = F.col("_y"), F.col("_p")
     rows = df.select(q(split).alias(split), filled(df, target).alias("_y"), filled(df, prediction).alias("_p"))
-    table = rows.groupBy(split).agg(
+    table = stored(rows.groupBy(split).agg(
         r2(y, p).alias("score"), poisson_loss(y, p).alias("poisson_loss"), mae(y, p).alias("mae"),
         F.avg(F.when(y != 0, F.abs(y - p))).alias("non_zero_mae"),
         (1 - mae(y, p) / F.stddev_samp(y)).alias("mad_acc"),
-        F.min(F.when(y != 0, F.least(y, p))).alias("_lo"), F.max(F.when(y != 0, F.greatest(y, p))).alias("_hi"),
-    )
-    # the range of each split as literals; two bin counts per row go through one aggregate
-    ends = table.select(split, "_lo", "_hi").limit(MAX_SPLITS + 1).collect()
-    if len(ends) > MAX_SPLITS:
-        raise ValueError(f"{split} has more than {MAX_SPLITS} values")
+        F.min(F.when(y != 0, F.least(y, p))).alias("_lo"), F.max(F.when(y != 0, F.greatest(y, p))).alias("_hi"), F.count(F.lit(1)).alias("_n"),
+    ), "splits")
+    # a split that is NULL is one like any other: its name is kept in a struct, which joins on equal content
+    one = F.when(F.col("_lo") == F.col("_hi"), 1.0).otherwise(0.0)
+    ends = table.select(F.struct(q(split)).alias("_split"), (F.col("_lo") - one).alias("_lo"), (F.col("_hi") + one).alias("_hi"), "_n")
+    ranged = salted_join(
+        rows.where(y != 0).select(F.struct(q(split)).alias("_split"), "_y", "_p"), ends.drop("_n"), ["_split"], "inner",
+        counts=ends.select("_split", "_n"))
 
     def place(v: Column) -> Column:
-        spot = F.lit(None).cast("int")
-        for row in ends:
-            if row["_lo"] is None:
-                continue
-            low, high = row["_lo"], row["_hi"]
-            if low == high:
-                low, high = low - 1.0, high + 1.0
-            inside = F.least(F.floor((v - low) / F.lit(high - low) * F.lit(bins)), F.lit(bins - 1)).cast("int")
-            spot = F.when(q(split).eqNullSafe(F.lit(row[split])), inside).otherwise(spot)
-        return spot
+        width = F.col("_hi") - F.col("_lo")
+        return F.least(F.floor((v - F.col("_lo")) / width * F.lit(bins)), F.lit(bins - 1)).cast("int")
 
     sides = (
-        rows.where(y != 0)
-        .select(split, F.explode(F.array(
+        ranged.select(F.col("_split")[split].alias(split), F.explode(F.array(
             F.struct(place(y).alias("bin"), F.lit(1).alias("y"), F.lit(0).alias("p")),
             F.struct(place(p).alias("bin"), F.lit(0).alias("y"), F.lit(1).alias("p")),
         )).alias("s"))
@@ -93,7 +86,9 @@ def metric_rows(df: DataFrame, target: str, prediction: str, split: str, bins: i
     from loomwright.operators.diverge import js
 
     divergence = shares.groupBy(split).agg(js(F.col("p"), F.col("q")).alias("non_zero_js_div"))
-    return table.drop("_lo", "_hi").join(divergence, split, "left")
+    named = divergence.select(F.struct(q(split)).alias("_split"), "non_zero_js_div")
+    whole_table = table.drop("_lo", "_hi", "_n").withColumn("_split", F.struct(q(split)))
+    return whole_table.join(named, "_split", "left").drop("_split")
 
 
 def scaled_variance(value: Column) -> Column:

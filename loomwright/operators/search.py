@@ -1,9 +1,9 @@
 """What-if analysis: recommending input values, responses over option grids, model search.
 
 The question is always the mean (or spread) of predictions when some columns of every row are replaced
-by a candidate. Rows are never paired with candidates. For linear models the rows enter through one
-number per target, so one aggregate pass answers all candidates; other models are averaged
-candidate by candidate inside one aggregate.
+by a candidate. Rows are never paired with candidates in a table. For linear models the rows enter through one
+number per target, so one aggregate pass answers all candidates. Trees and other models with a matrix form
+(``evaluate``) walk through the candidates inside the tasks, which hand back sums; so does a chain of row-wise steps.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,8 +20,10 @@ from pyspark.sql import functions as F
 
 from loomwright.operators import metrics
 from loomwright.operators.aggregate import search_range
+from loomwright.operators.evaluate import evaluator, inputs
 from loomwright.operators.models import LinearRegressor, Regressor, prediction_name
-from loomwright.plans.columns import containing, filled, q, with_all
+from loomwright.plans.columns import containing, filled, lit_array, q, with_all
+from loomwright.plans.moments import partial_sums
 from loomwright.plans.operator import Chain
 from loomwright.session import stored
 
@@ -33,8 +34,10 @@ DEFAULT_SPACE = (-200.0, 200.0)
 LIKELIHOOD_WIDTH = 0.05
 PLAIN_SHARE, SPREAD_SHARE = 0.7, 0.3
 EVALUATIONS = 15
-# candidates per job when a model has no closed form
+# candidates per job when steps behind the replaced columns need the whole table
 PER_JOB = 20
+# predictions that a task makes at a time
+EVALUATED = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -44,8 +47,16 @@ class Candidates:
     columns: tuple[str, ...]
     rows: tuple[tuple[float, ...], ...]
 
+    @property
+    def count(self) -> int:
+        return len(self.rows)
+
+    def block(self, low: int, high: int) -> np.ndarray:
+        """The candidates from ``low`` to before ``high`` as a matrix."""
+        return np.array(self.rows[low:high], float).reshape(-1, len(self.columns))
+
     def settings(self) -> list[dict[str, float]]:
-        return [dict(zip(self.columns, r)) for r in self.rows]
+        return [dict(zip(self.columns, r)) for r in self.block(0, self.count).tolist()]
 
     def table(self, spark: SparkSession, id_name: str = "candidate") -> DataFrame:
         fields = ", ".join(f"`{c}` double" for c in self.columns)
@@ -54,6 +65,48 @@ class Candidates:
         )
 
 
+@dataclass(frozen=True)
+class OptionGrid:
+    """All combinations of some options, never listed: a combination follows from its number.
+
+    The last column changes fastest. ``normalized`` divides every combination by its sum; one that sums to 0 has no value.
+    """
+
+    columns: tuple[str, ...]
+    options: tuple[float, ...]
+    normalized: bool = False
+
+    @property
+    def count(self) -> int:
+        return len(self.options) ** len(self.columns)
+
+    @property
+    def rows(self) -> list[tuple[float, ...]]:
+        return [*map(tuple, self.block(0, self.count).tolist())]
+
+    def steps(self) -> list[int]:
+        return [len(self.options) ** k for k in reversed(range(len(self.columns)))]
+
+    def block(self, low: int, high: int) -> np.ndarray:
+        number = np.arange(low, min(high, self.count))
+        values = np.array(self.options)[number[:, None] // np.array(self.steps(), np.int64)[None] % len(self.options)]
+        if self.normalized:
+            total = values.sum(1, keepdims=True)
+            values = np.divide(values, total, out=np.full_like(values, math.nan), where=total != 0)
+        return values
+
+    def settings(self) -> list[dict[str, float]]:
+        return [dict(zip(self.columns, r)) for r in self.rows]
+
+    def table(self, spark: SparkSession, id_name: str = "candidate") -> DataFrame:
+        options = F.array(*[F.lit(o) for o in self.options])
+        values = [F.get(options, (F.floor(F.col("id") / step) % len(self.options)).cast("int")) for step in self.steps()]
+        if self.normalized:
+            total = reduce(operator.add, values)
+            values = [F.when(total != 0, v / total).otherwise(F.lit(math.nan)) for v in values]
+        return spark.range(self.count).select(F.col("id").cast("int").alias(id_name), *[v.alias(c) for c, v in zip(self.columns, values)])
+
+
 def random_candidates(
     spaces: Mapping[str, tuple[float, float]], count: int = ROUNDS * DRAWS, seed: int = 42
 ) -> Candidates:
@@ -76,19 +129,13 @@ def even_candidates(spaces: Mapping[str, tuple[float, float]], count: int = EVAL
     return Candidates(columns, tuple(rows))
 
 
-def option_candidates(columns: Sequence[str], options: Sequence[float], normalized: bool = False) -> Candidates:
+def option_candidates(columns: Sequence[str], options: Sequence[float], normalized: bool = False) -> OptionGrid:
     """All combinations of the options; optionally every combination divided by its sum."""
-    rows = []
-    for combo in product([float(o) for o in options], repeat=len(columns)):
-        total = sum(combo)
-        if normalized:
-            combo = tuple(v / total if total else math.nan for v in combo)
-        rows.append(combo)
-    return Candidates(tuple(columns), tuple(rows))
+    return OptionGrid(tuple(columns), tuple(float(o) for o in options), normalized)
 
 
 def mean_responses(
-    df: DataFrame, model: Regressor, target: str, candidates: Candidates, logged: bool = False,
+    df: DataFrame, model: Regressor, target: str, candidates: Candidates | OptionGrid, logged: bool = False,
     prepare: Chain | None = None,
 ) -> DataFrame:
     """Per candidate: mean and mean square of the predictions over all rows.
@@ -96,32 +143,42 @@ def mean_responses(
     ``logged`` means the model predicts ``log(1 + y)`` and responses are wanted for ``y``. ``prepare`` is
     a fitted chain that runs on the rows first; its steps up to the first one that reads a replaced column
     run once, the others for every candidate. Columns: candidate, mean, square, rows.
+
+    All candidates are answered by one pass over the rows, unless a step behind the replaced columns needs the whole
+    table: then there is one aggregate per candidate, ``PER_JOB`` of them in a job.
     """
     if prepare is not None:
         before, after = prepare.split_at(candidates.columns)
         df = before(df)
-        if after.steps:
+        if not after.row_wise():
             return _averaged_responses(stored(df, "prepared"), model, target, candidates, logged, after)
+        if after.steps:
+            return _unfolded_responses(df, model, target, candidates, logged, after)
         df = after(df)
     if isinstance(model, LinearRegressor):
         return _linear_responses(df, model, target, candidates, logged)
     return _general_responses(df, model, target, candidates, logged)
 
 
-def _linear_responses(df, model, target, candidates, logged) -> DataFrame:
+def _linear_parts(df, model, target, columns, logged) -> tuple[DataFrame, np.ndarray]:
+    """One row of averages of what the replaced columns leave alone, and the weights of the replaced columns."""
     ready = model.ready(df)
-    changed = set(candidates.columns)
     weights = dict(zip(model.features, model.weights[target]))
     rest = reduce(
-        operator.add, [F.lit(w) * filled(ready, c) for c, w in weights.items() if c not in changed],
+        operator.add, [F.lit(w) * filled(ready, c) for c, w in weights.items() if c not in set(columns)],
         F.lit(model.intercepts[target]),
     )
     # y = rest + step per row and candidate; with logs y = exp(rest) * exp(step) - 1
     part = F.exp(rest) if logged else rest
     facts = ready.agg(F.avg(part).alias("a"), F.avg(part * part).alias("b"), F.count(F.lit(1)).alias("rows"))
+    return facts, np.array([weights.get(c, 0.0) for c in columns], float)
+
+
+def _linear_responses(df, model, target, candidates, logged) -> DataFrame:
+    facts, weights = _linear_parts(df, model, target, candidates.columns, logged)
     table = candidates.table(df.sparkSession)
     step = reduce(
-        operator.add, [F.lit(w) * F.coalesce(F.nanvl(q(c), F.lit(0.0)), F.lit(0.0)) for c, w in weights.items() if c in changed],
+        operator.add, [F.lit(float(w)) * F.coalesce(F.nanvl(q(c), F.lit(0.0)), F.lit(0.0)) for c, w in zip(candidates.columns, weights)],
         F.lit(0.0),
     )
     joined = table.withColumn("_step", step).join(F.broadcast(facts))
@@ -136,14 +193,68 @@ def _linear_responses(df, model, target, candidates, logged) -> DataFrame:
 
 
 def _general_responses(df, model, target, candidates, logged) -> DataFrame:
-    """For other models: rows that agree in all columns the model reads are counted once and stored; then
-    every candidate is averaged over those combinations, a few candidates per job."""
+    """For other models: a function of matrices where the model has one, else its own table form."""
+    function = evaluator(model)
+    if function is None:
+        return _unfolded_responses(df, model, target, candidates, logged, Chain(()))
+    count = candidates.count
+    acc = _evaluated(df, model, function, target, candidates, logged, each=True)
+    means, squares, rows = acc[:count], acc[count:2 * count], acc[-1]
+    table = [(i, float(m / rows) if rows else None, float(s / rows) if rows else None, int(rows)) for i, (m, s) in enumerate(zip(means, squares))]
+    return df.sparkSession.createDataFrame(table, "candidate int, mean double, square double, rows bigint")
+
+
+def _evaluated(df, model, function, target, candidates, logged, each: bool) -> np.ndarray:
+    """Sums of predictions and of their squares, per candidate or over all, and the number of rows, in one pass.
+
+    Rows that agree in all columns that the model reads are counted first. A task walks through the candidates in blocks
+    and hands back sums only.
+    """
     ready = model.ready(df)
-    others = [c for c in model.features if c not in candidates.columns]
-    combos = ready.select(*[filled(ready, c).alias(c) for c in others]).groupBy(*others).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    return _averaged_responses(stored(combos, "combinations"), model, target, candidates, logged)
+    others = [c for c in inputs(model) if c not in candidates.columns and c in ready.columns]
+    combos = ready.select(*[filled(ready, c).alias(f"o{i}") for i, c in enumerate(others)]).groupBy(
+        *[f"o{i}" for i in range(len(others))]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    count = candidates.count
+
+    def sums(matrix: np.ndarray) -> np.ndarray:
+        weight, rows = matrix[:, 0], len(matrix)
+        out = np.zeros(2 * count + 1 if each else 3)
+        out[-1] = weight.sum()
+        block = max(1, EVALUATED // rows)
+        for low in range(0, count, block):
+            tried = np.nan_to_num(candidates.block(low, low + block), nan=0.0, posinf=np.inf, neginf=-np.inf)
+            columns = {c: np.tile(matrix[:, 1 + i], len(tried)) for i, c in enumerate(others)}
+            columns |= {c: np.repeat(tried[:, i], rows) for i, c in enumerate(candidates.columns)}
+            p = function(columns)[target]
+            p = np.expm1(p) if logged else p
+            p = np.broadcast_to(p, len(tried) * rows).reshape(len(tried), rows)
+            if each:
+                out[low:low + len(tried)] = p @ weight
+                out[count + low:count + low + len(tried)] = (p * p) @ weight
+            else:
+                out[0] += (p @ weight).sum()
+                out[1] += ((p * p) @ weight).sum()
+        return out
+
+    packed_rows = combos.select(F.array("n", *[F.col(f"o{i}") for i in range(len(others))]).alias("_x"))
+    return partial_sums(packed_rows, "_x", 1 + len(others), sums, 2 * count + 1 if each else 3)
+
+
+def _unfolded_responses(df, model, target, candidates, logged, after: Chain) -> DataFrame:
+    """Every row takes every candidate's values on its way through row-wise steps and the model, in one pass.
+
+    The rows unfold inside the tasks and are added up there; only sums per candidate are shuffled.
+    """
+    numbers = df.withColumn("_candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates.count - 1))))
+    values = candidates.block(0, candidates.count)
+    replaced = with_all(numbers, {c: F.get(lit_array(values[:, i].tolist()), F.col("_candidate")) for i, c in enumerate(candidates.columns)})
+    done = model.transform(after(replaced))
+    p = filled(done, prediction_name(target))
+    p = F.expm1(p) if logged else p
+    sums = done.groupBy(F.col("_candidate").alias("candidate")).agg(
+        F.avg(p).alias("mean"), F.avg(p * p).alias("square"), F.count(F.lit(1)).alias("rows"))
+    every = df.sparkSession.range(candidates.count).select(F.col("id").cast("int").alias("candidate"))
+    return every.join(sums, "candidate", "left").select("candidate", "mean", "square", F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"))
 
 
 def _averaged_responses(table, model, target, candidates, logged, after=None) -> DataFrame:
@@ -266,18 +377,42 @@ def analyze_options(
             continue
         candidates = option_candidates(columns, options, part in normalized)
         for t in model.targets:
-            responses = mean_responses(df, model, t, candidates, logged, prepare)
-            mean = F.avg("mean")
-            var = F.avg("square") - mean * mean
-            parts.append(responses.agg(
-                F.lit(part.rstrip("_")).alias("field"), F.lit(t).alias("target"), F.count(F.lit(1)).alias("combinations"),
-                F.greatest(var, F.lit(0.0)).alias("var"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), mean.alias("mean"),
+            mean, square = _overall(df, model, t, candidates, logged, prepare)
+            var = square - mean * mean
+            parts.append(df.sparkSession.range(1).select(
+                F.lit(part.rstrip("_")).alias("field"), F.lit(t).alias("target"), F.lit(candidates.count).cast("bigint").alias("combinations"),
+                F.greatest(F.lit(var), F.lit(0.0)).alias("var"), F.sqrt(F.greatest(F.lit(var), F.lit(0.0))).alias("std"), F.lit(mean).alias("mean"),
             ))
     if not parts:
         raise ValueError("no column matches any field")
     return reduce(DataFrame.unionByName, parts)
 
 
+def _overall(df, model, target, candidates, logged, prepare) -> tuple[float, float]:
+    """Mean and mean square of the predictions over all rows and candidates, without a row per candidate."""
+    if prepare is None and isinstance(model, LinearRegressor):
+        facts, step = _linear_parts(df, model, target, candidates.columns, logged)
+        row = facts.first()
+        a, b = row["a"] or 0.0, row["b"] or 0.0
+        total = square = 0.0
+        for low in range(0, candidates.count, EVALUATED):
+            moved = np.nan_to_num(candidates.block(low, low + EVALUATED), nan=0.0, posinf=np.inf, neginf=-np.inf) @ step
+            if logged:
+                k = np.exp(moved)
+                total += float((a * k - 1).sum())
+                square += float((b * k * k - 2 * a * k + 1).sum())
+            else:
+                total += float((a + moved).sum())
+                square += float((b + 2 * a * moved + moved * moved).sum())
+        return total / candidates.count, square / candidates.count
+    function = evaluator(model) if prepare is None else None
+    if function is not None:
+        acc = _evaluated(df, model, function, target, candidates, logged, each=False)
+        return float(acc[0] / acc[2] / candidates.count), float(acc[1] / acc[2] / candidates.count)
+    row = mean_responses(df, model, target, candidates, logged, prepare).agg(F.avg("mean"), F.avg("square")).first()
+    return row[0], row[1]
+
+
 def option_samples(df: DataFrame, model: Regressor, part: str, options: Sequence[float], target: str,
                    normalize: bool = False, logged: bool = False) -> DataFrame:
     """The single combinations with their mean response."""

@@ -6,7 +6,7 @@ returns an operator whose fields hold the result; ``transform`` is lazy and neve
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, fields
 from functools import reduce
 from typing import Any, ClassVar
@@ -41,15 +41,34 @@ class Operator:
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df)(df)
 
-    def reads(self) -> set[str]:
-        """Names of the input columns, as far as the fields tell."""
+    def names(self) -> set[str]:
+        """Every text in the fields, at any depth: names and parts of names of columns are among them."""
         found: set[str] = set()
-        for field in fields(self):
-            value = getattr(self, field.name)
-            if field.name in ("columns", "keys", "column"):
-                found.update([value] if isinstance(value, str) else value or [])
+        todo: list[Any] = [getattr(self, f.name) for f in fields(self)]
+        while todo:
+            value = todo.pop()
+            if isinstance(value, str):
+                found.add(value)
+            elif isinstance(value, Operator):
+                found |= value.names()
+            elif isinstance(value, Mapping):
+                todo += [*value.keys(), *value.values()]
+            elif isinstance(value, (tuple, list, set, frozenset)):
+                todo += value
         return found
 
+    def row_wise(self) -> bool:
+        """Whether each row is made from one row alone, whatever rows stand beside it."""
+        return not self.whole_table
+
+    def leaves_alone(self, columns: set[str]) -> bool:
+        """Whether it can be told that these columns are neither read nor changed nor added up.
+
+        A step that works on whole tables may gather columns that it does not name, and one that names none may work on all.
+        """
+        named = self.names()
+        return self.row_wise() and bool(named) and not any(name in c for c in columns for name in named)
+
 
 @dataclass(frozen=True)
 class Apply(Operator):
@@ -60,6 +79,9 @@ class Apply(Operator):
     def transform(self, df: DataFrame) -> DataFrame:
         return self.function(df)
 
+    def row_wise(self) -> bool:
+        return False  # nothing is known of it
+
 
 @dataclass(frozen=True)
 class Chain(Operator):
@@ -87,13 +109,16 @@ class Chain(Operator):
             df = FillMissing().transform(df)
         return df
 
+    def row_wise(self) -> bool:
+        return all(step.row_wise() for step in self.steps)
+
     def split_at(self, changed: Iterable[str]) -> tuple[Chain, Chain]:
-        """Steps that never see ``changed`` columns, and the rest.
+        """Leading steps that leave ``changed`` columns alone, and the rest.
 
         The first part can run once, outside a loop that rewrites those columns.
         """
         changed = set(changed)
         for position, step in enumerate(self.steps):
-            if step.reads() & changed or not step.reads():
+            if not step.leaves_alone(changed):
                 return Chain(self.steps[:position]), Chain(self.steps[position:], self.features, self.fill)
         return Chain(self.steps), Chain((), self.features, self.fill)

@@ -1,4 +1,4 @@
-"""Fitted row-wise operators on streams."""
+"""Fitted operators on streams: row-wise ones in the stream's own plan, others batch by batch."""
 
 from __future__ import annotations
 
@@ -38,3 +38,18 @@ def write_available(scored: DataFrame, path: str, checkpoint: str) -> StreamingQ
         .trigger(availableNow=True).start(path)
     )
 
+
+def write_batches(stream: DataFrame, operator: Operator, path: str, checkpoint: str) -> StreamingQuery:
+    """Write everything that is there now, transformed batch by batch, as parquet; then stop.
+
+    A batch is a table like any other, so look-ups that take lists apart and join large tables work here; what an operator
+    says of a whole table (first rows, groups) it says of the batch. A batch has a folder of its own, ``batch=<n>``, which
+    is written anew when the batch is repeated after a failure, so every row is written once.
+    """
+    if not stream.isStreaming:
+        raise ValueError("not a stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        operator(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -104,6 +104,73 @@ def test_responses_in_closed_form_and_general(spark, campaign):
         assert a["rows"] == b["rows"] == 800
 
 
+def test_models_as_functions_of_matrices(spark, campaign):
+    """Trees, forests, boosted trees, generalised, stacked, defaulted and curve models answer as their table form does."""
+    from pyspark.ml import regression
+
+    from loomwright.operators.evaluate import evaluator, inputs
+
+    def ml(build):
+        return models.SparkRegressor(FEATURES, ("t",), build=build)
+
+    shifted = campaign.withColumn("t", F.abs("t") + 1)
+    kinds = [
+        ml(lambda: regression.DecisionTreeRegressor(maxDepth=4, seed=1)), ml(lambda: regression.RandomForestRegressor(numTrees=3, seed=1)),
+        ml(lambda: regression.GBTRegressor(maxIter=3, seed=1)), ml(lambda: regression.LinearRegression()),
+        ml(lambda: regression.GeneralizedLinearRegression(family="poisson", link="log")),
+        ml(lambda: regression.GeneralizedLinearRegression(family="gamma")),
+        models.StackedRegressor(FEATURES, ("t",), (models.LinearRegressor(FEATURES[:1], ("t",)), ml(lambda: regression.DecisionTreeRegressor(maxDepth=3)))),
+        models.DefaultedRegressor(FEATURES, ("t",), models.LinearRegressor(FEATURES, ("t",)), {"f_1": 0.5}),
+        curves.AdbudgRegressor(FEATURES[:1], ("t",), candidates=((0.5, 1.0),)),
+    ]
+    candidates = search.random_candidates({"f_1": (-1, 1), "f_2": (0, 2)}, 4)
+    for kind in kinds:
+        model = kind.fit(shifted)
+        assert evaluator(model) is not None and set(inputs(model)) <= set(FEATURES)
+        got = search.mean_responses(shifted, model, "t", candidates).orderBy("candidate").collect()
+        for r, setting in zip(got, candidates.settings()):
+            done = model(shifted.withColumns({c: F.lit(v) for c, v in setting.items()}))
+            mean, square = done.agg(F.avg("pred_t"), F.avg(F.col("pred_t") ** 2)).first()
+            assert r["mean"] == pytest.approx(mean) and r["square"] == pytest.approx(square) and r["rows"] == 800
+        mean, square = search._overall(shifted, model, "t", candidates, False, None)
+        assert mean == pytest.approx(np.mean([r["mean"] for r in got])) and square == pytest.approx(np.mean([r["square"] for r in got]))
+
+
+def test_models_without_a_matrix_form_unfold(spark, campaign):
+    from pyspark.ml import regression
+
+    from loomwright.operators.evaluate import evaluator
+
+    model = models.SparkRegressor(FEATURES, ("t",), build=lambda: regression.IsotonicRegression()).fit(campaign)
+    assert evaluator(model) is None
+    candidates = search.random_candidates({"f_0": (-1, 1)}, 3)
+    got = search.mean_responses(campaign, model, "t", candidates).orderBy("candidate").collect()
+    for r, setting in zip(got, candidates.settings()):
+        assert r["mean"] == pytest.approx(model(campaign.withColumn("f_0", F.lit(setting["f_0"]))).agg(F.avg("pred_t")).first()[0])
+
+
+def test_responses_take_one_pass(spark, campaign):
+    """The number of jobs does not depend on the number of candidates."""
+    from pyspark.ml import regression
+
+    model = models.SparkRegressor(FEATURES, ("t",), build=lambda: regression.DecisionTreeRegressor(maxDepth=3)).fit(campaign)
+    context, jobs = spark.sparkContext, []
+    for count in (3, 2000):
+        context.setJobGroup(f"responses {count}", "count jobs")
+        assert search.mean_responses(campaign, model, "t", search.random_candidates({"f_1": (-1, 1)}, count)).count() == count
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"responses {count}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_option_grids_are_not_listed(spark):
+    grid = search.option_candidates(["a", "b", "c"], [0.0, 1.0, 4.0], normalized=True)
+    assert grid.count == 27 and [*map(tuple, grid.block(5, 7).tolist())] == grid.rows[5:7]
+    listed = [tuple(r)[1:] for r in grid.table(spark).orderBy("candidate").collect()]
+    assert np.array(listed) == pytest.approx(np.array(grid.rows), nan_ok=True)
+    assert search.option_candidates([f"x{k}" for k in range(40)], [0, 1]).block(5, 6).sum() == 2
+
+
 def test_preparation_around_a_search(spark, campaign):
     """Steps before the replaced column run once, steps that read it run per candidate; same result."""
     from loomwright.operators.features import ScaledColumn, SignedLog
@@ -151,6 +218,38 @@ def test_curve_search_recovers_parameters(spark):
     assert log.score(rows) == pytest.approx(log.search_scores["x"], abs=1e-9)
 
 
+def test_poisson_search_recovers_parameters(spark):
+    x = np.linspace(0.5, 30, 200)
+    z = np.sin(x)
+    mean = np.exp(0.3 + 2.5 * x**0.7 / (x**0.7 + 1.1) + 0.8 * (z * np.abs(z) ** -0.5) / (z * np.abs(z) ** -0.5 + 2.0))
+    rows = spark.createDataFrame([(float(a), float(c), float(b), float(2 * b)) for a, b, c in zip(x, mean, z)], "x double, z double, t double, u double")
+    model = curves.AdbudgRegressor(("x", "z"), ("t", "u"), poisson=True, rounds=3).fit(rows)
+    assert model.chosen == {"x": (0.7, 1.1), "z": (0.5, 2.0)} and model.search_scores["z"] > 0.999999
+    assert model.score(rows) > 0.9999
+    weights, intercept = model.poisson_weights["t"]
+    assert weights == pytest.approx([2.5, 0.8], abs=1e-3) and intercept == pytest.approx(0.3, abs=1e-3)
+    with pytest.raises(ValueError, match="0 and above"):
+        model.fit(rows.withColumn("t", -F.col("t")))
+
+
+def test_poisson_steps_that_overshoot(spark):
+    """Rare large counts, where a whole Newton step makes the fit worse."""
+    rows = spark.createDataFrame([(float(k), 0.0 if k < 60 else 400.0) for k in range(64)], "x double, t double")
+    model = curves.AdbudgRegressor(("x",), ("t",), poisson=True).fit(rows)
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    glm = models.SparkRegressor(("_c_x",), ("t",), build=lambda: GeneralizedLinearRegression(family="poisson", maxIter=100)).fit(model.curves(rows))
+    weights, intercept = model.poisson_weights["t"]
+    assert weights[0] == pytest.approx(glm.fitted["t"].coefficients[0], rel=1e-3)
+    assert intercept == pytest.approx(glm.fitted["t"].intercept, rel=1e-3)
+
+
+def test_poisson_penalty_shrinks(spark):
+    rows = spark.createDataFrame([(float(k), float(k)) for k in range(1, 40)], "x double, t double")
+    free, held = (curves.AdbudgRegressor(("x",), ("t",), candidates=((1.0, 1.0),), poisson=True, alpha=a).fit(rows) for a in (0.0, 0.8))
+    assert 0 < held.poisson_weights["t"][0][0] < free.poisson_weights["t"][0][0]
+
+
 def test_tasks_and_columns_compute_the_same_curve(spark):
     x = [-3.0, -1.0, 0.0, 0.5, 4.0]
     rows = spark.createDataFrame([(v,) for v in x], "x double")

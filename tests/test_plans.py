@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators.aggregate import GroupRows
-from loomwright.operators.select import OutlierRule
+from loomwright.operators.select import FillMissing, OutlierRule
 from loomwright.operators import diverge
 from loomwright.operators.aggregate import GroupValue, OncePerGroup
 from loomwright.operators.features import SignedLog
@@ -13,7 +13,7 @@ from loomwright.operators.lookup import DecodeIds, DecodeRegions
 from loomwright.operators.spine import TimeGrid
 from loomwright.plans.joins import salted_join
 from loomwright.plans.moments import Moments, _by_aggregates, _by_matrices, array_moments
-from loomwright.plans.operator import BatchOnly, Chain
+from loomwright.plans.operator import Apply, BatchOnly, Chain
 from loomwright.plans.ordered import exact_quantiles, range_bin, running_totals
 from loomwright.session import cut_lineage, shared_dir, stored
 
@@ -201,6 +201,13 @@ def test_chain_splits_before_changed_columns():
     assert len(first.steps) == 1 and len(rest.steps) == 2
 
 
+def test_chain_does_not_split_behind_steps_that_may_read_the_columns():
+    whole = GroupRows(("g",), by_column={"x": "sum"})
+    assert [len(c.steps) for c in Chain((SignedLog(("a",)), whole, SignedLog(("x",)))).split_at(["x"])] == [1, 2]
+    assert [len(c.steps) for c in Chain((Apply(lambda df: df), SignedLog(("x",)))).split_at(["x"])] == [0, 2]
+    assert [len(c.steps) for c in Chain((FillMissing(), SignedLog(("x",)))).split_at(["x"])] == [0, 2]
+
+
 @pytest.mark.parametrize("keys", [["g"], []])
 def test_places_in_groups_of_any_size(spark, keys):
     from loomwright.plans.ranks import ranked
