@@ -49,6 +49,17 @@ def grouped_predictions(spark, sf):
     return done.select(*LINE_KEYS, rounded("pred_l_extendedprice", 3).alias("pred_l_extendedprice"))
 
 
+@query(f"""
+WITH f AS (SELECT l_returnflag, l_suppkey % 80 AS s, avg(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2)
+SELECT {LINE}, round(p, 2) AS pred_l_extendedprice FROM lineitem l JOIN f ON f.l_returnflag = l.l_returnflag AND s = l_suppkey % 80""")
+def grouped_predictions_of_many_columns(spark, sf):
+    """80 flags per group: the model of a group gives each flag's mean."""
+    flags = tuple(f"s_{k}" for k in range(80))
+    rows = table(spark, sf, "lineitem").withColumns({f: (F.col("l_suppkey") % 80 == k).cast("double") for k, f in enumerate(flags)})
+    done = models.GroupedRegressor(flags, PRICE, "l_returnflag").fit_transform(rows)
+    return done.select(*LINE_KEYS, rounded("pred_l_extendedprice", 2).alias("pred_l_extendedprice"))
+
+
 @query("""
 SELECT l_suppkey, round(regr_r2(l_extendedprice, l_quantity), 6) AS l_extendedprice, round(regr_r2(l_tax, l_quantity), 6) AS l_tax
 FROM lineitem GROUP BY 1""")
@@ -168,6 +179,21 @@ def routed_prediction(spark, sf):
                        rounded("l_extendedprice", 3).alias("l_extendedprice"), rounded("clicks").alias("clicks"))
 
 
+@query("""
+WITH g AS (SELECT l_suppkey, avg(l_quantity) AS q, avg(l_extendedprice) AS price, count(*) AS n FROM lineitem WHERE l_suppkey <> 7 GROUP BY 1)
+SELECT l_suppkey, CAST(NULL AS BIGINT) AS l_orderkey, round((500 + 1400 * q) * n, 2) AS l_extendedprice FROM g
+UNION ALL SELECT l_suppkey, l_orderkey, round(1000 + 10 * sign(l_quantity) * ln(1 + l_quantity), 2) FROM lineitem WHERE l_suppkey = 7""")
+def routed_prediction_with_two_preparations(spark, sf):
+    """Supplier 7 keeps its single rows, with logs; the others are averaged."""
+    main = fixed(("l_quantity",), PRICE, {"l_extendedprice": [1400.0]}, {"l_extendedprice": 500.0})
+    other = fixed(("l_quantity",), PRICE, {"l_extendedprice": [10.0]}, {"l_extendedprice": 1000.0})
+    grouping = GroupRows(("l_suppkey",), ("l_quantity", "l_extendedprice"))
+    flow = scoring.RoutedPrediction(
+        main, PRICE, Chain((grouping,)), other, Chain((SignedLog(("l_quantity",)),)), criteria={"l_suppkey": 7})
+    done = flow(table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_quantity", "l_extendedprice"))
+    return done.select("l_suppkey", "l_orderkey", rounded("l_extendedprice", 2).alias("l_extendedprice"))
+
+
 @query("""
 WITH t AS (SELECT *, CASE WHEN l_linestatus = 'F' THEN 'train' ELSE 'valid' END AS split, CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END AS flag FROM lineitem),
      f AS (SELECT regr_slope(l_extendedprice, flag) AS a, regr_intercept(l_extendedprice, flag) AS b FROM t WHERE split = 'train')

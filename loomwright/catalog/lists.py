@@ -119,11 +119,28 @@ def encoded_once_per_source(spark, sf):
         rounded(F.get("text_clip", F.lit(i))).alias(n) for i, n in enumerate(("chars", "blanks", "es"))])
 
 
-@query()
+@query("""
+WITH f AS (SELECT source, arg_min(text, doc_id) AS t, arg_min(lang, doc_id) AS l FROM documents WHERE source IS NOT NULL GROUP BY 1)
+SELECT doc_id, CAST(2 * length(t) AS DOUBLE) AS text_vector, CAST(2 * length(l) AS DOUBLE) AS lang_vector
+FROM documents d LEFT JOIN f ON f.source = d.source""")
+def encoded_columns_with_own_finish(spark, sf):
+    """Two columns share one run of the encoder; a function of the caller finishes their vectors."""
+    step = embed.EncodeOnce(("text", "lang"), "source", ("doc_id",), embed.column_encoder(lambda t: F.array(F.length(t))), normalize=False,
+                            after=lambda v: F.transform(v, lambda x: 2 * x))
+    done = step(table(spark, sf, "documents"))
+    return done.select("doc_id", F.get("text_clip", F.lit(0)).alias("text_vector"), F.get("lang_clip", F.lit(0)).alias("lang_vector"))
+
+
+@query("""
+WITH f AS (SELECT source, arg_min(text, doc_id) AS t FROM documents WHERE source IS NOT NULL GROUP BY 1),
+     w AS (SELECT source, unnest(string_split_regex(lower(t), '\s+')) AS w FROM f)
+SELECT doc_id, CAST(256 AS INTEGER) AS width, CAST(n AS DOUBLE) AS words
+FROM documents LEFT JOIN (SELECT source, count(*) FILTER (w <> '') AS n FROM w GROUP BY 1) USING (source)""")
 def token_counts_per_source(spark, sf):
-    step = embed.EncodeOnce(("text",), "source", ("doc_id",), embed.token_counts(256))
+    """Hashed counts of whole texts: whatever the cells, they add up to the number of words."""
+    step = embed.EncodeOnce(("text",), "source", ("doc_id",), embed.token_counts(256), normalize=False)
     done = step(table(spark, sf, "documents"))
-    return done.select("doc_id", F.size("text_clip").alias("width"), rounded(arrays.norm(F.col("text_clip"))).alias("norm"))
+    return done.select("doc_id", F.size("text_clip").alias("width"), F.aggregate("text_clip", F.lit(0.0), lambda a, x: a + x).alias("words"))
 
 
 @query("""
@@ -235,6 +252,33 @@ def flattened_json_lists(spark, sf):
     return features.FlattenJson("parts", listed=True).fit_transform(rows)
 
 
+@query("""
+SELECT p_partkey, CAST(p_size AS BIGINT) AS "VOID_x", p_retailprice / 4 AS "OBJECT a, b<c", CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_size || '' END AS mixed,
+       CAST(NULL AS VARCHAR) AS never, p_size || '|' || p_size + 1 AS "in.list" FROM part""")
+def flattened_json_with_odd_names(spark, sf):
+    """Names that look like types or hold their punctuation; fractions are doubles, mixed cells text."""
+    size = F.col("p_size")
+    mixed = F.when(size % 2 == 0, F.concat(F.lit('"'), F.col("p_brand"), F.lit('"'))).otherwise(size.cast("string"))
+    text = F.concat(F.lit('{"VOID_x": '), size.cast("string"), F.lit(', "OBJECT a, b<c": '), (F.col("p_retailprice") / 4).cast("string"),
+                    F.lit(', "mixed": '), mixed, F.lit(', "never": null, "in": {"list": ['), size.cast("string"), F.lit(", "),
+                    (size + 1).cast("string"), F.lit("]}}"))
+    done = features.FlattenJson("j").fit_transform(table(spark, sf, "part").select("p_partkey", text.alias("j")))
+    return done.withColumn("in.list", text_list(F.col("`in.list`")))
+
+
+@query("""
+SELECT p_partkey, CAST(p_size AS BIGINT) AS size, p_name AS name, CAST(2 * p_size + 1 AS BIGINT) AS total, p_name || '|x' AS words FROM part""")
+def decoded_json_cells(spark, sf):
+    """Cells of objects become structs, lists of numbers stay numbers, quoted lists are texts."""
+    size = F.col("p_size")
+    rows = table(spark, sf, "part").select(
+        "p_partkey", F.to_json(F.struct(size.alias("size"), F.col("p_name").alias("name"))).alias("who"),
+        F.to_json(F.array(size, size + 1)).alias("numbers"), F.concat(F.lit("['"), F.col("p_name"), F.lit("', 'x']")).alias("words"))
+    done = features.DecodeText().fit_transform(rows)
+    return done.select("p_partkey", "who.size", "who.name", F.aggregate("numbers", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"),
+                       text_list("words").alias("words"))
+
+
 @query("""
 SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id AS "list_0.u" FROM events""")
 def flattened_many(spark, sf):

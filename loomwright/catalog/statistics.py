@@ -170,7 +170,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, round((vb * p
 def independent_components_are_white(spark, sf):
     """Two independent components: the squared length is the distance in units of the covariance."""
     rows = table(spark, sf, "lineitem").withColumns({"x_0": F.col("l_quantity"), "x_1": F.col("l_extendedprice") / 2000})
-    done = decompose.Ica(("x_0", "x_1"), rounds=5).fit_transform(rows)
+    done = decompose.Ica(("x_0", "x_1")).fit_transform(rows)
     length = F.pow("x_ic_0", F.lit(2.0)) + F.pow("x_ic_1", F.lit(2.0))
     return done.select(*LINE_KEYS, rounded(length, 5).alias("length"))
 
@@ -196,19 +196,38 @@ def kernel_components_rbf(spark, sf):
 
 
 @query()
-def kernel_components_sigmoid(spark, sf):
-    return component_rows(
-        spark, sf, decompose.kernel_pca("sigmoid", ["embedding"], n_components=4, as_array=True), "embedding_sigpc")
+def kernel_components_poly(spark, sf):
+    """All 2,145 monomials of 64 numbers up to degree 2."""
+    return component_rows(spark, sf, decompose.kernel_pca("poly", ["embedding"], degree=2, n_components=4, as_array=True), "embedding_polypc")
 
 
-@query()
-def kernel_components_poly(spark, sf):
-    return component_rows(spark, sf, decompose.kernel_pca("poly", ["embedding"], n_components=4, as_array=True), "embedding_polypc")
+@query(f"""
+WITH x AS (SELECT *, l_quantity / 50 AS a, l_discount * 10 AS b FROM lineitem),
+     phi AS (SELECT *, [sqrt(3 * g) * a, sqrt(3 * g) * b, sqrt(3) * g * a * a, sqrt(6) * g * a * b, sqrt(3) * g * b * b, pow(g, 1.5) * pow(a, 3),
+                        sqrt(3) * pow(g, 1.5) * a * a * b, sqrt(3) * pow(g, 1.5) * a * b * b, pow(g, 1.5) * pow(b, 3)] AS f FROM x, (SELECT 7.0::DOUBLE / 16 AS g)),
+     m AS (SELECT [avg(f[1]), avg(f[2]), avg(f[3]), avg(f[4]), avg(f[5]), avg(f[6]), avg(f[7]), avg(f[8]), avg(f[9])] AS m FROM phi)
+SELECT {LINE}, round(list_sum(list_transform(range(1, 10), lambda i: pow(f[i] - m[i], 2))), 5) AS length FROM phi, m""")
+def kernel_components_poly_keep_lengths(spark, sf):
+    """All components of the cubic kernel: the distance from the mean of all monomials stays."""
+    rows = table(spark, sf, "lineitem").withColumns({"x_0": F.col("l_quantity") / 50, "x_1": F.col("l_discount") * 10})
+    done = decompose.kernel_pca("poly", ["x_0", "x_1"], n_components=10, as_array=True).fit_transform(rows)
+    return done.select(*LINE_KEYS, rounded(F.aggregate("x_polypc", F.lit(0.0), lambda a, x: a + x * x), 5).alias("length"))
+
+
+@query("SELECT doc_id, round(n_chars::DOUBLE, 2) AS v_0, round(n_chars * 2.5::DOUBLE, 2) AS v_1, round(n_chars * 0.2::DOUBLE, 2) AS v_2 FROM documents")
+def non_negative_parts_of_outer_product(spark, sf):
+    """Rows that are multiples of one profile are given back by one part."""
+    rows = table(spark, sf, "documents").select("doc_id", *[(F.col("n_chars") * w).alias(f"v_{k}") for k, w in enumerate((1.0, 2.5, 0.2))])
+    step = decompose.Nmf(("v_0", "v_1", "v_2"), 1).fit(rows)
+    return step(rows).select("doc_id", *[rounded(F.col("v_nfm_0") * step.loadings[0][k], 2).alias(f"v_{k}") for k in range(3)])
 
 
 @query()
 def non_negative_parts(spark, sf):
-    return component_rows(spark, sf, decompose.Nmf(("embedding",), 4, rounds=15, as_array=True), "embedding_nfm")
+    """Parts of the squared embeddings, none of whose cells is negative."""
+    squares = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: (v * v).cast("double")).alias("embedding"))
+    done = decompose.Nmf(("embedding",), 4, as_array=True).fit_transform(squares)
+    return done.select("vec_id", F.posexplode("embedding_nfm").alias("component", "score"))
 
 
 def price_samples(spark, sf):

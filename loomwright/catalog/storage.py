@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from loomwright.catalog.groups import LARGE_CODED, large_coded
@@ -9,7 +11,7 @@ from loomwright.catalog.registry import query, rounded, table, text_list
 from loomwright.operators import features
 from loomwright.operators.encode import Codes, OneHot
 from loomwright.operators.lookup import DecodeIds, DecodeRegions
-from loomwright.operators.models import GroupedRegressor, LinearRegressor
+from loomwright.operators.models import GroupedRegressor, LinearRegressor, SparkRegressor
 from loomwright.operators.search import best_run, leaderboard
 from loomwright.plans.operator import Chain
 from loomwright.session import scratch_path
@@ -207,3 +209,20 @@ def streamed_codes(spark, sf):
     rows.write.parquet(path)
     done = streamed(spark, score.table_stream(spark, path, rows.schema), codes)
     return done.select("o_orderkey", "o_custkey_index")
+
+
+@query("""
+WITH m AS (SELECT l_linenumber, avg(l_extendedprice) AS p FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, round(p, 2) AS pred_l_extendedprice, l_shipdate::DATE = DATE '1995-03-01' AS "day_1995-03-01"
+FROM lineitem JOIN m USING (l_linenumber)""")
+def stored_tree_model(spark, sf):
+    """A chain with a Spark ML model and flags of dates, stored and read again."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    rows = table(spark, sf, "lineitem").withColumn("day", F.col("l_shipdate").cast("date"))
+    flags = OneHot(("day",), {"day": [datetime.date(1995, 3, 1)]})
+    tree = SparkRegressor(("l_linenumber",), ("l_extendedprice",), build=lambda: DecisionTreeRegressor(maxDepth=7, seed=42))
+    path = artifacts.save(spark, Chain((flags, tree)).fit(rows), scratch_path(spark, "stored-tree"))
+    done = artifacts.load(spark, path)(rows)
+    return done.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount",
+                       rounded("pred_l_extendedprice", 2).alias("pred_l_extendedprice"), "`day_1995-03-01`")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 AGE_SCHEMA = "allow_unknown boolean, ages array<struct<low: bigint, high: bigint>>"
 EMPTY_LONGS = "array<bigint>"
@@ -61,3 +64,52 @@ def string_list(text: Column) -> Column:
 def json_list(text: Column, element: str = "string") -> Column:
     return F.from_json(text, f"array<{element}>")
 
+
+SHAPE_TOKEN = re.compile(r"`(?:[^`]|``)*`|[A-Za-z0-9_]+|[<>,:()]")
+# How inferred kinds of JSON values become column types; whatever is mixed or unknown stays text.
+SHAPE_TYPES = {"BIGINT": T.LongType(), "DECIMAL": T.DoubleType(), "DOUBLE": T.DoubleType(), "FLOAT": T.DoubleType(), "BOOLEAN": T.BooleanType()}
+
+
+def shape_type(shape: str | None) -> T.DataType:
+    """The inferred shape of JSON values (as Spark's variant functions write it) as a column type.
+
+    Objects become structs and lists arrays, at any depth; fractions are doubles; names are taken as they are.
+    """
+    tokens = SHAPE_TOKEN.findall(shape or "VOID")
+    at = 0
+
+    def taken() -> str:
+        nonlocal at
+        at += 1
+        return tokens[at - 1]
+
+    def kind() -> T.DataType:
+        word = taken()
+        if word == "ARRAY":
+            taken()
+            inner = kind()
+            taken()
+            return T.ArrayType(inner)
+        if word == "OBJECT":
+            taken()
+            fields = []
+            while tokens[at] != ">":
+                name = taken()
+                name = name[1:-1].replace("``", "`") if name.startswith("`") else name
+                taken()
+                fields.append(T.StructField(name, kind()))
+                if tokens[at] == ",":
+                    taken()
+            taken()
+            return T.StructType(fields) if fields else T.StringType()
+        if at < len(tokens) and tokens[at] == "(":
+            while taken() != ")":
+                pass
+        return SHAPE_TYPES.get(word, T.StringType())
+
+    return kind()
+
+
+def shape_of(text: Column) -> Column:
+    """Aggregate: the merged shape of JSON texts; texts that are no JSON are skipped."""
+    return F.schema_of_variant_agg(F.try_parse_json(text))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import operator
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,12 @@ from loomwright.plans.operator import Operator
 KERNEL_SHARE = 7 / 8
 # more products than this go through matrix batches instead of generated code
 MAX_TERMS = 200
+# feature maps up to this width go through their covariance matrix
+WIDE = 2_500
+# directions carried along in an iteration for more than its own sake
+EXTRA = 8
+# numbers that a block of rows may unfold to inside a task
+CELLS = 1 << 21
 
 
 def same_sign(loadings: np.ndarray) -> np.ndarray:
@@ -51,6 +59,8 @@ class Components(Operator):
     offset: list[float] | None = None
     loadings: list[list[float]] | None = None
     seed: int = 42
+    #: whether an iterative fit met its stop rule; None for fits that do not iterate
+    converged: bool | None = None
 
     suffix = "pc"
     linear = True
@@ -141,8 +151,8 @@ class Pca(Components):
 class LowRank(Components):
     """Components of standardised data; their number is chosen in [n_min, n_max).
 
-    The number with the largest ratio of score variance to data variance wins. Scores are centred and
-    ordered, so the variance over all scores is the mean of the leading eigenvalues. ``explained``
+    The components that carry more than their share are kept: component k counts if its eigenvalue is at least the mean
+    of all eigenvalues (1 for standardised data), and the number of these is moved into the range. ``explained``
     asks for the smallest number that reaches a share of the variance instead.
     """
 
@@ -157,21 +167,26 @@ class LowRank(Components):
         spread[spread == 0] = 1.0
         values, vectors = eigen(found.cov / np.outer(spread, spread))
         width = len(values)
-        low = self.n_min or min(10, width)
-        high = max(low + 1, self.n_max or int(width * 0.55) or 1)
+        low = min(self.n_min or min(10, width), width)
+        high = max(low + 1, min(self.n_max or int(width * 0.55) or 1, width + 1))
         if self.explained:
             share = np.cumsum(values) / values.sum()
-            count = int(np.clip(np.searchsorted(share, self.explained) + 1, low, high))
+            count = int(np.searchsorted(share, self.explained) + 1)
         else:
-            count = max(range(low, min(high, width + 1)), key=lambda k: (values[:k].mean(), -k), default=low)
+            count = int((values >= values.mean() * (1 - 1e-9)).sum())
+        count = min(max(count, low), high - 1)
         return self.stated(df, found.mean, vectors[:, :count] / spread[:, None])
 
 
 @dataclass(frozen=True)
 class FactorAnalysis(Components):
-    """Factor model by expectation maximisation on the covariance matrix."""
+    """Factor model by expectation maximisation on the covariance matrix.
 
-    rounds: int = 1_000
+    Rounds touch the covariance matrix only; they end when the likelihood changes by less than ``tolerance``, and
+    ``converged`` says whether that was reached.
+    """
+
+    rounds: int = 10_000
     tolerance: float = 1e-8
 
     suffix = "ca"
@@ -181,7 +196,7 @@ class FactorAnalysis(Components):
         cov, width = found.cov, len(found.mean)
         count = self.n_components or width
         noise = np.maximum(np.diag(cov).copy(), 1e-12)
-        last = -math.inf
+        last, converged = -math.inf, False
         for _ in range(self.rounds):
             root = np.sqrt(noise)
             values, vectors = np.linalg.eigh(cov / np.outer(root, root))
@@ -191,21 +206,23 @@ class FactorAnalysis(Components):
             model = factors @ factors.T + np.diag(noise)
             fit = -0.5 * (np.linalg.slogdet(model)[1] + np.trace(np.linalg.solve(model, cov)))
             if abs(fit - last) < self.tolerance:
+                converged = True
                 break
             last = fit
         scaled = factors / noise[:, None]
         posterior = np.linalg.inv(np.eye(count) + factors.T @ scaled)
-        return self.stated(df, found.mean, same_sign(scaled @ posterior))
+        return self.stated(df, found.mean, same_sign(scaled @ posterior), converged=converged)
 
 
 @dataclass(frozen=True)
 class Ica(Components):
     """Independent components: whitening from the covariance, then fixed-point steps.
 
-    A step needs one sum over the rows, built task by task; the rows stay where they are.
+    A step needs one sum over the rows, built task by task; the rows stay where they are. Steps end when no component
+    turns by more than ``tolerance`` (1 less the cosine), at the latest after ``rounds``; ``converged`` says which.
     """
 
-    rounds: int = 60
+    rounds: int = 100
     tolerance: float = 1e-4
 
     suffix = "ic"
@@ -216,7 +233,7 @@ class Ica(Components):
         count = min(self.n_components or len(values), int((values > 1e-10 * values[0]).sum()))
         whiten = vectors[:, :count] / np.sqrt(values[:count])
         mean, width = found.mean, len(found.mean)
-        turn = np.linalg.qr(np.random.default_rng(self.seed).normal(size=(count, count)))[0]
+        turn, converged = np.linalg.qr(np.random.default_rng(self.seed).normal(size=(count, count)))[0], False
         rows = self.packed_frame(df).persist()
         try:
             for _ in range(self.rounds):
@@ -233,79 +250,157 @@ class Ica(Components):
                 moved = np.max(np.abs(np.abs((new * turn).sum(1)) - 1))
                 turn = new
                 if moved < self.tolerance:
+                    converged = True
                     break
         finally:
             rows.unpersist()
-        return self.stated(df, mean, same_sign(whiten @ turn.T))
+        return self.stated(df, mean, same_sign(whiten @ turn.T), converged=converged)
 
 
 @dataclass(frozen=True)
 class KernelPca(Components):
-    """Kernel components by landmark rows (Nystrom method): approximate, with a fixed number of landmarks.
+    """Kernel components over all rows, as principal components of a feature map that has the kernel as inner product.
+
+    ``poly``: ``(gamma * x.y + bias) ** degree`` is exactly the inner product of all monomials up to ``degree``, each
+    with a fixed factor. Few monomials go through their covariance; more than ``WIDE`` through orthogonal iteration, in
+    which a pass over the rows multiplies the covariance with a few directions without forming it.
+
+    ``rbf``: ``exp(-gamma * |x - y|^2)`` is the mean of ``waves`` random cosines (pairs of sine and cosine); the error of a
+    kernel value has a standard deviation of at most ``1 / sqrt(2 * waves)``, whatever the number of rows.
 
-    Each row is compared with the landmarks only; the components are those of these comparisons.
+    Iteration ends when no direction turns by more than ``tolerance`` (1 less the cosine) or after ``rounds``;
+    ``converged`` says which.
     """
 
     kernel: str = "rbf"
     gamma: float | None = None
     degree: int = 3
     bias: float = 1.0
-    landmarks: int = 100
-    points: list[list[float]] | None = None
-    root: list[list[float]] | None = None
+    waves: int = 512
+    rounds: int = 100
+    tolerance: float = 1e-9
 
     linear = False
-    NAMES = {"rbf": "rbfpc", "sigmoid": "sigpc", "poly": "polypc"}
+    NAMES = {"rbf": "rbfpc", "poly": "polypc"}
+
+    def __post_init__(self):
+        if self.kernel not in self.NAMES:
+            raise ValueError(f"no feature map for the kernel {self.kernel}")
 
     @property
     def suffix(self) -> str:  # type: ignore[override]
         return self.NAMES[self.kernel]
 
-    def features(self, points: np.ndarray, root: np.ndarray, gamma: float):
-        kernel, degree, bias = self.kernel, self.degree, self.bias
-
-        def compare(x: np.ndarray) -> np.ndarray:
-            inner = x @ points.T
-            if kernel == "rbf":
-                apart = (x**2).sum(1)[:, None] + (points**2).sum(1)[None] - 2 * inner
-                values = np.exp(-gamma * np.maximum(apart, 0.0))
-            elif kernel == "sigmoid":
-                values = np.tanh(gamma * inner + bias)
-            else:
-                values = (gamma * inner + bias) ** degree
-            return values @ root
-
-        return compare
+    def feature_map(self, width: int, gamma: float) -> tuple[Callable[[np.ndarray], np.ndarray], int]:
+        """``matrix -> features`` and the number of features."""
+        if self.kernel == "rbf":
+            turns = np.random.default_rng(self.seed).normal(scale=math.sqrt(2 * gamma), size=(width, self.waves))
+            factor = 1 / math.sqrt(self.waves)
+
+            def waves(x: np.ndarray) -> np.ndarray:
+                angle = x @ turns
+                return np.hstack([np.cos(angle), np.sin(angle)]) * factor
+
+            return waves, 2 * self.waves
+        picks = [pick for d in range(self.degree + 1) for pick in combinations_with_replacement(range(width), d)]
+        factors = np.sqrt([self.term(pick, gamma) for pick in picks])
+        # a monomial of degree d is one of degree d - 1 times a column
+        at = {pick: k for k, pick in enumerate(picks)}
+        by_degree = [[k for k, pick in enumerate(picks) if len(pick) == d] for d in range(self.degree + 1)]
+        before = [np.array([at[picks[k][:-1]] for k in ks], np.int64) for ks in by_degree[1:]]
+        column = [np.array([picks[k][-1] for k in ks], np.int64) for ks in by_degree[1:]]
+        size = len(picks)
+
+        def monomials(x: np.ndarray) -> np.ndarray:
+            out = np.empty((len(x), size))
+            out[:, 0] = 1.0
+            for ks, first, last in zip(by_degree[1:], before, column):
+                out[:, ks[0]:ks[-1] + 1] = out[:, first] * x[:, last]
+            return out * factors
+
+        return monomials, size
+
+    def term(self, pick: tuple[int, ...], gamma: float) -> float:
+        """The factor of a monomial in the expanded kernel: a multinomial coefficient times powers of gamma and bias."""
+        ways = math.factorial(self.degree) / math.factorial(self.degree - len(pick))
+        for count in Counter(pick).values():
+            ways /= math.factorial(count)
+        return ways * gamma ** len(pick) * self.bias ** (self.degree - len(pick))
 
     def fit(self, df: DataFrame) -> KernelPca:
         width = self.size(df)
         gamma = self.gamma or KERNEL_SHARE / width
-        rows = self.packed_frame(df)
-        # a fixed number of rows, chosen by their hash, so that every run takes the same
-        picked = rows.orderBy(F.xxhash64("_x", F.lit(self.seed)), "_x").limit(self.landmarks).collect()
-        points = np.array([r["_x"] for r in picked], float)
-        size = len(points)
-        values, vectors = np.linalg.eigh(self.features(points, np.eye(size), gamma)(points))
-        keep = values > 1e-9 * max(values.max(), 1e-12)
-        root = vectors[:, keep] / np.sqrt(values[keep])
-        compare = self.features(points, root, gamma)
-        rank = int(keep.sum())
-
-        def step(x: np.ndarray) -> np.ndarray:
-            phi = compare(x)
-            return np.concatenate([[len(x)], phi.sum(0), (phi.T @ phi).ravel()])
-
-        acc = partial_sums(rows, "_x", width, step, 1 + rank + rank * rank)
-        mean = acc[1:1 + rank] / acc[0]
-        _, loadings = eigen(acc[1 + rank:].reshape(rank, rank) / acc[0] - np.outer(mean, mean))
-        count = min(self.n_components or width, rank)
-        done = self.stated(df, mean, loadings[:, :count])
-        return replace(done, points=points.tolist(), root=root.tolist(), gamma=gamma)
+        features, size = self.feature_map(width, gamma)
+        rows = self.packed_frame(df).persist()
+        try:
+            acc = partial_sums(rows, "_x", width, _blocks(lambda x: np.r_[len(x), features(x).sum(0)], 1 + size, size), 1 + size)
+            if not acc[0]:
+                raise ValueError("no rows to fit on")
+            count, mean = acc[0], acc[1:] / acc[0]
+            wanted = min(self.n_components or width, size)
+            if size <= WIDE:
+                def step(x: np.ndarray) -> np.ndarray:
+                    phi = features(x) - mean
+                    return (phi.T @ phi).ravel()
+
+                cov = partial_sums(rows, "_x", width, _blocks(step, size * size, size), size * size).reshape(size, size) / count
+                values, loadings = eigen(cov)
+                wanted = min(wanted, max(1, int((values > 1e-12 * values[0]).sum())))
+                loadings, converged = loadings[:, :wanted], None
+            else:
+                loadings, converged = self.leading(rows, width, features, size, mean, count, wanted)
+        finally:
+            rows.unpersist()
+        done = self.stated(df, mean, loadings, converged=converged)
+        return replace(done, gamma=gamma)
+
+    def leading(self, rows, width, features, size, mean, count, wanted) -> tuple[np.ndarray, bool]:
+        """The leading directions of the features' covariance by orthogonal iteration, a pass over the rows per round.
+
+        Some directions more than wanted are carried along, since the last ones settle slowly.
+        """
+        carried = min(size, wanted + EXTRA)
+        held = np.linalg.qr(np.random.default_rng(self.seed).normal(size=(size, carried)))[0]
+        for _ in range(self.rounds):
+
+            def step(x: np.ndarray, held=held) -> np.ndarray:
+                phi = features(x) - mean
+                return (phi.T @ (phi @ held)).ravel()
+
+            moved = partial_sums(rows, "_x", width, _blocks(step, size * carried, size), size * carried).reshape(size, carried) / count
+            # within the carried directions the best ones are found exactly
+            inner, turn = np.linalg.eigh((held.T @ moved + moved.T @ held) / 2)
+            order = np.argsort(inner)[::-1]
+            best = (held @ turn)[:, order][:, :wanted]
+            new = np.linalg.qr(moved @ turn[:, order])[0]
+            still = np.abs((new[:, :wanted] * best).sum(0))
+            held = new
+            if np.all(1 - still < self.tolerance):
+                return same_sign(best), True
+        return same_sign(best), False
 
     def function(self):
-        compare = self.features(np.array(self.points), np.array(self.root), self.gamma)
+        features, _ = self.feature_map(self.width, self.gamma)
         mean, loadings = np.array(self.offset), np.array(self.loadings).T
-        return lambda x: (compare(x) - mean) @ loadings
+
+        def scores(x: np.ndarray) -> np.ndarray:
+            step = max(1, CELLS // len(mean))
+            return np.vstack([(features(x[k:k + step]) - mean) @ loadings for k in range(0, len(x), step)] or [np.zeros((0, loadings.shape[1]))])
+
+        return scores
+
+
+def _blocks(step: Callable[[np.ndarray], np.ndarray], size: int, width: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A sum over rows, so many rows at a time that a block of ``width`` features per row stays small."""
+    rows = max(1, CELLS // width)
+
+    def total(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(size)
+        for k in range(0, len(x), rows):
+            out += step(x[k:k + rows])
+        return out
+
+    return total
 
 
 @dataclass(frozen=True)
@@ -313,14 +408,16 @@ class Nmf(Components):
     """Non-negative parts: every row is a non-negative mix of a few shared profiles.
 
     A row's mix depends on that row and the profiles only, so it is found inside the task; the profiles
-    are improved from two small sums per pass. Negative values count as 0. ``l1_ratio`` splits the
-    penalty ``alpha`` between absolute and squared size.
+    are improved from two small sums per pass. Negative cells are an error, in ``fit`` and in use. ``l1_ratio`` splits the
+    penalty ``alpha`` between absolute and squared size. Rounds end when the squared error falls by less than
+    ``tolerance`` of its first value, at the latest after ``rounds``; ``converged`` says which.
     """
 
-    rounds: int = 30
+    rounds: int = 100
     inner: int = 40
     alpha: float = 0.0
     l1_ratio: float = 0.3
+    tolerance: float = 1e-4
 
     suffix = "nfm"
     linear = False
@@ -329,9 +426,11 @@ class Nmf(Components):
         lasso, ridge, inner = self.alpha * self.l1_ratio, self.alpha * (1 - self.l1_ratio), self.inner
 
         def mix(x: np.ndarray) -> np.ndarray:
-            x = np.maximum(x, 0.0)
+            if len(x) and x.min() < 0:
+                raise ValueError("negative cells have no non-negative parts")
             gram, reach = profiles @ profiles.T, x @ profiles.T
-            w = np.full((len(x), len(profiles)), np.sqrt(max(x.mean(), 1e-9) / max(len(profiles), 1)))
+            level = np.sqrt(np.maximum(x.mean(1, keepdims=True), 1e-9) / max(len(profiles), 1)) if len(x) else np.zeros((0, 1))
+            w = np.repeat(level, len(profiles), axis=1)
             for _ in range(inner):
                 w *= reach / (w @ gram + ridge * w + lasso + 1e-12)
             return w
@@ -343,26 +442,37 @@ class Nmf(Components):
         count = self.n_components or width
         draw = np.random.default_rng(self.seed)
         rows = self.packed_frame(df).persist()
+        converged, first, last = False, None, None
         try:
-            level = partial_sums(rows, "_x", width, lambda x: np.array([len(x), np.maximum(x, 0).sum()]), 2)
+            level = partial_sums(rows, "_x", width, lambda x: np.array([len(x), x.sum(), (x < 0).sum(), (x * x).sum()]), 4)
+            if level[2]:
+                raise ValueError(f"{int(level[2])} cells are negative and have no non-negative parts")
+            if not level[0]:
+                raise ValueError("no rows to fit on")
             scale = math.sqrt(max(level[1] / (level[0] * width), 1e-12) / count)
             profiles = scale * np.abs(draw.normal(size=(count, width)))
             lasso, ridge = self.alpha * self.l1_ratio, self.alpha * (1 - self.l1_ratio)
             for _ in range(self.rounds):
                 mix = self.mixer(profiles)
 
-                def step(x: np.ndarray, mix=mix) -> np.ndarray:
+                def step(x: np.ndarray, mix=mix, profiles=profiles) -> np.ndarray:
                     w = mix(x)
-                    return np.concatenate([(w.T @ w).ravel(), (w.T @ np.maximum(x, 0.0)).ravel()])
+                    return np.concatenate([(w.T @ w).ravel(), (w.T @ x).ravel(), [((x - w @ profiles) ** 2).sum()]])
 
-                acc = partial_sums(rows, "_x", width, step, count * count + count * width)
-                gram, reach = acc[:count * count].reshape(count, count), acc[count * count:].reshape(count, width)
+                acc = partial_sums(rows, "_x", width, step, count * count + count * width + 1)
+                error = acc[-1]
+                first = error if first is None else first
+                if last is not None and last - error <= self.tolerance * first or error <= 1e-12 * level[3]:
+                    converged = True
+                    break
+                last = error
+                gram, reach = acc[:count * count].reshape(count, count), acc[count * count:-1].reshape(count, width)
                 for _ in range(self.inner):
                     profiles = profiles * reach / (gram @ profiles + ridge * profiles + lasso + 1e-12)
         finally:
             rows.unpersist()
         return replace(
-            self, width=width, offset=[0.0] * width, loadings=[[float(v) for v in row] for row in profiles]
+            self, width=width, offset=[0.0] * width, loadings=[[float(v) for v in row] for row in profiles], converged=converged
         )
 
     def function(self):
@@ -371,4 +481,3 @@ class Nmf(Components):
 
 def kernel_pca(kind: str, columns: Sequence[str], **settings) -> KernelPca:
     return KernelPca(tuple(columns), kernel=kind, **settings)
-

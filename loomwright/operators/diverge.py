@@ -52,7 +52,7 @@ def divergences(
     return joined.agg(*[f(F.col("p"), F.col("q")).alias(n) for n, f in functions.items()])
 
 
-def wasserstein(first: DataFrame, second: DataFrame, column: str = "value", bins: int = 256) -> DataFrame:
+def wasserstein(first: DataFrame, second: DataFrame, column: str = "value") -> DataFrame:
     """Area between the two distribution functions, exact.
 
     Equal values are counted before anything is sorted; see ``running_totals`` for the order.
@@ -63,7 +63,7 @@ def wasserstein(first: DataFrame, second: DataFrame, column: str = "value", bins
     )
     per_value = stored(both.groupBy("value").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "value-counts")
     sizes = per_value.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    ran = running_totals(per_value, "value", ["a", "b"], bins)
+    ran = running_totals(per_value, "value", ["a", "b"])
     gap = F.abs(F.col("running_a") / F.col("na") - F.col("running_b") / F.col("nb"))
     return ran.join(F.broadcast(sizes)).agg(
         F.coalesce(F.sum(gap * (F.col("next_value") - F.col("value"))), F.lit(0.0)).alias("distance")
@@ -74,5 +74,5 @@ def wasserstein_of_heights(first: DataFrame, second: DataFrame, bins: int = 10,
     """The distance applied to the two lists of bin shares; where the bins lie plays no part."""
     heights = shared_histogram(first, second, bins, column)
     return wasserstein(
-        heights.select(F.col("p").alias("value")), heights.select(F.col("q").alias("value")), bins=1
+        heights.select(F.col("p").alias("value")), heights.select(F.col("q").alias("value"))
     )

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import arrays
-from loomwright.operators.aggregate import first_rows
-from loomwright.operators.lookup import mean_vectors
+from loomwright.operators.lookup import vectors_of_groups
 from loomwright.plans.columns import containing, q, with_all
 from loomwright.plans.joins import salted_join
 from loomwright.plans.operator import Operator
@@ -55,21 +54,16 @@ class EncodeOnce(Operator):
     whole_table = True
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df
+        vectors = vectors_of_groups(df, self.columns, self.key, self.order_by, self.encoder, "value", "vector")
+        made = {}
         for c in self.columns:
-            firsts = first_rows(df, [self.key], [c], self.order_by)
-            listed = df.schema[c].dataType.typeName() == "array"
-            value = F.explode(q(c)) if listed else q(c)
-            items = firsts.select(q(self.key), value.alias("value")).where(F.col("value").isNotNull())
-            encoded = self.encoder(items.select("value").distinct())
-            matched = salted_join(items, encoded, ["value"], "inner")
-            vectors = mean_vectors(matched, [self.key], "vector") if listed else matched.select(self.key, "vector")
-            vector = q("vector")
+            vector = q(f"{c}_clip")
             if self.normalize:
-                vector = arrays.unit(vector)
+                vector = F.when(vector.isNotNull(), arrays.unit(vector))
             if self.after is not None:
-                vector = self.after(vector)
-            out = salted_join(out, vectors.select(self.key, vector.alias(f"{c}_clip")), [self.key], "left")
+                vector = F.when(q(f"{c}_clip").isNotNull(), self.after(vector))
+            made[f"{c}_clip"] = vector
+        out = salted_join(df, with_all(vectors, made), [self.key], "left")
         return out.select(*[q(c) for c in df.columns], *[q(f"{c}_clip") for c in self.columns])
 
 

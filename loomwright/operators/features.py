@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -341,8 +341,9 @@ class ParseLists(Operator):
 class FlattenJson(Operator):
     """A JSON object column as one column per nested field (dotted names); the source is dropped.
 
-    The fields are found by merging the inferred types of all rows. Listed objects give
-    ``<c>_<i>.<field>`` columns up to the longest list.
+    The fields are found by merging the inferred types of all rows; whole numbers are bigint, fractions double, what
+    is mixed or never filled is text. Listed objects give ``<c>_<i>.<field>`` columns up to the longest list. ``schema`` is
+    a type as JSON or DDL text.
     """
 
     column: str
@@ -355,30 +356,38 @@ class FlattenJson(Operator):
     def text(self) -> Column:
         return jsoncols.text_or(q(self.column), "[]" if self.listed else "{}")
 
+    def needs_fit(self) -> bool:
+        return self.schema is None or (self.listed and self.longest is None)
+
+    def facts(self) -> list[Column]:
+        longest = F.max(F.size(F.try_variant_get(F.try_parse_json(self.text()), "$", "array<variant>")))
+        return [jsoncols.shape_of(self.text()), longest if self.listed else F.lit(None).cast("int")]
+
+    def stated(self, shape: str | None, longest: int | None) -> FlattenJson:
+        return replace(self, schema=jsoncols.shape_type(shape).json(), longest=max(0, longest or 0) if self.listed else None)
+
     def fit(self, df: DataFrame) -> FlattenJson:
-        if self.schema is not None and (not self.listed or self.longest is not None):
-            return self
-        row = df.agg(
-            F.schema_of_variant_agg(F.try_parse_json(self.text())).alias("shape"),
-            F.max(F.size(F.try_variant_get(F.try_parse_json(self.text()), "$", "array<variant>"))).alias("longest"),
-        ).first()
-        shape = (row["shape"] or "VOID").replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
-        return replace(self, schema=shape, longest=max(0, row["longest"] or 0) if self.listed else None)
+        return self.stated(*df.agg(*self.facts()).first()) if self.needs_fit() else self
+
+    def kind(self) -> T.DataType:
+        given = self.schema.strip()
+        return T._parse_datatype_json_string(given) if given[:1] in '{"' else T._parse_datatype_string(given)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if self.schema is None:
+        if self.needs_fit():
             raise ValueError("fit first")
         kept = [q(c) for c in df.columns if c != self.column]
-        kind = T._parse_datatype_string(self.schema) if not self.schema.startswith("VARIANT") else T.StringType()
-        parsed = df.withColumn("_json", F.from_json(self.text(), kind)) if not isinstance(kind, T.StringType) else df
+        kind = self.kind()
+        inner = kind.elementType if self.listed and isinstance(kind, T.ArrayType) else kind
+        if not isinstance(inner, T.StructType):
+            return df.select(*kept)
+        parsed = df.withColumn("_json", F.from_json(self.text(), kind))
         if self.listed:
-            inner = kind.elementType if isinstance(kind, T.ArrayType) else T.StructType()
             fields = [
                 e.alias(f"{self.column}_{i}.{n}")
                 for i in range(self.longest or 0) for n, e in leaves(F.get("_json", F.lit(i)), inner)
             ]
         else:
-            inner = kind if isinstance(kind, T.StructType) else T.StructType()
             fields = [e.alias(n) for n, e in leaves(F.col("_json"), inner)]
         return parsed.select(*kept, *fields)
 
@@ -394,29 +403,48 @@ def leaves(value: Column, kind: T.DataType, prefix: str = "") -> list[tuple[str,
 
 @dataclass(frozen=True)
 class DecodeText(Operator):
-    """Text columns that hold lists, as lists; columns to decode are those whose filled cells all parse."""
+    """Text columns that hold JSON or lists, decoded; columns to decode are those whose filled cells all parse.
+
+    Where all filled cells are JSON objects or JSON lists, the column gets their merged type: a struct, or an array of what the
+    lists hold. Quoted and comma-separated lists, alone or beside JSON lists, become lists of texts. ``kinds`` are the types
+    of the JSON columns as JSON text.
+    """
 
     columns: tuple[str, ...] | None = None
+    kinds: Mapping[str, str] = field(default_factory=dict)
 
     def fit(self, df: DataFrame) -> DecodeText:
-        if self.columns is not None:
-            return self
-        texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+        texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and (self.columns is None or f.name in self.columns)]
         if not texts:
-            return replace(self, columns=())
-        row = df.agg(*[
-            (F.count_if(q(c).isNotNull() & jsoncols.string_list(q(c)).isNull()) == 0).alias(f"t{i}")
-            for i, c in enumerate(texts)
-        ], *[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(texts)]).first()
-        return replace(self, columns=tuple(c for i, c in enumerate(texts) if row[f"t{i}"] and row[f"n{i}"]))
+            return self if self.columns is not None else replace(self, columns=())
+        facts = []
+        for i, c in enumerate(texts):
+            nested = q(c).rlike(r"^\s*[\[{]") & F.try_parse_json(q(c)).isNotNull()
+            facts += [F.count(q(c)).alias(f"n{i}"), F.count_if(nested).alias(f"j{i}"), F.count_if(jsoncols.string_list(q(c)).isNotNull()).alias(f"t{i}"),
+                      jsoncols.shape_of(F.when(nested, q(c))).alias(f"s{i}")]
+        row = df.agg(*facts).first()
+        kinds = {}
+        for i, c in enumerate(texts):
+            kind = jsoncols.shape_type(row[f"s{i}"])
+            if row[f"n{i}"] and row[f"j{i}"] == row[f"n{i}"] and isinstance(kind, (T.ArrayType, T.StructType)):
+                kinds[c] = kind.json()
+        listed = tuple(c for i, c in enumerate(texts) if c in kinds or (row[f"n{i}"] and row[f"t{i}"] == row[f"n{i}"]))
+        return replace(self, columns=listed if self.columns is None else self.columns, kinds=kinds)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return with_all(df, {c: jsoncols.string_list(q(c)) for c in self.columns or ()})
+        return with_all(df, {
+            c: F.from_json(q(c), T._parse_datatype_json_string(self.kinds[c])) if c in self.kinds else jsoncols.string_list(q(c))
+            for c in self.columns or ()
+        })
 
 
 def flatten_many(df: DataFrame, objects: Sequence[str], lists: Sequence[str]) -> DataFrame:
-    """Flatten every named column that is there; absent ones are skipped."""
-    for column, listed in [*((c, False) for c in objects), *((c, True) for c in lists)]:
-        if column in df.columns:
-            df = FlattenJson(column, listed).fit_transform(df)
+    """Flatten every named column that is there, all fitted in one pass; absent ones are skipped."""
+    steps = [FlattenJson(c, listed) for c, listed in [*((c, False) for c in objects), *((c, True) for c in lists)] if c in df.columns]
+    if not steps:
+        return df
+    facts = [e.alias(f"f{i}_{k}") for i, step in enumerate(steps) for k, e in enumerate(step.facts())]
+    row = df.agg(*facts).first()
+    for i, step in enumerate(steps):
+        df = step.stated(row[f"f{i}_0"], row[f"f{i}_1"])(df)
     return df

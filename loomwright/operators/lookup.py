@@ -188,6 +188,33 @@ def mean_vectors(df: DataFrame, keys: Sequence[str], vector: str, out: str | Non
     return rows.groupBy(*keys).agg(vector_to_array(mean).alias(out or vector))
 
 
+def vectors_of_groups(
+    df: DataFrame, columns: Sequence[str], key: str, order_by: Sequence[str], encoder, value: str, vector: str,
+) -> DataFrame:
+    """key and ``<c>_clip`` per column: the mean vector of the values in the first row of each group.
+
+    The first rows of all columns are picked together, and all their values go to ``encoder`` (distinct values as a table
+    ``value`` -> ``value``, ``vector``) at once, as far as they are of one type; what it gives is averaged in one
+    aggregation, so neither the rows nor the encoder are repeated per column. Values without a vector are skipped.
+    """
+    firsts = first_rows(df, [key], columns, order_by)
+    listed = {c: q(c) if is_list(df, c) else F.when(q(c).isNotNull(), F.array(q(c))) for c in columns}
+    kinds: dict[str, list[str]] = {}
+    for c, items in listed.items():
+        kinds.setdefault(firsts.select(items.alias("i")).schema["i"].dataType.simpleString(), []).append(c)
+    means = None
+    for own in kinds.values():
+        # one struct per column: its number and its values
+        pairs = F.array(*[F.struct(F.lit(columns.index(c)).alias("_column"), listed[c].alias("_items")) for c in own])
+        items = firsts.select(q(key), F.explode(pairs).alias("p")).select(
+            q(key), F.col("p")["_column"].alias("_column"), F.explode(F.col("p")["_items"]).alias(value)).where(q(value).isNotNull())
+        matched = salted_join(items, encoder(items.select(value).distinct()), [value], "inner")
+        made = mean_vectors(matched, [key, "_column"], vector)
+        means = made if means is None else means.unionByName(made)
+    return means.groupBy(key).agg(*[
+        F.max(F.when(F.col("_column") == i, F.struct(q(vector).alias("v"))))["v"].alias(f"{c}_clip") for i, c in enumerate(columns)])
+
+
 @dataclass(frozen=True)
 class AverageEmbeddings(Operator):
     """Mean reference embedding of the first list of each group, on every row of the group.
@@ -207,13 +234,8 @@ class AverageEmbeddings(Operator):
 
     def transform(self, df: DataFrame) -> DataFrame:
         reference = self.table.select(q(self.code).alias("_code"), q(self.embedding).alias("_vector"))
-        firsts = first_rows(df, [self.key], self.columns, self.order_by)
-        out = df.where(_all_known([self.key]))
-        for c in self.columns:
-            items = firsts.select(self.key, F.explode(q(c)).alias("_code"))
-            matched = salted_join(items, reference, ["_code"], "inner")
-            means = mean_vectors(matched, [self.key], "_vector", f"{c}_clip")
-            out = salted_join(out, means, [self.key], "left")
+        means = vectors_of_groups(df, self.columns, self.key, self.order_by, lambda values: reference, "_code", "_vector")
+        out = salted_join(df.where(_all_known([self.key])), means, [self.key], "left")
         return out.select(*[q(c) for c in df.columns], *[q(f"{c}_clip") for c in self.columns])
 
 

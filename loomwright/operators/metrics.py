@@ -76,16 +76,17 @@ def metric_rows(df: DataFrame, target: str, prediction: str, split: str, bins: i
         ranged.select(F.col("_split")[split].alias(split), F.explode(F.array(
             F.struct(place(y).alias("bin"), F.lit(1).alias("y"), F.lit(0).alias("p")),
             F.struct(place(p).alias("bin"), F.lit(0).alias("y"), F.lit(1).alias("p")),
-        )).alias("s"))
-        .groupBy(split, "s.bin").agg(F.sum("s.y").alias("y"), F.sum("s.p").alias("p"))
+        )).alias("_side"))
+        .select(q(split), F.col("_side.bin").alias("_bin"), F.col("_side.y").alias("_y"), F.col("_side.p").alias("_p"))
+        .groupBy(q(split), "_bin").agg(F.sum("_y").alias("_y"), F.sum("_p").alias("_p"))
     )
-    whole = Window.partitionBy(split)
+    whole = Window.partitionBy(q(split))
     shares = sides.select(
-        split, "bin", (F.col("p") / F.sum("p").over(whole)).alias("p"), (F.col("y") / F.sum("y").over(whole)).alias("q")
-    ).where((F.col("p") > 0) & (F.col("q") > 0))
+        q(split), (F.col("_p") / F.sum("_p").over(whole)).alias("_p"), (F.col("_y") / F.sum("_y").over(whole)).alias("_q")
+    ).where((F.col("_p") > 0) & (F.col("_q") > 0))
     from loomwright.operators.diverge import js
 
-    divergence = shares.groupBy(split).agg(js(F.col("p"), F.col("q")).alias("non_zero_js_div"))
+    divergence = shares.groupBy(q(split)).agg(js(F.col("_p"), F.col("_q")).alias("non_zero_js_div"))
     named = divergence.select(F.struct(q(split)).alias("_split"), "non_zero_js_div")
     whole_table = table.drop("_lo", "_hi", "_n").withColumn("_split", F.struct(q(split)))
     return whole_table.join(named, "_split", "left").drop("_split")

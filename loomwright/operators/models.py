@@ -225,6 +225,8 @@ class SparkRegressor(Regressor):
     build: Callable[[], Estimator] | None = None
     fitted: Mapping[str, Transformer] = field(default_factory=dict)
 
+    needed_to_fit = ("build",)
+
     def assembled(self, df: DataFrame) -> DataFrame:
         zeroed = with_all(df, {f"_x{i}": filled(df, c) for i, c in enumerate(self.features)})
         inputs = [f"_x{i}" for i in range(len(self.features))]

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.ml import Estimator, Transformer
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import Estimator, Pipeline, Transformer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,33 +160,46 @@ def scaler(kind: str | None, columns: tuple[str, ...], **settings) -> Operator:
 
 @dataclass(frozen=True)
 class PerColumn(Operator):
-    """Any Spark ML estimator on every column by itself; output ``<c>_transformed[_j]``."""
+    """Any Spark ML estimator on every column by itself; output ``<c>_transformed[_j]``.
+
+    The stages of all columns are fitted as one pipeline over one assembled table, and one pass tells how many numbers
+    each of them gives.
+    """
 
     columns: tuple[str, ...]
-    build: Callable[[str, str], Estimator | Transformer]
+    build: Callable[[str, str], Estimator | Transformer] | None = None
     drop_original: bool = True
     fitted: Mapping[str, tuple[Transformer, int]] | None = None
 
-    @staticmethod
-    def assemble(df: DataFrame, column: str) -> DataFrame:
-        ready = df.withColumn("_value", filled(df, column))
-        return VectorAssembler(inputCols=["_value"], outputCol="_in").transform(ready).drop("_value")
+    needed_to_fit = ("build",)
+
+    def assembled(self, df: DataFrame) -> DataFrame:
+        """One vector column ``_in<i>`` of one number per column, made by plain expressions."""
+        return df.select(*[q(c) for c in df.columns], *[
+            array_to_vector(F.array(filled(df, c))).alias(f"_in{i}") for i, c in enumerate(self.columns)])
 
     def fit(self, df: DataFrame) -> PerColumn:
-        done = {}
-        for c in self.columns:
-            ready = self.assemble(df.select(q(c)), c)
-            stage = self.build("_in", "_out")
-            model = stage.fit(ready) if isinstance(stage, Estimator) else stage
-            sample = model.transform(ready).select(F.size(vector_to_array("_out"))).first()
-            done[c] = (model, int(sample[0]))
-        return replace(self, fitted=done)
+        ready = self.assembled(df.select(*[q(c) for c in self.columns])).persist()
+        try:
+            models = Pipeline(stages=[self.build(f"_in{i}", f"_out{i}") for i in range(len(self.columns))]).fit(ready).stages
+            sample = ready.limit(1)
+            for model in models:
+                sample = model.transform(sample)
+            row = sample.select(*[F.size(vector_to_array(f"_out{i}")) for i in range(len(self.columns))]).first()
+        finally:
+            ready.unpersist()
+        if row is None:
+            raise ValueError("no rows to fit on")
+        return replace(self, fitted={c: (model, int(n)) for c, model, n in zip(self.columns, models, row)})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        for c in self.columns:
+        if self.fitted is None:
+            raise ValueError("fit first")
+        out, new = self.assembled(df), []
+        for i, c in enumerate(self.columns):
             model, width = self.fitted[c]
-            out = model.transform(self.assemble(df, c)).withColumn("_list", vector_to_array("_out"))
+            out = model.transform(out)
             names = [f"{c}_transformed"] if width == 1 else [f"{c}_transformed_{j}" for j in range(width)]
-            new = [F.get("_list", F.lit(j)).alias(n) for j, n in enumerate(names)]
-            df = out.select(*[q(k) for k in df.columns], *new)
-        return df.drop(*self.columns) if self.drop_original else df
+            new += [F.get(vector_to_array(f"_out{i}"), F.lit(j)).alias(n) for j, n in enumerate(names)]
+        kept = [c for c in df.columns if not (self.drop_original and c in self.columns)]
+        return out.select(*[q(c) for c in kept], *new)

@@ -28,7 +28,8 @@ class RoutedPrediction(Operator):
     """Prepare rows, score each with the model its route names, undo logs, scale means back to sums.
 
     Both scores are columns of one plan and the route picks between them. When the preparation
-    aggregates rows, the group size travels along and averaged targets are multiplied by it.
+    aggregates rows, the group size travels along and averaged targets are multiplied by it. With ``prepare_other`` the
+    rows of the second model are told by the route before anything is prepared, and have a preparation of their own.
     """
 
     model: Regressor
@@ -51,7 +52,19 @@ class RoutedPrediction(Operator):
     def prepared(self, df: DataFrame) -> DataFrame:
         return self.counted()(df)
 
+    def sides(self, df: DataFrame) -> tuple[tuple[RoutedPrediction, DataFrame], tuple[RoutedPrediction, DataFrame]]:
+        """Either model with its own preparation, and the rows that its route names."""
+        way = F.coalesce(route({c: v for c, v in self.criteria.items() if c in df.columns}), F.lit(False))
+        first = replace(self, other=None, prepare_other=None)
+        return (first, df.where(~way)), (replace(first, model=self.other, prepare=self.prepare_other), df.where(way))
+
+    def apart(self) -> bool:
+        return self.other is not None and self.prepare_other is not None
+
     def fit(self, df: DataFrame) -> RoutedPrediction:
+        if self.apart():
+            one, two = (flow.fit(rows) for flow, rows in self.sides(df))
+            return replace(self, model=one.model, prepare=one.prepare, other=two.model, prepare_other=two.prepare)
         chain = self.counted().fit(df)
         ready = chain(df)
         other = self.other.fit(ready) if self.other is not None else None
@@ -73,6 +86,9 @@ class RoutedPrediction(Operator):
         ])
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if self.apart():
+            one, two = (flow.transform(rows) for flow, rows in self.sides(df))
+            return one.unionByName(two, allowMissingColumns=True)
         ready = self.prepared(df)
         grouping = self.grouping()
         means = set(grouping.averaged(df)) if grouping is not None else set()

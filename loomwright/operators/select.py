@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from loomwright.functions import mathops, text
 from loomwright.plans.columns import NUMBERS, containing, known, q, type_of, with_all
 from loomwright.plans.operator import Operator
-from loomwright.plans.ordered import exact_quantiles
+from loomwright.plans.ordered import ranked_values
 
 
 @dataclass(frozen=True)
@@ -156,9 +156,8 @@ class OutlierRule(Operator):
         if not spread:
             return OutlierRule(self.column, self.threshold, self.flag, math.inf)
         # with n rows, at most n/2 exceed the limit exactly when the row of rank ceil(n/2)-1 does not
-        rows = df.agg(F.count(known(q(self.column), type_of(df, self.column)))).first()[0]
-        rank = -(-rows // 2) - 1
-        median_row = exact_quantiles(df, [self.column], [rank / (rows - 1)])[self.column][0]
+        _, found = ranked_values(df, [self.column], lambda n: [-(-n // 2) - 1], [0.5])[self.column]
+        median_row = next(iter(found.values()))
         steps = max(0, math.ceil((median_row / spread - self.threshold) / 0.1 - 1e-9))
         return OutlierRule(self.column, self.threshold, self.flag, (self.threshold + 0.1 * steps) * spread)
 

@@ -6,21 +6,27 @@ these, so the rows are read once and no group is ever gathered in one place.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.plans.columns import filled, q
+from loomwright.session import stored
 
 MAX_SQL_PAIRS = 150
-MAX_WIDTH = 4_096
-HELD_GROUPS = 64
+# cells of a covariance that one pass adds up
+TILE_CELLS = 1 << 22
+# rows of a group that one task adds up
+SLICE_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -54,13 +60,18 @@ def partial_sums(df: DataFrame, array_column: str, width: int, function, size: i
         for batch in batches:
             if batch.num_rows:
                 total += function(matrix_of(batch.column(0), width))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["acc"])
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(total))], names=["acc"])
 
     parts = df.select(q(array_column)).mapInArrow(partials, "acc array<double>")
     return np.array(vector_sum(parts, "acc").first()["acc"])
 
 
 def matrix_of(column: pa.Array, width: int) -> np.ndarray:
+    """Equally long lists as a matrix; a list of another length is an error, since rows would run into each other."""
+    lengths = column.value_lengths()
+    if len(column) and pa.compute.any(pa.compute.not_equal(lengths, width)).as_py():
+        other = next(n for n in lengths.to_pylist() if n != width)
+        raise ValueError(f"a vector has {other} elements in place of {width}")
     return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, width)
 
 
@@ -73,8 +84,6 @@ def packed(df: DataFrame, columns: Sequence[str], shift: Sequence[float] | None
 def moments_table(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """One row per group: keys, n, mean array<double>, cov array<double> (row-major, population)."""
     columns, keys = list(columns), list(keys)
-    if len(columns) > MAX_WIDTH:
-        raise ValueError(f"{len(columns)} columns exceed {MAX_WIDTH}")
     if len(columns) * (len(columns) + 1) // 2 <= MAX_SQL_PAIRS:
         return _by_aggregates(df, columns, keys)
     return _by_matrices(df, columns, keys)
@@ -96,64 +105,86 @@ def _by_aggregates(df: DataFrame, columns: list[str], keys: list[str]) -> DataFr
     )
 
 
-def _by_matrices(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Arrow batches to matrix products, one partial sum per task and group, added up by Spark.
+def _by_matrices(df: DataFrame, columns: list[str], keys: list[str], rows_per_slice: int = SLICE_ROWS) -> DataFrame:
+    """Rows dealt by group, so that a task reads group after group and adds up one matrix at a time.
 
-    Values are shifted by the global mean first, which keeps the products well scaled.
+    What is shuffled are the rows themselves, not a matrix per group and batch. Groups of more than ``rows_per_slice`` rows
+    are cut into slices, whose sums Spark adds up; there are at most rows / rows_per_slice of them, which bounds the
+    broadcast list. Values are shifted by the global mean first, which keeps the products well scaled.
     """
     width = len(columns)
+    if not keys:
+        found = array_moments(df.select(packed(df, columns).alias("_x")), "_x", width)
+        row = [(found.n, found.mean.tolist(), found.cov.ravel().tolist())]
+        return df.sparkSession.createDataFrame(row, "n bigint, mean array<double>, cov array<double>")
+    plain = df.select(*[q(k).alias(f"k{i}") for i, k in enumerate(keys)], packed(df, columns).alias("_x"))
+    names = [f"k{i}" for i in range(len(keys))]
+    counts = plain.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_slice)
+    large = counts.select(*[F.col(k).alias(f"_{k}") for k in names], F.ceil(F.col("_n") / F.lit(rows_per_slice)).cast("int").alias("_slices"))
+    large = stored(large, "large-groups")
+    same = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names])
     centre_row = df.agg(*[F.avg(filled(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    centre = [float(v or 0.0) for v in centre_row]
-    size = 1 + width + width * width
-    plain = df.select(*[q(k) for k in keys], packed(df, columns, centre).alias("_x"))
-    key_fields = [f for f in plain.schema.fields if f.name in keys]
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields] + ["acc array<double>"])
+    centre = np.array([float(v or 0.0) for v in centre_row])
+    slices = F.coalesce("_slices", F.lit(1))
+    marked = plain.join(F.broadcast(large), same, "left").select(
+        *names, "_x", slices.alias("_slices"), F.pmod(F.xxhash64(F.spark_partition_id(), "_x"), slices).cast("int").alias("_slice"))
+    dealt = marked.repartition(*names, "_slice").sortWithinPartitions(*names, "_slice")
+    kinds = [f.dataType.simpleString() for f in plain.schema.fields[:len(keys)]]
+    schema = ", ".join([f"{n} {t}" for n, t in zip(names, kinds)] + ["_slices int", "n double", "total array<double>", "products array<double>"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, types, slices_now, n, total, products = None, [], 1, 0, np.zeros(width), np.zeros((width, width))
+
+        def sent() -> pa.RecordBatch:
+            cells = [pa.array([v], t) for v, t in zip(now, types)]
+            lists = [pa.ListArray.from_arrays(pa.array([0, v.size], pa.int32()), pa.array(v.ravel().copy())) for v in (total, products)]
+            return pa.RecordBatch.from_arrays(
+                [*cells, pa.array([slices_now], pa.int32()), pa.array([float(n)]), *lists], names=[*names, "_slices", "n", "total", "products"])
 
-    def statistics(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
-
-    def emit(held: dict, types) -> pa.RecordBatch:
-        cols = [pa.array([k[i] for k in held], types[i]) for i in range(len(keys))]
-        acc = pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([*cols, acc], names=[*keys, "acc"])
-
-    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
-        types: list[pa.DataType] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            types = [batch.column(i).type for i in range(len(keys))]
-            x = matrix_of(batch.column(len(keys)), width)
-            if keys:
-                frame = pa.Table.from_batches([batch]).select(keys).to_pandas()
-                groups = frame.groupby(keys, dropna=False, sort=False).indices
-            else:
-                groups = {(): slice(None)}
-            for key, at in groups.items():
-                key = key if isinstance(key, tuple) else (key,)
-                held[key] = held.get(key, 0) + statistics(x[at])
-            if len(held) > HELD_GROUPS:
-                yield emit(held, types)
-                held = {}
-        if held:
-            yield emit(held, types)
-
-    summed = vector_sum(plain.mapInArrow(partials, out_schema), "acc", keys)
-    shift = F.array(*[F.lit(c) for c in centre])
-    n = F.get("acc", F.lit(0))
-    delta = F.transform(F.slice("acc", 2, width), lambda s: s / n)
-    cov = F.transform(
-        F.slice("acc", 2 + width, width * width),
-        lambda v, i: v / n - F.get("_d", (i / width).cast("int")) * F.get("_d", F.pmod(i, F.lit(width))),
-    )
-    return summed.withColumn("_d", delta).select(
-        *[q(k) for k in keys], n.cast("long").alias("n"),
-        F.zip_with("_d", shift, lambda d, s: d + s).alias("mean"), cov.alias("cov"),
-    )
+            types = [batch.column(i).type for i in range(len(names))]
+            x = matrix_of(batch.column(len(names)), width) - centre
+            groups = list(zip(*[batch.column(i).to_pylist() for i in range(len(names))],
+                              batch.column(len(names) + 2).to_pylist(), strict=True))
+            cuts = [0, *[i for i in range(1, len(groups)) if groups[i] != groups[i - 1]], len(groups)]
+            for low, high in zip(cuts, cuts[1:]):
+                if now is not None and groups[low] != now + (slice_now,):
+                    yield sent()
+                    n, total, products = 0, np.zeros(width), np.zeros((width, width))
+                now, slice_now = groups[low][:-1], groups[low][-1]
+                slices_now = batch.column(len(names) + 1)[low].as_py()
+                block = x[low:high]
+                n += len(block)
+                total += block.sum(0)
+                products += block.T @ block
+        if now is not None:
+            yield sent()
+
+    sums = dealt.mapInArrow(summed, schema)
+    shift = F.array(*[F.lit(float(c)) for c in centre])
+
+    def finished(sums: DataFrame) -> DataFrame:
+        delta = sums.withColumn("_d", F.transform("total", lambda s: s / F.col("n")))
+        cov = F.transform("products", lambda v, i: v / F.col("n") - F.get("_d", (i / width).cast("int")) * F.get("_d", F.pmod(i, F.lit(width))))
+        return delta.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("n").cast("long").alias("n"),
+                            F.zip_with("_d", shift, lambda d, s: d + s).alias("mean"), cov.alias("cov"))
+
+    if large.isEmpty():
+        return finished(sums)
+    kept = stored(sums, "group-sums")
+    parts = kept.where("_slices > 1")
+    whole = parts.groupBy(*names).agg(
+        F.sum("n").alias("n"), *[vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c) for c in ("total", "products")])
+    return finished(kept.where("_slices = 1").select(*names, "n", "total", "products").unionByName(whole))
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
+    columns = list(columns)
+    if len(columns) * (len(columns) + 1) // 2 > MAX_SQL_PAIRS:
+        found = array_moments(df.select(packed(df, columns).alias("_x")), "_x", len(columns))
+        return Moments(tuple(columns), found.n, found.mean, found.cov)
     row = moments_table(df, columns).first()
     width = len(columns)
     if not row["n"]:
@@ -161,19 +192,25 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     return Moments(tuple(columns), int(row["n"]), np.array(row["mean"]), np.array(row["cov"]).reshape(width, width))
 
 
-def array_moments(df: DataFrame, column: str, width: int) -> Moments:
-    """Moments of an array column of fixed width; rows with NULL are skipped."""
-    if width > MAX_WIDTH:
-        raise ValueError(f"width {width} exceeds {MAX_WIDTH}")
-    vectors = df.select(q(column).cast("array<double>").alias("_x")).where(F.col("_x").isNotNull())
-    centre = np.array(vectors.agg(vector_to_array(Summarizer.mean(array_to_vector("_x"))).alias("m")).first()["m"])
-
-    def statistics(x: np.ndarray) -> np.ndarray:
-        x = x - centre
-        return np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+def array_moments(df: DataFrame, column: str, width: int, tile: int = TILE_CELLS) -> Moments:
+    """Moments of an array column of fixed width; rows with NULL are skipped.
 
-    acc = partial_sums(vectors, "_x", width, statistics, 1 + width + width * width)
-    n = acc[0]
-    delta = acc[1:1 + width] / n
-    cov = acc[1 + width:].reshape(width, width) / n - np.outer(delta, delta)
-    return Moments(tuple(f"{column}_{i}" for i in range(width)), int(n), centre + delta, cov)
+    A covariance of more than ``tile`` cells is made in bands of rows, one pass each, so a task's sums keep their size.
+    """
+    vectors = df.select(q(column).cast("array<double>").alias("_x")).where(F.col("_x").isNotNull())
+    first = partial_sums(vectors, "_x", width, lambda x: np.r_[len(x), x.sum(0)], 1 + width)
+    n = first[0]
+    if not n:
+        raise ValueError("no rows to fit on")
+    centre, bands, height = first[1:] / n, [], max(1, tile // width)
+    for low in range(0, width, height):
+        high = min(width, low + height)
+
+        def products(x: np.ndarray, low=low, high=high) -> np.ndarray:
+            x = x - centre
+            return np.concatenate([x.sum(0), (x[:, low:high].T @ x).ravel()])
+
+        acc = partial_sums(vectors, "_x", width, products, width + (high - low) * width) / n
+        delta = acc[:width]
+        bands.append(acc[width:].reshape(high - low, width) - np.outer(delta[low:high], delta))
+    return Moments(tuple(f"{column}_{i}" for i in range(width)), int(n), centre + delta, np.vstack(bands))

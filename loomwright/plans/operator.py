@@ -22,6 +22,8 @@ class BatchOnly(ValueError):
 class Operator:
     kinds: ClassVar[dict[str, type]] = {}
     whole_table: ClassVar[bool] = False
+    #: fields that hold code which a fitted operator (field ``fitted``) can do without
+    needed_to_fit: ClassVar[tuple[str, ...]] = ()
 
     def __init_subclass__(cls, **kwargs: Any) -> None:
         super().__init_subclass__(**kwargs)

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import dataclasses
+import datetime
+import decimal
 import json
+from collections.abc import Mapping
 
+from pyspark.ml import Transformer
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,34 +25,64 @@ def _known_kinds() -> dict[str, type]:
     return Operator.kinds
 
 
-def _pack(value: object, tables: list[DataFrame]) -> object:
+@dataclasses.dataclass
+class Parts:
+    """What a stored operator keeps beside its JSON text: tables and Spark ML models."""
+
+    tables: list[DataFrame] = dataclasses.field(default_factory=list)
+    models: list = dataclasses.field(default_factory=list)
+
+
+def _pack(value: object, parts: Parts) -> object:
     if isinstance(value, Operator):
-        body = {f.name: _pack(getattr(value, f.name), tables) for f in dataclasses.fields(value)}
+        left_out = value.needed_to_fit if getattr(value, "fitted", None) else ()
+        body = {f.name: None if f.name in left_out else _pack(getattr(value, f.name), parts) for f in dataclasses.fields(value)}
         return {"operator": type(value).__name__, "fields": body}
     if isinstance(value, DataFrame):
-        tables.append(value)
-        return {"table": len(tables) - 1}
-    if isinstance(value, dict):
-        return {"pairs": [[_pack(k, tables), _pack(v, tables)] for k, v in value.items()]}
+        parts.tables.append(value)
+        return {"table": len(parts.tables) - 1}
+    if isinstance(value, Transformer):
+        parts.models.append(value)
+        return {"model": len(parts.models) - 1}
+    if isinstance(value, Mapping):
+        return {"pairs": [[_pack(k, parts), _pack(v, parts)] for k, v in value.items()]}
     if isinstance(value, (tuple, list)):
-        return {"tuple" if isinstance(value, tuple) else "list": [_pack(v, tables) for v in value]}
+        return {"tuple" if isinstance(value, tuple) else "list": [_pack(v, parts) for v in value]}
     if value is None or isinstance(value, (str, int, float, bool)):
         return value
+    for name, (kind, text, _) in SCALARS.items():
+        if type(value) is kind:
+            return {name: text(value)}
     raise TypeError(f"{type(value).__name__} is code, not state, and cannot be stored")
 
 
-def _unpack(value: object, tables: list[DataFrame]) -> object:
+#: values that JSON has no form for: their type, as text, and back
+SCALARS = {
+    "date": (datetime.date, datetime.date.isoformat, datetime.date.fromisoformat),
+    "moment": (datetime.datetime, datetime.datetime.isoformat, datetime.datetime.fromisoformat),
+    "span": (datetime.timedelta, lambda v: [v.days, v.seconds, v.microseconds], lambda v: datetime.timedelta(*v)),
+    "decimal": (decimal.Decimal, str, decimal.Decimal),
+    "bytes": (bytes, bytes.hex, bytes.fromhex),
+    "bytearray": (bytearray, bytearray.hex, bytearray.fromhex),
+}
+
+
+def _unpack(value: object, parts: Parts) -> object:
     if not isinstance(value, dict):
         return value
     (kind, body), *rest = value.items()
     if kind == "operator":
-        fields = {k: _unpack(v, tables) for k, v in value["fields"].items()}
+        fields = {k: _unpack(v, parts) for k, v in value["fields"].items()}
         return _known_kinds()[body](**fields)
     if kind == "table":
-        return tables[body]
+        return parts.tables[body]
+    if kind == "model":
+        return parts.models[body]
     if kind == "pairs":
-        return {_unpack(k, tables): _unpack(v, tables) for k, v in body}
-    return (tuple if kind == "tuple" else list)(_unpack(v, tables) for v in body)
+        return {_unpack(k, parts): _unpack(v, parts) for k, v in body}
+    if kind in SCALARS:
+        return SCALARS[kind][2](body)
+    return (tuple if kind == "tuple" else list)(_unpack(v, parts) for v in body)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -65,20 +100,27 @@ def free_path(spark: SparkSession, path: str) -> str:
 
 
 def save(spark: SparkSession, operator: Operator, path: str) -> str:
-    """Store an operator; returns the path used."""
+    """Store an operator with its tables and fitted Spark ML models; returns the path used.
+
+    What an operator needs for fitting only (``needed_to_fit``) is code and is left out once it is fitted.
+    """
     path = free_path(spark, path)
-    tables: list[DataFrame] = []
-    text = json.dumps(_pack(operator, tables))
-    for i, table in enumerate(tables):
+    parts = Parts()
+    text = json.dumps(_pack(operator, parts))
+    for i, table in enumerate(parts.tables):
         table.write.parquet(f"{path}/table_{i}")
-    spark.createDataFrame([(text, len(tables))], "state string, tables int").write.parquet(f"{path}/state")
+    for i, model in enumerate(parts.models):
+        model.write().save(f"{path}/model_{i}")
+    row = [(text, len(parts.tables), len(parts.models))]
+    spark.createDataFrame(row, "state string, tables int, models int").write.parquet(f"{path}/state")
     return path
 
 
 def load(spark: SparkSession, path: str) -> Operator:
     row = spark.read.parquet(f"{path}/state").first()
     tables = [spark.read.parquet(f"{path}/table_{i}") for i in range(row["tables"])]
-    return _unpack(json.loads(row["state"]), tables)
+    models = [DefaultParamsReader.loadParamsInstance(f"{path}/model_{i}", spark) for i in range(row["models"])]
+    return _unpack(json.loads(row["state"]), Parts(tables, models))
 
 
 def append_runs(board: DataFrame, path: str) -> str:

@@ -235,13 +235,10 @@ def test_poisson_search_recovers_parameters(spark):
 def test_poisson_steps_that_overshoot(spark):
     """Rare large counts, where a whole Newton step makes the fit worse."""
     rows = spark.createDataFrame([(float(k), 0.0 if k < 60 else 400.0) for k in range(64)], "x double, t double")
-    model = curves.AdbudgRegressor(("x",), ("t",), poisson=True).fit(rows)
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    glm = models.SparkRegressor(("_c_x",), ("t",), build=lambda: GeneralizedLinearRegression(family="poisson", maxIter=100)).fit(model.curves(rows))
-    weights, intercept = model.poisson_weights["t"]
-    assert weights[0] == pytest.approx(glm.fitted["t"].coefficients[0], rel=1e-3)
-    assert intercept == pytest.approx(glm.fitted["t"].intercept, rel=1e-3)
+    for pair in ((1.0, 1.0), (3.0, 2.0), (0.1, 0.1)):
+        model = curves.AdbudgRegressor(("x",), ("t",), candidates=(pair,), poisson=True, steps=300).fit(rows)
+        left = model.curves(model(rows)).agg(F.sum(F.col("t") - F.col("pred_t")), F.sum((F.col("t") - F.col("pred_t")) * F.col("_c_x"))).first()
+        assert np.abs(left).max() < 1e-2  # of 1,600 counts: the likelihood can't rise in any direction
 
 
 def test_poisson_penalty_shrinks(spark):
@@ -294,12 +291,74 @@ def test_low_rank_is_stable(spark, mixed):
     assert len(decompose.LowRank(COLUMNS, n_min=1, n_max=6, explained=0.999).fit(df).loadings) == 3
 
 
+def test_low_rank_selects_a_size(spark):
+    """The number of components follows the data, not the ends of the range."""
+    draw = np.random.default_rng(4)
+    for hidden in (2, 4):
+        x = draw.normal(size=(900, hidden)) @ draw.normal(size=(hidden, 12)) + draw.normal(scale=0.1, size=(900, 12))
+        df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
+        size = {len(decompose.LowRank(("v",), n_min=a, n_max=b).fit(df).loadings) for a, b in ((1, 12), (2, 6), (1, 10))}
+        assert size == {hidden}
+        assert len(decompose.LowRank(("v",), n_min=5, n_max=8).fit(df).loadings) == 5
+
+
+def test_ragged_vectors_are_an_error(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0, 3.0],), ([4.0],)], "v array<double>")
+    with pytest.raises(Exception, match="elements in place of"):
+        decompose.Pca(("v",), 1).fit(df)
+
+
 def test_ica_finds_sources(mixed):
     df, x, sources = mixed
     model = decompose.Ica(COLUMNS, 3).fit(df)
     got = model.function()(x)
     match = np.abs(np.corrcoef(got.T, sources.T)[:3, 3:])
-    assert match.max(axis=1).min() > 0.95
+    assert match.max(axis=1).min() > 0.95 and model.converged
+    assert not decompose.Ica(COLUMNS, 3, rounds=1).fit(df).converged
+
+
+def test_ica_takes_two_sources_apart(spark):
+    draw = np.random.default_rng(8)
+    sources = np.column_stack([draw.uniform(-1, 1, 4000), draw.laplace(size=4000)])
+    x = sources @ np.array([[1.0, 0.4], [-0.3, 2.0]])
+    model = decompose.Ica(("a_0", "a_1")).fit(spark.createDataFrame([tuple(map(float, r)) for r in x], "a_0 double, a_1 double"))
+    match = np.abs(np.corrcoef(model.function()(x).T, sources.T)[:2, 2:])
+    assert match.max(axis=1).min() > 0.99 and model.converged
+
+
+def test_poly_kernel_is_its_feature_map(mixed):
+    """Inner products of features are kernel values, and scores are those of the kernel matrix of all rows."""
+    df, x, _ = mixed
+    model = decompose.kernel_pca("poly", COLUMNS, n_components=3, gamma=0.3, bias=0.7).fit(df)
+    features, size = model.feature_map(6, 0.3)
+    phi = features(x)
+    assert phi.shape == (1200, size) == (1200, 84)
+    kernel = (0.3 * x @ x.T + 0.7) ** 3
+    assert phi @ phi.T == pytest.approx(kernel)
+    middle = np.eye(1200) - 1 / 1200
+    values = np.linalg.eigvalsh(middle @ kernel @ middle)[::-1][:3]
+    assert (model.function()(x) ** 2).sum(0) == pytest.approx(values, rel=1e-6)
+
+
+def test_wide_kernel_map_by_iteration(mixed, monkeypatch):
+    df, x, _ = mixed
+    whole = decompose.kernel_pca("poly", COLUMNS, n_components=3).fit(df)
+    monkeypatch.setattr(decompose, "WIDE", 10)
+    monkeypatch.setattr(decompose, "CELLS", 1000)
+    found = decompose.kernel_pca("poly", COLUMNS, n_components=3).fit(df)
+    assert found.converged and whole.converged is None
+    assert found.function()(x) == pytest.approx(whole.function()(x), abs=1e-2, rel=1e-3)
+
+
+def test_rbf_waves_are_close_to_the_kernel(mixed):
+    df, x, _ = mixed
+    model = decompose.kernel_pca("rbf", COLUMNS, n_components=3, waves=2000).fit(df)
+    phi = model.feature_map(6, model.gamma)[0](x[:300])
+    apart = ((x[:300, None] - x[None, :300]) ** 2).sum(2)
+    error = phi @ phi.T - np.exp(-model.gamma * apart)
+    assert np.abs(error).mean() < 1 / np.sqrt(2 * 2000) and error.std() < 1 / np.sqrt(2 * 2000)
+    with pytest.raises(ValueError, match="no feature map"):
+        decompose.kernel_pca("sigmoid", COLUMNS)
 
 
 def test_factor_analysis_and_kernels(mixed):
@@ -339,6 +398,19 @@ def test_nmf_rebuilds_non_negative_data(spark):
     assert mix.min() >= 0 and np.abs(mix @ np.array(model.loadings) - x).mean() < 0.02
 
 
+def test_nmf_of_an_outer_product(spark):
+    x = np.outer(np.arange(1.0, 101), [1.0, 0.0, 2.5, 0.3, 4.0, 1.0])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"d_{k} double" for k in range(6)))
+    model = decompose.Nmf(COLUMNS, 1).fit(df)
+    assert model.converged and model.function()(x) @ np.array(model.loadings) == pytest.approx(x, abs=1e-6)
+    assert not decompose.Nmf(COLUMNS, 2, rounds=1).fit(df).converged
+    negative = df.withColumn("d_1", F.lit(-1.0))
+    with pytest.raises(ValueError, match="100 cells are negative"):
+        model.fit(negative)
+    with pytest.raises(Exception, match="negative cells"):
+        model(negative).collect()
+
+
 def test_null_vectors_stay_null(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [2.0, 1.0])], "i int, v array<double>")
     done = decompose.Pca(("v",), 1, as_array=True).fit_transform(df).orderBy("i").collect()
@@ -395,3 +467,52 @@ def test_store_and_load(spark, campaign):
     assert sorted(map(tuple, loaded(campaign).collect())) == sorted(map(tuple, chain(campaign).collect()))
     with pytest.raises(TypeError):
         artifacts.save(spark, Apply(lambda df: df), scratch_path(spark, "code"))
+
+
+def test_storing_models_and_dates(spark, campaign):
+    import datetime
+    import decimal
+
+    from pyspark.ml.feature import MinMaxScaler
+
+    days = campaign.withColumn("d", F.date_add(F.lit("2024-01-01").cast("date"), F.col("g")))
+    flags = OneHot(("d",), {"d": [datetime.date(2024, 1, 2)]})
+    forest = models.SparkRegressor(FEATURES, ("t",), build=lambda: DecisionTreeRegressor(maxDepth=3))
+    scaled = scale.PerColumn(("f_0", "f_1"), lambda i, o: MinMaxScaler(inputCol=i, outputCol=o), drop_original=False)
+    chain = Chain((flags, scaled, forest)).fit(days)
+    back = artifacts.load(spark, artifacts.save(spark, chain, scratch_path(spark, "kept")))
+    assert back(days).orderBy("id").collect() == chain(days).orderBy("id").collect()
+    values = {"a": datetime.datetime(2024, 1, 1, 2, 3, 4, 5), "b": decimal.Decimal("1.50"), "c": b"\x00\xff", "d": datetime.timedelta(1, 2, 3)}
+    step = OneHot(("x",), {"x": list(values.values())})
+    assert artifacts.load(spark, artifacts.save(spark, step, scratch_path(spark, "kept"))).items["x"] == list(values.values())
+    with pytest.raises(TypeError):
+        artifacts.save(spark, models.SparkRegressor(FEATURES, ("t",), build=lambda: None), scratch_path(spark, "kept"))
+
+
+def test_encoder_runs_once_for_all_columns(spark):
+    from loomwright.operators.embed import EncodeOnce
+
+    runs = []
+
+    def encoder(values):
+        runs.append(values.columns)
+        return values.select("value", F.array(F.length("value").cast("double")).alias("vector"))
+
+    rows = spark.createDataFrame([(1, "g", "aa", ["x", "yyy"]), (2, "g", "b", None), (3, "h", None, [])], "i int, g string, t string, l array<string>")
+    done = EncodeOnce(("t", "l"), "g", ("i",), encoder, normalize=False)(rows).orderBy("i").collect()
+    assert len(runs) == 1
+    assert [(r["t_clip"], r["l_clip"]) for r in done] == [([2.0], [2.0]), ([2.0], [2.0]), (None, None)]
+
+
+def test_routes_with_preparations_of_their_own(spark, campaign):
+    from loomwright.operators.features import SignedLog
+
+    flow = scoring.RoutedPrediction(
+        models.LinearRegressor(FEATURES, ("t",)), ("t",), Chain(()), models.LinearRegressor(FEATURES, ("t",)),
+        Chain((SignedLog(("f_0",)),)), criteria={"g": 3})
+    fitted = flow.fit(campaign)
+    done = {r["id"]: r["t"] for r in fitted(campaign).collect()}
+    ours = campaign.where("g = 3")
+    second = models.LinearRegressor(FEATURES, ("t",)).fit(SignedLog(("f_0",))(ours))
+    want = {r["id"]: r["pred_t"] for r in second(SignedLog(("f_0",))(ours)).collect()}
+    assert len(done) == 800 and {i: done[i] for i in want} == pytest.approx(want)

@@ -9,12 +9,13 @@ from loomwright.operators.select import FillMissing, OutlierRule
 from loomwright.operators import diverge
 from loomwright.operators.aggregate import GroupValue, OncePerGroup
 from loomwright.operators.features import SignedLog
-from loomwright.operators.lookup import DecodeIds, DecodeRegions
+from loomwright.operators.encode import Codes
+from loomwright.operators.lookup import DecodeIds, DecodeRegions, MapValues
 from loomwright.operators.spine import TimeGrid
 from loomwright.plans.joins import salted_join
 from loomwright.plans.moments import Moments, _by_aggregates, _by_matrices, array_moments
 from loomwright.plans.operator import Apply, BatchOnly, Chain
-from loomwright.plans.ordered import exact_quantiles, range_bin, running_totals
+from loomwright.plans.ordered import exact_quantiles, range_bin, ranged, ranked_values, running_totals
 from loomwright.session import cut_lineage, shared_dir, stored
 
 
@@ -76,16 +77,45 @@ def test_range_bin_counts_edges(spark):
     assert got == [0, 1, 2, 4, 5]
 
 
-@pytest.mark.parametrize("bins", [1, 4, 64])
-def test_running_totals_in_bins(spark, bins):
+def test_quantiles_of_all_columns_take_the_same_jobs(spark):
+    """The number of jobs does not grow with the columns, also where brackets are narrowed."""
+    draw = np.random.default_rng(3)
+    values = draw.normal(size=(4000, 6)).round(3)
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in values], [f"c{k}" for k in range(6)]).repartition(4).cache()
+    probs, context, jobs = [0.05, 0.5, 0.95], spark.sparkContext, []
+    for columns in (["c0"], [f"c{k}" for k in range(6)]):
+        context.setJobGroup(f"quantiles {len(columns)}", "count jobs")
+        got = exact_quantiles(rows, columns, probs, listed=300, cells=64)
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"quantiles {len(columns)}")))
+        for k, c in enumerate(columns):
+            assert got[c] == pytest.approx(np.quantile(values[:, k], probs), rel=1e-12)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 1
+
+
+def test_values_at_ranks(spark):
+    rows = spark.range(0, 1001, 1, 5).select((F.col("id") * 7919 % 1001 / 3.0).alias("x"), F.lit(None).cast("double").alias("y"))
+    found = ranked_values(rows, ["x", "y"], lambda n: [0, n // 3, n - 1] if n else [], None, listed=50)
+    assert found == {"x": (1001, {0: 0.0, 333: 333 / 3.0, 1000: 1000 / 3.0}), "y": (0, {})}
+
+
+@pytest.mark.parametrize("size", [1000, 30, 2])
+def test_running_totals_in_ranges(spark, size):
     rows = spark.createDataFrame([(float(k * k % 101), k) for k in range(101)], "v double, n int")
     per_value = rows.groupBy("v").agg(F.sum("n").alias("n"))
-    got = running_totals(per_value, "v", ["n"], bins).orderBy("v").collect()
+    got = running_totals(per_value, "v", ["n"], size).orderBy("v").collect()
     pairs = sorted((r["v"], r["n"]) for r in per_value.collect())
     assert [r["running_n"] for r in got] == list(np.cumsum([n for _, n in pairs]))
     assert [r["next_value"] for r in got] == [v for v, _ in pairs][1:] + [None]
 
 
+def test_ranges_are_of_bounded_size(spark):
+    """Twice as many values make twice as many ranges, not longer ones."""
+    for count in (2_000, 8_000):
+        sizes = [r["count"] for r in ranged(spark.range(0, count, 1, 4), "id", 500).groupBy("_range").count().collect()]
+        assert sum(sizes) == count and max(sizes) <= 1_000
+
+
 def test_wasserstein_against_brute_force(spark):
     draw = np.random.default_rng(2)
     a, b = draw.normal(size=400).round(2), draw.normal(1, 2, size=300).round(2)
@@ -93,8 +123,7 @@ def test_wasserstein_against_brute_force(spark):
     pooled = np.sort(np.concatenate([a, b]))
     cdf = lambda x: np.searchsorted(np.sort(x), pooled[:-1], side="right") / len(x)
     expected = np.sum(np.abs(cdf(a) - cdf(b)) * np.diff(pooled))
-    for bins in (1, 16):
-        assert diverge.wasserstein(frame(a), frame(b), bins=bins).first()[0] == pytest.approx(expected)
+    assert diverge.wasserstein(frame(a), frame(b)).first()[0] == pytest.approx(expected)
     assert diverge.wasserstein(frame(a), frame(a)).first()[0] == 0
 
 
@@ -222,3 +251,84 @@ def test_places_in_groups_of_any_size(spark, keys):
     assert {(r.g, r.v, r.k): r["rank"] for r in got} == want
     tied = ranked(df, keys, [F.col("v")], tie="number").collect()
     assert sorted((r.g or 0, r["rank"]) if keys else r["rank"] for r in tied) == sorted((r.g or 0, r["rank"]) if keys else r["rank"] for r in got)
+
+
+def test_group_moments_of_wide_rows(spark):
+    """80 columns per group, one group with most rows: exact, and no matrix per batch is shuffled."""
+    draw = np.random.default_rng(6)
+    x = draw.normal(3, 2, size=(1500, 80))
+    group = [None if k % 100 == 0 else "hot" if k % 3 else f"g{k % 7}" for k in range(1500)]
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, r in zip(group, x)], "g string, " + ", ".join(f"c{k} double" for k in range(80)))
+    for slice_rows in (500_000, 100):
+        got = _by_matrices(rows.repartition(6), [f"c{k}" for k in range(80)], ["g"], slice_rows).collect()
+        assert sorted(str(r["g"]) for r in got) == sorted({str(g) for g in group})
+        for r in got:
+            own = x[[k for k, g in enumerate(group) if g == r["g"]]]
+            assert r["n"] == len(own) and r["mean"] == pytest.approx(own.mean(0))
+            assert np.reshape(r["cov"], (80, 80)) == pytest.approx(np.cov(own.T, bias=True), abs=1e-9)
+
+
+def test_covariance_in_bands(spark):
+    x = np.random.default_rng(7).normal(size=(200, 9))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
+    for tile in (1 << 22, 30, 1):
+        assert array_moments(df, "v", 9, tile).cov == pytest.approx(np.cov(x.T, bias=True))
+
+
+def test_codes_of_any_dictionary(spark):
+    rows = spark.range(0, 4000, 1, 4).select(
+        "id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("v"), (F.col("id") % 1700).cast("string"))).alias("t"),
+        F.when(F.col("id") % 7 > 0, F.array((F.col("id") % 1500).cast("double"), F.lit(float("nan")), F.lit(None).cast("double"))).alias("l"))
+    fitted = Codes(("t", "l")).fit(rows)
+    got = {r["id"]: r for r in fitted(rows).collect()}
+    order = {v: k for k, v in enumerate(sorted({f"v{i % 1700}" for i in range(4000) if i % 5}))}
+    numbers = {v: k for k, v in enumerate(sorted({i % 1500 for i in range(4000) if i % 7}))}
+    assert len(got) == 4000
+    for i, r in got.items():
+        assert r["t_index"] == (order[f"v{i % 1700}"] if i % 5 else None)
+        assert r["l_indices"] == ([numbers[i % 1500]] if i % 7 else None)
+    new = fitted(spark.createDataFrame([(1, "unknown", [3.0, -1.0]), (2, None, [])], "id bigint, t string, l array<double>")).orderBy("id").collect()
+    assert [(r["t_index"], r["l_indices"]) for r in new] == [(None, [numbers[3]]), (None, [])]
+
+
+def test_long_and_strict_maps(spark):
+    rows = spark.createDataFrame([(1, ["1", "x"]), (700, None), (None, [])], "k int, l array<string>")
+    given = {"k": {k: k * 2 for k in range(800)}, "l": {str(k): f"n{k}" for k in range(800)}}
+    got = MapValues(("k", "l"), given)(rows).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(None, []), (2, ["n1", None]), (1400, None)]
+    assert MapValues(("k",), {"k": given["k"]}, strict=True)(rows).count() == 3
+    with pytest.raises(Exception, match="no mapping in k"):
+        MapValues(("k",), {"k": given["k"]}, strict=True)(spark.createDataFrame([(999,)], "k int")).collect()
+
+
+@pytest.mark.parametrize("freq", ["6H", "2D", "1W", "MS", "2QS", "90S"])
+def test_rows_move_back_to_their_step(spark, freq):
+    import pandas as pd
+
+    draw = np.random.default_rng(3)
+    stamps = pd.Timestamp("2024-01-30 07:11:13") + pd.to_timedelta(draw.integers(0, 86400 * 2 if freq == "90S" else 86400 * 200, 300), "s")
+    rows = spark.createDataFrame([("a" if k % 3 else "b", t.to_pydatetime(), 1) for k, t in enumerate(stamps)], "g string, t timestamp_ntz, n int")
+    step = TimeGrid("t", ("g",), freq=freq, truncate=True).fit(rows)
+    done = step(rows).toPandas()
+    assert done["n"].sum() == 300
+    marks = sorted(done["t"].unique())
+    assert set(done[done["g"] == "a"]["t"]) == set(done[done["g"] == "b"]["t"])
+    for (t, n) in done.groupby("t")["n"].sum().items():
+        following = [m for m in marks if m > t]
+        assert n == ((stamps >= t) & ((stamps < following[0]) if following else True)).sum()
+
+
+def test_one_second_grid_is_made_in_blocks(spark):
+    rows = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-12 00:00:00", 1)], "g string, t string, n int").withColumn(
+        "t", F.col("t").cast("timestamp_ntz"))
+    done = TimeGrid("t", ("g",), freq="1S").fit_transform(rows)
+    facts = done.withColumn("part", F.spark_partition_id()).agg(F.count("*"), F.sum("n"), F.count_distinct("t"), F.count_distinct("part")).first()
+    assert tuple(facts[:3]) == (11 * 86400 + 1, 2, 11 * 86400 + 1) and facts[3] > 4
+
+
+def test_metric_rows_of_a_split_without_name(spark):
+    from loomwright.operators.metrics import metric_rows
+
+    rows = spark.createDataFrame([(s, float(k % 7), float(k % 5)) for k in range(200) for s in (None, "x")], "s string, y double, p double")
+    got = {r["s"]: tuple(r)[1:] for r in metric_rows(rows, "y", "p", "s").collect()}
+    assert got[None] == pytest.approx(got["x"]) and got[None][-1] > 0
