@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.blocks import SPACED, batch_map, give_back, mixed, small_batches, summed, text_slices, words
 from loomwright.llm.links import components
+from loomwright.plans.joins import salted_join
 from loomwright.session import stored
 
 CELL_BITS = 18
 SIGNATURE_LONGS = 32
+CELL_LONGS = 8  # of a signature inside a tree's cell
 CENTRES = 8
 BROADCAST_ROWS = 1 << 20
+# classes that are looked at to find very common grams, and how many of them share such a gram
+SAMPLED, COMMON = 4096, 40
 FACTORS = tuple(np.uint64(f) for f in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -50,6 +54,11 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """A signature in ``CELL_LONGS`` numbers; sets that differ in d grams still differ in at most d bits."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, SIGNATURE_LONGS // CELL_LONGS, CELL_LONGS), axis=1)
+
+
 def digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
@@ -77,12 +86,6 @@ class Threshold:
         most = F.least(one_place, other_place) + F.least(one - one_place, other - other_place)
         return (100 * F.least(one, other) >= self.percent * F.greatest(one, other)) & (most >= least)
 
-    def possible(self, one: Column, other: Column, bits: Column) -> Column:
-        """Sizes and signatures leave room for a link."""
-        total = one + other
-        least = F.ceil(self.percent * total / F.lit(float(100 + self.percent)) - 1e-9)
-        return (100 * F.least(one, other) >= self.percent * F.greatest(one, other)) & (bits <= total - 2 * least)
-
 
 class Node:
     """A token of the tree; what its subtree can still offer. A subtree of one set is not unfolded."""
@@ -103,10 +106,10 @@ MIXED = object()
 
 @dataclass
 class Record:
-    node: bytes
-    component: bytes
+    node: int
+    component: int
     size: int
-    tokens: list[int]  # grams of the prefix that other sets have too, in global order
+    tokens: list[int]  # grams of the prefix that other sets have too, in global order, from the tree's own gram on
     places: list[int]  # their places in the set
     bits: np.ndarray
 
@@ -144,13 +147,13 @@ class PrefixTree:
                 node.children[token] = Node()
             node, depth = node.children[token], depth + 1
 
-    def partners(self, number: int, gram: int) -> list[int]:
-        """Sets of other components that may be linked with this set: those whose first shared gram is ``gram``, and
-        those alone in a subtree, which share ``gram`` at least.
+    def partners(self, number: int) -> list[int]:
+        """Sets of other components that may be linked with this set, if the tree's gram is the first that both share, and
+        those alone in a subtree, which share that gram at least.
 
         Walks the tree once: what two sets share on a common path is counted once for all sets below. A subtree is left
-        when all its sets are of the same component as this set, when an earlier gram is shared (another tree has that
-        pair), or when the grams shared so far and those left on either side can't reach the needed overlap.
+        when all its sets are of the same component as this set, or when the grams shared so far and those left on either
+        side can't reach the needed overlap. Pairs that share an earlier gram too are found in that gram's tree.
         """
         own, limit = self.records[number], self.limit
         tokens, places, size = own.tokens, own.places, own.size
@@ -173,18 +176,16 @@ class PrefixTree:
                     stack.append((child, place, same, rest))
                     continue
                 if tokens[place] == token:
-                    if token < gram:
-                        continue
                     same, rest, place = shared + 1, size - places[place] - 1, place + 1
                 if same + min(rest, child.room) >= limit.overlap(size, child.smallest):
                     stack.append((child, place, same, rest))
         return out
 
 
-def tree_pairs(records: list[Record], gram: int, limit: Threshold, sides: list[int] | None = None) -> list[tuple[int, int]]:
+def tree_pairs(records: list[Record], limit: Threshold, sides: list[int] | None = None) -> list[tuple[int, int]]:
     """Candidate pairs of different components. Only the sets outside the largest component search the tree."""
     tree = PrefixTree(records, limit)
-    count: dict[bytes, int] = {}
+    count: dict[int, int] = {}
     for r in records:
         count[r.component] = count.get(r.component, 0) + 1
     largest = max(sorted(count), key=count.__getitem__)
@@ -194,7 +195,7 @@ def tree_pairs(records: list[Record], gram: int, limit: Threshold, sides: list[i
     for k, record in enumerate(records):
         if record.component == largest:
             continue
-        found = np.array([j for j in tree.partners(k, gram) if records[j].component == largest or j > k], np.int64)
+        found = np.array([j for j in tree.partners(k) if records[j].component == largest or j > k], np.int64)
         if sides is not None and len(found):  # pairs within one block are found in that block's own cell
             found = found[np.array([sides[j] != sides[k] for j in found])]
         if not len(found):
@@ -216,14 +217,16 @@ class NgramJoin:
     is at least ``percent`` hundredths; a component is all that links reach. Every link between different sets is
     honoured, though not every one is listed.
 
-    1. Texts with the same set are one class (16-byte digest of the set), so copies cost nothing further.
+    1. Texts with the same set are one class (16-byte digest of the set, then a number), so copies cost nothing further.
     2. Sets are ordered rarest gram first, by word counts over all texts in a fixed number of cells. Linked sets share
-       a gram among their first ones; only those of at least two classes are kept, and of grams with the same
-       classes only the first.
+       a gram among their first ones. These grams are dealt out once and sorted, and stream past: only those of at least
+       two classes are kept, and of grams with the same classes only the first. Grams that a sample of classes shows to
+       be very common are shared in any case and need not be dealt out.
     3. Each gram names one of its classes as its centre, by one of ``CENTRES`` random orders of all classes; pairs with
        the centre are verified. A large group of near copies becomes one component here, without its pairs.
     4. Grams whose classes are in more than one component build prefix trees, in blocks of ``block`` sets, so a common
-       gram is spread over many tasks. The candidates that trees, sizes and signatures leave are verified.
+       gram is spread over many tasks. A tree gets the grams from its own on and a short signature; the candidates that
+       trees, sizes and whole signatures leave are verified.
 
     Verification compares whole sets. Sets are told apart by 56-bit hashes of grams.
 
@@ -234,127 +237,225 @@ class NgramJoin:
 
     size: int = 3
     percent: int = 90
-    block: int = 1000
+    block: int = 2000
     text: str = "text"
     key: str = "doc_id"
 
-    def ranks(self, docs: DataFrame) -> np.ndarray:
-        """How common the words of each hash cell are, on a scale of logarithms."""
-        def count(batch: pa.RecordBatch, sums: np.ndarray) -> None:
-            for _, _, data, bounds in text_slices(batch.column(0)):
-                hashes, _ = words(data, bounds, SPACED)
-                sums[: 1 << CELL_BITS] += np.bincount((hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-
-        counts = summed(docs.select(self.text), 1 << CELL_BITS, count)
-        return np.minimum(np.round(2 * np.log2(counts + 1)), 255 // self.size).astype(np.uint64)
-
-    def _sets(self, batch_column: pa.Array, ranks: np.ndarray) -> Iterator[np.ndarray]:
-        for _, _, data, bounds in text_slices(batch_column):
-            hashes, at = words(data, bounds, SPACED)
-            yield from gram_hashes(hashes, at, self.size, ranks)
-
     def __call__(self, docs: DataFrame) -> DataFrame:
         """key, n_shingles and component_id of every row."""
+        return self._joined(docs, docs.select(self.key))[0]
+
+    def kept(self, docs: DataFrame) -> DataFrame:
+        """The rows whose id is their component's, so one document of each component, with all their columns.
+
+        What goes is told by row: another text of the same id stays where it belongs to another component. Repeated rows
+        of the document that stays, rows without id and rows without words stay. A table may have any other columns.
+        """
+        number = "_row"
+        while number in docs.columns:
+            number += "_"
+        marked = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+        _, found = self._joined(marked.select(F.col(number).alias("_row"), F.col(self.key).alias("_key"), F.col(self.text).alias("_text")), None)
+        goes = found.where("n_shingles > 0 and key != component_id").select(F.col("row").alias(number))
+        return marked.join(goes, number, "left_anti").select(*docs.columns)
+
+    def _joined(self, docs: DataFrame, named: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
+        """The result by key, and row, key, n_shingles and the number of the component of every row."""
         spark, limit = docs.sparkSession, Threshold(self.percent)
+        if named is not None:
+            docs = docs.select(F.lit(0).cast("long").alias("_row"), F.col(self.key).alias("_key"), F.col(self.text).alias("_text"))
         ranks = spark.sparkContext.broadcast(self.ranks(docs))
         rows = self._rows(docs, ranks, limit)
         classes = stored(
             rows.where("node is not null").groupBy("node").agg(
-                F.min("key").alias("least"), F.min("place").alias("place"),
-                F.first(F.struct("size", "prefix", "bits")).alias("set")).select("node", "least", "place", "set.*"), "classes")
+                F.min("key").alias("least"), F.count("*").alias("copies"), F.min("place").alias("place"),
+                F.first(F.struct("size", "prefix", "bits")).alias("set")).select(
+                    F.monotonically_increasing_id().alias("id"), "node", "least", "copies", "place", "set.*"), "classes")
         records = self._records(classes)
-        stars = self._verified(docs, ranks, limit, classes, self._star_pairs(records, limit))
+        stars = self._verified(docs, ranks, limit, classes, self._star_pairs(records, classes, limit))
         joined = components(stars)
-        pairs = self._tree_pairs(records, joined, limit)
+        pairs = self._possible(self._tree_pairs(records, classes, joined, limit), classes, limit)
         links = self._verified(docs, ranks, limit, classes, pairs)
         whole = components(links.unionByName(stars))
-        named = classes.select("node", "least").join(whole, "node").select("node", "component", "least")
-        first = named.groupBy("component").agg(F.min("least").alias("component_id"))
-        found = named.join(first, "component").select("node", "component_id").unionByName(
-            classes.join(whole, "node", "left_anti").select("node", F.col("least").alias("component_id")))
+        share = max(1000, classes.count() // 1000)  # lists of hot keys have 1,000 entries at most
+        labelled = classes.select("id", "node", "least", "copies").join(whole.select(F.col("node").alias("id"), "component"), "id", "left")
+        labelled = stored(labelled.withColumn("component", F.coalesce("component", "id")), "class-components")
+        first = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+        found = salted_join(labelled, first, ["component"], rows_per_task=share)
         # rows without words get keys of their own, so that they do not meet in one task
-        held = rows.select(F.col("key").alias(self.key), F.col("size").alias("n_shingles"),
+        held = rows.select("row", "key", F.col("size").alias("n_shingles"),
                            F.coalesce("node", F.xxhash64("place", "key").cast("string").cast("binary")).alias("node"))
-        return held.join(found, "node", "left").select(
-            self.key, "n_shingles", F.when(F.col("n_shingles") == 0, F.col(self.key)).otherwise(F.col("component_id")).alias("component_id"))
-
-    def kept(self, docs: DataFrame) -> DataFrame:
-        """The rows whose id is their component's, so one document of each component; rows without id stay."""
-        groups = self(docs.select(self.key, self.text)).where(F.col(self.key) != F.col("component_id")).select(self.key).distinct()
-        return docs.join(groups, self.key, "left_anti")
+        many = max(1000, rows.count() // 1000)
+        out = salted_join(held, found.select("node", "component", "component_id"), ["node"],
+                          counts=labelled.select("node", F.col("copies").alias("_n")), rows_per_task=many)
+        if named is None:
+            return None, out
+        return out.select(F.col("key").alias(self.key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("key")).otherwise(
+            F.col("component_id")).alias("component_id")), out
 
     def _rows(self, docs: DataFrame, ranks, limit: Threshold) -> DataFrame:
         def described(batch: pa.RecordBatch) -> dict:
             sizes, nodes, prefixes, bits = [], [], [], []
-            for grams in self._sets(batch.column(2), ranks.value):
+            for grams in self._sets(batch.column(3), ranks.value):
                 sizes.append(len(grams))
                 nodes.append(digest(grams) if len(grams) else None)
                 prefixes.append(grams[: limit.prefix(len(grams))].view(np.int64))
-                bits.append(signature(grams))
-            return {"key": batch.column(0), "place": batch.column(1), "size": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.binary()),
-                    "prefix": pa.array(prefixes, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64()))}
+                bits.append(signature(grams).tobytes())
+            return {"row": batch.column(0), "key": batch.column(1), "place": batch.column(2), "size": pa.array(sizes, pa.int64()),
+                    "node": pa.array(nodes, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "bits": pa.array(bits, pa.binary())}
+
+        kind = docs.schema["_key"].dataType.simpleString()
+        texts = docs.select("_row", "_key", self._place(), F.col("_text").alias("words"))
+        schema = f"row long, key {kind}, place binary, size long, node binary, prefix array<long>, bits binary"
+        return stored(batch_map(texts, schema, described), "gram-sets")
+
+    @staticmethod
+    def _place() -> Column:
+        """What a text is fetched by again."""
+        return F.unhex(F.md5(F.coalesce("_text", F.lit("")).cast("binary"))).alias("place")
+
+    def _postings(self, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Leading grams that several classes have: (id, size, place, gram) of each class, and (gram, members, one, two) of each
+        gram, where ``one`` and ``two`` tell sets of classes apart."""
+        postings = classes.select("id", F.col("size").cast("int").alias("size"), F.posexplode("prefix").alias("place", "gram"))
+        step = max(1, classes.count() // SAMPLED)
+        sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select(F.explode("prefix").alias("gram"))
+        common = sample.groupBy("gram").count().where(F.col("count") >= COMMON).select("gram")
+        # at most the sampled grams / COMMON
+        common = stored(common, "common-grams")
+        cold = postings.join(F.broadcast(common), "gram", "left_anti").select("gram", "id", "size", "place")
+        dealt = small_batches(cold.repartition("gram").sortWithinPartitions("gram", "id"))
+
+        def mixed_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return mixed(ids.view(np.uint64) * FACTORS[0] + FACTORS[1]), mixed(ids.view(np.uint64) * FACTORS[2] + FACTORS[3])
+
+        def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # of the gram that goes on in the next batch: its postings if it is the first one only, and its sums
+            now, lone, members, one, two = None, None, 0, np.uint64(0), np.uint64(0)
+
+            def sent(gram, ids, size, place, count, one, two) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([
+                    pa.array(gram, pa.int64()), pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(place, pa.int32()),
+                    pa.array(count, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
+                    names=["gram", "id", "size", "place", "members", "one", "two"])
 
-        kind = docs.schema[self.key].dataType.simpleString()
-        texts = docs.select(F.col(self.key).alias("key"), F.xxhash64(self.text).alias("place"), F.col(self.text).alias("words"))
-        return stored(batch_map(texts, f"key {kind}, place long, size long, node binary, prefix array<long>, bits array<long>", described), "gram-sets")
+            for batch in batches:
+                gram, ids, size, place = (batch.column(k).to_numpy() for k in range(4))
+                if not len(gram):
+                    continue
+                starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+                counts = np.diff(np.r_[starts, len(gram)])
+                a, b = mixed_ids(ids)
+                ones, twos = np.bitwise_xor.reduceat(a, starts), np.bitwise_xor.reduceat(b, starts)
+                going_on = now is not None and gram[0] == now
+                if going_on:
+                    counts[0] += members
+                    ones[0] ^= one
+                    twos[0] ^= two
+                keep = np.repeat(counts > 1, np.diff(np.r_[starts, len(gram)]))
+                first = lone if going_on and members == 1 else None
+                ended = counts[:-1] > 1  # the last gram may go on
+                done = [gram[starts[:-1]][ended], counts[:-1][ended], ones[:-1][ended], twos[:-1][ended]]
+                if now is not None and not going_on and members > 1:
+                    done = [np.r_[np.array([v], d.dtype), d] for v, d in zip((now, members, one, two), done)]
+                if first is not None:
+                    yield sent(*[[int(v)] for v in first], [None], [None], [None])
+                zero = [None] * int(keep.sum())
+                if zero:
+                    yield sent(gram[keep], ids[keep], size[keep], place[keep], zero, zero, zero)
+                if len(done[0]):
+                    blank = [None] * len(done[0])
+                    yield sent(done[0], blank, blank, blank, done[1], done[2].view(np.int64), done[3].view(np.int64))
+                now, members, one, two = gram[-1], int(counts[-1]), ones[-1], twos[-1]
+                lone = (gram[-1], ids[-1], size[-1], place[-1]) if members == 1 else None
+            if members > 1:
+                yield sent([now], [None], [None], [None], [members], [one.view(np.int64)], [two.view(np.int64)])
+            give_back()
+
+        found = stored(dealt.mapInArrow(shared, "gram long, id long, size int, place int, members long, one long, two long"), "shared-grams")
+        # common grams are counted before they are shuffled
+        hot = postings.join(F.broadcast(common), "gram", "left_semi")
+        totals = hot.groupBy("gram").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("one"),
+                                         F.bit_xor(F.xxhash64(F.lit("two"), "id")).alias("two"))
+        kept = found.where("id is not null").select("id", "size", "place", "gram").unionByName(hot.select("id", "size", "place", "gram"))
+        return kept, found.where("id is null").select("gram", "members", "one", "two").unionByName(totals)
 
     def _records(self, classes: DataFrame) -> DataFrame:
         """Classes that share a leading gram with others: their shared grams in order, those kept for joining marked."""
-        postings = classes.select("node", F.posexplode("prefix").alias("place", "gram"))
-        shared = postings.groupBy("gram").agg(
-            F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit("two"), "node")).alias("two"),
-        ).where("members > 1")
-        shared = stored(shared, "shared-grams")
+        postings, grams = self._postings(classes)
+        grams = stored(grams.where("members > 1"), "gram-counts")
         # grams rise with their rank as unsigned numbers; ranks stay below 256, so shift the sign away to compare
         order = F.expr("gram ^ -9223372036854775808")
-        first = shared.groupBy("members", "one", "two").agg(F.min_by("gram", order).alias("gram")).select("gram", F.lit(True).alias("joins"))
-        grams = shared.select("gram", "members").join(first, "gram", "left")
-        held = postings.join(grams, "gram").groupBy("node").agg(
-            F.array_sort(F.collect_list(F.struct("place", "gram", F.coalesce("joins", F.lit(False)).alias("joins"), "members"))).alias("shared"))
-        return stored(held.join(classes.select("node", "size", "bits"), "node"), "gram-records")
+        first = grams.groupBy("members", "one", "two").agg(F.min_by("gram", order).alias("gram")).select("gram", F.lit(True).alias("joins"))
+        marked = grams.select("gram", "members").join(first, "gram", "left").select("gram", "members", F.coalesce("joins", F.lit(False)).alias("joins"))
+        share = max(100_000, classes.count() // 100)  # at most 100 grams times the length of a prefix are cut into slices
+        held = salted_join(postings, marked, ["gram"], "inner", counts=marked.select("gram", F.col("members").alias("_n")), rows_per_task=share)
+        return stored(held.groupBy("id", "size").agg(
+            F.array_sort(F.collect_list(F.struct("place", "gram", "joins", "members"))).alias("shared")), "gram-records")
 
     def _members(self, records: DataFrame) -> DataFrame:
-        return records.select("node", "size", F.explode(F.filter("shared", lambda s: s["joins"])).alias("s")).select(
-            "node", "size", F.col("s.gram").alias("gram"), F.col("s.place").alias("place"), F.col("s.members").alias("members"))
+        return records.select("id", "size", F.explode(F.filter("shared", lambda s: s["joins"])).alias("s")).select(
+            "id", "size", F.col("s.gram").alias("gram"), F.col("s.place").alias("place"), F.col("s.members").alias("members"))
 
-    def _star_pairs(self, records: DataFrame, limit: Threshold) -> DataFrame:
-        members = self._members(records).select("node", "size", "place", "gram")
+    def _star_pairs(self, records: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
+        members = self._members(records)
         # grams with almost the same classes mostly agree on a centre, but not all on one, so that pairs are few and spread
-        order = F.xxhash64(F.pmod("gram", F.lit(CENTRES)), F.col("node"))
-        centres = members.groupBy("gram").agg(F.min(F.struct(order.alias("h"), "node", "size", "place")).alias("c")).select(
-            "gram", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.place").alias("centre_place"))
-        pairs = (members.join(centres, "gram").where("node != centre")
+        order = F.xxhash64(F.pmod("gram", F.lit(CENTRES)), F.col("id"))
+        centres = members.groupBy("gram").agg(F.min(F.struct(order.alias("h"), "id", "size", "place")).alias("c"), F.count("*").alias("_n"))
+        counts = centres.select("gram", "_n")
+        centres = centres.select("gram", F.col("c.id").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.place").alias("centre_place"))
+        share = max(100_000, classes.count() // 100)
+        pairs = (salted_join(members.select("gram", "id", "size", "place"), centres, ["gram"], "inner", counts=counts, rows_per_task=share)
+                 .where("id != centre")
                  .where(limit.roomy(F.col("size"), F.col("place"), F.col("centre_size"), F.col("centre_place")))
-                 .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-        one = records.select(F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("bits").alias("a_bits"))
-        two = records.select(F.col("node").alias("b"), F.col("size").alias("b_size"), F.col("bits").alias("b_bits"))
-        unlike = sum((F.bit_count(F.col("a_bits")[k].bitwiseXOR(F.col("b_bits")[k])) for k in range(SIGNATURE_LONGS)), F.lit(0))
-        return pairs.join(one, "a").join(two, "b").where(limit.possible(F.col("a_size"), F.col("b_size"), unlike)).select("a", "b")
+                 .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
+        return self._possible(pairs, classes, limit)
+
+    def _possible(self, pairs: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
+        """Pairs (a, b) that sizes and signatures leave room for."""
+        one = classes.select(F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("bits").alias("a_bits"))
+        two = classes.select(F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("bits").alias("b_bits"))
+
+        def checked(batch: pa.RecordBatch) -> pa.RecordBatch:
+            a_bits, b_bits = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, SIGNATURE_LONGS) for k in ("a_bits", "b_bits"))
+            x, y = batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()
+            unlike = np.bitwise_count(a_bits ^ b_bits).sum(1, dtype=np.int64)
+            least = -(-limit.percent * (x + y) // (100 + limit.percent))
+            near = (unlike <= x + y - 2 * least) & (100 * np.minimum(x, y) >= limit.percent * np.maximum(x, y))
+            return batch.select(["a", "b"]).filter(pa.array(near))
 
-    def _tree_pairs(self, records: DataFrame, joined: DataFrame, limit: Threshold) -> DataFrame:
+        return batch_map(pairs.join(one, "a").join(two, "b").select("a", "b", "a_size", "b_size", "a_bits", "b_bits"), "a long, b long", checked)
+
+    def _tree_pairs(self, records: DataFrame, classes: DataFrame, joined: DataFrame, limit: Threshold) -> DataFrame:
         """Candidate pairs across components, from the prefix trees of grams whose classes are not all joined."""
         block = self.block
-        labelled = records.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        members = labelled.select("node", "component", F.explode(F.filter("shared", lambda s: s["joins"] & (s["members"] > 2))).alias("s")).select(
-            "node", "component", F.col("s.gram").alias("gram"), F.ceil(F.col("s.members") / F.lit(block)).cast("int").alias("blocks"))
+        named = records.select("id", "size", "shared").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
+        labelled = stored(named.withColumn("component", F.coalesce("component", "id")), "labelled-records")
+        members = labelled.select("id", "component", F.explode(F.filter("shared", lambda s: s["joins"] & (s["members"] > 2))).alias("s")).select(
+            "id", "component", F.col("s.gram").alias("gram"), F.col("s.place").alias("place"),
+            F.ceil(F.col("s.members") / F.lit(block)).cast("int").alias("blocks"))
         spread = members.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-        # whole records follow only for the grams that are left
-        rows = members.join(spread.select("gram"), "gram", "left_semi").select("node", "gram", "blocks").join(
-            labelled.select("node", "component", "size", "bits", F.col("shared.gram").alias("grams"), F.col("shared.place").alias("places")), "node")
-        rows = rows.withColumn("side", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+        # whole records follow only for the grams that are left, and of them what stands from the gram on
+        bits = self._short_bits(classes)
+        rows = members.join(spread.select("gram"), "gram", "left_semi").select("id", "gram", "place", "blocks").join(
+            labelled.select("id", "component", "size", "shared"), "id").join(bits, "id")
+        rest = F.filter("shared", lambda s: s["place"] >= F.col("place"))
+        rows = rows.select("gram", "blocks", "id", "component", "size", "bits", F.transform(rest, lambda s: s["gram"]).alias("grams"),
+                           F.transform(rest, lambda s: s["place"]).alias("places"))
+        rows = rows.withColumn("side", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         rows = rows.select("gram", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side",
-                           "node", "component", "size", "bits", "grams", "places")
+                           "id", "component", "size", "bits", "grams", "places")
         cells = rows.repartition("gram", "low", "high").sortWithinPartitions("gram", "low", "high")
 
         def joined_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cell, held, sides = None, [], []
             for batch in batches:
                 *columns, bits, grams, places = (batch.column(k) for k in range(batch.num_columns))
-                signatures = bits.flatten().to_numpy().view(np.uint64).reshape(-1, SIGNATURE_LONGS)
+                signatures = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, CELL_LONGS)
                 ends = grams.value_lengths().to_numpy().cumsum()
                 tokens, at = grams.flatten().to_numpy().view(np.uint64), places.flatten().to_numpy()
-                out: list[tuple[bytes, bytes]] = []
+                out: list[tuple[int, int]] = []
                 for row, (gram, low, high, side, node, component, size) in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
                     if (gram, low, high) != cell:
                         out += pairs_of(cell, held, sides)
@@ -366,35 +467,44 @@ class NgramJoin:
             yield sent(pairs_of(cell, held, sides))
             give_back()
 
-        def pairs_of(cell: tuple | None, held: list[Record], sides: list[int]) -> list[tuple[bytes, bytes]]:
+        def pairs_of(cell: tuple | None, held: list[Record], sides: list[int]) -> list[tuple[int, int]]:
             if cell is None or len({r.component for r in held}) < 2:
                 return []
-            found = tree_pairs(held, cell[0] % (1 << 64), limit, sides if cell[1] != cell[2] else None)
+            found = tree_pairs(held, limit, sides if cell[1] != cell[2] else None)
             return [(held[k].node, held[j].node) for k, j in found]
 
-        def sent(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"a": pa.array([min(p) for p in pairs], pa.binary()), "b": pa.array([max(p) for p in pairs], pa.binary())})
+        def sent(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
+
+        return small_batches(cells).mapInArrow(joined_cells, "a long, b long").distinct()
+
+    @staticmethod
+    def _short_bits(classes: DataFrame) -> DataFrame:
+        def short(batch: pa.RecordBatch) -> dict:
+            bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, SIGNATURE_LONGS)
+            return {"id": batch.column(0), "bits": pa.array([b.tobytes() for b in folded(bits)], pa.binary())}
 
-        return small_batches(cells).mapInArrow(joined_cells, "a binary, b binary").distinct()
+        return batch_map(classes.select("id", "bits"), "id long, bits binary", short)
 
     def _verified(self, docs: DataFrame, ranks, limit: Threshold, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough."""
         pairs = stored(pairs, "gram-pairs")
-        needed = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-                        .join(classes.select("node", "place"), "node"), "needed-sets")
+        needed = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+                        .join(classes.select("id", "place"), "id"), "needed-sets")
         wanted = needed.select("place").distinct()
         if needed.count() <= BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)  # at most BROADCAST_ROWS numbers
-        texts = (docs.select(F.xxhash64(self.text).alias("place"), F.col(self.text).alias("words")).join(wanted, "place", "left_semi")
+            wanted = F.broadcast(wanted)  # at most BROADCAST_ROWS digests
+        texts = (docs.select(self._place(), F.col("_text").alias("words")).join(wanted, "place", "left_semi")
                  .groupBy("place").agg(F.first("words").alias("words")))
 
         def sets(batch: pa.RecordBatch) -> dict:
             found = [*self._sets(batch.column(1), ranks.value)]
-            return {"node": pa.array([digest(g) for g in found], pa.binary()), "grams": pa.array([g.tobytes() for g in found], pa.binary())}
+            return {"place": batch.column(0), "grams": pa.array([g.tobytes() for g in found], pa.binary())}
 
-        made = stored(batch_map(texts, "node binary, grams binary", sets).join(needed.select("node"), "node", "left_semi"), "whole-sets")
-        both = (pairs.join(made.select(F.col("node").alias("a"), F.col("grams").alias("a_grams")), "a")
-                .join(made.select(F.col("node").alias("b"), F.col("grams").alias("b_grams")), "b"))
+        # a class has one text to be fetched by, and texts of one digest are one text
+        made = stored(batch_map(texts, "place binary, grams binary", sets).join(needed, "place").select("id", "grams"), "whole-sets")
+        both = (pairs.join(made.select(F.col("id").alias("a"), F.col("grams").alias("a_grams")), "a")
+                .join(made.select(F.col("id").alias("b"), F.col("grams").alias("b_grams")), "b"))
 
         def checked(batch: pa.RecordBatch) -> pa.RecordBatch:
             linked = []
@@ -403,4 +513,19 @@ class NgramJoin:
                 linked.append(limit.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             return batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-        return stored(batch_map(both, "a binary, b binary", checked), "gram-links")
+        return stored(batch_map(both, "a long, b long", checked), "gram-links")
+
+    def ranks(self, docs: DataFrame) -> np.ndarray:
+        """How common the words of each hash cell are, on a scale of logarithms."""
+        def count(batch: pa.RecordBatch, sums: np.ndarray) -> None:
+            for _, _, data, bounds in text_slices(batch.column(0)):
+                hashes, _ = words(data, bounds, SPACED)
+                sums[: 1 << CELL_BITS] += np.bincount((hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+
+        counts = summed(docs.select("_text"), 1 << CELL_BITS, count)
+        return np.minimum(np.round(2 * np.log2(counts + 1)), 255 // self.size).astype(np.uint64)
+
+    def _sets(self, batch_column: pa.Array, ranks: np.ndarray) -> Iterator[np.ndarray]:
+        for _, _, data, bounds in text_slices(batch_column):
+            hashes, at = words(data, bounds, SPACED)
+            yield from gram_hashes(hashes, at, self.size, ranks)
