@@ -110,6 +110,19 @@ def owners(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """The table with the columns of these names under names that nothing uses, and the way back."""
+    taken, back = {*df.columns, *names}, {}
+    for name in names:
+        if name in df.columns:
+            new = f"_{name}"
+            while new in taken:
+                new = f"_{new}"
+            taken.add(new)
+            back[new] = name
+    return df.withColumnsRenamed({name: new for new, name in back.items()}), back
+
+
 #: bounds of an Arrow batch, so that whole texts and whole sets take little memory beside the heap
 BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 

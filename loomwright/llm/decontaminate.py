@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.blocks import ALNUM, batch_map, mixed, text_slices, words
+from loomwright.llm.blocks import ALNUM, batch_map, mixed, set_aside, text_slices, words
 
 SHARD_BYTES = 1 << 20
 BLOCK_WORDS = 1 << 21
@@ -267,7 +267,5 @@ class Decontaminate:
 
     def clean(self, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         """The rows of ``docs`` that are not contaminated, with their own columns."""
-        marks = [c for c in docs.columns if c in MARKS]
-        held = docs.withColumnsRenamed({c: f"_own_{c}" for c in marks})
-        return (self(held, benchmark).where("not contaminated").drop(*MARKS)
-                .withColumnsRenamed({f"_own_{c}": c for c in marks}).select(*docs.columns))
+        held, back = set_aside(docs, (*MARKS, "_text", "_hits", "_items"))
+        return self(held, benchmark).where("not contaminated").drop(*MARKS).withColumnsRenamed(back).select(*docs.columns)

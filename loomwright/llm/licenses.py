@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwright.llm.blocks import set_aside
 from loomwright.session import stored
 
+#: names of columns that a scan makes beside those of the table
+HELPERS = ("_words", "_gated", "_n_words", "_key", "_text", "_n_base", "_first_word", "_last_word", "_base_labels", "_labels", "_score")
+
 #: digits, letters, and all beyond ASCII (said positively, which Java's expressions match many times faster)
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
 CAPITALS, SMALLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -293,6 +297,11 @@ class LicenseScan:
 
     def __call__(self, docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
         """n_words, n_base, first_word, last_word, base_labels, labels and score of every text."""
+        held, back = set_aside(docs, HELPERS)
+        if back:  # own columns step aside, whatever their names
+            there = {name: new for new, name in back.items()}
+            own = None if keep is None else tuple(there.get(c, c) for c in keep)
+            return replace(self, text=there.get(self.text, self.text))(held, own).withColumnsRenamed(back)
         added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
         names = [c for c in (docs.columns if keep is None else keep) if c not in added]
         shown = (F.col("_base") | ~F.col("_suppressed"))

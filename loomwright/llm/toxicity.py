@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.blocks import ALNUM, batch_map, text_slices, words
+from loomwright.llm.blocks import ALNUM, batch_map, set_aside, text_slices, words
 from loomwright.llm.learning import Adam, bounded_sample, held_out, one_label_each, sigmoid
 
 GATE_BITS = 16
@@ -162,3 +162,8 @@ class Toxicity:
     def __call__(self, docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
         """Fit on the labels of these texts, then score all of them."""
         return self.score(docs, self.fit(docs, labels), keep)
+
+    def accepted(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows that the model doesn't reject, with all their columns, whatever their names."""
+        held, back = set_aside(docs, ("score", "predicted", "_text", "_key", "_label"))
+        return self(held, labels).where("predicted = 0").drop("score", "predicted").withColumnsRenamed(back).select(*docs.columns)
