@@ -15,28 +15,46 @@ from loomwright.session import scratch_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model rejects go."""
-    return Toxicity()(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    """Documents that the model rejects go; the others keep all their columns, ones named ``score`` or ``predicted`` too.
+
+    NULL and empty texts are scored like any other and stay where the model has no reason to reject them; repeated rows
+    share a score; whole texts are read, however long. An empty table stays empty.
+    """
+    return Toxicity().accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
+    """Of each group of near copies the document with the least id stays.
+
+    Rows go one by one: another text under the same id stays. Rows without words (NULL and empty texts) are no copies of each
+    other, rows without id and repeated rows of the document that stays are kept. Other columns may have any names.
+    """
     return NgramJoin(size=5, percent=80).kept(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go, judged row by row; the others keep all their columns, whatever their names.
+
+    NULL and empty texts have no words and are clean; repeated rows are judged alike; an empty benchmark leaves all.
+    """
     return Decontaminate().clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays, with its new length."""
+    """Secrets are masked; every row stays, with all its columns and its new length as ``n_chars`` if it has that column.
+
+    NULL and empty texts have no secrets and stay as they are (the length of NULL is NULL).
+    """
     masked = SecretScan().redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left becomes sequences of at most 4096 tokens."""
+    """What is left becomes sequences of at most 4096 tokens.
+
+    Every row is packed, repeated ones and ones without id too; NULL and empty texts are one end token; long texts are cut
+    into pieces of 4096 tokens. An empty table has no pieces.
+    """
     return BestFitPacking(vocabulary("word_bpe_49k.json"))(docs)
 
 
