@@ -18,7 +18,6 @@ from loomwright.session import stored
 
 CELL_BITS = 18
 SIGNATURE_LONGS = 32
-CELL_LONGS = 8  # of a signature inside a tree's cell
 CENTRES = 8
 BROADCAST_ROWS = 1 << 20
 # classes that are looked at to find very common grams, and how many of them share such a gram
@@ -54,11 +53,6 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def folded(bits: np.ndarray) -> np.ndarray:
-    """A signature in ``CELL_LONGS`` numbers; sets that differ in d grams still differ in at most d bits."""
-    return np.bitwise_xor.reduce(bits.reshape(-1, SIGNATURE_LONGS // CELL_LONGS, CELL_LONGS), axis=1)
-
-
 def digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
@@ -223,10 +217,11 @@ class NgramJoin:
        two classes are kept, and of grams with the same classes only the first. Grams that a sample of classes shows to
        be very common are shared in any case and need not be dealt out.
     3. Each gram names one of its classes as its centre, by one of ``CENTRES`` random orders of all classes; pairs with
-       the centre are verified. A large group of near copies becomes one component here, without its pairs.
+       the centre are verified, one of each class first and then those still apart. A large group of near copies becomes
+       one component here, without its pairs.
     4. Grams whose classes are in more than one component build prefix trees, in blocks of ``block`` sets, so a common
-       gram is spread over many tasks. A tree gets the grams from its own on and a short signature; the candidates that
-       trees, sizes and whole signatures leave are verified.
+       gram is spread over many tasks. A tree gets the grams from its own on; the candidates that trees, sizes
+       and signatures leave are verified.
 
     Verification compares whole sets. Sets are told apart by 56-bit hashes of grams.
 
@@ -272,10 +267,14 @@ class NgramJoin:
                 F.first(F.struct("size", "prefix", "bits")).alias("set")).select(
                     F.monotonically_increasing_id().alias("id"), "node", "least", "copies", "place", "set.*"), "classes")
         records = self._records(classes)
-        stars = self._verified(docs, ranks, limit, classes, self._star_pairs(records, classes, limit))
+        # one pair of each class first: whole sets travel again only for pairs that these have not joined
+        pairs = stored(self._star_pairs(records, classes, limit), "star-pairs")
+        once = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        stars = self._verified(docs, ranks, limit, classes, self._possible(once, classes, limit))
+        rest = self._apart(pairs, components(stars))
+        stars = stars.unionByName(self._verified(docs, ranks, limit, classes, self._possible(rest, classes, limit)))
         joined = components(stars)
-        pairs = self._possible(self._tree_pairs(records, classes, joined, limit), classes, limit)
-        links = self._verified(docs, ranks, limit, classes, pairs)
+        links = self._verified(docs, ranks, limit, classes, self._tree_pairs(records, classes, joined, limit))
         whole = components(links.unionByName(stars))
         share = max(1000, classes.count() // 1000)  # lists of hot keys have 1,000 entries at most
         labelled = classes.select("id", "node", "least", "copies").join(whole.select(F.col("node").alias("id"), "component"), "id", "left")
@@ -409,7 +408,15 @@ class NgramJoin:
                  .where("id != centre")
                  .where(limit.roomy(F.col("size"), F.col("place"), F.col("centre_size"), F.col("centre_place")))
                  .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
-        return self._possible(pairs, classes, limit)
+        return pairs
+
+    @staticmethod
+    def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+        """The pairs that are not in one component."""
+        one = joined.select(F.col("node").alias("a"), F.col("component").alias("a_component"))
+        two = joined.select(F.col("node").alias("b"), F.col("component").alias("b_component"))
+        return pairs.join(one, "a", "left").join(two, "b", "left").where(
+            F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
 
     def _possible(self, pairs: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
         """Pairs (a, b) that sizes and signatures leave room for."""
@@ -436,7 +443,7 @@ class NgramJoin:
             F.ceil(F.col("s.members") / F.lit(block)).cast("int").alias("blocks"))
         spread = members.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
         # whole records follow only for the grams that are left, and of them what stands from the gram on
-        bits = self._short_bits(classes)
+        bits = classes.select("id", "bits")
         rows = members.join(spread.select("gram"), "gram", "left_semi").select("id", "gram", "place", "blocks").join(
             labelled.select("id", "component", "size", "shared"), "id").join(bits, "id")
         rest = F.filter("shared", lambda s: s["place"] >= F.col("place"))
@@ -452,7 +459,7 @@ class NgramJoin:
             cell, held, sides = None, [], []
             for batch in batches:
                 *columns, bits, grams, places = (batch.column(k) for k in range(batch.num_columns))
-                signatures = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, CELL_LONGS)
+                signatures = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, SIGNATURE_LONGS)
                 ends = grams.value_lengths().to_numpy().cumsum()
                 tokens, at = grams.flatten().to_numpy().view(np.uint64), places.flatten().to_numpy()
                 out: list[tuple[int, int]] = []
@@ -478,14 +485,6 @@ class NgramJoin:
 
         return small_batches(cells).mapInArrow(joined_cells, "a long, b long").distinct()
 
-    @staticmethod
-    def _short_bits(classes: DataFrame) -> DataFrame:
-        def short(batch: pa.RecordBatch) -> dict:
-            bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, SIGNATURE_LONGS)
-            return {"id": batch.column(0), "bits": pa.array([b.tobytes() for b in folded(bits)], pa.binary())}
-
-        return batch_map(classes.select("id", "bits"), "id long, bits binary", short)
-
     def _verified(self, docs: DataFrame, ranks, limit: Threshold, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough."""
         pairs = stored(pairs, "gram-pairs")
