@@ -133,7 +133,7 @@ def encoded_columns_with_own_finish(spark, sf):
 
 @query("""
 WITH f AS (SELECT source, arg_min(text, doc_id) AS t FROM documents WHERE source IS NOT NULL GROUP BY 1),
-     w AS (SELECT source, unnest(string_split_regex(lower(t), '\s+')) AS w FROM f)
+     w AS (SELECT source, unnest(string_split_regex(lower(t), '[[:space:]]+')) AS w FROM f)
 SELECT doc_id, CAST(256 AS INTEGER) AS width, CAST(n AS DOUBLE) AS words
 FROM documents LEFT JOIN (SELECT source, count(*) FILTER (w <> '') AS n FROM w GROUP BY 1) USING (source)""")
 def token_counts_per_source(spark, sf):
