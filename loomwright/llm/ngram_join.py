@@ -48,9 +48,27 @@ def gram_hashes(hashes: np.ndarray, bounds: np.ndarray, size: int, ranks: np.nda
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
-    """A bit set of parities: sets that differ in d grams differ in at most d bits."""
-    bits = np.bincount((mixed(grams) & np.uint64(64 * SIGNATURE_LONGS - 1)).astype(np.int64), minlength=64 * SIGNATURE_LONGS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """A bit set of parities: sets that differ in d grams differ in at most d bits.
+
+    It has a power of two of bits, at least two for each gram, so that long sets are told apart as well as short ones.
+    """
+    width = 64 * SIGNATURE_LONGS
+    while width < 2 * len(grams):
+        width *= 2
+    bits = np.bincount((mixed(grams) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+
+
+def folded(bits: np.ndarray, longs: int = SIGNATURE_LONGS) -> np.ndarray:
+    """The signature of the same set with fewer bits."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, longs), axis=0)
+
+
+def unlike(one: bytes, other: bytes) -> int:
+    """So many grams at least are in only one of the sets with these signatures."""
+    x, y = np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)
+    longs = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, longs) ^ folded(y, longs)).sum(dtype=np.int64))
 
 
 def digest(grams: np.ndarray) -> bytes:
@@ -264,7 +282,7 @@ class NgramJoin:
         classes = stored(
             rows.where("node is not null").groupBy("node").agg(
                 F.min("key").alias("least"), F.count("*").alias("copies"), F.min("place").alias("place"),
-                F.first(F.struct("size", "prefix", "bits")).alias("set")).select(
+                F.first(F.struct("size", "prefix", "bits", "long_bits")).alias("set")).select(
                     F.monotonically_increasing_id().alias("id"), "node", "least", "copies", "place", "set.*"), "classes")
         records = self._records(classes)
         # one pair of each class first: whole sets travel again only for pairs that these have not joined
@@ -274,7 +292,7 @@ class NgramJoin:
         rest = self._apart(pairs, components(stars))
         stars = stars.unionByName(self._verified(docs, ranks, limit, classes, self._possible(rest, classes, limit)))
         joined = components(stars)
-        links = self._verified(docs, ranks, limit, classes, self._tree_pairs(records, classes, joined, limit))
+        links = self._verified(docs, ranks, limit, classes, self._possible_long(self._tree_pairs(records, classes, joined, limit), classes, limit))
         whole = components(links.unionByName(stars))
         share = max(1000, classes.count() // 1000)  # lists of hot keys have 1,000 entries at most
         labelled = classes.select("id", "node", "least", "copies").join(whole.select(F.col("node").alias("id"), "component"), "id", "left")
@@ -294,18 +312,21 @@ class NgramJoin:
 
     def _rows(self, docs: DataFrame, ranks, limit: Threshold) -> DataFrame:
         def described(batch: pa.RecordBatch) -> dict:
-            sizes, nodes, prefixes, bits = [], [], [], []
+            sizes, nodes, prefixes, bits, long_bits = [], [], [], [], []
             for grams in self._sets(batch.column(3), ranks.value):
                 sizes.append(len(grams))
                 nodes.append(digest(grams) if len(grams) else None)
                 prefixes.append(grams[: limit.prefix(len(grams))].view(np.int64))
-                bits.append(signature(grams).tobytes())
+                whole = signature(grams)
+                bits.append(folded(whole).tobytes())
+                long_bits.append(whole.tobytes() if len(whole) > SIGNATURE_LONGS else None)
             return {"row": batch.column(0), "key": batch.column(1), "place": batch.column(2), "size": pa.array(sizes, pa.int64()),
-                    "node": pa.array(nodes, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "bits": pa.array(bits, pa.binary())}
+                    "node": pa.array(nodes, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "bits": pa.array(bits, pa.binary()),
+                    "long_bits": pa.array(long_bits, pa.binary())}
 
         kind = docs.schema["_key"].dataType.simpleString()
         texts = docs.select("_row", "_key", self._place(), F.col("_text").alias("words"))
-        schema = f"row long, key {kind}, place binary, size long, node binary, prefix array<long>, bits binary"
+        schema = f"row long, key {kind}, place binary, size long, node binary, prefix array<long>, bits binary, long_bits binary"
         return stored(batch_map(texts, schema, described), "gram-sets")
 
     @staticmethod
@@ -431,7 +452,26 @@ class NgramJoin:
             near = (unlike <= x + y - 2 * least) & (100 * np.minimum(x, y) >= limit.percent * np.maximum(x, y))
             return batch.select(["a", "b"]).filter(pa.array(near))
 
-        return batch_map(pairs.join(one, "a").join(two, "b").select("a", "b", "a_size", "b_size", "a_bits", "b_bits"), "a long, b long", checked)
+        near = batch_map(pairs.join(one, "a").join(two, "b").select("a", "b", "a_size", "b_size", "a_bits", "b_bits"), "a long, b long", checked)
+        return self._possible_long(near, classes, limit)
+
+    @staticmethod
+    def _possible_long(pairs: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
+        """Pairs (a, b) that the long signatures of long sets leave room for; the others as they are."""
+        held = classes.where("long_bits is not null").select("id", "size", "long_bits")
+        one, two = (held.select(F.col("id").alias(side), F.col("size").alias(f"{side}_size"), F.col("long_bits").alias(f"{side}_bits")) for side in "ab")
+
+        def checked(batch: pa.RecordBatch) -> pa.RecordBatch:
+            near = []
+            for x, y, *bits in zip(*(batch.column(k).to_pylist() for k in ("a_size", "b_size")), batch.column("a_bits"), batch.column("b_bits"), strict=True):
+                if x is None or y is None:
+                    near.append(True)
+                    continue
+                near.append(unlike(*(b.as_buffer() for b in bits)) <= x + y - 2 * limit.overlap(x, y))
+            return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+        both = pairs.join(one, "a", "left").join(two, "b", "left")
+        return batch_map(both.select("a", "b", "a_size", "b_size", "a_bits", "b_bits"), "a long, b long", checked)
 
     def _tree_pairs(self, records: DataFrame, classes: DataFrame, joined: DataFrame, limit: Threshold) -> DataFrame:
         """Candidate pairs across components, from the prefix trees of grams whose classes are not all joined."""
