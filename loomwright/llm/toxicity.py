@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.blocks import ALNUM, batch_map, set_aside, text_slices, words
+from loomwright.llm.blocks import ALNUM, batch_map, give_back, set_aside, text_slices, words
 from loomwright.llm.learning import Adam, bounded_sample, held_out, one_label_each, sigmoid
 
 GATE_BITS = 16
@@ -123,21 +123,25 @@ class Toxicity:
 
         sample = batch_map(rows, "label int, terms binary", terms).toArrow()
         label = sample.column("label").to_numpy().astype(float)
-        sets = [np.frombuffer(t, np.uint64) for t in sample.column("terms").to_pylist()]
+        sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in sample.column("terms")]
+        sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        known_terms, place = np.unique(flat, return_inverse=True)
-        texts = np.bincount(place, minlength=len(known_terms))
-        bad = np.bincount(place, label[row], len(known_terms))
+        del sample, sets
+        known_terms, texts = np.unique(flat, return_counts=True)
+        bad_terms, bad_texts = np.unique(flat[np.repeat(label > 0, sizes)], return_counts=True)
+        bad = np.zeros(len(known_terms))
+        bad[np.searchsorted(known_terms, bad_terms)] = bad_texts
         all_bad, total = label.sum(), max(1, len(label))
         expected = texts * (all_bad / total)
         tells = (bad - expected) ** 2 / np.maximum(expected * (1 - texts / total), 0.5)
         tells[texts < self.least_texts] = -1
         best = np.argsort(-tells, kind="stable")[: self.kept_terms]
         model = FactorizationMachine(np.sort(known_terms[best[tells[best] >= 0]]))
-        bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-        text, term = model.rows(flat, bounds)
-        return model.fit(text, term, label, self.factors, self.steps, self.rate, self.shrink, self.seed)
+        text, term = model.rows(flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+        del flat, known_terms, texts, bad_terms, bad_texts, bad, expected, tells
+        model.fit(text, term, label, self.factors, self.steps, self.rate, self.shrink, self.seed)
+        give_back()
+        return model
 
     def score(self, docs: DataFrame, model: FactorizationMachine, keep: tuple[str, ...] | None = None) -> DataFrame:
         """The rows with ``score`` (0 to 1) and ``predicted`` (0 or 1) added; columns of these names are replaced."""
