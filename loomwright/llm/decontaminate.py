@@ -28,6 +28,7 @@ class TestWindows:
     lengths: np.ndarray
     bounds: np.ndarray  # of each window in ``items``
     items: np.ndarray  # item ids as strings
+    places: np.ndarray  # where the window stands: windows in a row of one item have numbers in a row
     gate: np.ndarray  # which hashes of two leading words (one, for windows of one word) occur
 
     @property
@@ -40,7 +41,7 @@ def _gate_of(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def windows_of(items: list[tuple[str, np.ndarray]], width: int) -> TestWindows:
-    rows, lengths, names = [], [], []
+    rows, lengths, names, places, base = [], [], [], [np.zeros(0, int)], 0
     for name, hashes in items:
         size = min(width, len(hashes))
         if not size:
@@ -50,8 +51,10 @@ def windows_of(items: list[tuple[str, np.ndarray]], width: int) -> TestWindows:
         rows.append(found)
         lengths.append(np.full(len(found), size))
         names.extend([name] * len(found))
+        places.append(base + np.arange(len(found)))
+        base += len(found) + 1
     if not rows:
-        return TestWindows(np.zeros((0, width), np.uint64), np.zeros(0, int), np.zeros(1, int), np.zeros(0, object),
+        return TestWindows(np.zeros((0, width), np.uint64), np.zeros(0, int), np.zeros(1, int), np.zeros(0, object), np.zeros(0, int),
                            np.zeros(1 << GATE_BITS, bool))
     every, size = np.concatenate(rows), np.concatenate(lengths)
     starts, place = np.unique(every, axis=0, return_inverse=True)
@@ -63,7 +66,7 @@ def windows_of(items: list[tuple[str, np.ndarray]], width: int) -> TestWindows:
     gate = np.zeros(1 << GATE_BITS, bool)
     second = starts[:, 1] if width > 1 else np.zeros(len(starts), np.uint64)
     gate[_gate_of(starts[:, 0], second)] = True
-    return TestWindows(starts, held, bounds, np.array(names, object)[order], gate)
+    return TestWindows(starts, held, bounds, np.array(names, object)[order], np.concatenate(places)[order], gate)
 
 
 def _below(rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +142,28 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).astype(np.int64)
 
 
+def passages(found: list[tuple[int, list[int]]], size: int) -> list[tuple[int, int]]:
+    """First word and number of words of the longest passages that a text has in common with an item, word for word.
+
+    ``found`` has, in order of the text's words, where windows of ``size`` words begin, and their places in the item. A
+    passage goes on where the next window of the text is the next one of the item. Passages inside a longer one are left out.
+    """
+    ended, open_, before = [], {}, -2
+    for first, places in [*found, (-4, [])]:
+        next_ = first == before + 1
+        now = {k: open_.get(k - 1, first) if next_ else first for k in places}
+        done = [begun for k, begun in open_.items() if not next_ or k + 1 not in now]
+        if done:
+            ended.append((min(done), before + size))
+        open_, before = now, first
+    out, least = [], None
+    for first, end in reversed(ended):  # by their ends
+        if least is None or first < least:
+            out.append((first, end - first))
+            least = first
+    return out[::-1]
+
+
 @dataclass(frozen=True)
 class Decontaminate:
     """Find benchmark passages in texts word for word, and remove the texts that hold too much of them.
@@ -182,7 +207,7 @@ class Decontaminate:
         ]
 
     def matches(self, docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-        """Verbatim matches at their full length: key, item, first word in the text, words in a row that the item covers."""
+        """Verbatim matches at their full length: key, item, first word in the text, number of words that stand so in the item."""
         kind = docs.schema[key].dataType.simpleString()
         out = None
         for tests in self.blocks(benchmark):
@@ -192,18 +217,13 @@ class Decontaminate:
                 tests, keys, out = shared.value, batch.column(0), []
                 for row, _, data, bounds in text_slices(batch.column(1), SHARD_BYTES):
                     texts, text, window, place, _ = _found(data, bounds, tests)
-                    spans: dict[tuple[int, str], list[tuple[int, int]]] = {}
-                    for t, w, p in zip(text.tolist(), window.tolist(), place.tolist(), strict=True):
-                        for item in set(tests.items[tests.bounds[w]: tests.bounds[w + 1]]):
-                            spans.setdefault((t, item), []).append((p - int(texts[t]), p - int(texts[t]) + int(tests.lengths[w])))
-                    for (t, item), found in spans.items():
-                        joined: list[list[int]] = []
-                        for first, end in sorted(found):
-                            if joined and first < joined[-1][1]:
-                                joined[-1][1] = max(joined[-1][1], end)
-                            else:
-                                joined.append([first, end])
-                        out += [(keys[row + t].as_py(), item, first, end - first) for first, end in joined]
+                    begun: dict[tuple[int, str, int], dict[int, list[int]]] = {}
+                    for t, w, p in sorted(zip(text.tolist(), window.tolist(), place.tolist(), strict=True), key=lambda x: x[2]):
+                        for k in range(tests.bounds[w], tests.bounds[w + 1]):
+                            at = begun.setdefault((t, tests.items[k], int(tests.lengths[w])), {})
+                            at.setdefault(p - int(texts[t]), []).append(int(tests.places[k]))
+                    for (t, item, width), at in begun.items():
+                        out += [(keys[row + t].as_py(), item, first, size) for first, size in passages([*at.items()], width)]
                 doc, item, first, size = zip(*out, strict=True) if out else ((), (), (), ())
                 return {"doc": pa.array(doc, batch.schema.field(0).type), "item": pa.array(item, pa.string()),
                         "first_word": pa.array(first, pa.int64()), "n_words": pa.array(size, pa.int64())}

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HASH_STEPS = 1 << 20
+#: places of a hash among which samples are cut: so many that the cut is fine for any number of rows
+HASH_STEPS = 1 << 50
 
 
 def fold(key: str, parts: int) -> Column:
@@ -34,7 +35,7 @@ def bounded_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     counts = {value: count for value, count in rows.groupBy(by).count().collect()}
     share = F.lit(0)
     for value, count in counts.items():
-        share = F.when(F.col(by) == F.lit(value), F.lit(min(HASH_STEPS, int(HASH_STEPS * most / count) + 1))).otherwise(share)
+        share = F.when(F.col(by) == F.lit(value), F.lit(min(HASH_STEPS, HASH_STEPS * most // count + 1))).otherwise(share)
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(HASH_STEPS)) < share)
 
 

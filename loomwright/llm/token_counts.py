@@ -23,6 +23,7 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 CACHED = 300_000
 LONG_TEXT = 1 << 20
+LONGEST_KEY = 64
 NEVER = 1 << 60
 LOW_BITS = (1 << 32) - 1
 
@@ -35,7 +36,10 @@ def byte_of_symbol() -> dict[str, int]:
 
 
 class Bounded(dict):
-    """A cache of bounded size: when full, its entries become the old generation, from which those in use return."""
+    """A cache of bounded size: when full, its entries become the old generation, from which those in use return.
+
+    Texts of more than ``LONGEST_KEY`` characters are not kept, which bounds its bytes.
+    """
 
     def __init__(self, make, size: int = CACHED):
         super().__init__()
@@ -45,6 +49,8 @@ class Bounded(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        if not isinstance(key, int) and len(key) > LONGEST_KEY:
+            return value
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
