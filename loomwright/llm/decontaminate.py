@@ -240,20 +240,25 @@ class Decontaminate:
         names = [c for c in (docs.columns if keep is None else keep) if c not in MARKS]
         kept = ", ".join(f"`{docs.schema[c].name}` {docs.schema[c].dataType.simpleString()}" for c in names)
         blocks = self.blocks(benchmark)
-        out = docs.select(*names, F.col(self.text).alias("_text"), F.lit(b"").alias("_hits"), F.array().cast("array<string>").alias("_items"))
+        # the text travels once: as one of the columns that stay, or beside them
+        beside = [] if self.text in names else [F.col(self.text).alias("_text")]
+        at = names.index(self.text) if not beside else len(names)
+        held = [*names, "_text"] if beside else names
+        passed = kept + (", " if kept and beside else "") + ("_text string" if beside else "")
+        out = docs.select(*names, *beside, F.lit(b"").alias("_hits"), F.array().cast("array<string>").alias("_items"))
         for k, tests in enumerate(blocks):
             last = k == len(blocks) - 1
-            schema = ", ".join(filter(None, [kept, MARK_SCHEMA if last else "_text string, _hits binary, _items array<string>"]))
-            out = batch_map(out, schema, self._marker(docs.sparkSession.sparkContext.broadcast(tests), names, last))
+            schema = ", ".join(filter(None, [kept, MARK_SCHEMA] if last else [passed, "_hits binary, _items array<string>"]))
+            out = batch_map(out, schema, self._marker(docs.sparkSession.sparkContext.broadcast(tests), names, held, at, last))
         return out
 
-    def _marker(self, shared, names: list[str], last: bool):
-        """Add what one block hits; after the last block, sum it up."""
+    def _marker(self, shared, names: list[str], held: list[str], at: int, last: bool):
+        """Add what one block hits; after the last block, sum it up. Columns ``held``, the text at ``at``, come in front."""
 
         def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
             tests, sizes, hits, items = shared.value, [], [], []
-            hits_before, items_before = (batch.column(len(names) + k) for k in (1, 2))
-            for row, end, data, bounds in text_slices(batch.column(len(names)), SHARD_BYTES):
+            hits_before, items_before = (batch.column(len(held) + k) for k in (0, 1))
+            for row, end, data, bounds in text_slices(batch.column(at), SHARD_BYTES):
                 texts, text, window, _, hit = _found(data, bounds, tests)
                 sizes += np.diff(texts).tolist()
                 order = np.argsort(text, kind="stable")
@@ -272,10 +277,10 @@ class Decontaminate:
                     for w in np.unique(window[order[cuts[t]: cuts[t + 1]]]).tolist():
                         seen.update(tests.items[tests.bounds[w]: tests.bounds[w + 1]])
                     items.append(sorted(seen))
-            made = [batch.column(k) for k in range(len(names))]
+            made = [batch.column(k) for k in range(len(names) if last else len(held))]
             if not last:
-                made += [batch.column(len(names)), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-                return pa.RecordBatch.from_arrays(made, names=[*names, "_text", "_hits", "_items"])
+                made += [pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+                return pa.RecordBatch.from_arrays(made, names=[*held, "_hits", "_items"])
             size = np.array(sizes, np.int64)
             n_hit = np.array([int(np.diff(np.frombuffer(h, np.int64).reshape(-1, 2)).sum()) for h in hits], np.int64)
             digests = [hashlib.sha256(",".join(i).encode()).hexdigest() if i else EMPTY_DIGEST for i in items]

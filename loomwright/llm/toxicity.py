@@ -149,9 +149,13 @@ class Toxicity:
         kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
         shared, threshold, blank = docs.sparkSession.sparkContext.broadcast(model), self.threshold, not len(model.terms)
 
+        # the text travels once: as one of the columns that stay, or beside them
+        beside = [] if self.text in names else [F.col(self.text).alias("_text")]
+        place = len(names) if beside else names.index(self.text)
+
         def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [np.zeros(0)]
-            for row, end, data, bounds in text_slices(batch.column(len(names))):
+            for row, end, data, bounds in text_slices(batch.column(place)):
                 hashes, at = words(data, bounds, ALNUM)
                 found.append(sigmoid(shared.value.margins(*shared.value.rows(hashes, at), end - row)[0]))
             score = np.concatenate(found)
@@ -161,7 +165,7 @@ class Toxicity:
                 [*(batch.column(k) for k in range(len(names))), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                 names=[*names, "score", "predicted"])
 
-        return batch_map(docs.select(*names, F.col(self.text).alias("_text")), f"{kept}score double, predicted int", scored)
+        return batch_map(docs.select(*names, *beside), f"{kept}score double, predicted int", scored)
 
     def __call__(self, docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
         """Fit on the labels of these texts, then score all of them."""

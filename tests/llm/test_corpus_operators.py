@@ -174,8 +174,9 @@ def test_decontamination(spark, sf, docs, texts):
     for block_words in (1 << 21, 500):
         got = {r.doc_id: tuple(r)[1:] for r in Decontaminate(block_words=block_words)(docs, bench, ("doc_id",)).collect()}
         assert got == want
-    clean = Decontaminate().clean(docs, bench)
-    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, v in want.items() if not v[4]}
+    for block_words in (1 << 21, 500):
+        clean = Decontaminate(block_words=block_words).clean(docs, bench)
+        assert clean.columns == docs.columns and {r.doc_id: r.text for r in clean.collect()} == {i: texts[i] for i, v in want.items() if not v[4]}
 
 
 def test_decontamination_on_odd_rows(spark, odd, empty):
