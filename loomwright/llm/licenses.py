@@ -120,6 +120,76 @@ BODIES = (
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("proprietary", r"all rights reserved (?:no part of|unauthorized)"),
     ("proprietary", r"proprietary and confidential"),
+    ("afl-3.0", r"licensed under the academic free license version 3 0"),
+    ("agpl-3.0", r"affero general public license for more details"),
+    ("agpl-3.0", r"remote network interaction use with the gnu general public license"),
+    ("apache-1.1", r"products derived from this software may not be called apache"),
+    ("apache-2.0", r"distributed on an as is basis without warranties or conditions of any kind"),
+    ("apache-2.0", r"perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|except)"),
+    ("artistic-2.0", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing"),
+    ("beerware", r"buy me a beer in return"),
+    ("blessing", r"may you find forgiveness for yourself and forgive others"),
+    ("boost-1.0", r"machine executable object code generated by a source language processor"),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd-3-clause", r"neither the names? of the copyright holders? nor the names of its contributors"),
+    ("bsd-4-clause", r"advertising materials mentioning features or use of this software must display"),
+    ("busl-1.1", r"change date(?: of)?(?: the)? licensed work"),
+    ("busl-1.1", r"additional use grant"),
+    ("cc0", r"affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    ("cc0", r"no copyright cc0 the person who associated a work"),
+    ("cc-by", r"creativecommons org licenses by [1-4] [05]"),
+    ("cc-by-nc", r"creativecommons org licenses by nc [1-4] [05]"),
+    ("cc-by-nc-nd", r"creativecommons org licenses by nc nd [1-4] [05]"),
+    ("cc-by-nc-sa", r"creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nd", r"creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-sa", r"creativecommons org licenses by sa [1-4] [05]"),
+    ("cc0", r"creativecommons org publicdomain zero 1 0"),
+    ("cddl-1.0", r"subject to the terms of the common development and distribution license"),
+    ("cecill-2.1", r"governed by the cecill license under french law"),
+    ("commons-clause", r"sell means practicing any or all of the rights granted to you"),
+    ("curl", r"copyright c 1996 20[0-2][0-9] daniel stenberg"),
+    ("elastic-2.0", r"provide the software to third parties as a hosted or managed service"),
+    ("epl-1.0", r"eclipse org legal epl v10"),
+    ("epl-2.0", r"eclipse org legal epl (?:v20|2 0)"),
+    ("eupl-1.2", r"licensed under the eupl(?: version)? 1 2 or as soon they will be approved"),
+    ("ftl", r"portions of this software are copyright c (?:the )?freetype project"),
+    ("gfdl-1.3", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation"),
+    ("gfdl-1.3", r"invariant sections no front cover texts"),
+    ("gpl", r"received a copy of the gnu general public license along with"),
+    ("gpl", r"gnu org licenses gpl"),
+    ("gpl-2.0", r"free software foundation either version 2 of the license"),
+    ("gpl-3.0", r"free software foundation either version 3 of the license"),
+    ("hpnd", r"permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("isc", r"software is provided as is and the author disclaims all warranties with regard"),
+    ("lgpl", r"received a copy of the gnu (?:lesser|library) general public license along with"),
+    ("lgpl-2.1", r"lesser general public license as published by the free software foundation either version 2 1"),
+    ("lgpl-3.0", r"lesser general public license as published by the free software foundation either version 3"),
+    ("lppl-1.3c", r"latex project org lppl"),
+    ("mit", r"copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("mit", r"opensource org licenses mit"),
+    ("mpl-1.1", r"mozilla org mpl mpl 1 1"),
+    ("mpl-2.0", r"mozilla org mpl 2 0"),
+    ("mpl-2.0", r"incompatible with secondary licenses as defined by the mozilla public license"),
+    ("odbl-1.0", r"opendatacommons org licenses odbl"),
+    ("ofl-1.1", r"reserved font names?"),
+    ("ofl-1.1", r"scripts sil org ofl"),
+    ("openssl", r"developed by the openssl project for use in the openssl toolkit"),
+    ("php-3.01", r"includes php software freely available from"),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("python-2.0", r"psf is making python available to licensee on an as is basis"),
+    ("proprietary", r"confidential and proprietary"),
+    ("proprietary", r"unauthorized (?:copying|reproduction|use|distribution)(?: or distribution)? of this (?:file|software|document|work)"),
+    ("public-domain", r"dedicated to the public domain"),
+    ("public-domain", r"released into the public domain"),
+    ("sspl-1.0", r"offering the program as a service"),
+    ("unicode", r"unicode org copyright html"),
+    ("unlicense", r"unlicense org"),
+    ("upl-1.0", r"larger works? to which the software is contributed"),
+    ("w3c", r"w3 org consortium legal"),
+    ("zlib", r"altered source versions must be plainly marked as such"),
+    ("zlib", r"origin of this software must not be misrepresented"),
+    ("zpl-2.1", r"zope org resources zpl"),
 )
 
 #: notices in front of a name; their first words are the keywords of these rules
@@ -130,9 +200,10 @@ WINDOW_WORDS = 24
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature: it applies where ``keyword`` stands; of overlapping detections the lower ``priority`` is stronger."""
+    """A signature: it applies where one of ``keywords`` stands, with which all that it matches begins; of overlapping
+    detections the lower ``priority`` is stronger."""
 
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
     label: str
     priority: int
@@ -205,11 +276,10 @@ def required() -> dict[str, tuple[str, ...]]:
     out: dict[str, set[str]] = {}
     for rule in rules():
         for text in _strings(rule.pattern.removeprefix(f"{NOTICE} "))[0]:
-            words = text.split(" ")
-            if rule.pattern.startswith(NOTICE):
-                words = [rule.keyword, *words]
-            if words[0] == rule.keyword:
-                out.setdefault(rule.keyword, set()).add(max(words[1:] or words, key=len))
+            for keyword in rule.keywords:
+                words = [keyword, *text.split(" ")] if rule.pattern.startswith(NOTICE) else text.split(" ")
+                if words[0] == keyword:
+                    out.setdefault(keyword, set()).add(max(words[1:] or words, key=len))
     return {keyword: tuple(sorted(words)) for keyword, words in sorted(out.items())}
 
 
@@ -218,18 +288,16 @@ def rules() -> tuple[Rule, ...]:
     """All rules in order of priority: identifiers, notices, body sentences, names, base phrases."""
     out = []
     for label, name, short in NAMES:
-        out.append(Rule("spdx", rf"spdx license identifier {short}", label, 0, 1.0))
-        for verb in NOTICE_VERBS:
-            out.append(Rule(verb, rf"{NOTICE} (?:{name}|{short}(?: license)?)", label, 1, 0.95))
-        for word in _first_words(name):
-            out.append(Rule(word, name, label, 3, 0.8))
+        out.append(Rule(("spdx",), rf"spdx license identifier {short}", label, 0, 1.0))
+        out.append(Rule(NOTICE_VERBS, rf"{NOTICE} (?:{name}|{short}(?: license)?)", label, 1, 0.95))
+        out.append(Rule(_first_words(name), name, label, 3, 0.8))
         if label.startswith("cc"):
-            out.append(Rule(short.split(" ")[0].split("(")[0], short, label, 3, 0.7))
+            out.append(Rule((short.split(" ")[0].split("(")[0],), short, label, 3, 0.7))
     for label, sentence in BODIES:
-        out.append(Rule(sentence.split(" ")[0], sentence, label, 2, 0.9))
+        out.append(Rule((sentence.split(" ")[0],), sentence, label, 2, 0.9))
     for phrase, label in BASE_PHRASES:
-        out.append(Rule(phrase.split(" ")[0], phrase, label, 4, 0.6, True))
-    return tuple(sorted(out, key=lambda r: (r.priority, r.label, r.keyword, r.pattern)))
+        out.append(Rule((phrase.split(" ")[0],), phrase, label, 4, 0.6, True))
+    return tuple(sorted(out, key=lambda r: (r.priority, r.label, r.pattern)))
 
 
 def rule_table(spark: SparkSession, chosen: tuple[Rule, ...]) -> DataFrame:
@@ -237,7 +305,7 @@ def rule_table(spark: SparkSession, chosen: tuple[Rule, ...]) -> DataFrame:
                          T.StructField("_label", T.StringType()), T.StructField("_priority", T.IntegerType()), T.StructField("_confidence", T.DoubleType()),
                          T.StructField("_base", T.BooleanType())])
     return spark.createDataFrame(
-        [(k, r.keyword, f"^(?:{r.pattern})(?= |$)", r.label, r.priority, r.confidence, r.base) for k, r in enumerate(chosen)], kind)
+        [(k, word, f"^(?:{r.pattern})(?= |$)", r.label, r.priority, r.confidence, r.base) for k, r in enumerate(chosen) for word in r.keywords], kind)
 
 
 @dataclass(frozen=True)
@@ -277,7 +345,7 @@ class LicenseScan:
 
     def _detections(self, texts: DataFrame) -> DataFrame:
         spark, chosen = texts.sparkSession, rules()
-        keywords = sorted({r.keyword for r in chosen})
+        keywords = sorted({word for r in chosen for word in r.keywords})
         texts = texts.withColumn("_words", self._words("_text"))
         placed = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda x: x["word"].isin(keywords))
         # a copy of a text makes the same rows: they go where rows are made distinct below

@@ -380,10 +380,11 @@ def test_license_gate_lets_pass_what_rules_match(spark):
     samples = []
     for k, rule in enumerate(rules()):
         core = rule.pattern.removeprefix(f"{NOTICE} ")
-        front = f"{rule.keyword} under the terms of " if core != rule.pattern else ""
-        matched = [front + t for t in _strings(core)[0] if re.fullmatch(rule.pattern, front + t) and (front + t).split(" ")[0] == rule.keyword]
-        assert matched, rule
-        samples += [(k, gap.join(t.split(" ")).upper()) for t in matched for gap in (" ", "\n", ",\t\n ")]
+        for keyword in rule.keywords:
+            front = f"{keyword} under the terms of " if core != rule.pattern else ""
+            matched = [front + t for t in _strings(core)[0] if re.fullmatch(rule.pattern, front + t) and (front + t).split(" ")[0] == keyword]
+            assert matched, (rule, keyword)
+            samples += [(k, gap.join(t.split(" ")).upper()) for t in matched for gap in (" ", "\n", ",\t\n ")]
     df = spark.createDataFrame(samples, "rule int, text string")
     assert df.where(~LicenseScan().gated()).collect() == []
     assert df.select("rule").distinct().count() == len(rules())
@@ -391,13 +392,20 @@ def test_license_gate_lets_pass_what_rules_match(spark):
     assert spark.createDataFrame([(t,) for t in plain], "text string").where(LicenseScan().gated()).count() == 0
 
 
+def test_license_rules_are_hundreds_of_different_patterns():
+    assert len({r.pattern for r in rules()}) == len(rules()) > 300
+
+
 def test_license_notices_without_the_word_license(spark):
     texts = {"Released under the MIT.": "mit", "distributed under MPL 2.0": "mpl-2.0", "available\nunder BSD": "bsd", "the SQLite Blessing": "blessing",
              "MIT No Attribution": "mit-0", "with Commons Clause": "commons-clause", "Creative\nCommons\nAttribution 4.0": "cc-by",
              "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY": "gpl",
-             "This software is provided 'as is', without any express or implied\nwarranty. In no event": "zlib"}
+             "This software is provided 'as is', without any express or implied\nwarranty. In no event": "zlib",
+             "Redistributions of source code must retain the above copyright notice": "bsd", "see https://www.mozilla.org/MPL/2.0/": "mpl-2.0",
+             "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+             "The origin of this software must not be misrepresented; you must not claim": "zlib"}
     df = spark.createDataFrame(list(texts.items()), "text string, want string")
-    assert {r.want: r.labels for r in LicenseScan()(df).collect()} == {v: v for v in texts.values()}
+    assert all(r.want == r.labels for r in LicenseScan()(df).collect())
 
 
 def test_secrets(spark, docs, texts, odd, empty):
