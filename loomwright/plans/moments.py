@@ -27,6 +27,8 @@ MAX_SQL_PAIRS = 150
 TILE_CELLS = 1 << 22
 # rows of a group that one task adds up
 SLICE_ROWS = 500_000
+# bytes of the matrices that a task holds for groups added up where their rows are read
+HELD_BYTES = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -105,12 +107,15 @@ def _by_aggregates(df: DataFrame, columns: list[str], keys: list[str]) -> DataFr
     )
 
 
-def _by_matrices(df: DataFrame, columns: list[str], keys: list[str], rows_per_slice: int = SLICE_ROWS) -> DataFrame:
-    """Rows dealt by group, so that a task reads group after group and adds up one matrix at a time.
+def _by_matrices(df: DataFrame, columns: list[str], keys: list[str], rows_per_slice: int = SLICE_ROWS, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """The largest groups are added up where their rows are read; the rows of all others are dealt by group.
 
-    What is shuffled are the rows themselves, not a matrix per group and batch. Groups of more than ``rows_per_slice`` rows
-    are cut into slices, whose sums Spark adds up; there are at most rows / rows_per_slice of them, which bounds the
-    broadcast list. Values are shifted by the global mean first, which keeps the products well scaled.
+    Groups are added up in place as far as their matrices fit ``held_bytes`` of a task: only groups with more than that share of
+    the rows, and with so many that their rows are more than the matrices sent. Each task sends one matrix of each, so what is
+    shuffled of them grows with the tasks and not with the rows. Of all other groups the rows are shuffled, not a matrix per group
+    and batch: a task reads group after group and adds up one matrix at a time. Those of more than ``rows_per_slice`` rows are cut
+    into slices, whose sums Spark adds up; there are at most rows / rows_per_slice of them, which bounds the broadcast list.
+    Values are shifted by the global mean first, which keeps the products well scaled.
     """
     width = len(columns)
     if not keys:
@@ -119,27 +124,50 @@ def _by_matrices(df: DataFrame, columns: list[str], keys: list[str], rows_per_sl
         return df.sparkSession.createDataFrame(row, "n bigint, mean array<double>, cov array<double>")
     plain = df.select(*[q(k).alias(f"k{i}") for i, k in enumerate(keys)], packed(df, columns).alias("_x"))
     names = [f"k{i}" for i in range(len(keys))]
-    counts = plain.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_slice)
-    large = counts.select(*[F.col(k).alias(f"_{k}") for k in names], F.ceil(F.col("_n") / F.lit(rows_per_slice)).cast("int").alias("_slices"))
+    counts = stored(plain.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
+    rows = counts.agg(F.sum("_n")).first()[0] or 0
+    held = held_bytes // (8 * width * (width + 1))
+    in_place = F.col("_n") > (max(10 * width, rows // held) if held else rows)  # fewer than ``held`` groups
+    large = counts.where(in_place | (F.col("_n") > rows_per_slice)).select(
+        *[F.col(k).alias(f"_{k}") for k in names], "_n", F.monotonically_increasing_id().alias("_group"),
+        F.when(in_place, 0).otherwise(F.ceil(F.col("_n") / F.lit(rows_per_slice))).cast("int").alias("_slices"))
     large = stored(large, "large-groups")
+    done_in_place = large.where("_slices = 0").agg(F.sum("_n")).first()[0] or 0
     same = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names])
     centre_row = df.agg(*[F.avg(filled(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     centre = np.array([float(v or 0.0) for v in centre_row])
     slices = F.coalesce("_slices", F.lit(1))
-    marked = plain.join(F.broadcast(large), same, "left").select(
-        *names, "_x", slices.alias("_slices"), F.pmod(F.xxhash64(F.spark_partition_id(), "_x"), slices).cast("int").alias("_slice"))
-    dealt = marked.repartition(*names, "_slice").sortWithinPartitions(*names, "_slice")
+    marked = plain.join(F.broadcast(large), same, "left").select(*names, "_x", "_group", slices.alias("_slices"))
     kinds = [f.dataType.simpleString() for f in plain.schema.fields[:len(keys)]]
-    schema = ", ".join([f"{n} {t}" for n, t in zip(names, kinds)] + ["_slices int", "n double", "total array<double>", "products array<double>"])
+    sums_schema = "n double, total array<double>, products array<double>"
+
+    def record(first: dict[str, pa.Array], n: int, total: np.ndarray, products: np.ndarray) -> pa.RecordBatch:
+        lists = [pa.ListArray.from_arrays(pa.array([0, v.size], pa.int32()), pa.array(v.ravel().copy())) for v in (total, products)]
+        return pa.RecordBatch.from_arrays([*first.values(), pa.array([float(n)]), *lists], names=[*first, "n", "total", "products"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One record for each group of the task, whose rows come in any order."""
+        found: dict[int, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix_of(batch.column(1), width) - centre
+            groups, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            for k, group in enumerate(groups.tolist()):
+                block = x if len(groups) == 1 else x[at == k]
+                own = found.setdefault(group, [0, np.zeros(width), np.zeros((width, width))])
+                own[0] += len(block)
+                own[1] += block.sum(0)
+                own[2] += block.T @ block
+        for group, own in found.items():
+            yield record({"_group": pa.array([group], pa.int64())}, *own)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, types, slices_now, n, total, products = None, [], 1, 0, np.zeros(width), np.zeros((width, width))
 
         def sent() -> pa.RecordBatch:
-            cells = [pa.array([v], t) for v, t in zip(now, types)]
-            lists = [pa.ListArray.from_arrays(pa.array([0, v.size], pa.int32()), pa.array(v.ravel().copy())) for v in (total, products)]
-            return pa.RecordBatch.from_arrays(
-                [*cells, pa.array([slices_now], pa.int32()), pa.array([float(n)]), *lists], names=[*names, "_slices", "n", "total", "products"])
+            cells = {name: pa.array([v], t) for name, v, t in zip(names, now, types)}
+            return record(cells | {"_slices": pa.array([slices_now], pa.int32())}, n, total, products)
 
         for batch in batches:
             if not batch.num_rows:
@@ -162,7 +190,10 @@ def _by_matrices(df: DataFrame, columns: list[str], keys: list[str], rows_per_sl
         if now is not None:
             yield sent()
 
-    sums = dealt.mapInArrow(summed, schema)
+    def together(parts: DataFrame, by: list[str]) -> DataFrame:
+        return parts.groupBy(*by).agg(
+            F.sum("n").alias("n"), *[vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c) for c in ("total", "products")])
+
     shift = F.array(*[F.lit(float(c)) for c in centre])
 
     def finished(sums: DataFrame) -> DataFrame:
@@ -171,13 +202,21 @@ def _by_matrices(df: DataFrame, columns: list[str], keys: list[str], rows_per_sl
         return delta.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("n").cast("long").alias("n"),
                             F.zip_with("_d", shift, lambda d, s: d + s).alias("mean"), cov.alias("cov"))
 
-    if large.isEmpty():
-        return finished(sums)
-    kept = stored(sums, "group-sums")
-    parts = kept.where("_slices > 1")
-    whole = parts.groupBy(*names).agg(
-        F.sum("n").alias("n"), *[vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c) for c in ("total", "products")])
-    return finished(kept.where("_slices = 1").select(*names, "n", "total", "products").unionByName(whole))
+    parts = []
+    if done_in_place:
+        own = together(marked.where("_slices = 0").select("_group", "_x").mapInArrow(added, f"_group long, {sums_schema}"), ["_group"])
+        parts.append(own.join(F.broadcast(large), "_group").select(*[F.col(f"_{k}").alias(k) for k in names], "n", "total", "products"))
+    if done_in_place < rows or not rows:
+        rest = marked.where("_slices > 0").select(
+            *names, "_x", "_slices", F.pmod(F.xxhash64(F.spark_partition_id(), "_x"), F.col("_slices")).cast("int").alias("_slice"))
+        schema = ", ".join([*(f"{n} {t}" for n, t in zip(names, kinds)), "_slices int", sums_schema])
+        sums = rest.repartition(*names, "_slice").sortWithinPartitions(*names, "_slice").mapInArrow(summed, schema)
+        if not large.where("_slices > 0").isEmpty():
+            sums = stored(sums, "group-sums")
+            parts.append(together(sums.where("_slices > 1"), names))
+            sums = sums.where("_slices = 1")
+        parts.append(sums.select(*names, "n", "total", "products"))
+    return finished(reduce(DataFrame.unionByName, parts))
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:

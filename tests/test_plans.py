@@ -268,6 +268,25 @@ def test_group_moments_of_wide_rows(spark):
             assert np.reshape(r["cov"], (80, 80)) == pytest.approx(np.cov(own.T, bias=True), abs=1e-9)
 
 
+def test_large_groups_are_added_up_where_they_are_read(spark):
+    """Their rows are not shuffled; with room for one matrix only, some groups go by matrix, some by slices, some whole."""
+    x = np.random.default_rng(8).normal(3, 2, size=(3000, 20))
+    names = [f"c{k}" for k in range(20)]
+    group = [None if k % 50 == 1 else k % 3 if k % 10 else 7 if k % 20 else 8 for k in range(3000)]
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, r in zip(group, x)], "g int, " + ", ".join(f"{c} double" for c in names))
+    even = rows.where("g < 3").repartition(6)
+    assert "REPARTITION_BY_COL" not in _by_matrices(even, names, ["g"])._jdf.queryExecution().toString()
+    for table, held in ((even, 1 << 24), (rows.repartition(6), 3 * 8 * 20 * 21), (rows.repartition(6), 0)):
+        got = _by_matrices(table, names, ["g"], 200, held).collect()
+        used = {g for g in group if table is not even and (g is None or g > 2)} | {0, 1, 2}
+        assert len(got) == len(used) and {r["g"] for r in got} == used
+        for r in got:
+            own = x[[k for k, g in enumerate(group) if g == r["g"]]]
+            assert r["n"] == len(own) and r["mean"] == pytest.approx(own.mean(0))
+            assert np.reshape(r["cov"], (20, 20)) == pytest.approx(np.cov(own.T, bias=True), abs=1e-9)
+    assert _by_matrices(rows.limit(0), names, ["g"]).collect() == []
+
+
 def test_covariance_in_bands(spark):
     x = np.random.default_rng(7).normal(size=(200, 9))
     df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
