@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwright.llm.blocks import batch_map
+from loomwright.llm.blocks import batch_map, kept
 from loomwright.llm.token_counts import LONG_TEXT, Bounded, byte_of_symbol
 from loomwright.session import stored
 
@@ -66,13 +66,8 @@ class ChunkEncoder:
         return b"".join(self.chunk[m.group()] for m in CHUNK.finditer(text))
 
 
-_held: dict[str, ChunkEncoder] = {}
-
-
 def encoder_of(path: str) -> ChunkEncoder:
-    if path not in _held:
-        _held[path] = ChunkEncoder(path)
-    return _held[path]
+    return kept(f"ids {path}", lambda: ChunkEncoder(path))
 
 
 class Bins:

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.blocks import batch_map
+from loomwright.llm.blocks import batch_map, kept
 
 #: fixed values: how the vocabulary's library splits text before the merges, and its white space
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -200,13 +200,10 @@ class PrefixCounter:
 
 
 WHITE_SET = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c))
-_held: dict[str, PrefixCounter] = {}
 
 
 def counter_of(path: str) -> PrefixCounter:
-    if path not in _held:
-        _held[path] = PrefixCounter(path)
-    return _held[path]
+    return kept(f"counts {path}", lambda: PrefixCounter(path))
 
 
 @dataclass(frozen=True)
@@ -225,7 +222,7 @@ class TokenCounts:
     def _added(self, docs: DataFrame, keep: tuple[str, ...] | None, added: str, work) -> DataFrame:
         new = [part.split()[0] for part in added.split(", ")]
         names = [c for c in (docs.columns if keep is None else keep) if c not in new]
-        kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+        kept_columns = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
         path = self.path
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -233,7 +230,7 @@ class TokenCounts:
             return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), *made], names=[*names, *new])
 
         return batch_map(docs.select(*names, F.coalesce(F.col(self.text), F.lit("")).alias("_text")),
-                         ", ".join(filter(None, [kept, added])), run)
+                         ", ".join(filter(None, [kept_columns, added])), run)
 
     def __call__(self, docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
         """n_bytes, n_tokens and over_limit of every text."""

@@ -7,11 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
+from loomwright.llm import blocks
 from loomwright.llm import queries as Q
 from loomwright.llm.decontaminate import Decontaminate
 from loomwright.llm.language import Languages
@@ -19,9 +21,9 @@ from loomwright.llm.licenses import BASE_PHRASES, NOTICE, LicenseScan, _strings,
 from loomwright.llm.links import components
 from loomwright.llm.neighbours import NeighbourGraph
 from loomwright.llm.ngram_join import NgramJoin
-from loomwright.llm.packing import BestFitPacking, ChunkEncoder, plan_bins
+from loomwright.llm.packing import BestFitPacking, ChunkEncoder, encoder_of, plan_bins
 from loomwright.llm.quality import Quality
-from loomwright.llm.secret_scan import SecretScan, base_spans, suspects, windows
+from loomwright.llm.secret_scan import Crf, SecretScan, base_spans, suspects, windows
 from loomwright.llm.token_counts import PrefixCounter, TokenCounts, characters_within, tokens_at
 from loomwright.llm.toxicity import Toxicity
 
@@ -555,3 +557,32 @@ def test_pipeline(spark, sf, docs, texts):
             assert after.columns == docs.columns
             before = after.cache()
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_workers_keep_only_what_their_last_task_asked_for(monkeypatch):
+    """Caches of one stage go when the worker has done a task of another; a shorter table of powers is part of a longer one."""
+    monkeypatch.setattr(blocks, "_kept", {})
+    monkeypatch.setattr(blocks, "_asked", set())
+    monkeypatch.setattr(blocks, "_powers", [])
+    first = encoder_of(WORD_BPE)
+    blocks.give_back()
+    assert encoder_of(WORD_BPE) is first
+    blocks.give_back()
+    blocks.give_back()
+    assert not blocks._kept
+    longer = [p[:5000].tolist() for p in blocks._power_table(100_000)]
+    assert [p[:5000].tolist() for p in blocks._power_table(5000)] == longer and len(blocks._powers) == 1
+    blocks._power_table((1 << 21) + 1)
+    assert len(blocks._powers) == 1 and len(blocks._powers[0][0]) == 1 << 17
+
+
+def test_masking_gives_memory_back(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "password = abcdefgh12345")], "doc_id long, text string")
+    held = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, work, schema, *more: held.append((work, schema)) or df)
+    SecretScan().redact(docs, model=Crf())
+    work, schema = held[-1]
+    calls = []
+    monkeypatch.setattr(blocks, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array([None], pa.string())})
+    assert len(list(work(iter([batch, batch])))) == 2 and calls == [1] and schema == docs.schema
