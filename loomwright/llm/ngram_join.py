@@ -194,8 +194,19 @@ class PrefixTree:
         return out
 
 
-def tree_pairs(records: list[Record], limit: Threshold, sides: list[int] | None = None) -> list[tuple[int, int]]:
-    """Candidate pairs of different components. Only the sets outside the largest component search the tree."""
+def least_of_each(groups: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group has its least value, and whether it has others."""
+    order = np.lexsort((values, groups))
+    starts = np.flatnonzero(np.r_[True, np.diff(groups[order]) != 0])
+    return order[starts], np.diff(np.r_[starts, len(order)]) > 1
+
+
+def tree_pairs(records: list[Record], limit: Threshold, sides: list[int] | None = None, every: bool = True) -> list[tuple[int, int, bool]]:
+    """Candidate pairs of different components. Only the sets outside the largest component search the tree.
+
+    Without ``every`` a set is paired with the likest candidate of each other component only; the third value tells
+    whether that component has more candidates, which were left out.
+    """
     tree = PrefixTree(records, limit)
     count: dict[int, int] = {}
     for r in records:
@@ -203,6 +214,7 @@ def tree_pairs(records: list[Record], limit: Threshold, sides: list[int] | None
     largest = max(sorted(count), key=count.__getitem__)
     bits = np.stack([r.bits for r in records])
     sizes = np.array([r.size for r in records])
+    groups = np.array([r.component for r in records])
     out = []
     for k, record in enumerate(records):
         if record.component == largest:
@@ -216,7 +228,12 @@ def tree_pairs(records: list[Record], limit: Threshold, sides: list[int] | None
         total = sizes[found] + record.size
         least = -(-limit.percent * total // (100 + limit.percent))
         near = (unlike <= total - 2 * least) & (100 * np.minimum(sizes[found], record.size) >= limit.percent * np.maximum(sizes[found], record.size))
-        out += [(k, j) for j in found[near].tolist()]
+        found = found[near]
+        if every or not len(found):
+            out += [(k, j, False) for j in found.tolist()]
+            continue
+        likest, more = least_of_each(groups[found], unlike[near])
+        out += [(k, j, others) for j, others in zip(found[likest].tolist(), more.tolist(), strict=True)]
     return out
 
 
@@ -239,7 +256,8 @@ class NgramJoin:
        one component here, without its pairs.
     4. Grams whose classes are in more than one component build prefix trees, in blocks of ``block`` sets, so a common
        gram is spread over many tasks. A tree gets the grams from its own on; the candidates that trees, sizes
-       and signatures leave are verified.
+       and signatures leave are verified: of each set the likest one in each other component first, then, by the trees
+       of the grams where such a pair is still apart, all others. So a large group has no pair for each two members.
 
     Verification compares whole sets. Sets are told apart by 56-bit hashes of grams.
 
@@ -292,8 +310,15 @@ class NgramJoin:
         rest = self._apart(pairs, components(stars))
         stars = stars.unionByName(self._verified(docs, ranks, limit, classes, self._possible(rest, classes, limit)))
         joined = components(stars)
-        links = self._verified(docs, ranks, limit, classes, self._possible_long(self._tree_pairs(records, classes, joined, limit), classes, limit))
-        whole = components(links.unionByName(stars))
+        first = stored(self._tree_pairs(records, classes, joined, limit), "tree-pairs")
+        once = first.select("a", "b").distinct()
+        links = stars.unionByName(self._verified(docs, ranks, limit, classes, self._possible_long(once, classes, limit)))
+        whole = components(links)
+        # pairs were left out beside these; where the two are joined now, so are those
+        unsettled = stored(self._apart(first.where("gram is not null"), whole), "unsettled-pairs")
+        if unsettled.count():
+            others = self._tree_pairs(records, classes, whole, limit, unsettled).select("a", "b").distinct().join(once, ["a", "b"], "left_anti")
+            whole = components(links.unionByName(self._verified(docs, ranks, limit, classes, self._possible_long(others, classes, limit))))
         share = max(1000, classes.count() // 1000)  # lists of hot keys have 1,000 entries at most
         labelled = classes.select("id", "node", "least", "copies").join(whole.select(F.col("node").alias("id"), "component"), "id", "left")
         labelled = stored(labelled.withColumn("component", F.coalesce("component", "id")), "class-components")
@@ -437,7 +462,7 @@ class NgramJoin:
         one = joined.select(F.col("node").alias("a"), F.col("component").alias("a_component"))
         two = joined.select(F.col("node").alias("b"), F.col("component").alias("b_component"))
         return pairs.join(one, "a", "left").join(two, "b", "left").where(
-            F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+            F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select(*pairs.columns)
 
     def _possible(self, pairs: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
         """Pairs (a, b) that sizes and signatures leave room for."""
@@ -473,14 +498,26 @@ class NgramJoin:
         both = pairs.join(one, "a", "left").join(two, "b", "left")
         return batch_map(both.select("a", "b", "a_size", "b_size", "a_bits", "b_bits"), "a long, b long", checked)
 
-    def _tree_pairs(self, records: DataFrame, classes: DataFrame, joined: DataFrame, limit: Threshold) -> DataFrame:
-        """Candidate pairs across components, from the prefix trees of grams whose classes are not all joined."""
-        block = self.block
+    def _tree_pairs(self, records: DataFrame, classes: DataFrame, joined: DataFrame, limit: Threshold, unsettled: DataFrame | None = None) -> DataFrame:
+        """Candidate pairs (a, b) across components, from the prefix trees of grams whose classes are not all joined.
+
+        Each tree gives the likest candidate of each set in each other component; ``gram`` is the tree's if that component
+        has more candidates there, else NULL. With ``unsettled`` pairs of that kind only their grams have trees, of the
+        sets in the pairs' components, which give all candidates.
+        """
+        block, every = self.block, unsettled is not None
+        if every:
+            holders = records.select("id", F.explode("shared.gram").alias("gram")).join(
+                unsettled.select("gram").distinct(), "gram", "left_semi").select("id").distinct()
+            records = records.join(holders, "id", "left_semi")
         named = records.select("id", "size", "shared").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
         labelled = stored(named.withColumn("component", F.coalesce("component", "id")), "labelled-records")
         members = labelled.select("id", "component", F.explode(F.filter("shared", lambda s: s["joins"] & (s["members"] > 2))).alias("s")).select(
             "id", "component", F.col("s.gram").alias("gram"), F.col("s.place").alias("place"),
             F.ceil(F.col("s.members") / F.lit(block)).cast("int").alias("blocks"))
+        if every:
+            ends = unsettled.select("gram", F.explode(F.array("a", "b")).alias("id")).join(labelled.select("id", "component"), "id")
+            members = members.join(ends.select("gram", "component").distinct(), ["gram", "component"], "left_semi")
         spread = members.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
         # whole records follow only for the grams that are left, and of them what stands from the gram on
         bits = classes.select("id", "bits")
@@ -502,7 +539,7 @@ class NgramJoin:
                 signatures = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, SIGNATURE_LONGS)
                 ends = grams.value_lengths().to_numpy().cumsum()
                 tokens, at = grams.flatten().to_numpy().view(np.uint64), places.flatten().to_numpy()
-                out: list[tuple[int, int]] = []
+                out: list[tuple[int, int, int | None]] = []
                 for row, (gram, low, high, side, node, component, size) in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
                     if (gram, low, high) != cell:
                         out += pairs_of(cell, held, sides)
@@ -514,16 +551,17 @@ class NgramJoin:
             yield sent(pairs_of(cell, held, sides))
             give_back()
 
-        def pairs_of(cell: tuple | None, held: list[Record], sides: list[int]) -> list[tuple[int, int]]:
+        def pairs_of(cell: tuple | None, held: list[Record], sides: list[int]) -> list[tuple[int, int, int | None]]:
             if cell is None or len({r.component for r in held}) < 2:
                 return []
-            found = tree_pairs(held, limit, sides if cell[1] != cell[2] else None)
-            return [(held[k].node, held[j].node) for k, j in found]
+            found = tree_pairs(held, limit, sides if cell[1] != cell[2] else None, every)
+            return [(held[k].node, held[j].node, cell[0] if more else None) for k, j, more in found]
 
-        def sent(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
+        def sent(pairs: list[tuple[int, int, int | None]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"a": pa.array([min(p[:2]) for p in pairs], pa.int64()), "b": pa.array([max(p[:2]) for p in pairs], pa.int64()),
+                                               "gram": pa.array([p[2] for p in pairs], pa.int64())})
 
-        return small_batches(cells).mapInArrow(joined_cells, "a long, b long").distinct()
+        return small_batches(cells).mapInArrow(joined_cells, "a long, b long, gram long")
 
     def _verified(self, docs: DataFrame, ranks, limit: Threshold, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough."""

@@ -127,6 +127,71 @@ def test_ngram_join_of_a_chain_of_near_copies(spark):
     assert got == brute_components(texts, 3, 90)
 
 
+def near_copies(count, seed=7):
+    """Copies of one text of 150 words with up to three other words each: many are linked, many only through others."""
+    rnd = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    texts = {}
+    for i in range(count):
+        own = list(base)
+        for _ in range(rnd.randint(1, 3)):
+            own[rnd.randrange(150)] = f"n{rnd.randrange(100_000)}"
+        texts[i] = " ".join(own)
+    return texts
+
+
+def test_ngram_join_lists_no_square_of_a_large_group(spark, monkeypatch):
+    """Beside pairs with centres, near copies have few pairs each, not one with each other, and the groups are exact."""
+    from loomwright.llm import ngram_join as module
+
+    listed = []
+    stored = module.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "gram-pairs":
+            listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "stored", counted)
+    texts = near_copies(800)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in NgramJoin(5, 80)(df).collect()}
+    assert got == brute_components(texts, 5, 80)
+    assert sum(listed[2:]) <= 2 * 800, listed
+
+
+def test_ngram_join_looks_at_what_was_left_out(spark, monkeypatch):
+    """Where the pair that is looked at first is no link, the others of its two components follow."""
+    from loomwright.llm import ngram_join as module
+
+    def unlikest(records, limit, sides=None, every=True, real=module.tree_pairs):
+        found = real(records, limit, sides, every)
+        if every:
+            return found
+        apart = lambda k, j: int(np.bitwise_count(records[k].bits ^ records[j].bits).sum())
+        members = {}
+        for j, record in enumerate(records):
+            members.setdefault(record.component, []).append(j)
+        return [(k, max(members[records[j].component], key=lambda m: apart(k, m)) if more else j, more) for k, j, more in found]
+
+    kept = {}
+    stored = module.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        kept[name] = out
+        return out
+
+    monkeypatch.setattr(module, "tree_pairs", unlikest)
+    monkeypatch.setattr(module, "stored", counted)
+    texts = near_copies(200)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in NgramJoin(5, 80, block=40)(df).collect()}
+    assert got == brute_components(texts, 5, 80)
+    assert kept["unsettled-pairs"].count() and kept["gram-links"].count()  # the last links are those of the second pass
+
+
 def test_ngram_join_on_odd_rows(odd, empty):
     out = NgramJoin()(odd).collect()
     same_rows(out, odd)
