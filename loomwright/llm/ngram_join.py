@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.blocks import SPACED, batch_map, give_back, mixed, small_batches, summed, text_slices, words
-from loomwright.llm.links import components
+from loomwright.llm.links import LINKS_PER_TASK, stars
 from loomwright.plans.joins import salted_join
-from loomwright.session import stored
+from loomwright.session import gathered, stored
 
 CELL_BITS = 18
 SIGNATURE_LONGS = 32
 CENTRES = 8
 BROADCAST_ROWS = 1 << 20
+# pairs with their signatures, pairs with their whole sets, and texts that a task gets where their number is known
+SIGNED, COMPARED, TEXTS = 10_000, 1_000, 1_000
 # classes that are looked at to find very common grams, and how many of them share such a gram
 SAMPLED, COMMON = 4096, 40
 FACTORS = tuple(np.uint64(f) for f in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -252,7 +254,7 @@ class NgramJoin:
        two classes are kept, and of grams with the same classes only the first. Grams that a sample of classes shows to
        be very common are shared in any case and need not be dealt out.
     3. Each gram names one of its classes as its centre, by one of ``CENTRES`` random orders of all classes; pairs with
-       the centre are verified, one of each class first and then those still apart. A large group of near copies becomes
+       the centre are verified, the likest one of each class first and then those still apart. A large group of near copies becomes
        one component here, without its pairs.
     4. Grams whose classes are in more than one component build prefix trees, in blocks of ``block`` sets, so a common
        gram is spread over many tasks. A tree gets the grams from its own on; the candidates that trees, sizes
@@ -303,22 +305,23 @@ class NgramJoin:
                 F.first(F.struct("size", "prefix", "bits", "long_bits")).alias("set")).select(
                     F.monotonically_increasing_id().alias("id"), "node", "least", "copies", "place", "set.*"), "classes")
         records = self._records(classes)
-        # one pair of each class first: whole sets travel again only for pairs that these have not joined
-        pairs = stored(self._star_pairs(records, classes, limit), "star-pairs")
-        once = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        stars = self._verified(docs, ranks, limit, classes, self._possible(once, classes, limit))
-        rest = self._apart(pairs, components(stars))
-        stars = stars.unionByName(self._verified(docs, ranks, limit, classes, self._possible(rest, classes, limit)))
-        joined = components(stars)
+        # the likest pair of each class first: whole sets travel again only for pairs that these have not joined
+        pairs = stored(self._possible(self._star_pairs(records, classes, limit), classes, limit), "star-pairs")
+        sets, many = self._whole_sets(docs, ranks, classes, pairs), pairs.count()
+        once = pairs.groupBy("b").agg(F.min_by("a", F.struct("unlike", "a")).alias("a")).select("a", "b")
+        once = stored(gathered(once, many, LINKS_PER_TASK), "gram-pairs")
+        joined = stars(self._linked(once, sets, limit, many))
+        rest = stored(gathered(self._apart(pairs.select("a", "b"), joined).join(once, ["a", "b"], "left_anti"), many, LINKS_PER_TASK), "gram-pairs")
+        joined = self._joined_on(joined, self._linked(rest, sets, limit, rest.count()))
         first = stored(self._tree_pairs(records, classes, joined, limit), "tree-pairs")
         once = first.select("a", "b").distinct()
-        links = stars.unionByName(self._verified(docs, ranks, limit, classes, self._possible_long(once, classes, limit)))
-        whole = components(links)
+        whole = self._joined_on(joined, self._verified(docs, ranks, limit, classes, self._possible_long(once, classes, limit, first.count())))
         # pairs were left out beside these; where the two are joined now, so are those
         unsettled = stored(self._apart(first.where("gram is not null"), whole), "unsettled-pairs")
         if unsettled.count():
-            others = self._tree_pairs(records, classes, whole, limit, unsettled).select("a", "b").distinct().join(once, ["a", "b"], "left_anti")
-            whole = components(links.unionByName(self._verified(docs, ranks, limit, classes, self._possible_long(others, classes, limit))))
+            others = stored(self._tree_pairs(records, classes, whole, limit, unsettled), "tree-pairs")
+            fresh = others.select("a", "b").distinct().join(once, ["a", "b"], "left_anti")
+            whole = self._joined_on(whole, self._verified(docs, ranks, limit, classes, self._possible_long(fresh, classes, limit, others.count())))
         share = max(1000, classes.count() // 1000)  # lists of hot keys have 1,000 entries at most
         labelled = classes.select("id", "node", "least", "copies").join(whole.select(F.col("node").alias("id"), "component"), "id", "left")
         labelled = stored(labelled.withColumn("component", F.coalesce("component", "id")), "class-components")
@@ -456,6 +459,11 @@ class NgramJoin:
                  .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
         return pairs
 
+    @staticmethod
+    def _joined_on(joined: DataFrame, links: DataFrame) -> DataFrame:
+        """The components after further links."""
+        return stars(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
     @staticmethod
     def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
         """The pairs that are not in one component."""
@@ -465,24 +473,27 @@ class NgramJoin:
             F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select(*pairs.columns)
 
     def _possible(self, pairs: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
-        """Pairs (a, b) that sizes and signatures leave room for."""
-        one = classes.select(F.col("id").alias("a"), F.col("size").alias("a_size"), F.col("bits").alias("a_bits"))
-        two = classes.select(F.col("id").alias("b"), F.col("size").alias("b_size"), F.col("bits").alias("b_bits"))
+        """Pairs (a, b) that sizes and signatures leave room for, and in how many grams at least they differ (``unlike``)."""
+        one, two = (classes.select(F.col("id").alias(side), F.col("size").alias(f"{side}_size"), F.col("bits").alias(f"{side}_bits"),
+                                   F.col("long_bits").alias(f"{side}_long")) for side in "ab")
 
         def checked(batch: pa.RecordBatch) -> pa.RecordBatch:
             a_bits, b_bits = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, SIGNATURE_LONGS) for k in ("a_bits", "b_bits"))
             x, y = batch.column("a_size").to_numpy(), batch.column("b_size").to_numpy()
-            unlike = np.bitwise_count(a_bits ^ b_bits).sum(1, dtype=np.int64)
+            apart = np.bitwise_count(a_bits ^ b_bits).sum(1, dtype=np.int64)
+            a_long, b_long = batch.column("a_long"), batch.column("b_long")
+            for k in np.flatnonzero(a_long.is_valid().to_numpy(False) & b_long.is_valid().to_numpy(False)).tolist():
+                apart[k] = unlike(a_long[k].as_buffer(), b_long[k].as_buffer())
             least = -(-limit.percent * (x + y) // (100 + limit.percent))
-            near = (unlike <= x + y - 2 * least) & (100 * np.minimum(x, y) >= limit.percent * np.maximum(x, y))
-            return batch.select(["a", "b"]).filter(pa.array(near))
+            near = (apart <= x + y - 2 * least) & (100 * np.minimum(x, y) >= limit.percent * np.maximum(x, y))
+            return batch.select(["a", "b"]).append_column("unlike", pa.array(apart)).filter(pa.array(near))
 
-        near = batch_map(pairs.join(one, "a").join(two, "b").select("a", "b", "a_size", "b_size", "a_bits", "b_bits"), "a long, b long", checked)
-        return self._possible_long(near, classes, limit)
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "a_size", "b_size", "a_bits", "b_bits", "a_long", "b_long")
+        return batch_map(both, "a long, b long, unlike long", checked)
 
     @staticmethod
-    def _possible_long(pairs: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
-        """Pairs (a, b) that the long signatures of long sets leave room for; the others as they are."""
+    def _possible_long(pairs: DataFrame, classes: DataFrame, limit: Threshold, rows: int) -> DataFrame:
+        """Pairs (a, b), at most ``rows`` of them, that the long signatures of long sets leave room for; the others as they are."""
         held = classes.where("long_bits is not null").select("id", "size", "long_bits")
         one, two = (held.select(F.col("id").alias(side), F.col("size").alias(f"{side}_size"), F.col("long_bits").alias(f"{side}_bits")) for side in "ab")
 
@@ -496,7 +507,7 @@ class NgramJoin:
             return batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
         both = pairs.join(one, "a", "left").join(two, "b", "left")
-        return batch_map(both.select("a", "b", "a_size", "b_size", "a_bits", "b_bits"), "a long, b long", checked)
+        return batch_map(gathered(both.select("a", "b", "a_size", "b_size", "a_bits", "b_bits"), rows, SIGNED), "a long, b long", checked)
 
     def _tree_pairs(self, records: DataFrame, classes: DataFrame, joined: DataFrame, limit: Threshold, unsettled: DataFrame | None = None) -> DataFrame:
         """Candidate pairs (a, b) across components, from the prefix trees of grams whose classes are not all joined.
@@ -566,22 +577,28 @@ class NgramJoin:
     def _verified(self, docs: DataFrame, ranks, limit: Threshold, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough."""
         pairs = stored(pairs, "gram-pairs")
-        needed = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-                        .join(classes.select("id", "place"), "id"), "needed-sets")
-        wanted = needed.select("place").distinct()
-        if needed.count() <= BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)  # at most BROADCAST_ROWS digests
-        texts = (docs.select(self._place(), F.col("_text").alias("words")).join(wanted, "place", "left_semi")
-                 .groupBy("place").agg(F.first("words").alias("words")))
+        return self._linked(pairs, self._whole_sets(docs, ranks, classes, pairs), limit, pairs.count())
+
+    def _whole_sets(self, docs: DataFrame, ranks, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(id, grams) of the classes in these pairs, from the texts."""
+        needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "place"), "id"), "needed-sets")
+        # a class has one text to be fetched by, and texts of one digest are one text
+        many = needed.count()
+        wanted = F.broadcast(needed) if many <= BROADCAST_ROWS else needed  # at most BROADCAST_ROWS digests
+        texts = (docs.select(self._place(), F.col("_text").alias("words")).join(wanted, "place")
+                 .groupBy("id").agg(F.first("words").alias("words")))
 
         def sets(batch: pa.RecordBatch) -> dict:
             found = [*self._sets(batch.column(1), ranks.value)]
-            return {"place": batch.column(0), "grams": pa.array([g.tobytes() for g in found], pa.binary())}
+            return {"id": batch.column(0), "grams": pa.array([g.tobytes() for g in found], pa.binary())}
 
-        # a class has one text to be fetched by, and texts of one digest are one text
-        made = stored(batch_map(texts, "place binary, grams binary", sets).join(needed, "place").select("id", "grams"), "whole-sets")
-        both = (pairs.join(made.select(F.col("id").alias("a"), F.col("grams").alias("a_grams")), "a")
-                .join(made.select(F.col("id").alias("b"), F.col("grams").alias("b_grams")), "b"))
+        return stored(batch_map(gathered(texts, many, TEXTS), "id long, grams binary", sets), "whole-sets")
+
+    @staticmethod
+    def _linked(pairs: DataFrame, sets: DataFrame, limit: Threshold, rows: int) -> DataFrame:
+        """The pairs (a, b), at most ``rows`` of them, whose whole sets, among ``sets``, are similar enough."""
+        one, two = (sets.select(F.col("id").alias(side), F.col("grams").alias(f"{side}_grams")) for side in "ab")
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "a_grams", "b_grams")
 
         def checked(batch: pa.RecordBatch) -> pa.RecordBatch:
             linked = []
@@ -590,7 +607,7 @@ class NgramJoin:
                 linked.append(limit.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             return batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-        return stored(batch_map(both, "a long, b long", checked), "gram-links")
+        return stored(batch_map(gathered(both, rows, COMPARED), "a long, b long", checked), "gram-links")
 
     def ranks(self, docs: DataFrame) -> np.ndarray:
         """How common the words of each hash cell are, on a scale of logarithms."""

@@ -192,6 +192,45 @@ def test_ngram_join_looks_at_what_was_left_out(spark, monkeypatch):
     assert kept["unsettled-pairs"].count() and kept["gram-links"].count()  # the last links are those of the second pass
 
 
+def test_few_links_take_few_tasks(spark, monkeypatch):
+    """However many partitions a shuffle has, a round over few links is one file, and nothing is done for links that are settled."""
+    from loomwright.llm import links as rounds
+    from loomwright.llm import ngram_join as module
+
+    kept = []
+    stored = module.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        kept.append((name, len(out.inputFiles())))
+        return out
+
+    conf = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in conf}
+    monkeypatch.setattr(module, "stored", counted)
+    monkeypatch.setattr(rounds, "stored", counted)
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        settled = spark.createDataFrame([(k, 1) for k in range(2, 90)] + [(7, 1), (95, 94)], "a long, b long")
+        got = {r.node: r.component for r in rounds.components(settled).collect()}
+        assert got == {k: 1 for k in range(1, 90)} | {94: 94, 95: 94}
+        assert [name for name, _ in kept] == ["links"]  # no round
+        kept.clear()
+        chain = rounds.components(spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long"))
+        assert {r.component for r in chain.collect()} == {0} and {n for _, n in kept[1:]} == {1}
+        kept.clear()
+        texts = near_copies(120)
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in NgramJoin(5, 80)(df).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == brute_components(texts, 5, 80)
+    assert max(n for name, n in kept if name in ("whole-sets", "gram-links", "gram-pairs")) <= 2, kept
+    assert sum(name == "whole-sets" for name, _ in kept) <= 3, kept  # once for all pairs with centres
+
+
 def test_ngram_join_on_odd_rows(odd, empty):
     out = NgramJoin()(odd).collect()
     same_rows(out, odd)
