@@ -20,8 +20,8 @@ CELL_BITS = 18
 SIGNATURE_LONGS = 32
 CENTRES = 8
 BROADCAST_ROWS = 1 << 20
-# pairs with their signatures, pairs with their whole sets, and texts that a task gets where their number is known
-SIGNED, COMPARED, TEXTS = 10_000, 1_000, 1_000
+# long signatures, or pairs that may have one, and grams of whole sets that a task gets where their number is known
+SIGNED, GRAMS = 2_000, 250_000
 # classes that are looked at to find very common grams, and how many of them share such a gram
 SAMPLED, COMMON = 4096, 40
 FACTORS = tuple(np.uint64(f) for f in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
@@ -310,9 +310,9 @@ class NgramJoin:
         sets, many = self._whole_sets(docs, ranks, classes, pairs), pairs.count()
         once = pairs.groupBy("b").agg(F.min_by("a", F.struct("unlike", "a")).alias("a")).select("a", "b")
         once = stored(gathered(once, many, LINKS_PER_TASK), "gram-pairs")
-        joined = stars(self._linked(once, sets, limit, many))
+        joined = stars(self._linked(once, sets, limit))
         rest = stored(gathered(self._apart(pairs.select("a", "b"), joined).join(once, ["a", "b"], "left_anti"), many, LINKS_PER_TASK), "gram-pairs")
-        joined = self._joined_on(joined, self._linked(rest, sets, limit, rest.count()))
+        joined = self._joined_on(joined, self._linked(rest, sets, limit))
         first = stored(self._tree_pairs(records, classes, joined, limit), "tree-pairs")
         once = first.select("a", "b").distinct()
         whole = self._joined_on(joined, self._verified(docs, ranks, limit, classes, self._possible_long(once, classes, limit, first.count())))
@@ -495,6 +495,7 @@ class NgramJoin:
     def _possible_long(pairs: DataFrame, classes: DataFrame, limit: Threshold, rows: int) -> DataFrame:
         """Pairs (a, b), at most ``rows`` of them, that the long signatures of long sets leave room for; the others as they are."""
         held = classes.where("long_bits is not null").select("id", "size", "long_bits")
+        rows = max(rows, held.count())  # all of them take part in the join
         one, two = (held.select(F.col("id").alias(side), F.col("size").alias(f"{side}_size"), F.col("long_bits").alias(f"{side}_bits")) for side in "ab")
 
         def checked(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -577,26 +578,30 @@ class NgramJoin:
     def _verified(self, docs: DataFrame, ranks, limit: Threshold, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough."""
         pairs = stored(pairs, "gram-pairs")
-        return self._linked(pairs, self._whole_sets(docs, ranks, classes, pairs), limit, pairs.count())
+        return self._linked(pairs, self._whole_sets(docs, ranks, classes, pairs), limit)
 
     def _whole_sets(self, docs: DataFrame, ranks, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-        """(id, grams) of the classes in these pairs, from the texts."""
-        needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "place"), "id"), "needed-sets")
+        """(id, size, grams) of the classes in these pairs, from the texts."""
+        needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "size", "place"), "id"), "needed-sets")
         # a class has one text to be fetched by, and texts of one digest are one text
-        many = needed.count()
-        wanted = F.broadcast(needed) if many <= BROADCAST_ROWS else needed  # at most BROADCAST_ROWS digests
+        many, grams = needed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        named = needed.select("id", "place")
+        wanted = F.broadcast(named) if many <= BROADCAST_ROWS else named  # at most BROADCAST_ROWS digests
         texts = (docs.select(self._place(), F.col("_text").alias("words")).join(wanted, "place")
                  .groupBy("id").agg(F.first("words").alias("words")))
 
         def sets(batch: pa.RecordBatch) -> dict:
             found = [*self._sets(batch.column(1), ranks.value)]
-            return {"id": batch.column(0), "grams": pa.array([g.tobytes() for g in found], pa.binary())}
+            return {"id": batch.column(0), "size": pa.array([len(g) for g in found], pa.int64()), "grams": pa.array([g.tobytes() for g in found], pa.binary())}
 
-        return stored(batch_map(gathered(texts, many, TEXTS), "id long, grams binary", sets), "whole-sets")
+        return stored(batch_map(gathered(texts, grams, GRAMS), "id long, size long, grams binary", sets), "whole-sets")
 
     @staticmethod
-    def _linked(pairs: DataFrame, sets: DataFrame, limit: Threshold, rows: int) -> DataFrame:
-        """The pairs (a, b), at most ``rows`` of them, whose whole sets, among ``sets``, are similar enough."""
+    def _linked(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+        """The pairs (a, b) whose whole sets, among ``sets``, are similar enough."""
+        # all sets take part in the join, and each pair carries some
+        many, grams = sets.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        grams = grams * max(many, pairs.count()) // max(1, many)
         one, two = (sets.select(F.col("id").alias(side), F.col("grams").alias(f"{side}_grams")) for side in "ab")
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "a_grams", "b_grams")
 
@@ -607,7 +612,7 @@ class NgramJoin:
                 linked.append(limit.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             return batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-        return stored(batch_map(gathered(both, rows, COMPARED), "a long, b long", checked), "gram-links")
+        return stored(batch_map(gathered(both, grams, GRAMS), "a long, b long", checked), "gram-links")
 
     def ranks(self, docs: DataFrame) -> np.ndarray:
         """How common the words of each hash cell are, on a scale of logarithms."""
