@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 
 from loomwright.operators import metrics
 from loomwright.operators.select import SetByName
-from loomwright.plans.columns import filled, q, with_all
+from loomwright.plans.columns import apart, filled, q, with_all
 from loomwright.plans.joins import BROADCAST_ROWS, fits, salted_join
-from loomwright.plans.moments import Moments, moments, moments_table
+from loomwright.plans.moments import Moments, moments, moments_table, packed
 from loomwright.plans.operator import Operator
 from loomwright.session import cut_lineage
 
 
+# features above which rows are scored outside whole-stage code, whose methods would be too long to be compiled
+WIDE = 20
+
+
 def prediction_name(target: str) -> str:
     return f"pred_{target}"
 
@@ -184,12 +188,15 @@ class GroupedRegressor(Regressor):
     def transform(self, df: DataFrame) -> DataFrame:
         if self.table is None:
             raise ValueError("fit first")
-        names = self.ready(df).columns
-        joined = self.scored(df, ["weights", "intercepts"])
+        ready = self.ready(df)
+        names, wide = ready.columns, len(self.features) > WIDE
+        if wide:  # the features travel as one column, the others only if they are asked for
+            ready = with_all(ready, {self.key: apart(q(self.key)), "_x": packed(ready, self.features)})
+        joined = self.scored(ready, ["weights", "intercepts"])
+        values = [F.get("_x", F.lit(j)) if wide else filled(joined, c) for j, c in enumerate(self.features)]
         predicted = [
-            reduce(operator.add, [
-                F.get(F.get("_weights", F.lit(i)), F.lit(j)) * filled(joined, c) for j, c in enumerate(self.features)
-            ], F.get("_intercepts", F.lit(i))).alias(prediction_name(t))
+            reduce(operator.add, [F.get(F.get("_weights", F.lit(i)), F.lit(j)) * x for j, x in enumerate(values)],
+                   apart(F.get("_intercepts", F.lit(i))) if wide else F.get("_intercepts", F.lit(i))).alias(prediction_name(t))
             for i, t in enumerate(self.targets)
         ]
         return joined.select(*[q(c) for c in names], *predicted)

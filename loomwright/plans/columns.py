@@ -57,5 +57,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def apart(value: Column) -> Column:
+    """The same value, which keeps its projection out of whole-stage code.
+
+    There all columns of a wide projection are one method, and the JVM never compiles methods above 8000 bytes. A projection
+    of its own is split into short ones.
+    """
+    return let(value, lambda v: v)
+
+
 def lit_array(values: Iterable[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])

@@ -19,7 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.plans.columns import filled, q
+from loomwright.plans.columns import apart, filled, q
 from loomwright.session import stored
 
 MAX_SQL_PAIRS = 150
@@ -29,6 +29,10 @@ TILE_CELLS = 1 << 22
 SLICE_ROWS = 500_000
 # bytes of the matrices that a task holds for groups added up where their rows are read
 HELD_BYTES = 1 << 24
+# partial sums of a group are put together in so many tasks first
+MERGE_WAYS = 32
+# rows that are added up at once, few enough to stay in a core's cache
+BLOCK_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -45,6 +49,34 @@ class Moments:
         return Moments(tuple(names), self.n, self.mean[at], self.cov[np.ix_(at, at)])
 
 
+class Sums:
+    """Count, means and products of deviations of some rows; blocks of rows and other sums are added without a common shift."""
+
+    def __init__(self, width: int):
+        self.n, self.mean, self.products = 0.0, np.zeros(width), np.zeros((width, width))
+
+    def add(self, block: np.ndarray) -> None:
+        for low in range(0, len(block), BLOCK_ROWS):
+            some = block[low: low + BLOCK_ROWS]
+            mean = some.mean(0)
+            some = some - mean
+            self.merge(len(some), mean, some.T @ some)
+
+    def merge(self, n: float, mean: np.ndarray, products: np.ndarray) -> None:
+        total, step = self.n + n, mean - self.mean
+        self.products += products
+        if self.n:
+            self.products += np.outer(step, step) * (self.n * n / total)
+            self.mean = self.mean + step * (n / total)
+        else:
+            self.mean = mean
+        self.n = total
+
+    def record(self, first: dict[str, pa.Array]) -> pa.RecordBatch:
+        lists = [pa.ListArray.from_arrays(pa.array([0, v.size], pa.int32()), pa.array(v.ravel())) for v in (self.mean, self.products)]
+        return pa.RecordBatch.from_arrays([*first.values(), pa.array([self.n]), *lists], names=[*first, "n", "mean", "products"])
+
+
 def vector_sum(df: DataFrame, column: str, keys: Sequence[str] = (), slices: int = 64) -> DataFrame:
     """Element-wise sum of an array column, in two steps so that no key has one adding task."""
     keys = list(keys)
@@ -114,17 +146,18 @@ def _by_matrices(df: DataFrame, columns: list[str], keys: list[str], rows_per_sl
     the rows, and with so many that their rows are more than the matrices sent. Each task sends one matrix of each, so what is
     shuffled of them grows with the tasks and not with the rows. Of all other groups the rows are shuffled, not a matrix per group
     and batch: a task reads group after group and adds up one matrix at a time. Those of more than ``rows_per_slice`` rows are cut
-    into slices, whose sums Spark adds up; there are at most rows / rows_per_slice of them, which bounds the broadcast list.
-    Values are shifted by the global mean first, which keeps the products well scaled.
+    into slices, whose sums are put together; there are at most rows / rows_per_slice of them, which bounds the broadcast list.
+    Products are of deviations from the means of their own rows, which keeps them well scaled and needs no pass for a shift.
     """
     width = len(columns)
     if not keys:
         found = array_moments(df.select(packed(df, columns).alias("_x")), "_x", width)
         row = [(found.n, found.mean.tolist(), found.cov.ravel().tolist())]
         return df.sparkSession.createDataFrame(row, "n bigint, mean array<double>, cov array<double>")
-    plain = df.select(*[q(k).alias(f"k{i}") for i, k in enumerate(keys)], packed(df, columns).alias("_x"))
     names = [f"k{i}" for i in range(len(keys))]
-    counts = stored(plain.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
+    own_keys = [q(k).alias(name) for k, name in zip(keys, names)]
+    plain = df.select(apart(q(keys[0])).alias("k0"), *own_keys[1:], packed(df, columns).alias("_x"))
+    counts = stored(df.select(*own_keys).groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "group-sizes")
     rows = counts.agg(F.sum("_n")).first()[0] or 0
     held = held_bytes // (8 * width * (width + 1))
     in_place = F.col("_n") > (max(10 * width, rows // held) if held else rows)  # fewer than ``held`` groups
@@ -134,88 +167,81 @@ def _by_matrices(df: DataFrame, columns: list[str], keys: list[str], rows_per_sl
     large = stored(large, "large-groups")
     done_in_place = large.where("_slices = 0").agg(F.sum("_n")).first()[0] or 0
     same = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in names])
-    centre_row = df.agg(*[F.avg(filled(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    centre = np.array([float(v or 0.0) for v in centre_row])
     slices = F.coalesce("_slices", F.lit(1))
     marked = plain.join(F.broadcast(large), same, "left").select(*names, "_x", "_group", slices.alias("_slices"))
     kinds = [f.dataType.simpleString() for f in plain.schema.fields[:len(keys)]]
-    sums_schema = "n double, total array<double>, products array<double>"
-
-    def record(first: dict[str, pa.Array], n: int, total: np.ndarray, products: np.ndarray) -> pa.RecordBatch:
-        lists = [pa.ListArray.from_arrays(pa.array([0, v.size], pa.int32()), pa.array(v.ravel().copy())) for v in (total, products)]
-        return pa.RecordBatch.from_arrays([*first.values(), pa.array([float(n)]), *lists], names=[*first, "n", "total", "products"])
+    sums_schema = "n double, mean array<double>, products array<double>"
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One record for each group of the task, whose rows come in any order."""
-        found: dict[int, list] = {}
+        found: dict[int, Sums] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix_of(batch.column(1), width) - centre
-            groups, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-            for k, group in enumerate(groups.tolist()):
-                block = x if len(groups) == 1 else x[at == k]
-                own = found.setdefault(group, [0, np.zeros(width), np.zeros((width, width))])
-                own[0] += len(block)
-                own[1] += block.sum(0)
-                own[2] += block.T @ block
+            x, groups = matrix_of(batch.column(1), width), batch.column(0).to_numpy()
+            for group in np.unique(groups).tolist():
+                own, rows_of = found.setdefault(group, Sums(width)), np.flatnonzero(groups == group)
+                for low in range(0, len(rows_of), BLOCK_ROWS):
+                    own.add(x[rows_of[low: low + BLOCK_ROWS]])
         for group, own in found.items():
-            yield record({"_group": pa.array([group], pa.int64())}, *own)
+            yield own.record({"_group": pa.array([group], pa.int64())})
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, types, slices_now, n, total, products = None, [], 1, 0, np.zeros(width), np.zeros((width, width))
+        now, types, slices_now, group_now, own = None, [], 1, None, Sums(width)
 
         def sent() -> pa.RecordBatch:
             cells = {name: pa.array([v], t) for name, v, t in zip(names, now, types)}
-            return record(cells | {"_slices": pa.array([slices_now], pa.int32())}, n, total, products)
+            return own.record(cells | {"_group": pa.array([group_now], pa.int64()), "_slices": pa.array([slices_now], pa.int32())})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             types = [batch.column(i).type for i in range(len(names))]
-            x = matrix_of(batch.column(len(names)), width) - centre
+            x = matrix_of(batch.column(len(names)), width)
             groups = list(zip(*[batch.column(i).to_pylist() for i in range(len(names))],
-                              batch.column(len(names) + 2).to_pylist(), strict=True))
+                              batch.column(len(names) + 3).to_pylist(), strict=True))
             cuts = [0, *[i for i in range(1, len(groups)) if groups[i] != groups[i - 1]], len(groups)]
             for low, high in zip(cuts, cuts[1:]):
                 if now is not None and groups[low] != now + (slice_now,):
                     yield sent()
-                    n, total, products = 0, np.zeros(width), np.zeros((width, width))
+                    own = Sums(width)
                 now, slice_now = groups[low][:-1], groups[low][-1]
-                slices_now = batch.column(len(names) + 1)[low].as_py()
-                block = x[low:high]
-                n += len(block)
-                total += block.sum(0)
-                products += block.T @ block
+                group_now, slices_now = (batch.column(len(names) + k)[low].as_py() for k in (1, 2))
+                own.add(x[low:high])
         if now is not None:
             yield sent()
 
-    def together(parts: DataFrame, by: list[str]) -> DataFrame:
-        return parts.groupBy(*by).agg(
-            F.sum("n").alias("n"), *[vector_to_array(Summarizer.sum(array_to_vector(c))).alias(c) for c in ("total", "products")])
+    def joined(table: pa.Table) -> pa.Table:
+        own = Sums(width)
+        for n, mean, products in zip(*(table.column(c) for c in ("n", "mean", "products")), strict=True):
+            own.merge(n.as_py(), mean.values.to_numpy(), products.values.to_numpy().reshape(width, width))
+        return pa.Table.from_batches([own.record({"_group": table.column("_group").slice(0, 1).combine_chunks()})])
 
-    shift = F.array(*[F.lit(float(c)) for c in centre])
+    def together(parts: DataFrame) -> DataFrame:
+        """One row per large group, put together in two steps so that no group has one adding task."""
+        way = F.pmod(F.spark_partition_id(), F.lit(MERGE_WAYS)).alias("_way")
+        schema = f"_group long, {sums_schema}"
+        some = parts.select("_group", way, "n", "mean", "products").groupBy("_group", "_way").applyInArrow(joined, schema)
+        own = some.groupBy("_group").applyInArrow(joined, schema)
+        return own.join(F.broadcast(large), "_group").select(*[F.col(f"_{k}").alias(k) for k in names], "n", "mean", "products")
 
     def finished(sums: DataFrame) -> DataFrame:
-        delta = sums.withColumn("_d", F.transform("total", lambda s: s / F.col("n")))
-        cov = F.transform("products", lambda v, i: v / F.col("n") - F.get("_d", (i / width).cast("int")) * F.get("_d", F.pmod(i, F.lit(width))))
-        return delta.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("n").cast("long").alias("n"),
-                            F.zip_with("_d", shift, lambda d, s: d + s).alias("mean"), cov.alias("cov"))
+        return sums.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("n").cast("long").alias("n"), "mean",
+                           F.transform("products", lambda v: v / F.col("n")).alias("cov"))
 
     parts = []
     if done_in_place:
-        own = together(marked.where("_slices = 0").select("_group", "_x").mapInArrow(added, f"_group long, {sums_schema}"), ["_group"])
-        parts.append(own.join(F.broadcast(large), "_group").select(*[F.col(f"_{k}").alias(k) for k in names], "n", "total", "products"))
+        parts.append(together(marked.where("_slices = 0").select("_group", "_x").mapInArrow(added, f"_group long, {sums_schema}")))
     if done_in_place < rows or not rows:
         rest = marked.where("_slices > 0").select(
-            *names, "_x", "_slices", F.pmod(F.xxhash64(F.spark_partition_id(), "_x"), F.col("_slices")).cast("int").alias("_slice"))
-        schema = ", ".join([*(f"{n} {t}" for n, t in zip(names, kinds)), "_slices int", sums_schema])
+            *names, "_x", "_group", "_slices", F.pmod(F.xxhash64(F.spark_partition_id(), "_x"), F.col("_slices")).cast("int").alias("_slice"))
+        schema = ", ".join([*(f"{n} {t}" for n, t in zip(names, kinds)), "_group long, _slices int", sums_schema])
         sums = rest.repartition(*names, "_slice").sortWithinPartitions(*names, "_slice").mapInArrow(summed, schema)
         if not large.where("_slices > 0").isEmpty():
             sums = stored(sums, "group-sums")
-            parts.append(together(sums.where("_slices > 1"), names))
+            parts.append(together(sums.where("_slices > 1")))
             sums = sums.where("_slices = 1")
-        parts.append(sums.select(*names, "n", "total", "products"))
+        parts.append(sums.select(*names, "n", "mean", "products"))
     return finished(reduce(DataFrame.unionByName, parts))
 
 

@@ -516,3 +516,23 @@ def test_routes_with_preparations_of_their_own(spark, campaign):
     second = models.LinearRegressor(FEATURES, ("t",)).fit(SignedLog(("f_0",))(ours))
     want = {r["id"]: r["pred_t"] for r in second(SignedLog(("f_0",))(ours)).collect()}
     assert len(done) == 800 and {i: done[i] for i in want} == pytest.approx(want)
+
+
+def test_wide_rows_are_scored_outside_whole_stage_code(spark):
+    """30 columns: neither the packed columns nor the prediction is part of a method too long to be compiled."""
+    x = np.random.default_rng(9).normal(2, 1, size=(300, 30))
+    names = tuple(f"c{k}" for k in range(30))
+    group = ["a" if k % 3 else "b" for k in range(300)]
+    rows = spark.createDataFrame(
+        [(k, g, *map(float, r), float(r @ np.arange(30) + (g == "a"))) for k, (g, r) in enumerate(zip(group, x))],
+        "id int, g string, " + ", ".join(f"{c} double" for c in names) + ", t double")
+    rows = rows.union(rows.limit(1).selectExpr("-1", "null", *rows.columns[2:])).repartition(3)
+    done = models.GroupedRegressor(names, ("t",), "g").fit_transform(rows)
+    assert done.columns == [*rows.columns, "pred_t"]
+    narrow = done.select("id", "pred_t")
+    got = {r["id"]: r["pred_t"] for r in narrow.collect()}
+    assert got == {k: pytest.approx(r @ np.arange(30) + (g == "a")) for k, (g, r) in enumerate(zip(group, x))}
+    plan = narrow._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    for made in ("AS _x#", "AS pred_t#"):
+        lines = [line for line in plan if made in line and "Project [" in line]
+        assert lines and not any("*(" in line.split("Project [")[0] for line in lines), plan

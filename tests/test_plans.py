@@ -13,7 +13,7 @@ from loomwright.operators.encode import Codes
 from loomwright.operators.lookup import DecodeIds, DecodeRegions, MapValues
 from loomwright.operators.spine import TimeGrid
 from loomwright.plans.joins import salted_join
-from loomwright.plans.moments import Moments, _by_aggregates, _by_matrices, array_moments
+from loomwright.plans.moments import Moments, Sums, _by_aggregates, _by_matrices, array_moments
 from loomwright.plans.operator import Apply, BatchOnly, Chain
 from loomwright.plans.ordered import exact_quantiles, range_bin, ranged, ranked_values, running_totals
 from loomwright.session import cut_lineage, shared_dir, stored
@@ -351,3 +351,18 @@ def test_metric_rows_of_a_split_without_name(spark):
     rows = spark.createDataFrame([(s, float(k % 7), float(k % 5)) for k in range(200) for s in (None, "x")], "s string, y double, p double")
     got = {r["s"]: tuple(r)[1:] for r in metric_rows(rows, "y", "p", "s").collect()}
     assert got[None] == pytest.approx(got["x"]) and got[None][-1] > 0
+
+
+def test_sums_of_blocks_in_any_order():
+    draw = np.random.default_rng(11)
+    x = draw.normal(1e7, 1, size=(3000, 4))
+    x[1500:] -= 2e7
+    parts = []
+    for low, high in ((0, 1), (1, 2500), (2500, 3000)):
+        parts.append(Sums(4))
+        parts[-1].add(x[low:high])
+    whole = Sums(4)
+    for part in reversed(parts):
+        whole.merge(part.n, part.mean, part.products)
+    assert whole.n == 3000 and whole.mean == pytest.approx(x.mean(0), rel=1e-9, abs=1e-3)
+    assert whole.products / 3000 == pytest.approx(np.cov(x.T, bias=True), rel=1e-9)
